@@ -345,3 +345,33 @@ def recent_per_account(tx: DataFrame, n: int = 5) -> DataFrame:
     return (tx.withColumn("recent_rank", F.row_number().over(w))
             .filter(F.col("recent_rank") <= n)
             .withColumn("display_description", display_description("description")))
+
+
+def account_history(accounts: DataFrame, tx: DataFrame) -> DataFrame:
+    """J2 (flat form) / T1: every account with each of its transactions and
+    the account's transaction count, ordered account, date desc.
+
+    The nested form (``account_with_transactions``) builds one list per
+    account; this form keeps a heavy account's history spread over range
+    partitions of a distributed sort instead of one in-memory list.
+    """
+    counts = tx.groupBy("account_id").agg(F.count("id").alias("transaction_count"))
+    t = tx.select("account_id", F.col("id").alias("tx_id"), F.col("date").alias("tx_date"),
+                  F.col("type").alias("tx_type"), as_number(money("amount")).alias("tx_amount"),
+                  display_description("description").alias("tx_description"),
+                  F.col("category").alias("tx_category"))
+    return (accounts.join(t, "account_id", "left").join(counts, "account_id", "left")
+            .withColumn("transaction_count", F.coalesce("transaction_count", F.lit(0)).cast("long"))
+            .orderBy("account_id", F.col("tx_date").desc(), F.col("tx_id").desc()))
+
+
+def validate_transactions(tx: DataFrame, ledger_categories: DataFrame) -> DataFrame:
+    """rule violations per row; the category must be one offered
+    for the row's type (joined from the fixed 21-row category table)."""
+    cats = F.broadcast(ledger_categories.select(F.col("id").alias("_cid"),
+                                                F.col("type").alias("_ctype")))
+    j = tx.join(cats, (F.col("category") == F.col("_cid")) & (F.col("type") == F.col("_ctype")), "left")
+    errs = F.concat(validation_errors(j), F.array_compact(F.array(
+        F.when(F.col("category").isNotNull() & F.col("_ctype").isNull(),
+               F.lit("category: not offered for this type")))))
+    return j.withColumn("errors", errs).drop("_cid", "_ctype")
