@@ -70,9 +70,18 @@ def day_of_week(d) -> Column:
     return F.coalesce(F.weekday(col_(d)), F.lit(-1))
 
 
-def calendar_features(d) -> list[Column]:
-    """14 calendar columns, in the reference's feature order."""
+def calendar_features(d, trig_digits: int | None = None) -> list[Column]:
+    """14 calendar columns, in the reference's feature order.
+
+    ``trig_digits`` rounds the sin/cos encodings (so engines with different
+    libm last bits agree)."""
     d = col_(d)
+
+    def trig(c):
+        if trig_digits is None:
+            return c
+        return F.round(c.cast("decimal(38,18)"), trig_digits).cast("double")
+
     dow = F.weekday(d)
     dom = F.dayofmonth(d)
     mon = F.month(d)
@@ -85,12 +94,12 @@ def calendar_features(d) -> list[Column]:
         (dow >= 5).cast("int").alias("is_weekend"),
         (dom <= 5).cast("int").alias("is_month_start"),
         (dom >= 25).cast("int").alias("is_month_end"),
-        F.sin(two_pi * dow / 7.0).alias("sin_dow"),
-        F.cos(two_pi * dow / 7.0).alias("cos_dow"),
-        F.sin(two_pi * mon / 12.0).alias("sin_month"),
-        F.cos(two_pi * mon / 12.0).alias("cos_month"),
-        F.sin(two_pi * dom / 31.0).alias("sin_dom"),
-        F.cos(two_pi * dom / 31.0).alias("cos_dom"),
+        trig(F.sin(two_pi * dow / 7.0)).alias("sin_dow"),
+        trig(F.cos(two_pi * dow / 7.0)).alias("cos_dow"),
+        trig(F.sin(two_pi * mon / 12.0)).alias("sin_month"),
+        trig(F.cos(two_pi * mon / 12.0)).alias("cos_month"),
+        trig(F.sin(two_pi * dom / 31.0)).alias("sin_dom"),
+        trig(F.cos(two_pi * dom / 31.0)).alias("cos_dom"),
         days_to_payday(dom).alias("days_to_payday"),
     ]
 

@@ -14,14 +14,15 @@ from ..functions.dates import next_recurring_date
 from ..functions.money import as_number, money, signed_amount
 from . import ledger as L
 
-ZERO = F.lit(0).cast("decimal(18,2)")
+def _zero():
+    return F.lit(0).cast("decimal(18,2)")
 
 
 def apply_deltas(accounts: DataFrame, delta: DataFrame) -> DataFrame:
     """Add per-account ``delta`` (decimal) to ``balance``."""
     d = delta.groupBy("account_id").agg(F.sum("delta").alias("_d"))
     return (accounts.join(d, "account_id", "left")
-            .withColumn("balance", as_number(money("balance") + F.coalesce("_d", ZERO)))
+            .withColumn("balance", as_number(money("balance") + F.coalesce("_d", _zero())))
             .drop("_d"))
 
 
@@ -128,7 +129,7 @@ def replace_history(tx: DataFrame, accounts: DataFrame, account_ids: DataFrame,
     tot = new_rows.groupBy("account_id").agg(F.sum(signed_amount("type", money("amount"))).alias("_t"))
     target = account_ids.select("account_id").withColumn("_hit", F.lit(True))
     acc = (accounts.join(target, "account_id", "left").join(tot, "account_id", "left")
-           .withColumn("balance", F.when(F.col("_hit"), as_number(F.coalesce("_t", ZERO)))
+           .withColumn("balance", F.when(F.col("_hit"), as_number(F.coalesce("_t", _zero())))
                        .otherwise(F.col("balance")))
            .drop("_hit", "_t"))
     return tx2, acc
@@ -150,10 +151,10 @@ def reconcile(accounts: DataFrame, tx: DataFrame, opening: DataFrame | None = No
     j = accounts.join(s, "account_id", "left")
     if opening is not None:
         j = j.join(opening.select("account_id", F.col("opening").alias("_o")), "account_id", "left")
-        base = F.coalesce(money("_o"), ZERO)
+        base = F.coalesce(money("_o"), _zero())
     else:
-        base = ZERO
-    expected = base + F.coalesce("_s", ZERO)
+        base = _zero()
+    expected = base + F.coalesce("_s", _zero())
     return j.select("account_id", "user_id", as_number(money("balance")).alias("balance"),
                     as_number(expected).alias("expected_balance"),
                     as_number(money("balance") - expected).alias("drift"))

@@ -67,7 +67,7 @@ def R(x: str, digits: int = 6) -> str:
     return f"CAST(ROUND(CAST({x} AS DECIMAL(38,12)), {digits}) AS DOUBLE)"
 
 
-def with_views(body: str, *views: str, extra_ctes: str = "") -> str:
+def with_views(body: str, *views: str, extra_ctes: str = "", recursive: bool = False) -> str:
     """Prefix ``body`` (which may start with its own CTE list via
     ``extra_ctes``) with the needed view definitions in dependency order."""
     need: list[str] = []
@@ -84,4 +84,5 @@ def with_views(body: str, *views: str, extra_ctes: str = "") -> str:
     ctes = [f"{v} AS ({VIEWS[v]})" for v in need]
     if extra_ctes:
         ctes.append(extra_ctes)
-    return ("WITH " + ",\n".join(ctes) + "\n" + body) if ctes else body
+    head = "WITH RECURSIVE " if recursive else "WITH "
+    return (head + ",\n".join(ctes) + "\n" + body) if ctes else body
