@@ -520,3 +520,15 @@ def q_replace_account_history(spark, sf_dir):
                 .withColumn("type", F.lit("INCOME")).withColumn("amount", F.col("amount") / 10))
     _, acc2 = X.replace_history(tx, acc, target, new_rows)
     return acc2
+
+
+@query("token_bucket_events", "P4", oracle="""
+SELECT event_id, user_id, ts, event_type,
+       ROW_NUMBER() OVER (PARTITION BY user_id, floor((epoch_us(ts) - t0) / 3600000000) ORDER BY epoch_us(ts), event_id) <= 10 AS admitted
+FROM (SELECT *, min(epoch_us(ts)) OVER (PARTITION BY user_id) AS t0 FROM events)""")
+def q_token_bucket_events(spark, sf_dir):
+    """Per-user token bucket (capacity 10, 10 tokens per whole hour since the
+    user's first request) replayed over the event log."""
+    from ..streaming.rate_limit import token_bucket
+    ev = Ledger(spark, sf_dir).table("events", "event_id", "user_id", "ts", "event_type")
+    return token_bucket(ev)
