@@ -532,3 +532,31 @@ def q_token_bucket_events(spark, sf_dir):
     from ..streaming.rate_limit import token_bucket
     ev = Ledger(spark, sf_dir).table("events", "event_id", "user_id", "ts", "event_type")
     return token_bucket(ev)
+
+
+@query("report_prompt_text", "C8,A3,A4", oracle=with_views(f"""
+SELECT user_id, 'Total Income: $' || CAST(inc AS VARCHAR) || ', Total Expenses: $' || CAST(exp AS VARCHAR)
+       || ', Net Income: $' || CAST(inc - exp AS VARCHAR) || ', Expense Categories: ' || cats AS prompt_text
+FROM (SELECT user_id,
+             CAST(COALESCE(SUM(CASE WHEN type = 'INCOME' THEN {M('amount')} END), 0) AS DOUBLE) AS inc,
+             CAST(COALESCE(SUM(CASE WHEN type = 'EXPENSE' THEN {M('amount')} END), 0) AS DOUBLE) AS exp
+      FROM v_transactions WHERE date >= TIMESTAMP '1998-02-01 00:00:00' AND date <= TIMESTAMP '1998-02-28 00:00:00'
+      GROUP BY user_id) t
+JOIN (SELECT user_id, string_agg(category || ': $' || CAST(amt AS VARCHAR), ', ' ORDER BY category) AS cats
+      FROM (SELECT user_id, category, CAST(SUM({M('amount')}) AS DOUBLE) AS amt FROM v_transactions
+            WHERE type = 'EXPENSE' AND date >= TIMESTAMP '1998-02-01 00:00:00' AND date <= TIMESTAMP '1998-02-28 00:00:00'
+            GROUP BY user_id, category) GROUP BY user_id) c USING (user_id)""", "v_transactions"))
+def q_report_prompt_text(spark, sf_dir):
+    """The report's data block per user: totals, net and the category
+    amounts joined with ', ' (users with expenses in the month)."""
+    from ..functions.text import category_amounts_text
+    tx = Ledger(spark, sf_dir).transactions("1998-02-01", "1998-02-28")
+    st = L.monthly_stats(tx, REPORT_MONTH)
+    cats = L.category_map_of(tx, REPORT_MONTH)
+    inc = as_number(F.coalesce("total_income", F.lit(0).cast("decimal(18,2)")))
+    exp = as_number(F.coalesce("total_expenses", F.lit(0).cast("decimal(18,2)")))
+    j = st.join(cats, "user_id")
+    return j.select("user_id", F.concat(
+        F.lit("Total Income: $"), inc.cast("string"), F.lit(", Total Expenses: $"), exp.cast("string"),
+        F.lit(", Net Income: $"), (inc - exp).cast("string"), F.lit(", Expense Categories: "),
+        category_amounts_text("by_category")).alias("prompt_text"))

@@ -295,3 +295,30 @@ SELECT user_id, monthly_income, debt_obligations, current_balance, total_expense
 FROM h4""", "v_profiles", "v_accounts", "v_transactions", extra_ctes=_ACTUAL + ",\n" + _HEALTH_CTES))
 def q_financial_health(spark, sf_dir):
     return SC.health_score(_health_input(Ledger(spark, sf_dir)))
+
+
+@query("profile_summary", "A33,S9", oracle=with_views("""
+SELECT COUNT(*) AS rows, min(monthly_income) AS min_income, max(monthly_income) AS max_income,
+       quantile_cont(monthly_income, 0.5) AS median_income FROM v_profiles""", "v_profiles"))
+def q_profile_summary(spark, sf_dir):
+    """Row count, min, max and (exact, distributed) median income."""
+    from ..operators import stats as ST
+    p = Ledger(spark, sf_dir).profiles()
+    med = ST.exact_quantiles(p, "monthly_income", [0.5])[0]
+    return p.agg(F.count("*").alias("rows"), F.min("monthly_income").alias("min_income"),
+                 F.max("monthly_income").alias("max_income")).withColumn("median_income", F.lit(float(med)))
+
+
+@query("scaled_profile_features", "L3", oracle=with_views(f"""
+SELECT user_id, {", ".join(f"{R(f'(p.{c} - s.m_{c}) / s.s_{c}')} AS z_{c}" for c in ("monthly_income", "savings_target_pct", "debt_obligations"))}
+FROM v_profiles p, (SELECT {", ".join(f"avg({c}) AS m_{c}, stddev_pop({c}) AS s_{c}" for c in ("monthly_income", "savings_target_pct", "debt_obligations"))}
+                    FROM v_profiles) s""", "v_profiles"))
+def q_scaled_profile_features(spark, sf_dir):
+    """L3: standard scaling with the population deviation, statistics from
+    one aggregate joined back as a broadcast one-row table."""
+    cols = ["monthly_income", "savings_target_pct", "debt_obligations"]
+    p = Ledger(spark, sf_dir).profiles()
+    st = p.agg(*[F.avg(c).alias(f"m_{c}") for c in cols], *[F.stddev_pop(c).alias(f"s_{c}") for c in cols])
+    j = p.withColumn("_k", F.lit(1)).join(F.broadcast(st.withColumn("_k", F.lit(1))), "_k")
+    from ..functions.money import round_to
+    return j.select("user_id", *[round_to((F.col(c) - F.col(f"m_{c}")) / F.col(f"s_{c}"), 6).alias(f"z_{c}") for c in cols])
