@@ -16,6 +16,7 @@ from . import series_queries as SEQ
 from . import unify_queries as UQ
 from .oracle_views import R, with_views
 from .registry import query
+from ..session import materialize
 
 
 # ----------------------------------------------- categorisation baseline ---
@@ -128,7 +129,7 @@ def _candidates(f: DataFrame, model: DataFrame) -> DataFrame:
 
 
 def _leader_long(spark, sf_dir):
-    f = S.expanding_folds(S.chronological_split(SEQ.nation_features(spark, sf_dir), ["nation"]), ["nation"])
+    f = materialize(S.expanding_folds(S.chronological_split(SEQ.nation_features(spark, sf_dir), ["nation"]), ["nation"]))
     model = FC.seasonal_model(FC.seasonal_fit(f.filter(F.col("split") == "train"), ["nation"]), ["nation"])
     return _candidates(f, model)
 

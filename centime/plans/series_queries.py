@@ -18,6 +18,7 @@ from ..operators import series as S
 from ..sources.tables import Ledger
 from .oracle_views import M, R, with_views
 from .registry import query
+from ..session import materialize
 
 HORIZON = 30
 LOOKBACK = 60
@@ -190,7 +191,7 @@ _PRED = """pred AS (SELECT s.nation, s.date, s.total_spend AS y,
 
 
 def _seasonal_eval(spark, sf_dir):
-    f = S.chronological_split(nation_features(spark, sf_dir), ["nation"])
+    f = materialize(S.chronological_split(nation_features(spark, sf_dir), ["nation"]))
     model = FC.seasonal_model(FC.seasonal_fit(f.filter(F.col("split") == "train"), ["nation"]), ["nation"])
     pred = FC.seasonal_predict(f.filter(F.col("split") == "test"), model, ["nation"])
     return pred.select("nation", "date", F.col("total_spend").alias("y"), F.col("prediction").alias("p"))
@@ -200,7 +201,7 @@ def _seasonal_eval(spark, sf_dir):
     "SELECT nation, CAST(dow AS INTEGER) AS dow, global_mean, multiplier FROM mdl",
     _feat_cte("nation") + ",\n" + _SPLIT + ",\n" + _fit_cte("(SELECT * FROM sp WHERE split = 'train')", "nation")))
 def q_seasonal_multipliers(spark, sf_dir):
-    f = S.chronological_split(nation_features(spark, sf_dir), ["nation"])
+    f = materialize(S.chronological_split(nation_features(spark, sf_dir), ["nation"]))
     return FC.seasonal_fit(f.filter(F.col("split") == "train"), ["nation"]).withColumn("dow", F.col("dow").cast("int"))
 
 
@@ -230,7 +231,7 @@ def q_forecast_direction(spark, sf_dir):
 # --- recursive 30-day projection per nation, model fit on the whole series ---
 
 def _nation_forecast(spark, sf_dir):
-    s = nation_series(spark, sf_dir)
+    s = materialize(nation_series(spark, sf_dir))
     model = FC.seasonal_model(FC.seasonal_fit(s, ["nation"]), ["nation"])
     return FC.recursive_forecast(s, model, ["nation"], HORIZON, LOOKBACK)
 
@@ -319,7 +320,7 @@ def cash_params(db: Ledger) -> DataFrame:
 
 def _user_cash_flow(spark, sf_dir):
     db = Ledger(spark, sf_dir)
-    s = user_tail_series(db)
+    s = materialize(user_tail_series(db))
     model = FC.seasonal_model(FC.seasonal_fit(s, ["user_id"]), ["user_id"])
     daily = FC.recursive_forecast(s, model, ["user_id"], HORIZON, LOOKBACK)
     return FC.cash_flow(daily, cash_params(db), ["user_id"])

@@ -19,6 +19,7 @@ from ..sources import adapters as AD
 from ..sources.tables import Ledger
 from .oracle_views import with_views
 from .registry import query
+from ..session import materialize
 
 # Fixture rule: household-style native names for the ledger categories.
 HOUSEHOLD_NATIVE = {"food": "Food", "shopping": "Apparel", "transport": "Transportation",
@@ -220,7 +221,7 @@ SELECT CAST(i - 1 AS INTEGER) AS edge_index, e[i] AS edge_value
 FROM (SELECT list_sort(list_distinct(quantile_cont(amount, [0.0, 0.2, 0.4, 0.6, 0.8, 1.0]))) AS e FROM dd),
      range(1, 7) r(i)"""))
 def q_bucket_edges(spark, sf_dir):
-    edges, _ = fit_bucket_edges(deduped_table(spark, sf_dir))
+    edges, _ = fit_bucket_edges(materialize(deduped_table(spark, sf_dir)))
     return spark.createDataFrame([(i, float(e)) for i, e in enumerate(edges)], "edge_index int, edge_value double")
 
 
@@ -231,7 +232,7 @@ SELECT source, record_id, amount,
             ELSE 'very_high' END AS amount_bucket
 FROM dd, (SELECT list_sort(list_distinct(quantile_cont(amount, [0.0, 0.2, 0.4, 0.6, 0.8, 1.0]))) AS e FROM dd)"""))
 def q_amount_buckets(spark, sf_dir):
-    d = deduped_table(spark, sf_dir)
+    d = materialize(deduped_table(spark, sf_dir))
     edges, labels = fit_bucket_edges(d)
     e = F.array(*[F.lit(float(x)) for x in edges])
     lab = F.array(*[F.lit(x) for x in labels])

@@ -61,3 +61,12 @@ def checkpoint_dir(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A path under the shared checkpoint folder for written intermediate tables."""
     return os.path.join(checkpoint_dir(spark), name)
+
+
+def materialize(df):
+    """Cut lineage of an intermediate read more than once (features, series,
+    de-duplicated tables): a reliable ``checkpoint`` written to the shared
+    checkpoint folder, so a lost executor re-reads it instead of recomputing
+    the whole upstream plan (``localCheckpoint`` would lose it)."""
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
