@@ -1,14 +1,20 @@
 """Forecasting and cash-flow operators.
 
 Many series are forecast at once: each series' recent history (at most
-``lookback`` values) becomes one row, and the recursive h-step projection is
-a fold over ``sequence(1, h)`` with the history array as state, so every
-series runs independently on whatever executor holds its row.
+``lookback`` values) becomes one row, and the recursive h-step projection
+runs in ``mapInPandas`` with numpy over all series of an Arrow batch at
+once (a 7-value state per series), so millions of series run in parallel
+on whatever executors hold their rows.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from typing import Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql.types import DateType, DoubleType, IntegerType, StructField, StructType
 
 from ..functions import dims
 from ..functions.dates import day_name, is_payday
@@ -53,8 +59,53 @@ def seasonal_predict(features: DataFrame, model: DataFrame, keys: list[str],
     return j.withColumn("prediction", F.greatest(F.lit(0.0), base * mult)).drop("global_mean", "multipliers")
 
 
-def _fold_sum(arr: Column) -> Column:
-    return F.aggregate(arr, F.lit(0.0), lambda a, x: a + x)
+def _project_batches(keys: list[str], horizon: int):
+    """Vectorised recursion for a batch of series (numpy inside the task).
+
+    The state is the 7 latest values per series, oldest first, NaN-padded on
+    the left for short histories.  Sums are accumulated left to right from
+    0, exactly like the SQL folds, so results are bit-identical."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            n = len(pdf)
+            if n == 0:
+                continue
+            st = np.full((n, 7), np.nan)
+            for r, h in enumerate(pdf["hist"]):
+                h = np.asarray(h, dtype=float)[-7:]
+                if len(h):
+                    st[r, 7 - len(h):] = h
+            gm = pdf["global_mean"].to_numpy(dtype=float)
+            mults = np.vstack([np.asarray(m, dtype=float) for m in pdf["multipliers"]])
+            dow0 = pd.to_datetime(pdf["last_date"]).dt.weekday.to_numpy()
+            rows = np.arange(n)
+            preds, sds = np.empty((horizon, n)), np.empty((horizon, n))
+            for i in range(1, horizon + 1):
+                valid = ~np.isnan(st)
+                k = valid.sum(axis=1)
+                tot = np.zeros(n)
+                for j in range(7):
+                    tot = np.where(valid[:, j], tot + st[:, j], tot)
+                with np.errstate(invalid="ignore", divide="ignore"):
+                    m = tot / k
+                base = np.where(k > 0, m, gm)
+                pred = np.maximum(0.0, base * mults[rows, (dow0 + i) % 7])
+                ssd = np.zeros(n)
+                for j in range(7):
+                    d = st[:, j] - m
+                    ssd = np.where(valid[:, j], ssd + d * d, ssd)
+                with np.errstate(invalid="ignore", divide="ignore"):
+                    sd = np.where(k > 1, np.sqrt(ssd / (k - 1)), 0.0)
+                preds[i - 1], sds[i - 1] = pred, sd
+                st[:, :-1] = st[:, 1:]
+                st[:, -1] = pred
+            out = {c: np.repeat(pdf[c].to_numpy(), horizon) for c in keys}
+            out["last_date"] = np.repeat(pdf["last_date"].to_numpy(), horizon)
+            out["step"] = np.tile(np.arange(1, horizon + 1, dtype=np.int32), n)
+            out["pred"] = preds.T.reshape(-1)
+            out["sd"] = sds.T.reshape(-1)
+            yield pd.DataFrame(out)
+    return run
 
 
 def recursive_forecast(series: DataFrame, model: DataFrame, keys: list[str], horizon: int = 30,
@@ -72,24 +123,13 @@ def recursive_forecast(series: DataFrame, model: DataFrame, keys: list[str], hor
         F.max(date).alias("last_date"))
     g = g.join(model, keys, "inner")
 
-    def step(acc, i):
-        h = acc["h"]
-        n = F.size(h)
-        w7 = F.slice(h, F.greatest(n - 6, F.lit(1)), 7)
-        k = F.size(w7)
-        m = _fold_sum(w7) / k
-        base = F.when(k > 0, m).otherwise(F.col("global_mean"))
-        dow = F.weekday(F.date_add(F.col("last_date"), i))
-        pred = F.greatest(F.lit(0.0), base * F.element_at(F.col("multipliers"), dow + 1))
-        sd = F.when(k > 1, F.sqrt(F.aggregate(w7, F.lit(0.0), lambda a, x: a + (x - m) * (x - m)) / (k - 1))
-                    ).otherwise(F.lit(0.0))
-        out = F.struct(i.alias("step"), pred.alias("pred"), sd.alias("sd"))
-        return F.struct(F.concat(h, F.array(pred)).alias("h"), F.concat(acc["out"], F.array(out)).alias("out"))
-
-    init = F.struct(F.col("hist").alias("h"),
-                    F.array().cast("array<struct<step:int,pred:double,sd:double>>").alias("out"))
-    res = g.select(*keys, "last_date", F.aggregate(F.sequence(F.lit(1), F.lit(horizon)), init, step)["out"].alias("o"))
-    e = res.select(*keys, "last_date", F.explode("o").alias("s"))
+    schema = StructType([f for f in g.schema.fields if f.name in keys] + [
+        StructField("last_date", DateType()), StructField("step", IntegerType()),
+        StructField("pred", DoubleType()), StructField("sd", DoubleType())])
+    res = g.select(*keys, "last_date", "hist", "global_mean", "multipliers").mapInPandas(
+        _project_batches(keys, horizon), schema)
+    res = res.select(*keys, "last_date", F.struct("step", "pred", "sd").alias("s"))
+    e = res
     d = F.date_add(F.col("last_date"), F.col("s.step"))
     pred = F.col("s.pred")
     sd = F.col("s.sd")

@@ -322,7 +322,7 @@ def _user_cash_flow(spark, sf_dir):
     db = Ledger(spark, sf_dir)
     s = materialize(user_tail_series(db))
     model = FC.seasonal_model(FC.seasonal_fit(s, ["user_id"]), ["user_id"])
-    daily = FC.recursive_forecast(s, model, ["user_id"], HORIZON, LOOKBACK)
+    daily = materialize(FC.recursive_forecast(s, model, ["user_id"], HORIZON, LOOKBACK))
     return FC.cash_flow(daily, cash_params(db), ["user_id"])
 
 
