@@ -149,10 +149,12 @@ def account_tx_counts(accounts: DataFrame, tx: DataFrame) -> DataFrame:
 
 
 def account_with_transactions(accounts: DataFrame, tx: DataFrame) -> DataFrame:
-    """One row per account, transactions nested date-descending, plus count.
+    """J2 (nested form): one row per account, transactions nested
+    date-descending, plus count.
 
-    The nested list is built after grouping by account; an account's list is
-    only as large as that account's history.
+    The list holds an account's whole history in one row, so use it for
+    bounded histories (one account's view, or ``tx`` already paged); the
+    flat ``account_history`` is the form that scales to hot accounts.
     """
     t = tx.select("account_id", F.struct(
         F.col("date"), F.col("id"), F.col("type"), as_number(money("amount")).alias("amount"),
