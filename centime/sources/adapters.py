@@ -72,12 +72,15 @@ def adapt_finance(df: DataFrame, category_map=None) -> DataFrame:
         desc.cast("string").alias("description"),
         _amount("Amount").alias("amount"),
         F.col("Category").alias("_native"),
-        _date("Date", ["yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd", "MM/dd/yyyy"]).alias("date"),
+        _date("Date", FINANCE_DATE_PATTERNS).alias("date"),
         F.lit("finance_8000").alias("source"),
         rid.cast("string").alias("record_id"))
     return _map_category(out, F.col("_native"), category_map or dims.FINANCE_CATEGORY_MAP).drop("_native")
 
 
+# Patterns are tried in order and a failed parse is the slow path, so the
+# most common layout of each source comes first (the layouts are exclusive).
+FINANCE_DATE_PATTERNS = ["yyyy-MM-dd", "yyyy-MM-dd HH:mm:ss", "MM/dd/yyyy"]
 HOUSEHOLD_DATE_PATTERNS = ["dd/MM/yyyy HH:mm:ss", "dd/MM/yyyy HH:mm", "dd/MM/yyyy", "d/M/yyyy", "dd-MM-yyyy"]
 
 
