@@ -15,8 +15,6 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.money import col_
-
 N_BUCKETS = 4096
 
 

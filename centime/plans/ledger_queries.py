@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import dims
-from ..functions.money import as_number, money
+from ..functions.money import as_number
 from ..operators import ledger as L
 from ..sources.tables import FIXTURE_NOW, Ledger
 from .oracle_views import M, R, with_views
@@ -57,8 +57,6 @@ def NEXT(base: str, iv: str) -> str:
 
 
 SIGNED = f"CASE WHEN type='EXPENSE' THEN -{M('amount')} ELSE {M('amount')} END"
-TX_COLS = ("id, user_id, account_id, type, amount, description, date, category, is_recurring, "
-           "recurring_interval, last_processed, status")
 
 
 @query("budget_utilisation", "A1,A2,F3,D2,S12", oracle=with_views(f"""
