@@ -103,31 +103,54 @@ def binary_metrics(df: DataFrame, by: list[str], label: str = "label", score: st
                     .alias("class_weight"))
 
 
-def ranking_metrics(df: DataFrame, by: list[str], label: str = "label", score: str = "score") -> DataFrame:
-    """ROC-AUC by mid-ranks and average precision over distinct scores.
-
-    Rows are first reduced to one row per (group, distinct score) with its
-    positive and total counts (partial aggregation), and the ordered window
-    runs over those distinct scores only.
+def ranking_metrics(df: DataFrame, by: list[str], label: str = "label", score: str = "score",
+                    n_buckets: int = 1024) -> DataFrame:
+    """ROC-AUC by mid-ranks and average precision over distinct scores,
+    exact and without an ordered window over a whole group.
+
+    Rows are reduced to one row per (group, distinct score) with total and
+    positive counts; distinct scores are cut into ~``n_buckets`` ranges at
+    approximate quantiles (equal scores share a range); per-range totals are
+    prefix-summed over the small (group, range) table and the ordered window
+    runs only inside one range.
     AUC = (sum of positives' mid-ranks - P(P+1)/2) / (P N);
-    AP  = sum over distinct scores, descending, of (tp_at_score / P) * (cum_tp / cum_n).
+    AP  = sum over distinct scores of (tp at score / P) * (tp at >= score / n at >= score).
     """
     s = df.groupBy(*by, F.col(score).alias("s")).agg(
         F.count("*").alias("c"), F.count_if(F.col(label) == 1).alias("cp"))
-    wa = (Window.partitionBy(*by) if by else Window.partitionBy()).orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
-    wd = (Window.partitionBy(*by) if by else Window.partitionBy()).orderBy(F.col("s").desc()) \
-        .rowsBetween(Window.unboundedPreceding, 0)
-    s = s.withColumn("_below", F.coalesce(F.sum("c").over(wa), F.lit(0)))
-    s = s.withColumn("_mid", F.col("_below") + (F.col("c") + 1) / 2.0)
-    s = s.withColumn("_cum_tp", F.sum("cp").over(wd)).withColumn("_cum_n", F.sum("c").over(wd))
-    g = s.groupBy(*by).agg(
+    cuts = s.agg(F.percentile_approx("s", [i / n_buckets for i in range(1, n_buckets)], 10000)).first()[0]
+    cuts = sorted(set(float(x) for x in (cuts or []) if x is not None))
+    if cuts:
+        from pyspark.ml.feature import Bucketizer
+        s = Bucketizer(splits=[float("-inf")] + cuts + [float("inf")], inputCol="s", outputCol="_bk") \
+            .setHandleInvalid("keep").transform(s)
+    else:
+        s = s.withColumn("_bk", F.lit(0.0))
+    g = by + ["_bk"]
+    per = s.groupBy(*g).agg(F.sum("c").alias("_bc"), F.sum("cp").alias("_bp"))
+    wb = (Window.partitionBy(*by) if by else Window.partitionBy()).orderBy("_bk") \
+        .rowsBetween(Window.unboundedPreceding, -1)
+    per = per.withColumn("_c_before", F.coalesce(F.sum("_bc").over(wb), F.lit(0))) \
+             .withColumn("_p_before", F.coalesce(F.sum("_bp").over(wb), F.lit(0)))
+    tot = s.groupBy(*by).agg(F.sum("c").alias("_n"), F.sum("cp").alias("_P")) if by else \
+        s.agg(F.sum("c").alias("_n"), F.sum("cp").alias("_P"))
+    s = s.join(per, g, "inner")
+    s = s.join(tot, by, "inner") if by else s.withColumn("_k", F.lit(1)).join(
+        F.broadcast(tot.withColumn("_k", F.lit(1))), "_k").drop("_k")
+    wi = Window.partitionBy(*g).orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
+    s = s.withColumn("_below", F.col("_c_before") + F.coalesce(F.sum("c").over(wi), F.lit(0))) \
+         .withColumn("_pos_below", F.col("_p_before") + F.coalesce(F.sum("cp").over(wi), F.lit(0)))
+    s = s.withColumn("_mid", F.col("_below") + (F.col("c") + 1) / 2.0) \
+         .withColumn("_cum_tp", F.col("_P") - F.col("_pos_below")) \
+         .withColumn("_cum_n", F.col("_n") - F.col("_below"))
+    r = s.groupBy(*by).agg(
         F.sum("cp").alias("P"), F.sum(F.col("c") - F.col("cp")).alias("N"),
         F.sum(F.col("cp") * F.col("_mid")).alias("_rank_sum"),
         F.sum(F.col("cp") * (F.col("_cum_tp") / F.col("_cum_n"))).alias("_ap_num"))
     auc = F.when((F.col("P") > 0) & (F.col("N") > 0),
                  (F.col("_rank_sum") - F.col("P") * (F.col("P") + 1) / 2.0) / (F.col("P") * F.col("N")))
     ap = F.when(F.col("P") > 0, F.col("_ap_num") / F.col("P"))
-    return g.select(*by, round_to(auc, 6).alias("roc_auc"), round_to(ap, 6).alias("average_precision"))
+    return r.select(*by, round_to(auc, 6).alias("roc_auc"), round_to(ap, 6).alias("average_precision"))
 
 
 def conservation_error(df: DataFrame, by: list[str], predicted_total: str, income: str) -> DataFrame:

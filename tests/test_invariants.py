@@ -160,3 +160,16 @@ def test_throttle_admits_ten_per_minute(spark):
     df = spark.createDataFrame(rows, "event_id long, user_id long, ts timestamp_ntz")
     got = {r["event_id"]: r["admitted"] for r in J.throttle(df).collect()}
     assert sum(got.values()) == 11 and got[100] and got[9] and not got[10]
+
+
+def test_ranking_metrics_continuous_scores(spark):
+    rng = np.random.default_rng(5)
+    s = np.round(rng.random(5000), 3)  # ~1000 distinct values with ties
+    y = (rng.random(5000) < s * 0.6).astype(int)
+    df = spark.createDataFrame([(float(a), int(b)) for a, b in zip(s, y)], "score double, label int")
+    r = MT.ranking_metrics(df, [], n_buckets=64).first()
+    ranks = pd.Series(s).rank(method="average").to_numpy()
+    P, N = y.sum(), len(y) - y.sum()
+    auc = (ranks[y == 1].sum() - P * (P + 1) / 2) / (P * N)
+    ap = sum((y[s == v].sum() / P) * (y[s >= v].sum() / (s >= v).sum()) for v in np.unique(s))
+    assert abs(r["roc_auc"] - auc) < 1e-6 and abs(r["average_precision"] - ap) < 1e-6
