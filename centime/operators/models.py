@@ -41,16 +41,9 @@ def categoriser_inputs(df: DataFrame) -> DataFrame:
     return d.withColumn("grams", TF.word_ngrams(F.col("_tok"), 1, 3)).drop("_tok")
 
 
-def categoriser_pipeline(model: str = "nb", num_features: int = 1 << 18, label: str = "category",
-                         n_train: int = 1000) -> Pipeline:
-    """TF-IDF of n-grams + one-hot columns + one estimator.
-
-    model: 'nb' (complement naive Bayes), 'lr' (logistic regression,
-    C = 3 -> regParam 1/(3 n), class-weighted), 'rf' (random forest,
-    class-weighted), 'gbt' (one-vs-rest gradient-boosted trees is expensive
-    and not built here; use 'rf').
-    """
-    stages = [
+def categoriser_features(num_features: int = 1 << 18, label: str = "category") -> list:
+    """L1/L2/L4 stages shared by every categoriser candidate."""
+    return [
         StringIndexer(inputCol=label, outputCol="label", stringOrderType="alphabetAsc"),
         HashingTF(inputCol="grams", outputCol="tf", numFeatures=num_features),
         IDF(inputCol="tf", outputCol="tfidf"),
@@ -60,22 +53,37 @@ def categoriser_pipeline(model: str = "nb", num_features: int = 1 << 18, label:
                       handleInvalid="keep"),
         VectorAssembler(inputCols=["tfidf", "dow_v", "bucket_v"], outputCol="features"),
     ]
+
+
+def categoriser_estimator(model: str, n_train: int = 1000):
+    """L6 candidates on the shared features."""
     if model == "nb":
-        est = NaiveBayes(modelType="complement", weightCol="weight")
-    elif model == "lr":
-        est = LogisticRegression(maxIter=30, regParam=1.0 / (3.0 * max(n_train, 1)), weightCol="weight",
-                                 family="multinomial")
-    elif model == "rf":
-        est = RandomForestClassifier(numTrees=20, maxDepth=10, weightCol="weight", seed=42,
-                                     featureSubsetStrategy="sqrt")
-    else:
-        raise ValueError(model)
-    return Pipeline(stages=stages + [est])
-
-
-def predict_category(model: PipelineModel, df: DataFrame, threshold: float = dims.LOW_CONFIDENCE) -> DataFrame:
+        return NaiveBayes(modelType="complement", weightCol="weight")
+    if model == "lr":
+        return LogisticRegression(maxIter=30, regParam=1.0 / (3.0 * max(n_train, 1)), weightCol="weight",
+                                  family="multinomial")
+    if model == "rf":
+        return RandomForestClassifier(numTrees=20, maxDepth=10, weightCol="weight", seed=42,
+                                      featureSubsetStrategy="sqrt")
+    raise ValueError(model)
+
+
+def categoriser_pipeline(model: str = "nb", num_features: int = 1 << 18, label: str = "category",
+                         n_train: int = 1000) -> Pipeline:
+    """TF-IDF of n-grams + one-hot columns + one estimator.
+
+    model: 'nb' (complement naive Bayes), 'lr' (logistic regression,
+    C = 3 -> regParam 1/(3 n), class-weighted), 'rf' (random forest,
+    class-weighted), 'gbt' (one-vs-rest gradient-boosted trees is expensive
+    and not built here; use 'rf').
+    """
+    return Pipeline(stages=categoriser_features(num_features, label) + [categoriser_estimator(model, n_train)])
+
+
+def predict_category(model, df: DataFrame, threshold: float = dims.LOW_CONFIDENCE,
+                     labels: list[str] | None = None) -> DataFrame:
     """Predicted class, its probability and a low-confidence flag."""
-    labels = model.stages[0].labels
+    labels = labels or model.stages[0].labels
     p = model.transform(df)
     p = IndexToString(inputCol="prediction", outputCol="predicted_category", labels=labels).transform(p)
     conf = F.array_max(vector_to_array("probability"))
