@@ -18,6 +18,7 @@ each micro-batch's events are replayed in time order.
 
 from __future__ import annotations
 
+import bisect
 from typing import Iterator
 
 import pandas as pd
@@ -95,3 +96,42 @@ def token_bucket_stream(stream: DataFrame, capacity: int = dims.TOKEN_BUCKET_CAP
     s = stream.select("event_id", "user_id", F.col("ts").cast("timestamp").alias("ts"))
     return s.groupBy("user_id").applyInPandasWithState(fn, OUT_SCHEMA, STATE_SCHEMA, "append",
                                                        GroupStateTimeout.NoTimeout)
+
+
+VELOCITY_OUT = "event_id long, user_id long, ts timestamp, velocity_1h int"
+VELOCITY_STATE = "times array<long>"
+
+
+def velocity_stream(stream: DataFrame, window_s: int = 3600) -> DataFrame:
+    """W7 / P7 stream form: per event, the user's events in [ts - window, ts]
+    (itself and same-time peers included, as in the batch range frame).
+    State per user = sorted timestamps still inside the window of the newest
+    event seen, so it is bounded by the user's rate, not by history; counts
+    are binary searches in that list."""
+    window_us = window_s * 1_000_000
+
+    def fn(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        pdf = pd.concat(list(batches), ignore_index=True)
+        pdf["_t"] = pdf["ts"].astype("datetime64[us]").astype("int64")
+        pdf = pdf.sort_values(["_t", "event_id"])
+        times = sorted(state.get[0]) if state.exists else []
+        ts_list = pdf["_t"].tolist()
+        out = [0] * len(ts_list)
+        i = 0
+        while i < len(ts_list):
+            j = i
+            while j < len(ts_list) and ts_list[j] == ts_list[i]:  # peers share one count
+                bisect.insort(times, ts_list[j])
+                j += 1
+            t = ts_list[i]
+            n = bisect.bisect_right(times, t) - bisect.bisect_left(times, t - window_us)
+            out[i:j] = [n] * (j - i)
+            i = j
+        newest = times[-1]
+        state.update((times[bisect.bisect_left(times, newest - window_us):],))
+        yield pd.DataFrame({"event_id": pdf["event_id"].values, "user_id": pdf["user_id"].values,
+                            "ts": pdf["ts"].values, "velocity_1h": out})
+
+    s = stream.select("event_id", "user_id", F.col("ts").cast("timestamp").alias("ts"))
+    return s.groupBy("user_id").applyInPandasWithState(fn, VELOCITY_OUT, VELOCITY_STATE, "append",
+                                                       GroupStateTimeout.NoTimeout)

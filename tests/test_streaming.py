@@ -133,3 +133,18 @@ def test_throttle_stream_counts(spark):
     q.awaitTermination()
     got = {(r["minute"], r["admitted"], r["deferred"]) for r in spark.sql("SELECT * FROM thr_out").collect()}
     assert (dt.datetime(2024, 1, 1, 10, 0), 10, 20) in got and (dt.datetime(2024, 1, 1, 10, 1), 10, 0) in got
+
+
+def test_velocity_stream_equals_batch(spark):
+    ev = Ledger(spark, SMALL).risk_events().select("event_id", "user_id", "ts")
+    rows = [tuple(r) for r in ev.collect()]
+    src = _write_parts(spark, rows, "event_id long, user_id long, ts timestamp_ntz", 4)
+    stream = spark.readStream.schema("event_id long, user_id long, ts timestamp_ntz") \
+        .option("maxFilesPerTrigger", 1).parquet(src)
+    out = tempfile.mkdtemp(prefix="centime-vel-")
+    q = (RL.velocity_stream(stream).writeStream.format("parquet").option("path", os.path.join(out, "d"))
+         .option("checkpointLocation", os.path.join(out, "c")).trigger(availableNow=True).start())
+    q.awaitTermination()
+    got = {r["event_id"]: r["velocity_1h"] for r in spark.read.parquet(os.path.join(out, "d")).collect()}
+    want = {r["event_id"]: r["velocity_1h"] for r in SC.velocity(ev).collect()}
+    assert got == want
