@@ -68,17 +68,21 @@ def throttle_stream(stream: DataFrame, limit: int = 10, watermark: str = "1 minu
                     F.greatest(F.col("events") - limit, F.lit(0)).alias("deferred"))
 
 
-def score_stream(stream: DataFrame, watermark: str = "1 hour") -> DataFrame:
+def score_stream(stream: DataFrame, watermark: str = "1 hour", derive_velocity: bool = False) -> DataFrame:
     """Rule-based fraud scoring of a transaction stream.
 
     Replays of the same event id inside the watermark are dropped; the
     per-row features and rules are stateless column expressions.  The 1-hour
-    velocity must come with the event (``velocity_1h``) or is taken as 1.
-    Events later than the watermark are dropped by the de-duplication state.
+    velocity is derived with per-user state (``derive_velocity``), taken from
+    the event, or 1.  Events later than the watermark are dropped by the
+    de-duplication state.
     """
     s = (stream.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", watermark)
          .dropDuplicatesWithinWatermark(["event_id"]))
-    if "velocity_1h" not in s.columns:
+    if derive_velocity:
+        from .rate_limit import velocity_stream
+        s = velocity_stream(s)
+    elif "velocity_1h" not in s.columns:
         s = s.withColumn("velocity_1h", F.lit(1))
     f = SC.fraud_features(s, with_velocity=False)
     p = SC.fraud_probability(f)

@@ -24,6 +24,7 @@ from typing import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from ..functions import dims
 
@@ -98,12 +99,12 @@ def token_bucket_stream(stream: DataFrame, capacity: int = dims.TOKEN_BUCKET_CAP
                                                        GroupStateTimeout.NoTimeout)
 
 
-VELOCITY_OUT = "event_id long, user_id long, ts timestamp, velocity_1h int"
 VELOCITY_STATE = "times array<long>"
 
 
 def velocity_stream(stream: DataFrame, window_s: int = 3600) -> DataFrame:
-    """W7 / P7 stream form: per event, the user's events in [ts - window, ts]
+    """W7 / P7 stream form (all input columns kept, ``velocity_1h`` added):
+    per event, the user's events in [ts - window, ts]
     (itself and same-time peers included, as in the batch range frame).
     State per user = sorted timestamps still inside the window of the newest
     event seen, so it is bounded by the user's rate, not by history; counts
@@ -129,9 +130,12 @@ def velocity_stream(stream: DataFrame, window_s: int = 3600) -> DataFrame:
             i = j
         newest = times[-1]
         state.update((times[bisect.bisect_left(times, newest - window_us):],))
-        yield pd.DataFrame({"event_id": pdf["event_id"].values, "user_id": pdf["user_id"].values,
-                            "ts": pdf["ts"].values, "velocity_1h": out})
-
-    s = stream.select("event_id", "user_id", F.col("ts").cast("timestamp").alias("ts"))
-    return s.groupBy("user_id").applyInPandasWithState(fn, VELOCITY_OUT, VELOCITY_STATE, "append",
+        pdf["velocity_1h"] = out
+        yield pdf.drop(columns=["_t"])
+
+    s = stream.withColumn("ts", F.col("ts").cast("timestamp"))
+    if "velocity_1h" in s.columns:
+        s = s.drop("velocity_1h")
+    out_schema = StructType(list(s.schema.fields) + [StructField("velocity_1h", IntegerType())])
+    return s.groupBy("user_id").applyInPandasWithState(fn, out_schema, VELOCITY_STATE, "append",
                                                        GroupStateTimeout.NoTimeout)

@@ -148,3 +148,18 @@ def test_velocity_stream_equals_batch(spark):
     got = {r["event_id"]: r["velocity_1h"] for r in spark.read.parquet(os.path.join(out, "d")).collect()}
     want = {r["event_id"]: r["velocity_1h"] for r in SC.velocity(ev).collect()}
     assert got == want
+
+
+def test_score_stream_with_stateful_velocity(spark):
+    ev = Ledger(spark, SMALL).risk_events()
+    src = tempfile.mkdtemp(prefix="centime-ev2-")
+    ev.orderBy("ts").coalesce(1).write.mode("overwrite").parquet(src)
+    stream = spark.readStream.schema(ev.schema).parquet(src)
+    out = tempfile.mkdtemp(prefix="centime-score2-")
+    q = (SJ.score_stream(stream, derive_velocity=True).writeStream.format("parquet").option("path", os.path.join(out, "d"))
+         .option("checkpointLocation", os.path.join(out, "c")).trigger(availableNow=True).start())
+    q.awaitTermination()
+    got = {r["event_id"]: (r["fraud_probability"], r["risk_level"]) for r in spark.read.parquet(os.path.join(out, "d")).collect()}
+    want = {r["event_id"]: (r["fraud_probability"], r["risk_level"])
+            for r in SC.fraud_risk(ev.withColumn("is_weekend", F.lit(0))).collect()}
+    assert got == want

@@ -20,7 +20,7 @@ EXTRA = {
     "U7": "`operators.stats.hash_folds` (tests; used by budget_regressor_eval)",
     "P4": "`streaming.rate_limit.token_bucket_stream` (tests/test_streaming.py)",
     "P5": "`streaming.jobs.budget_alert_batch_writer` (tests/test_streaming.py)",
-    "P7": "`streaming.jobs.score_stream` (tests/test_streaming.py)",
+    "P7": "`streaming.jobs.score_stream` + `streaming.rate_limit.velocity_stream` (tests/test_streaming.py)",
     "P2": "`streaming.jobs.recurring_batch_writer` (tests/test_streaming.py)",
     "P3": "`streaming.jobs.throttle_stream` (tests/test_streaming.py)",
 }
