@@ -558,3 +558,50 @@ def q_report_prompt_text(spark, sf_dir):
         F.lit("Total Income: $"), inc.cast("string"), F.lit(", Total Expenses: $"), exp.cast("string"),
         F.lit(", Net Income: $"), (inc - exp).cast("string"), F.lit(", Expense Categories: "),
         category_amounts_text("by_category")).alias("prompt_text"))
+
+
+@query("amend_transactions_balances_strict", "X2", oracle=with_views(f"""
+SELECT a.account_id, a.user_id, a.type, a.is_default, CAST({M('a.balance')} + COALESCE(d.delta, 0) AS DOUBLE) AS balance
+FROM v_accounts a LEFT JOIN (SELECT account_id, SUM({SIGNED} - old_signed) AS delta FROM upd GROUP BY account_id) d
+  ON d.account_id = a.account_id""", "v_accounts", "v_transactions", extra_ctes=_AMEND_CTE))
+def q_amend_transactions_balances_strict(spark, sf_dir):
+    """X2 with the reference's behaviour: the whole difference goes to the
+    new account (a moved row leaves its old account unreversed)."""
+    db = Ledger(spark, sf_dir)
+    tx = db.transactions()
+    _, acc = X.amend_transactions(tx, db.accounts(), _amend_requests(tx), strict=True)
+    return acc
+
+
+@query("account_chart_1m_by_date", "A5,F6", oracle=with_views(f"""
+SELECT account_id, CAST(date AS DATE) AS day,
+       CAST(COALESCE(SUM(CASE WHEN type = 'INCOME' THEN {M('amount')} END), 0) AS DOUBLE) AS income,
+       CAST(COALESCE(SUM(CASE WHEN type = 'EXPENSE' THEN {M('amount')} END), 0) AS DOUBLE) AS expense
+FROM v_transactions WHERE date >= TIMESTAMP '1998-02-13 00:00:00' AND date < TIMESTAMP '1998-03-16 00:00:00'
+GROUP BY account_id, CAST(date AS DATE)""", "v_transactions"))
+def q_account_chart_by_date(spark, sf_dir):
+    """A5 keyed by the calendar date instead of the 'MMM dd' label."""
+    return L.daily_chart(Ledger(spark, sf_dir).transactions("1998-02-13", "1998-03-16"), NOW, "1M", by_date=True)
+
+
+@query("monthly_report_whole_month", "G15,F4", oracle=with_views(f"""
+SELECT u.user_id, u.email, u.name, 'February' AS month,
+       CAST(COALESCE(inc, 0) AS DOUBLE) AS total_income,
+       CAST(COALESCE(exp, 0) AS DOUBLE) AS total_expenses,
+       CAST(COALESCE(inc, 0) - COALESCE(exp, 0) AS DOUBLE) AS net_income,
+       COALESCE(n, 0) AS transaction_count,
+       {_CAT_OUT}
+FROM v_users u LEFT JOIN st USING (user_id)""", "v_users", "v_transactions", extra_ctes=f"""st AS (
+  SELECT user_id,
+         SUM(CASE WHEN type='INCOME' THEN {M('amount')} END) AS inc,
+         SUM(CASE WHEN type='EXPENSE' THEN {M('amount')} END) AS exp,
+         COUNT(*) AS n,
+         {_CAT_SUMS}
+  FROM v_transactions
+  WHERE date >= TIMESTAMP '1998-02-01 00:00:00' AND date < TIMESTAMP '1998-03-01 00:00:00'
+  GROUP BY user_id)"""))
+def q_monthly_report_whole_month(spark, sf_dir):
+    """G15 with ``strict=False``: the whole calendar month, including the
+    hours of its last day that the reference's bound leaves out."""
+    db = Ledger(spark, sf_dir)
+    return L.monthly_report(db.users(), db.transactions("1998-02-01", "1998-03-01"), REPORT_MONTH, strict=False)
