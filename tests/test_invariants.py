@@ -173,3 +173,28 @@ def test_ranking_metrics_continuous_scores(spark):
     auc = (ranks[y == 1].sum() - P * (P + 1) / 2) / (P * N)
     ap = sum((y[s == v].sum() / P) * (y[s >= v].sum() / (s >= v).sum()) for v in np.unique(s))
     assert abs(r["roc_auc"] - auc) < 1e-6 and abs(r["average_precision"] - ap) < 1e-6
+
+
+def test_quirk_flags_change_results_where_expected(spark):
+    db = Ledger(spark, SMALL)
+    from centime.operators import ledger as L
+    tx = db.transactions()
+    strict = L.monthly_stats(tx, "1998-02-01 00:00:00", strict=True).agg(F.sum("transaction_count")).first()[0] or 0
+    whole = L.monthly_stats(tx, "1998-02-01 00:00:00", strict=False).agg(F.sum("transaction_count")).first()[0] or 0
+    late = tx.filter((F.col("date") > F.expr("TIMESTAMP_NTZ '1998-02-28 00:00:00'"))
+                     & (F.col("date") < F.expr("TIMESTAMP_NTZ '1998-03-01 00:00:00'"))).count()
+    assert whole - strict == late
+    # an account move: the default keeps the ledger-wide balance change equal to the
+    # sum of signed differences; strict puts everything on the new account
+    pend = tx.filter("status = 'PENDING'").limit(20)
+    moved = pend.withColumn("account_id", F.col("user_id") * 2 + (1 - F.col("account_id") % 2))
+    acc = db.accounts()
+    _, a_def = X.amend_transactions(tx, acc, moved)
+    _, a_str = X.amend_transactions(tx, acc, moved, strict=True)
+    base = {r["account_id"]: r["balance"] for r in acc.collect()}
+    d_def = {r["account_id"]: r["balance"] - base[r["account_id"]] for r in a_def.collect()}
+    d_str = {r["account_id"]: r["balance"] - base[r["account_id"]] for r in a_str.collect()}
+    assert abs(sum(d_def.values())) < 1e-6          # amounts unchanged: moves net to zero
+    old_ids = {r["account_id"] for r in pend.select("account_id").collect()}
+    assert all(abs(d_str[a]) < 1e-9 for a in old_ids)  # strict leaves old accounts untouched
+    assert any(abs(d_def[a]) > 0 for a in old_ids)
