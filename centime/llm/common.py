@@ -82,10 +82,10 @@ def u64_view(data: bytes | np.ndarray) -> np.ndarray:
     return np.ndarray((len(raw) - 7,), "<u8", raw, strides=(1,))
 
 
-def words(text: bytes) -> tuple[bytes, np.ndarray, np.ndarray]:
-    """White-space words of lowered bytes: (the words with one space after
-    each, start and end of every word in it)."""
-    a = np.frombuffer(text.translate(LOWER_SPACE_TABLE) + b" ", np.uint8)
+def words(text: bytes, table: bytes = LOWER_SPACE_TABLE) -> tuple[bytes, np.ndarray, np.ndarray]:
+    """Words of the bytes after ``table``, which makes a space of whatever
+    parts words: (the words with one space after each, start and end of each)."""
+    a = np.frombuffer(text.translate(table) + b" ", np.uint8)
     keep = a != 32
     keep[1:] |= keep[:-1].copy()
     flat = a[keep]
@@ -97,11 +97,11 @@ def words(text: bytes) -> tuple[bytes, np.ndarray, np.ndarray]:
     return flat.tobytes(), starts, ends
 
 
-def doc_words(texts: list[bytes]) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray]:
+def doc_words(texts: list[bytes], table: bytes = LOWER_SPACE_TABLE) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray]:
     """``words`` of several documents and the first word of each (n + 1 values)."""
     joined = b"\n".join(texts)
-    flat, starts, ends = words(joined)
-    a = np.frombuffer(joined.translate(LOWER_SPACE_TABLE), np.uint8) != 32
+    flat, starts, ends = words(joined, table)
+    a = np.frombuffer(joined.translate(table), np.uint8) != 32
     first = a.copy()
     first[1:] &= ~a[:-1]
     begin = np.flatnonzero(first)

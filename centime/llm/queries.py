@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, simhash
+from . import decontaminate, exact_dedup, simhash
 from .common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -37,3 +37,11 @@ from d window w as (partition by text_sha256)"""
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = simhash.components_of(documents(spark, sf_dir), shingle=3, max_bits=2)
     return c.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@register
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = decontaminate.annotate(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), window=13)
+    return d.select(F.col("id").alias("doc_id"), "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+                    F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+                    decontaminate.contaminated().alias("contaminated"))
