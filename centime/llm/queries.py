@@ -5,11 +5,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, simhash
-from .common import documents
+from . import decontaminate, exact_dedup, language_id, sentencepiece_codec, simhash
+from .common import crc_bucket, documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -45,3 +46,24 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select(F.col("id").alias("doc_id"), "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
                     F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
                     decontaminate.contaminated().alias("contaminated"))
+
+
+@register
+def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = sentencepiece_codec.encode(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
+    return e.select(F.col("id").alias("doc_id"), F.size("ids").cast("long").alias("n_tokens"),
+                    F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+                    F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def seen(doc_id, m: int, held_out: int):
+    """Documents that a model may learn from."""
+    return crc_bucket(doc_id, m) != held_out
+
+
+@register
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    net = language_id.fit(docs.where(seen(F.col("doc_id"), 4, 2)))
+    p = language_id.predict(docs, net, F.col("doc_id"))
+    return p.select(F.col("id").alias("doc_id"), (~seen(F.col("id"), 4, 2)).alias("held_out"), "lang_pred", "score")
