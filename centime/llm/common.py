@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -134,3 +135,53 @@ def span_hashes(data: bytes, starts: np.ndarray, lens: np.ndarray) -> np.ndarray
         v[short] &= (np.uint64(1) << (rest[short].astype(np.uint64) * np.uint64(8))) - np.uint64(1)
         h[at] = mix64(h[at] * np.uint64(3) ^ v)
         step += 1
+
+
+class UnitMemo:
+    """Encodings of distinct text units, found by 64-bit hashes: a unit that
+    occurs again costs a lookup in sorted arrays.  ``encode`` turns a list of
+    units into a list of id sequences.  Beyond ``limit`` units the memo begins
+    anew, which costs time and changes nothing."""
+
+    def __init__(self, encode, limit: int):
+        self.encode, self.limit = encode, limit
+        self._forget()
+
+    def _forget(self) -> None:
+        self.keys, self.slots = np.empty(0, np.uint64), np.empty(0, np.int64)
+        self.flat, self.first, self.n = np.empty(1 << 16, np.int32), np.zeros(1 << 16, np.int64), 0
+
+    def _learn(self, keys: np.ndarray, units: list[bytes]) -> None:
+        ids = self.encode(units)
+        begin, n = self.first[self.n], self.n
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+        ends = begin + np.cumsum(sizes)
+        while ends[-1] > len(self.flat):
+            self.flat = np.concatenate([self.flat, self.flat])
+        while n + len(ids) + 1 > len(self.first):
+            self.first = np.concatenate([self.first, self.first])
+        self.flat[begin:ends[-1]] = np.fromiter(chain.from_iterable(ids), np.int32, int(sizes.sum()))
+        self.first[n + 1:n + 1 + len(ids)] = ends
+        self.n = n + len(ids)
+        keys = np.concatenate([self.keys, keys])
+        order = np.argsort(keys, kind="stable")  # two sorted runs: a merge
+        self.keys, self.slots = keys[order], np.concatenate([self.slots, np.arange(n, self.n)])[order]
+
+    def ids(self, data: bytes, starts: np.ndarray, lens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all units in a run, number of ids of each unit)."""
+        if not len(starts):
+            return np.empty(0, np.int32), np.empty(0, np.int64)
+        if self.n > self.limit:
+            self._forget()
+        keys, where, inverse = np.unique(span_hashes(data, starts, lens), return_index=True, return_inverse=True)
+        at = np.searchsorted(self.keys, keys)
+        new = at == len(self.keys)
+        new[~new] = self.keys[at[~new]] != keys[~new]
+        if new.any():
+            a, b = starts[where[new]], starts[where[new]] + lens[where[new]]
+            self._learn(keys[new], [data[i:j] for i, j in zip(a.tolist(), b.tolist())])
+            at = np.searchsorted(self.keys, keys)
+        slot = self.slots[at][inverse]
+        n = self.first[slot + 1] - self.first[slot]
+        ends = np.cumsum(n)
+        return self.flat[np.repeat(self.first[slot] - (ends - n), n) + np.arange(ends[-1])], n

@@ -9,8 +9,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, language_id, sentencepiece_codec, simhash
-from .common import crc_bucket, documents
+from . import decontaminate, exact_dedup, language_id, sentencepiece_codec, simhash, token_ids
+from .common import crc_bucket, documents, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -67,3 +67,12 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     net = language_id.fit(docs.where(seen(F.col("doc_id"), 4, 2)))
     p = language_id.predict(docs, net, F.col("doc_id"))
     return p.select(F.col("id").alias("doc_id"), (~seen(F.col("id"), 4, 2)).alias("held_out"), "lang_pred", "score")
+
+
+@register
+def op5_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = token_ids.shard_path(spark)
+    token_ids.write(documents(spark, sf_dir), path, public_tokenizers.path("byte_bpe_50k.json"), end_id=0)
+    rows = token_ids.read(spark, path).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+    rows = token_ids.with_start(written(rows, "token-rows"))
+    return rows.select(F.col("id").alias("doc_id"), "start", "n_tokens", "ids_crc32")
