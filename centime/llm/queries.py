@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, language_id, sentencepiece_codec, simhash, token_ids
+from . import decontaminate, exact_dedup, language_id, sentencepiece_codec, simhash, suffix_dedup, token_ids
 from .common import crc_bucket, documents, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -76,3 +76,9 @@ def op5_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = token_ids.read(spark, path).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
     rows = token_ids.with_start(written(rows, "token-rows"))
     return rows.select(F.col("id").alias("doc_id"), "start", "n_tokens", "ids_crc32")
+
+
+@register
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = suffix_dedup.dedup(documents(spark, sf_dir), length=50)
+    return d.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
