@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, language_id, sentencepiece_codec, simhash, suffix_dedup, token_ids
+from . import decontaminate, exact_dedup, language_id, lm_scoring, sentencepiece_codec, simhash, suffix_dedup, token_ids
 from .common import crc_bucket, documents, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -82,3 +82,10 @@ def op5_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = suffix_dedup.dedup(documents(spark, sf_dir), length=50)
     return d.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@register
+def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = lm_scoring.score(documents(spark, sf_dir), seen(F.col("doc_id"), 10, 0))
+    return s.select(F.col("id").alias("doc_id"), (~seen(F.col("id"), 10, 0)).alias("held_out"), "n_tokens", "n_known",
+                    "train_tokens", "base_score", "score")

@@ -38,18 +38,16 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, rows_for, span_hashes, u64_view, written
+from .blocks import BLOCK_BYTES, NO_ID, block_texts, make_blocks, squeeze, stretch
+from .common import mix64, span_hashes, u64_view, written
 
 LENGTH = 50
 TRIGGER = 24  # bytes of the rolling hash
-BLOCK_BYTES = 4 << 20
 BUCKET_BYTES = 256 << 20  # text for each bucket, about 1 / 14 of it triggers
 PIECE = 1 << 17  # positions hashed at once, to stay in cache
-NO_ID = np.iinfo(np.int64).max
 
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 
@@ -163,42 +161,12 @@ def string_ranks(data: bytes, length: int) -> np.ndarray:
     return rank
 
 
-def squeeze(*arrays: np.ndarray) -> list[bytes]:
-    return [pa.compress(np.ascontiguousarray(a).tobytes(), codec="zstd", asbytes=True) for a in arrays]
-
-
-def stretch(raw: bytes, kind, n: int) -> np.ndarray:
-    size = n * np.dtype(kind).itemsize
-    return np.frombuffer(pa.decompress(raw, size, codec="zstd", asbytes=True) if size else b"", kind)
-
-
-def make_blocks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(block, docs, bytes, ids, sizes, text): the corpus in compressed blocks."""
-    src = docs.select(F.col(id_col).cast("long").alias("id"),
-                      F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
-
-    def run(batches):
-        part = TaskContext.get().partitionId() << 32
-        for number, (ids, texts) in enumerate(rows_for(batches, BLOCK_BYTES)):
-            size = np.fromiter(map(len, texts), np.int64, len(texts))
-            key = ids.fill_null(NO_ID).to_numpy()
-            packed = squeeze(key, size, np.frombuffer(b"".join(texts), np.uint8))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([part | number]), pa.array([len(texts)], pa.int64()), pa.array([int(size.sum())], pa.int64()),
-                 *[pa.array([x], pa.binary()) for x in packed]], ["block", "docs", "bytes", "ids", "sizes", "text"])
-
-    out = src.mapInArrow(run, "block long, docs long, bytes long, ids binary, sizes binary, text binary")
-    return written(out, "suffix-blocks", "none")
-
-
 class Block:
     """A block's documents, its phrases and their place in the buckets."""
 
     def __init__(self, row: dict, buckets: int, length: int, trigger: int):
-        n, total = row["docs"], row["bytes"]
         self.id, self.buckets, self.length = row["block"], buckets, length
-        self.ids, self.size = stretch(row["ids"], np.int64, n), stretch(row["sizes"], np.int64, n)
-        self.data = stretch(row["text"], np.uint8, total).tobytes()
+        self.ids, self.size, self.data = block_texts(row)
         self.begin = np.cumsum(self.size) - self.size
         self.lo, self.hi, _, self.hash = parse(self.data, self.size, length, trigger)
         # distinct trigger hashes in the order of bucket and hash
@@ -406,13 +374,14 @@ def keep_rest(b: Block, answers: list[dict]) -> tuple[np.ndarray, np.ndarray]:
     return np.cumsum(edge[:-1]) > 0
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH,
+          block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """One row per row of ``docs``: id, n_bytes, n_removed, n_spans (runs of
     removed bytes), kept (the remaining bytes)."""
     if not 16 <= length <= 250:
         raise ValueError("length is 16 to 250")
     trigger = min(TRIGGER, length // 2)
-    blocks = make_blocks(docs, id_col, text_col)
+    blocks = make_blocks(docs, id_col, text_col, block_bytes=block_bytes)
     total = blocks.agg(F.sum("bytes")).first()[0] or 0
     buckets = max(16, -(-total // BUCKET_BYTES))
     masks = written(trigger_masks(send_triggers(blocks, buckets, length, trigger)), "suffix-masks")
