@@ -13,7 +13,8 @@ and one end mark.  Its symbols are bytes.
   Thresholds are shares, so they mean the same at every size, and at most
   1 / ``P_MIN`` contexts of a length can pass: the tree that is broadcast is
   bounded whatever the corpus.  Distributions are smoothed towards the shorter
-  context's with weight ``PRIOR``, down to the single-byte distribution.
+  context's, with ``PRIOR`` times the number of different next bytes as its
+  weight, down to the single-byte distribution.
 * **Scoring.** The tree becomes an automaton whose state is the longest suffix
   in it, so a byte costs two table look-ups.  A state depends on the last
   ``DEPTH`` bytes only: texts are cut into segments that warm up over those
@@ -45,7 +46,7 @@ from .common import doc_words, span_hashes, written
 DEPTH = 5
 P_MIN = 2e-6
 DIVERGENCE = 0.005
-PRIOR = 4.0
+PRIOR = 1.0
 END = 10  # a byte that no word holds; also stands before a text
 SEGMENT = 512
 COMBINE = 3_000_000  # distinct strings that a task combines before it sends them
@@ -234,7 +235,8 @@ def grow(tables: list[tuple[np.ndarray, np.ndarray]], least: int) -> Automaton:
         some = total[:, 0] >= least
         ctx, count, total, up = ctx[some], count[some], total[some], up[some]
         kept.append(ctx)
-        dists.append((count + PRIOR * dists[d - 1][up]) / (total + PRIOR))
+        weight = PRIOR * (count > 0).sum(axis=1, keepdims=True)
+        dists.append((count + weight * dists[d - 1][up]) / (total + weight))
     stays: list[np.ndarray] = [np.empty(0, bool)] * (DEPTH + 1)
     for d in range(DEPTH, 0, -1):
         up = _find(kept[d - 1], kept[d] >> np.uint64(8))
