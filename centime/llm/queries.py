@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, language_id, lm_scoring, sentencepiece_codec, simhash, suffix_dedup, token_ids
+from . import decontaminate, exact_dedup, language_id, lm_scoring, sentencepiece_codec, simhash, suffix_dedup, token_ids, toxicity
 from .common import crc_bucket, documents, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -89,3 +89,12 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = lm_scoring.score(documents(spark, sf_dir), seen(F.col("doc_id"), 10, 0))
     return s.select(F.col("id").alias("doc_id"), (~seen(F.col("id"), 10, 0)).alias("held_out"), "n_tokens", "n_known",
                     "train_tokens", "base_score", "score")
+
+
+@register
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(seen(F.col("doc_id"), 5, 0))
+    s = toxicity.score(docs, toxicity.fit(docs, labels))
+    return s.select(F.col("id").alias("doc_id"), (~seen(F.col("id"), 5, 0)).alias("held_out"), "score",
+                    (F.col("score") >= 0.5).cast("int").alias("predicted"))
