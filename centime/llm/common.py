@@ -49,17 +49,15 @@ def text_bytes(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
                      F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
 
 
-def byte_chunks(texts: list[bytes], limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int]]:
-    """Cut a list of texts into runs [a, b) of at most ``limit`` bytes; a longer
-    text stands alone, whole."""
-    a = size = 0
-    for i, t in enumerate(texts):
-        if size and size + len(t) > limit:
-            yield a, i
-            a, size = i, 0
-        size += len(t) + 1
-    if a < len(texts):
-        yield a, len(texts)
+def hash_sample(df: DataFrame, h: Column, n: int, name: str) -> DataFrame:
+    """The ``n`` rows with the smallest hash ``h``, whatever the partitioning.  A
+    share that holds about 2 n rows is cut out first, in the tasks, so that
+    what tasks send for the final choice does not grow with their number."""
+    rows, top = df.count(), 1 << 30
+    place = F.pmod(h, F.lit(top))
+    if rows > 2 * n:
+        df = df.where(place < int(top * 2 * n / rows))
+    return written(df.withColumn("_place", place), name).orderBy("_place", *df.columns).limit(n).drop("_place")
 
 
 def rows_for(batches, limit: int = CHUNK_BYTES):

@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from .common import rows_for
+from .common import hash_sample, rows_for
 
 SEGMENT = 128
 HIDDEN = 8
@@ -183,8 +183,8 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang") ->
     windows = F.array(*[F.expr(f"substring(t, cast((octet_length(t) * {k} div {WINDOWS}) as int) + 1, {SEGMENT})")
                         for k in range(WINDOWS)])
     rows = (labelled.where(F.col(lang_col).isNotNull()).select(text.alias("t"), F.col(lang_col).cast("string").alias("lang"))
-            .where(size > 0).select("lang", windows.alias("w"), F.xxhash64("t").alias("h"))
-            .orderBy("h", "lang").limit(TRAIN_DOCS).collect())
+            .where(size > 0).select("lang", windows.alias("w"), F.xxhash64("t").alias("h")))
+    rows = hash_sample(rows, F.col("h"), TRAIN_DOCS, "language-sample").collect()
     segments, labels = [], []
     for r in rows:
         for s in dict.fromkeys(bytes(x) for x in r.w):

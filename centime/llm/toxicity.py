@@ -32,13 +32,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER_TABLE, UnitMemo, mix64, rows_for, span_hashes, text_bytes, written
+from .common import LOWER_TABLE, UnitMemo, hash_sample, mix64, rows_for, span_hashes, text_bytes, written
 
 SAMPLE = 20_000
 FEATURES = 4000
 BEGINNINGS = (4, 5, 6)  # lengths in bytes of the word beginnings that may count
 LEAST = 3  # toxic documents that a feature must mark
-RIDGE = 0.5
+RIDGE = 0.02
 MEMO = 1_500_000
 SPACED = 4  # single characters in a row that make a spaced word
 
@@ -47,6 +47,7 @@ LOOKALIKES = {  # what a character may stand for in a word
     "@": "a", "$": "s", "!": "i", "|": "li", "+": "t", "*": "aeiou"}
 OPTIONS = 1 + max(map(len, LOOKALIKES.values()))
 LOOK_COST, REPEAT_COST = np.log(0.3), np.log(0.05)
+LEXICON = 0.8  # weight of the marked words in the character model
 LETTERS = 64  # classes of the character model: edge, a-z, others by code point
 SIGN = re.compile(r"[0-9@$!|+*]|(.)\1", re.S)
 LETTER = re.compile(r"[^\W\d_]")
@@ -279,8 +280,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     """Model learnt from ``labels`` (id, 0 or 1) of ``docs``."""
     some = (labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
             .select(F.col(id_col).alias("label_id"), F.col(label_col).cast("int").alias("toxic"))
-            .dropDuplicates(["label_id"]).orderBy(F.xxhash64("label_id"), "label_id").limit(SAMPLE))
-    some = written(some, "toxic-labels")
+            .dropDuplicates(["label_id"]))
+    some = written(hash_sample(some, F.xxhash64("label_id"), SAMPLE, "toxic-hashed"), "toxic-labels")
     sample = written(docs.join(F.broadcast(some), F.col(id_col) == F.col("label_id"))  # at most SAMPLE rows
                      .select("toxic", F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text")), "toxic-sample")
     pairs = pair_counts(docs, text_col)
@@ -296,7 +297,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         t = label_counts(sample, cand).toArrow()
         h = t["h"].to_numpy().view(np.uint64)
         g = _test(t["pos"].to_numpy(), t["neg"].to_numpy(), n_pos, n_neg)
-        good = np.flatnonzero(g > 2 * np.log(len(cand)) + 2)
+        good = np.flatnonzero(g > 2 * np.log(len(cand)) - 4)
         good = good[np.argsort(-g[good], kind="stable")][:FEATURES]
         model.features = np.sort(h[good])
     features = model.features
@@ -315,7 +316,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     toxic = sample.where("toxic = 1").select(F.lit(0).alias("id"), "text")
     lexicon = {bytes(r.word): r.n for r in toxic.mapInArrow(marked, "word binary").groupBy("word")
                .agg(F.count("*").alias("n")).collect()}
-    model.pairs = np.log(0.5 * _log(pairs) + 0.5 * _log(_token_pairs(lexicon)))
+    model.pairs = np.log((1 - LEXICON) * _log(pairs) + LEXICON * _log(_token_pairs(lexicon)))
 
     def rows(batches):
         memo = UnitMemo(model.marks, MEMO)
