@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, language_id, lm_scoring, sentencepiece_codec, simhash, suffix_dedup, token_ids, toxicity
+from . import decontaminate, exact_dedup, language_id, lm_scoring, sentencepiece_codec, simhash, suffix_dedup, token_counts, token_ids, toxicity
 from .common import crc_bucket, documents, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -98,3 +98,9 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = toxicity.score(docs, toxicity.fit(docs, labels))
     return s.select(F.col("id").alias("doc_id"), (~seen(F.col("id"), 5, 0)).alias("held_out"), "score",
                     (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@register
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = token_counts.count(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
+    return c.select(F.col("id").alias("doc_id"), "n_words", "n_tokens", F.col("most").alias("max_tokens_of_word"))
