@@ -76,7 +76,10 @@ def rows_for(batches, limit: int = CHUNK_BYTES):
 
 
 def u64_view(data: bytes | np.ndarray) -> np.ndarray:
-    """The little-endian 64-bit word at every byte offset (zeros after the end)."""
+    """The little-endian 64-bit word at every byte offset (zeros after the end);
+    what is such a view already stays as it is."""
+    if isinstance(data, np.ndarray) and data.dtype == np.uint64:
+        return data
     raw = bytes(data) + b"\0" * 8
     return np.ndarray((len(raw) - 7,), "<u8", raw, strides=(1,))
 

@@ -10,8 +10,8 @@ suffixes, and most of them need no sorting:
    one inside a ``length``-byte string is its *trigger*.  Neighbouring strings
    with one trigger form a phrase.  Triggers depend on content alone, so equal
    strings have equal triggers at equal offsets, whatever surrounds them.
-3. **Repeated triggers.** Each block sends five bytes of every distinct trigger
-   hash to one of ``R`` buckets; the answer is a bit mask of those that occur
+3. **Repeated triggers.** Each block sends 32 bits of every distinct trigger hash,
+   sorted and delta coded, to one of the buckets that other bits name; the answer is a bit mask of those that occur
    again.  Only phrases of repeated triggers can hold a repeated string; in
    text without repetition nothing goes further.
 4. **Dictionary.** Each block sends its distinct phrases of repeated triggers
@@ -46,7 +46,7 @@ from .common import mix64, span_hashes, u64_view, written
 
 LENGTH = 50
 TRIGGER = 24  # bytes of the rolling hash
-BUCKET_BYTES = 256 << 20  # text for each bucket, about 1 / 14 of it triggers
+BUCKET_BYTES = 32 << 20  # text for each bucket, about 1 / 14 of it triggers
 PIECE = 1 << 17  # positions hashed at once, to stay in cache
 
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
@@ -169,15 +169,11 @@ class Block:
         self.ids, self.size, self.data = block_texts(row)
         self.begin = np.cumsum(self.size) - self.size
         self.lo, self.hi, _, self.hash = parse(self.data, self.size, length, trigger)
-        # distinct trigger hashes in the order of bucket and hash
-        order = np.lexsort((self.hash, self.hash % np.uint64(buckets)))
-        h = self.hash[order]
-        new = np.concatenate([[True], h[1:] != h[:-1]]) if len(h) else np.empty(0, bool)
-        self.keys = h[new]
-        self.of = np.empty(len(h), np.int64)
-        self.of[order] = np.cumsum(new) - 1
-        self.again = np.bincount(self.of, minlength=len(self.keys)) > 1
-        self.cut = np.searchsorted(self.keys % np.uint64(buckets), np.arange(buckets + 1))
+        # distinct triggers in the order of bucket and 32-bit key
+        self.key = ((self.hash & np.uint64(0xFFFFFFFF)) % np.uint64(buckets) << np.uint64(32)) | (self.hash >> np.uint64(32))
+        self.keys, self.of, n = np.unique(self.key, return_inverse=True, return_counts=True)
+        self.again = n > 1
+        self.cut = np.searchsorted(self.keys >> np.uint64(32), np.arange(buckets + 1, dtype=np.uint64))
 
     def doc_of(self, pos: np.ndarray) -> np.ndarray:
         full = np.flatnonzero(self.size)  # empty documents hold no position
@@ -190,34 +186,40 @@ class Block:
             a, e = self.cut[b], self.cut[b + 1]
             hot[a:e] = np.unpackbits(np.frombuffer(mask, np.uint8), count=e - a).astype(bool)
         at = np.flatnonzero(hot[self.of]) if len(self.of) else self.of
-        self.lo, self.hi, self.hash = self.lo[at], self.hi[at], self.hash[at]
+        self.lo, self.hi, key = self.lo[at], self.hi[at], self.key[at]
         self.doc = self.doc_of(self.lo) if len(at) else at
-        one, self.group = same_spans(self.data, self.lo, self.hi - self.lo + self.length)
+        one, self.group = same_spans(u64_view(self.data), self.lo, self.hi - self.lo + self.length)
         self.first = np.full(len(one), NO_ID)
         np.minimum.at(self.first, self.group, self.ids[self.doc])
-        # phrases in the order of their buckets
-        bucket = (self.hash[one] % np.uint64(self.buckets)).astype(np.int64)
-        order = np.argsort(bucket, kind="stable")
+        order = np.argsort(key[one], kind="stable")  # phrases in the order of bucket and trigger
         place = np.empty(len(one), np.int64)
         place[order] = np.arange(len(one))
-        self.one, self.group, self.first = one[order], place[self.group], self.first[order]
-        self.phrase_cut = np.searchsorted(bucket[order], np.arange(self.buckets + 1))
+        self.one, self.group, self.first, self.phrase_key = one[order], place[self.group], self.first[order], key[one][order]
+        self.phrase_cut = np.searchsorted(self.phrase_key >> np.uint64(32), np.arange(self.buckets + 1, dtype=np.uint64))
+
+
+def rises(keys: np.ndarray) -> np.ndarray:
+    """Differences of sorted 32-bit keys, the first key before them."""
+    low = (keys & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    return np.diff(low, prepend=0).astype("<u4")
+
+
+def from_rises(raw: np.ndarray) -> np.ndarray:
+    return np.cumsum(raw.astype(np.uint64))
 
 
 def send_triggers(blocks: DataFrame, buckets: int, length: int, trigger: int) -> DataFrame:
-    """(bucket, block, n, again, keys): five bytes of each distinct hash."""
+    """(bucket, block, n, again, keys): the distinct triggers of each block."""
     def run(batches):
         for batch in batches:
             for row in batch.to_pylist():
                 b = Block(row, buckets, length, trigger)
-                key = b.keys // np.uint64(buckets)
-                low, high = (key & np.uint64(0xFFFFFFFF)).astype("<u4"), ((key >> np.uint64(32)) & np.uint64(0xFF)).astype(np.uint8)
                 cols: list[list] = [[], [], [], [], []]
                 for k in range(buckets):
                     s = slice(b.cut[k], b.cut[k + 1])
                     if b.cut[k + 1] > b.cut[k]:
                         for c, x in zip(cols, (k, b.id, int(b.cut[k + 1] - b.cut[k]), np.packbits(b.again[s]).tobytes(),
-                                               low[s].tobytes() + high[s].tobytes())):
+                                               *squeeze(rises(b.keys[s])))):
                             c.append(x)
                 if cols[0]:
                     yield pa.RecordBatch.from_arrays(
@@ -231,9 +233,7 @@ def trigger_masks(sent: DataFrame) -> DataFrame:
     """(block, bucket, mask): which of a block's trigger hashes occur again."""
     def run(t: pa.Table) -> pa.Table:
         n = t["n"].to_pylist()
-        keys = np.concatenate([np.frombuffer(k, "<u4", m).astype(np.uint64)
-                               | np.frombuffer(k, np.uint8, m, 4 * m).astype(np.uint64) << np.uint64(32)
-                               for k, m in zip(t["keys"].to_pylist(), n)])
+        keys = np.concatenate([from_rises(stretch(k, "<u4", m)) for k, m in zip(t["keys"].to_pylist(), n)])
         again = np.concatenate([np.unpackbits(np.frombuffer(a, np.uint8), count=m) for a, m in zip(t["again"].to_pylist(), n)])
         order = np.argsort(keys, kind="stable")
         s = keys[order]
@@ -247,12 +247,8 @@ def trigger_masks(sent: DataFrame) -> DataFrame:
     return sent.groupBy("bucket").applyInArrow(run, "block long, bucket long, mask binary")
 
 
-def _answers(t: pa.Table, col: str) -> dict[int, bytes]:
-    return dict(zip(t["bucket"].to_pylist(), t[col].to_pylist()))
-
-
 def send_phrases(blocks: DataFrame, masks: DataFrame, buckets: int, length: int, trigger: int) -> DataFrame:
-    """(bucket, block, n, sizes, hashes, firsts, bytes, text) of each block's
+    """(bucket, block, n, bytes, sizes, triggers, firsts, text) of each block's
     distinct phrases with repeated triggers."""
     names = ["bucket", "block", "n", "bytes", "sizes", "triggers", "firsts", "text"]
 
@@ -260,7 +256,7 @@ def send_phrases(blocks: DataFrame, masks: DataFrame, buckets: int, length: int,
         cols: dict[str, list] = {c: [] for c in names}
         if left.num_rows and right.num_rows:
             b = Block(left.to_pylist()[0], buckets, length, trigger)
-            b.repeated(_answers(right, "mask"))
+            b.repeated(dict(zip(right["bucket"].to_pylist(), right["mask"].to_pylist())))
             a = np.frombuffer(b.data, np.uint8)
             for k in range(buckets):
                 s, e = b.phrase_cut[k], b.phrase_cut[k + 1]
@@ -268,7 +264,7 @@ def send_phrases(blocks: DataFrame, masks: DataFrame, buckets: int, length: int,
                     at = b.one[s:e]
                     size = b.hi[at] - b.lo[at] + length
                     text = a[np.repeat(b.lo[at] - (np.cumsum(size) - size), size) + np.arange(size.sum())]
-                    packed = squeeze((size - length).astype(np.uint8), b.hash[at], b.first[s:e], text)
+                    packed = squeeze((size - length).astype(np.uint8), rises(b.phrase_key[s:e]), b.first[s:e], text)
                     for c, x in zip(names, (k, b.id, int(e - s), len(text), *packed)):
                         cols[c].append(x)
         return pa.table({c: pa.array(v, pa.int64() if i < 4 else pa.binary()) for i, (c, v) in enumerate(cols.items())})
@@ -277,63 +273,66 @@ def send_phrases(blocks: DataFrame, masks: DataFrame, buckets: int, length: int,
             .applyInArrow(run, "bucket long, block long, n long, bytes long, sizes binary, triggers binary, firsts binary, text binary"))
 
 
-def dictionary_owners(hash_: np.ndarray, first: np.ndarray, text: bytes, size: np.ndarray, length: int):
-    """Owner of every string of every phrase, phrases in order: the smallest
-    document that holds it."""
+def dictionary_owners(trigger: np.ndarray, first: np.ndarray, text: bytes, size: np.ndarray, length: int):
+    """Owners of the strings of phrases, an owner being the smallest document
+    that holds a string: (runs, set of every phrase, run lengths, run owners), runs
+    by distinct phrase."""
+    view = u64_view(text)
     begin = np.cumsum(size) - size
-    one, group = same_spans(text, begin, size)
+    one, group = same_spans(view, begin, size)
     own = np.full(len(one), NO_ID)
     np.minimum.at(own, group, first)
-    strings = size[one] - length + 1
+    runs, lens, owners = np.ones(len(one), np.int64), size[one] - length + 1, own
     # the dictionary's suffixes matter where a trigger has several phrases
-    _, which, n = np.unique(hash_[one], return_inverse=True, return_counts=True)
+    _, which, n = np.unique(trigger[one], return_inverse=True, return_counts=True)
     several = np.flatnonzero(n[which] > 1)
-    offset = np.cumsum(strings) - strings
-    owner = np.repeat(own, strings)
     if len(several):
         at, ln = begin[one[several]], size[one[several]]
         shift = np.cumsum(ln) - ln
         a = np.frombuffer(text, np.uint8)
         part = a[np.repeat(at - shift, ln) + np.arange(ln.sum())].tobytes()
-        k = strings[several]
-        inner = np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k)
-        rank = string_ranks(part, length)[np.repeat(shift, k) + inner]
+        k = lens[several]
+        phrase = np.repeat(np.arange(len(several)), k)
+        rank = string_ranks(part, length)[np.repeat(shift - (np.cumsum(k) - k), k) + np.arange(k.sum())]
         best = np.full(int(rank.max()) + 1, NO_ID)
         np.minimum.at(best, rank, np.repeat(own[several], k))
-        owner[np.repeat(offset[several], k) + inner] = best[rank]
-    return owner, offset[group], strings[group]
+        flat = best[rank]
+        new = np.flatnonzero(np.concatenate([[True], (flat[1:] != flat[:-1]) | (phrase[1:] != phrase[:-1])]))
+        runs[several] = np.bincount(phrase[new], minlength=len(several))
+        ends = np.cumsum(runs)
+        lens, owners = np.repeat(lens, runs), np.repeat(own, runs)
+        into = np.repeat((ends - runs)[several] - (np.cumsum(runs[several]) - runs[several]), runs[several]) + np.arange(len(new))
+        lens[into], owners[into] = np.diff(new, append=len(flat)), flat[new]
+    return runs, group, lens, owners
 
 
 def phrase_owners(sent: DataFrame, length: int) -> DataFrame:
     """(block, bucket, owners): for each phrase that a block sent, runs of
     strings with one owner; no run where the block's own first document owns all."""
     def run(t: pa.Table) -> pa.Table:
-        rows = t.to_pylist()
-        n = np.array([r["n"] for r in rows])
-        size = np.concatenate([stretch(r["sizes"], np.uint8, r["n"]) for r in rows]).astype(np.int64) + length
-        hash_ = np.concatenate([stretch(r["triggers"], np.uint64, r["n"]) for r in rows])
-        first = np.concatenate([stretch(r["firsts"], np.int64, r["n"]) for r in rows])
-        text = b"".join(stretch(r["text"], np.uint8, r["bytes"]).tobytes() for r in rows)
-        owner, offset, strings = dictionary_owners(hash_, first, text, size, length)
-        total = np.cumsum(strings)
-        flat = owner[np.repeat(offset - (total - strings), strings) + np.arange(total[-1])]
-        phrase = np.repeat(np.arange(len(strings)), strings)
-        new = np.concatenate([[True], (flat[1:] != flat[:-1]) | (phrase[1:] != phrase[:-1])])
-        at = np.flatnonzero(new)
-        run_of, run_len, run_own = phrase[at], np.diff(at, append=len(flat)), flat[at]
-        runs = np.bincount(run_of, minlength=len(strings))
-        runs[(runs == 1) & (run_own[np.cumsum(runs) - runs] == first)] = 0
-        keep = runs[run_of] > 0
-        run_of, run_len, run_own = run_of[keep], run_len[keep], run_own[keep]
+        n = t["n"].to_numpy()
+
+        def column(name, kind, sizes=n):
+            return [stretch(x.as_py(), kind, int(m)) for x, m in zip(t[name], sizes)]
+
+        size = np.concatenate(column("sizes", np.uint8)).astype(np.int64) + length
+        trigger = np.concatenate([from_rises(x) for x in column("triggers", "<u4")])
+        first = np.concatenate(column("firsts", np.int64))
+        text = b"".join(x.tobytes() for x in column("text", np.uint8, t["bytes"].to_numpy()))
+        runs, group, lens, owners = dictionary_owners(trigger, first, text, size, length)
+        begin = np.cumsum(runs) - runs
+        k = runs[group]
+        k[(k == 1) & (owners[begin[group]] == first)] = 0
+        at = np.repeat(begin[group] - (np.cumsum(k) - k), k) + np.arange(k.sum())
+        lens, owners = lens[at], owners[at]
         cut = np.concatenate([[0], np.cumsum(n)])
-        rcut = np.searchsorted(run_of, cut)
+        rcut = np.concatenate([[0], np.cumsum(k)])[cut]
         out = []
-        for i in range(len(rows)):
+        for i in range(len(n)):
             s, e = slice(cut[i], cut[i + 1]), slice(rcut[i], rcut[i + 1])
-            raw = runs[s].astype(np.uint8).tobytes() + run_len[e].astype(np.uint8).tobytes() + run_own[e].astype("<i8").tobytes()
+            raw = k[s].astype(np.uint8).tobytes() + lens[e].astype(np.uint8).tobytes() + owners[e].astype("<i8").tobytes()
             out.append(pa.compress(raw, codec="zstd", asbytes=True))
-        sizes = n + 9 * np.diff(rcut)
-        return pa.table({"block": t["block"], "bucket": t["bucket"], "n": pa.array(n), "size": pa.array(sizes),
+        return pa.table({"block": t["block"], "bucket": t["bucket"], "n": t["n"], "size": pa.array(n + 9 * np.diff(rcut)),
                          "owners": pa.array(out, pa.binary())})
 
     return sent.groupBy("bucket").applyInArrow(run, "block long, bucket long, n long, size long, owners binary")
