@@ -5,7 +5,6 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -153,17 +152,16 @@ class UnitMemo:
         self.flat, self.first, self.n = np.empty(1 << 16, np.int32), np.zeros(1 << 16, np.int64), 0
 
     def _learn(self, keys: np.ndarray, units: list[bytes]) -> None:
-        ids = self.encode(units)
+        ids, sizes = self.encode(units)
         begin, n = self.first[self.n], self.n
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
         ends = begin + np.cumsum(sizes)
         while ends[-1] > len(self.flat):
             self.flat = np.concatenate([self.flat, self.flat])
-        while n + len(ids) + 1 > len(self.first):
+        while n + len(units) + 1 > len(self.first):
             self.first = np.concatenate([self.first, self.first])
-        self.flat[begin:ends[-1]] = np.fromiter(chain.from_iterable(ids), np.int32, int(sizes.sum()))
-        self.first[n + 1:n + 1 + len(ids)] = ends
-        self.n = n + len(ids)
+        self.flat[begin:ends[-1]] = ids
+        self.first[n + 1:n + 1 + len(units)] = ends
+        self.n = n + len(units)
         keys = np.concatenate([self.keys, keys])
         order = np.argsort(keys, kind="stable")  # two sorted runs: a merge
         self.keys, self.slots = keys[order], np.concatenate([self.slots, np.arange(n, self.n)])[order]

@@ -170,7 +170,7 @@ def count(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
         if tokenizer not in _AUTOMATA:
             _AUTOMATA[tokenizer] = Automaton(vocabulary(tokenizer))
         auto = _AUTOMATA[tokenizer]
-        memo = UnitMemo(lambda units: auto.count(units)[:, None].tolist(), MEMO)
+        memo = UnitMemo(lambda units: (auto.count(units), np.ones(len(units), np.int64)), MEMO)
         for ids, texts in rows_for(batches):
             data, start, size, first = split_words(texts)
             n, _ = memo.ids(data, start, size)

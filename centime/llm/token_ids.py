@@ -31,9 +31,11 @@ table; other columns are ignored.
 from __future__ import annotations
 
 import json
+import os
 import re
 import struct
 import uuid
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -48,8 +50,10 @@ from .common import UnitMemo, rows_for
 
 MAGIC = b"PFR1"
 HEAD = struct.Struct("<4sIIIQIQ")
-SEGMENTS_A_FILE = 6
+SEGMENT_BYTES = 2 << 20  # text of a segment
+SEGMENTS_A_FILE = 8
 MEMO = 2_000_000
+JOINED = 2000  # units that go to the library as one text
 
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -64,6 +68,7 @@ class Encoder:
     """The ids of texts under one tokenizer file of the tokenizers library."""
 
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
         spec = json.load(open(path))  # the vocabulary file, a local path on every machine
@@ -75,12 +80,52 @@ class Encoder:
         added = [re.escape(t["content"].encode()) for t in spec["added_tokens"]]
         spaces = [chr(c).encode() for c in OTHER_SPACES]
         self.whole = re.compile(b"|".join(added + spaces))
-        self.memo = UnitMemo(self._library, MEMO)
+        self.size = np.zeros(max(self.lib.get_vocab().values()) + 1, np.int64)
+        for token, i in self.lib.get_vocab().items():  # a letter of a byte-level vocabulary is a byte
+            self.size[i] = len(token)
+        self.memo = UnitMemo(self._encode_units, MEMO)
 
     def _library(self, texts: list[bytes]) -> list[list[int]]:
         done = self.lib.encode_batch_fast([t.decode("utf-8", "replace") for t in texts], add_special_tokens=False)
         return [e.ids for e in done]
 
+    def _encode_units(self, units: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of many units: runs of them go to the library as one text, those
+        that don't begin with white space after a newline, whose id is dropped.
+        Every unit begins a pre-token there too."""
+        plain = [i for i, u in enumerate(units) if not SPACE[u[-1]]]
+        rest = [i for i, u in enumerate(units) if SPACE[u[-1]]]  # white space that ends a text
+        n, done = np.zeros(len(units), np.int64), []
+        for a in range(0, len(plain), JOINED * 8):
+            runs, spans = [], []
+            for b in range(a, min(a + JOINED * 8, len(plain)), JOINED):
+                part = plain[b:b + JOINED]
+                spaced = [SPACE[units[i][0]] for i in part]
+                glued = [units[i] if s else b"\n" + units[i] for i, s in zip(part, spaced)]
+                runs.append(b"".join(glued))
+                spans.append((part, np.array(spaced), np.cumsum(np.fromiter(map(len, glued), np.int64, len(glued)))))
+            for (part, spaced, ends), raw, ids in zip(spans, runs, self._library(runs)):
+                ids = np.array(ids, np.int32)
+                at = np.cumsum(self.size[ids])
+                cut = np.searchsorted(at, ends) + 1
+                if at[-1] != len(raw) or (at[cut - 1] != ends).any():  # not UTF-8
+                    rest += part
+                    continue
+                keep = np.ones(len(ids), bool)
+                keep[(cut - np.diff(cut, prepend=0))[~spaced]] = False
+                n[part] = np.diff(cut, prepend=0) - ~spaced
+                done.append((part, ids[keep]))
+        for a in range(0, len(rest), JOINED):
+            part = rest[a:a + JOINED]
+            lists = self._library([units[i] for i in part])
+            n[part] = np.fromiter(map(len, lists), np.int64, len(lists))
+            done.append((part, np.fromiter(chain.from_iterable(lists), np.int32)))
+        out, end = np.empty(n.sum(), np.int32), np.cumsum(n)
+        for part, ids in done:
+            k = n[part]
+            out[np.repeat(end[part] - np.cumsum(k), k) + np.arange(len(ids))] = ids
+        return out, n
+
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts in a run, number of ids of each text)."""
         apart = [not self.separable or bool(self.whole.search(t)) for t in texts]
@@ -152,7 +197,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, id_col: s
         enc = _ENCODERS.setdefault(tokenizer, None) or Encoder(tokenizer)
         _ENCODERS[tokenizer] = enc
         part = TaskContext.get().partitionId()
-        for number, (keys, texts) in enumerate(rows_for(batches)):
+        for number, (keys, texts) in enumerate(rows_for(batches, SEGMENT_BYTES)):
             ids, n = enc.encode(texts)
             out = np.full(len(ids) + len(n), end_id, np.int32)
             out[np.arange(len(ids)) + np.repeat(np.arange(len(n)), n)] = ids

@@ -183,18 +183,16 @@ class Model:
                 out[i] = w.encode()
         return out
 
-    def marks(self, units: list[bytes]) -> list[list[int]]:
-        """The model's features that each token has."""
+    def marks(self, units: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The model's features that the tokens have, and how many each has."""
         done = self.restored(units)
         size = np.fromiter(map(len, done), np.int64, len(done))
         token, h = feature_hashes(b"".join(done), np.cumsum(size) - size, size)
         at = np.searchsorted(self.features, h)
         hit = at < len(self.features)
         hit[hit] = self.features[at[hit]] == h[hit]
-        out: list[list[int]] = [[]] * len(units)
-        for t, f in zip(token[hit].tolist(), at[hit].tolist()):
-            out[t] = out[t] + [f]
-        return out
+        token, at = token[hit], at[hit]
+        return at[np.argsort(token, kind="stable")], np.bincount(token, minlength=len(units))
 
 
 def document_marks(memo: UnitMemo, texts: list[bytes], features: int) -> tuple[np.ndarray, np.ndarray]:
