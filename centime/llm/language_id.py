@@ -50,20 +50,23 @@ class Network:
     weights: dict[str, np.ndarray]
 
 
-def _layer(w: dict, d: str, codes: np.ndarray, keep: bool = False):
-    """States (time, lane, unit) of one direction over ``codes`` (time, lane).
+def _layer(w: dict, d: str, codes: np.ndarray, live: np.ndarray, keep: bool = False):
+    """States (time, lane, unit) of direction ``d`` over ``codes`` (time, lane).
 
-    z and r are sigmoid gates, n the new content: h' = n + z (h - n)."""
+    Lanes come longest first; ``live[t]`` of them have a byte at time t, and only
+    those move, so that a lane's states don't depend on its neighbours.  z and r
+    are sigmoid gates, n the new content: h' = n + z (h - n)."""
     steps, lanes = codes.shape
     x = {g: w[f"{d}x{g}"] for g in "zrn"}
     u = {g: w[f"{d}u{g}"] for g in "zrn"}
     bias = w[f"{d}bn"]
-    half = np.float32(0.5)
-    h = np.zeros((lanes, HIDDEN), np.float32)
-    out = np.empty((steps, lanes, HIDDEN), np.float32)
+    half = bias.dtype.type(0.5)
+    state = np.zeros((lanes, HIDDEN), bias.dtype)
+    out = np.zeros((steps, lanes, HIDDEN), bias.dtype)
     cache = []
-    for t in range(steps):
-        c = codes[t]
+    for t in range(steps) if d == "f" else range(steps - 1, -1, -1):
+        m = live[t]
+        c, h = codes[t, :m], state[:m]
         z = h @ u["z"]
         z += x["z"][c]
         r = h @ u["r"]
@@ -79,20 +82,20 @@ def _layer(w: dict, d: str, codes: np.ndarray, keep: bool = False):
         n += x["n"][c]
         np.tanh(n, out=n)
         if keep:
-            cache.append((c, h, z, r, q, n))
-        h = h - n
+            cache.append((t, c, h.copy(), z, r, q, n))
+        h -= n
         h *= z
         h += n
-        out[t] = h
+        out[t, :m] = h
     return out, cache
 
 
 def _layer_back(w: dict, d: str, cache: list, dout: np.ndarray, grad: dict) -> None:
     """Backpropagation through time: adds the layer's gradients to ``grad``."""
-    dh = np.zeros_like(dout[0])
-    for t in range(len(cache) - 1, -1, -1):
-        c, h, z, r, q, n = cache[t]
-        dh = dh + dout[t]
+    back = np.zeros_like(dout[0])
+    for t, c, h, z, r, q, n in reversed(cache):
+        m = len(c)
+        dh = back[:m] + dout[t, :m]
         dn = dh * (1 - z) * (1 - n * n)
         dz = dh * (h - n) * z * (1 - z)
         dr = dn * q * r * (1 - r)
@@ -103,32 +106,38 @@ def _layer_back(w: dict, d: str, cache: list, dout: np.ndarray, grad: dict) -> N
         grad[f"{d}ur"] += h.T @ dr
         grad[f"{d}un"] += h.T @ dq
         grad[f"{d}bn"] += dq.sum(axis=0)
-        dh = dh * z + dz @ w[f"{d}uz"].T + dr @ w[f"{d}ur"].T + dq @ w[f"{d}un"].T
+        back[:m] = dh * z + dz @ w[f"{d}uz"].T + dr @ w[f"{d}ur"].T + dq @ w[f"{d}un"].T
 
 
-def position_probabilities(w: dict, codes: np.ndarray) -> np.ndarray:
-    """(time, lane, language) probabilities; ``codes`` is (time, lane) bytes."""
-    fwd, _ = _layer(w, "f", codes)
-    bwd, _ = _layer(w, "b", codes[::-1])
-    p = fwd @ w["of"]
-    p += bwd[::-1] @ w["ob"]
-    p += w["o"]
+def _live(length: np.ndarray) -> np.ndarray:
+    """Number of lanes with a byte at each time; ``length`` falls."""
+    return np.searchsorted(-length, -np.arange(length[0]), side="left")
+
+
+def _softmax(p: np.ndarray) -> np.ndarray:
     p -= p.max(axis=2, keepdims=True)
     np.exp(p, out=p)
     p /= p.sum(axis=2, keepdims=True)
     return p
 
 
+def position_probabilities(w: dict, codes: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """(time, lane, language) probabilities; ``codes`` is (time, lane) bytes,
+    lanes of falling ``length``."""
+    live = _live(length)
+    p = _layer(w, "f", codes, live)[0] @ w["of"]
+    p += _layer(w, "b", codes, live)[0] @ w["ob"]
+    p += w["o"]
+    return _softmax(p)
+
+
 def _step(w: dict, codes: np.ndarray, label: np.ndarray, length: np.ndarray) -> tuple[dict, float]:
     """Gradients and mean loss of a batch, every position labelled."""
-    fwd, fc = _layer(w, "f", codes, keep=True)
-    bwd, bc = _layer(w, "b", codes[::-1], keep=True)
-    back = bwd[::-1]
-    p = fwd @ w["of"] + back @ w["ob"] + w["o"]
-    p -= p.max(axis=2, keepdims=True)
-    np.exp(p, out=p)
-    p /= p.sum(axis=2, keepdims=True)
-    mask = (np.arange(len(codes))[:, None] < length).astype(np.float32)
+    live = _live(length)
+    fwd, fc = _layer(w, "f", codes, live, keep=True)
+    bwd, bc = _layer(w, "b", codes, live, keep=True)
+    p = _softmax(fwd @ w["of"] + bwd @ w["ob"] + w["o"])
+    mask = (np.arange(len(codes))[:, None] < length).astype(p.dtype)
     lane = np.arange(codes.shape[1])
     loss = float(-(np.log(p[:, lane, label] + 1e-9) * mask).sum() / mask.sum())
     p[:, lane, label] -= 1
@@ -136,10 +145,10 @@ def _step(w: dict, codes: np.ndarray, label: np.ndarray, length: np.ndarray) ->
     grad = {k: np.zeros_like(v) for k, v in w.items()}
     flat = p.reshape(-1, p.shape[2])
     grad["of"] = fwd.reshape(-1, HIDDEN).T @ flat
-    grad["ob"] = back.reshape(-1, HIDDEN).T @ flat
+    grad["ob"] = bwd.reshape(-1, HIDDEN).T @ flat
     grad["o"] = flat.sum(axis=0)
     _layer_back(w, "f", fc, p @ w["of"].T, grad)
-    _layer_back(w, "b", bc, (p @ w["ob"].T)[::-1], grad)
+    _layer_back(w, "b", bc, p @ w["ob"].T, grad)
     return grad, loss
 
 
@@ -165,7 +174,8 @@ def train(segments: list[bytes], labels: list[str], steps: int = STEPS, seed: in
     order = np.concatenate([rng.permutation(len(segments)) for _ in range(-(-steps * BATCH // len(segments)))])
     for k in range(1, steps + 1):
         b = order[(k - 1) * BATCH:k * BATCH]
-        grad, _ = _step(w, np.ascontiguousarray(codes[b].T), y[b], n[b])
+        b = b[np.argsort(-n[b], kind="stable")]
+        grad, _ = _step(w, np.ascontiguousarray(codes[b, :n[b[0]]].T), y[b], n[b])
         norm = np.sqrt(sum(float((g * g).sum()) for g in grad.values()))
         rate = 0.02 * (1 - (k - 1) / steps) + 0.001
         for name, g in grad.items():
@@ -210,7 +220,7 @@ def document_probabilities(net: Network, texts: list[bytes]) -> np.ndarray:
         steps = np.arange(length[s[0]])[:, None]
         inside = steps < length[s]
         codes = np.where(inside, flat[begin[s] + steps], 0).astype(np.uint8)
-        p = position_probabilities(net.weights, codes)
+        p = position_probabilities(net.weights, codes, length[s])
         p *= inside[:, :, None]
         np.add.at(out, doc[s], p.sum(axis=0, dtype=np.float64))
     return out / np.maximum(size, 1)[:, None]
