@@ -48,6 +48,7 @@ LENGTH = 50
 TRIGGER = 24  # bytes of the rolling hash
 BUCKET_BYTES = 32 << 20  # text for each bucket, about 1 / 14 of it triggers
 PIECE = 1 << 17  # positions hashed at once, to stay in cache
+SORT_BYTES = 1 << 20  # dictionary text that is suffix-sorted at once, if no single trigger has more
 
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 
@@ -286,23 +287,34 @@ def dictionary_owners(trigger: np.ndarray, first: np.ndarray, text: bytes, size:
     # the dictionary's suffixes matter where a trigger has several phrases
     _, which, n = np.unique(trigger[one], return_inverse=True, return_counts=True)
     several = np.flatnonzero(n[which] > 1)
-    if len(several):
-        at, ln = begin[one[several]], size[one[several]]
+    found = []  # (phrases, their numbers of runs, lengths and owners of the runs)
+    several = several[np.argsort(which[several], kind="stable")]
+    total, edge = np.cumsum(size[one[several]]), np.flatnonzero(np.diff(which[several], prepend=-1))
+    while len(several):
+        # whole triggers, as many as sort together in bounded memory
+        done = total[0] - size[one[several[0]]]
+        upto = edge[np.searchsorted(total[edge[1:] - 1] - done, SORT_BYTES)] if len(edge) > 1 else len(several)
+        upto = int(upto) if upto else int(edge[1])
+        part, several, total = several[:upto], several[upto:], total[upto:]
+        edge = edge[edge >= upto] - upto
+        at, ln, k = begin[one[part]], size[one[part]], lens[part]
         shift = np.cumsum(ln) - ln
         a = np.frombuffer(text, np.uint8)
-        part = a[np.repeat(at - shift, ln) + np.arange(ln.sum())].tobytes()
-        k = lens[several]
-        phrase = np.repeat(np.arange(len(several)), k)
-        rank = string_ranks(part, length)[np.repeat(shift - (np.cumsum(k) - k), k) + np.arange(k.sum())]
+        dictionary = a[np.repeat(at - shift, ln) + np.arange(ln.sum())].tobytes()
+        phrase = np.repeat(np.arange(len(part)), k)
+        rank = string_ranks(dictionary, length)[np.repeat(shift - (np.cumsum(k) - k), k) + np.arange(k.sum())]
         best = np.full(int(rank.max()) + 1, NO_ID)
-        np.minimum.at(best, rank, np.repeat(own[several], k))
+        np.minimum.at(best, rank, np.repeat(own[part], k))
         flat = best[rank]
         new = np.flatnonzero(np.concatenate([[True], (flat[1:] != flat[:-1]) | (phrase[1:] != phrase[:-1])]))
-        runs[several] = np.bincount(phrase[new], minlength=len(several))
-        ends = np.cumsum(runs)
-        lens, owners = np.repeat(lens, runs), np.repeat(own, runs)
-        into = np.repeat((ends - runs)[several] - (np.cumsum(runs[several]) - runs[several]), runs[several]) + np.arange(len(new))
-        lens[into], owners[into] = np.diff(new, append=len(flat)), flat[new]
+        found.append((part, np.bincount(phrase[new], minlength=len(part)), np.diff(new, append=len(flat)), flat[new]))
+    for part, n, _, _ in found:
+        runs[part] = n
+    ends = np.cumsum(runs)
+    lens, owners = np.repeat(lens, runs), np.repeat(own, runs)
+    for part, n, run_lens, run_owners in found:
+        into = np.repeat((ends - runs)[part] - (np.cumsum(n) - n), n) + np.arange(len(run_lens))
+        lens[into], owners[into] = run_lens, run_owners
     return runs, group, lens, owners
 
 
