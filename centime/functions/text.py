@@ -66,7 +66,7 @@ def parse_insights(c) -> Column:
 
 
 def category_amounts_text(map_col) -> Column:
-    """C8: 'cat: $amt' entries joined with ', '."""
+    """C8: 'cat: $amt' entries joined with ', ' (empty map: empty text)."""
     return F.array_join(
         F.transform(F.map_entries(col_(map_col)),
                     lambda e: F.concat(e["key"], F.lit(": $"), e["value"].cast("string"))),

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..functions import dims
 from ..functions.dates import day_label, month_last_day, month_name, month_start, ts_lit
 from ..functions.money import as_number, money, round_to, signed_amount
-from ..functions.text import display_description
+from ..functions.text import category_amounts_text, display_description
 
 
 # ---------------------------------------------------------------- filters ---
@@ -54,13 +54,13 @@ TRAILING_DAYS = {"7D": 7, "1M": 30, "3M": 90, "6M": 180}
 
 
 def trailing_range(date_col: str, now: str, key: str) -> Column:
-    """[start of day(now - n), end of day(now)]; 'ALL' keeps everything."""
-    if key == "ALL":
-        return F.lit(True)
-    n = TRAILING_DAYS[key]
+    """[start of day(now - n), end of day(now)]; 'ALL' has no lower bound,
+    but ends with the day too: rows dated in the future are in no range."""
     today = F.to_date(ts_lit(now))
-    return ((F.col(date_col) >= F.to_timestamp_ntz(F.date_sub(today, n).cast("string")))
-            & (F.col(date_col) < F.to_timestamp_ntz(F.date_add(today, 1).cast("string"))))
+    ended = F.col(date_col) < F.to_timestamp_ntz(F.date_add(today, 1).cast("string"))
+    if key == "ALL":
+        return ended
+    return (F.col(date_col) >= F.to_timestamp_ntz(F.date_sub(today, TRAILING_DAYS[key]).cast("string"))) & ended
 
 
 def filter_transactions(tx: DataFrame, search: str | None = None, type_: str | None = None,
@@ -226,32 +226,26 @@ def budget_utilisation(accounts: DataFrame, budgets: DataFrame, spend: DataFrame
 
 
 def monthly_stats(tx: DataFrame, month_anchor: str, strict: bool = True) -> DataFrame:
-    """A3/A4: per user totals of a month, expense per category as columns.
+    """A3/A4: per user totals of a month, and the expenses of every category
+    that occurs, whatever its name, as the map ``by_category``.
 
-    One pass, conditional sums; no pivot job (the category list is fixed).
+    Rows are first summed per (user, type, category), map-side; a user's map
+    then holds one entry per category.
     """
     t = tx.filter(month_window("date", month_anchor, strict))
-    aggs = [
-        F.sum(F.when(F.col("type") == "INCOME", money("amount"))).alias("total_income"),
-        expense_sum().alias("total_expenses"),
-        F.count("*").alias("transaction_count"),
-    ]
-    aggs += [expense_sum(F.col("category") == c).alias(f"{c}_expense") for c in dims.CATEGORIES]
-    return t.groupBy("user_id").agg(*aggs)
-
-
-def category_map_of(tx: DataFrame, month_anchor: str, strict: bool = True) -> DataFrame:
-    """A3: byCategory as a map per user (expense only), from a (user, category)
-    pre-aggregate, so each map holds at most one entry per category."""
-    t = tx.filter(month_window("date", month_anchor, strict) & (F.col("type") == "EXPENSE"))
-    per = t.groupBy("user_id", "category").agg(as_number(F.sum(money("amount"))).alias("amt"))
+    per = t.groupBy("user_id", "type", "category").agg(F.sum(money("amount")).alias("amt"), F.count("*").alias("n"))
+    spent = F.col("type") == "EXPENSE"
+    entry = F.struct("category", F.col("amt").cast("decimal(18,2)").alias("amt"))
     return per.groupBy("user_id").agg(
-        F.map_from_entries(F.sort_array(F.collect_list(F.struct("category", "amt")))).alias("by_category"))
+        F.sum(F.when(F.col("type") == "INCOME", F.col("amt"))).alias("total_income"),
+        F.sum(F.when(spent, F.col("amt"))).alias("total_expenses"),
+        F.sum("n").alias("transaction_count"),
+        F.map_from_entries(F.sort_array(F.collect_list(F.when(spent & F.col("category").isNotNull(), entry)))).alias("by_category"))
 
 
-def monthly_report(users: DataFrame, tx: DataFrame, month_anchor: str, strict: bool = True,
-                   with_map: bool = False) -> DataFrame:
-    """Previous-month report for every user (zero row when inactive)."""
+def monthly_report(users: DataFrame, tx: DataFrame, month_anchor: str, strict: bool = True) -> DataFrame:
+    """Previous-month report for every user (zeros and an empty map when
+    inactive), with the fallback insights."""
     st = monthly_stats(tx, month_anchor, strict)
     zero = F.lit(0).cast("decimal(18,2)")
     cols = [F.col("user_id"), F.col("email"), F.col("name"),
@@ -260,14 +254,20 @@ def monthly_report(users: DataFrame, tx: DataFrame, month_anchor: str, strict: b
     exp = F.coalesce("total_expenses", zero)
     cols += [as_number(inc).alias("total_income"), as_number(exp).alias("total_expenses"),
              as_number(inc - exp).alias("net_income"),
-             F.coalesce("transaction_count", F.lit(0)).cast("long").alias("transaction_count")]
-    cols += [as_number(F.coalesce(f"{c}_expense", zero)).alias(f"{c}_expense") for c in dims.CATEGORIES]
-    out = users.join(st, "user_id", "left").select(*cols)
-    if with_map:
-        out = (out.join(category_map_of(tx, month_anchor, strict), "user_id", "left")
-               .withColumn("by_category", F.coalesce("by_category", F.create_map().cast("map<string,double>")))
-               .withColumn("insights", F.array(*[F.lit(s) for s in dims.FALLBACK_INSIGHTS])))
-    return out
+             F.coalesce("transaction_count", F.lit(0)).cast("long").alias("transaction_count"),
+             F.coalesce("by_category", F.create_map().cast("map<string,decimal(18,2)>")).alias("by_category"),
+             F.array(*[F.lit(s) for s in dims.FALLBACK_INSIGHTS]).alias("insights")]
+    return users.join(st, "user_id", "left").select(*cols)
+
+
+def report_prompt(users: DataFrame, tx: DataFrame, month_anchor: str, strict: bool = True) -> DataFrame:
+    """The data block of the report's prompt, one for every user."""
+    st = monthly_stats(tx, month_anchor, strict)
+    inc, exp = (F.coalesce(c, F.lit(0)).cast("decimal(18,2)") for c in ("total_income", "total_expenses"))
+    return users.select("user_id").join(st, "user_id", "left").select("user_id", F.concat(
+        F.lit("Total Income: $"), inc.cast("string"), F.lit(", Total Expenses: $"), exp.cast("string"),
+        F.lit(", Net Income: $"), (inc - exp).cast("decimal(18,2)").cast("string"), F.lit(", Expense Categories: "),
+        F.coalesce(category_amounts_text("by_category"), F.lit(""))).alias("prompt_text"))
 
 
 def category_breakdown(tx: DataFrame, now: str) -> DataFrame:
@@ -353,18 +353,23 @@ def account_history(accounts: DataFrame, tx: DataFrame) -> DataFrame:
     """J2 (flat form) / T1: every account with each of its transactions and
     the account's transaction count, ordered account, date desc.
 
-    The nested form (``account_with_transactions``) builds one list per
-    account; this form keeps a heavy account's history spread over range
-    partitions of a distributed sort instead of one in-memory list.
+    Transactions are the left side of an inner join, which AQE splits when an
+    account is heavy; accounts without transactions are added by an anti join.
+    The sort is a distributed range sort, so a heavy account's history never
+    becomes one in-memory list.
     """
     counts = tx.groupBy("account_id").agg(F.count("id").alias("transaction_count"))
     t = tx.select("account_id", F.col("id").alias("tx_id"), F.col("date").alias("tx_date"),
                   F.col("type").alias("tx_type"), as_number(money("amount")).alias("tx_amount"),
                   display_description("description").alias("tx_description"),
                   F.col("category").alias("tx_category"))
-    return (accounts.join(t, "account_id", "left").join(counts, "account_id", "left")
-            .withColumn("transaction_count", F.coalesce("transaction_count", F.lit(0)).cast("long"))
-            .orderBy("account_id", F.col("tx_date").desc(), F.col("tx_id").desc()))
+    known = accounts.join(counts, "account_id", "left").withColumn(
+        "transaction_count", F.coalesce("transaction_count", F.lit(0)).cast("long"))
+    order = [*accounts.columns, *[c for c in t.columns if c != "account_id"], "transaction_count"]
+    full = t.join(known, "account_id").select(*order)
+    bare = known.join(tx.select("account_id"), "account_id", "left_anti")
+    bare = bare.select(*[F.col(c) if c in bare.columns else F.lit(None).cast(t.schema[c].dataType).alias(c) for c in order])
+    return full.unionByName(bare).orderBy("account_id", F.col("tx_date").desc(), F.col("tx_id").desc())
 
 
 def validate_transactions(tx: DataFrame, ledger_categories: DataFrame) -> DataFrame:

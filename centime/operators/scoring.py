@@ -103,11 +103,11 @@ def reason_texts(f: DataFrame) -> Column:
     spike = F.col("amount_to_category_ratio") >= 5.0
     texts = [
         F.when(spike, F.concat(F.lit("Unusual spend spike: Amount is "),
-                               F.format_string("%.1f", F.col("amount_to_category_ratio")),
+                               round_to(F.col("amount_to_category_ratio"), 1).cast("string"),
                                F.lit("x higher than the typical "), cat, F.lit(" median (INR "),
                                F.format_number(_baseline(cat, 0), 0), F.lit(")."))),
         F.when(~spike & (F.col("amount") >= _baseline(cat, 2) * 2.0),
-               F.concat(F.lit("High monetary amount: Transaction (INR "), money_text("amount"),
+               F.concat(F.lit("High monetary amount: Transaction (INR "), money_text(money("amount")),
                         F.lit(") significantly exceeds the 95th percentile."))),
         F.when(F.col("is_night_time") == 1,
                F.concat(F.lit("Off-hours activity: Transaction initiated at "),
@@ -145,14 +145,16 @@ def risk_tier(prob: Column) -> list[Column]:
     level = F.when(prob >= 0.70, "HIGH").when(prob >= 0.30, "MEDIUM").otherwise("LOW")
     action = (F.when(prob >= 0.70, "BLOCK_TRANSACTION").when(prob >= 0.30, "MANUAL_REVIEW")
               .otherwise("ALLOW"))
+    detail = dims.map_expr(dims.ACTION_DETAILS, action)
     return [round_to(prob, 4).alias("fraud_probability"), round_to(prob * 100.0, 1).alias("fraud_percentage"),
-            level.alias("risk_level"), action.alias("recommended_action")]
+            level.alias("risk_level"), action.alias("recommended_action"), detail.alias("action_detail")]
 
 
 def fraud_risk(events: DataFrame) -> DataFrame:
+    """Probability, tier, action with its text, and the risk factors."""
     f = fraud_features(events)
     p = fraud_probability(f)
-    return f.select("*", *risk_tier(p))
+    return f.select("*", *risk_tier(p), reason_texts(f).alias("risk_factors"))
 
 
 # -------------------------------------------------------------- duplicates --
@@ -207,8 +209,11 @@ def spending_anomaly(events: DataFrame) -> DataFrame:
     dup = F.coalesce(F.col("is_duplicate_payment"), F.lit(False))
     flagged = outlier | dup | (ratio >= 5.0)
     sev = F.when(dup | (ratio >= 10.0), "CRITICAL").when(flagged, "WARNING").otherwise("NORMAL")
+    twice = F.concat(F.lit("Potential duplicate payment: An identical charge of INR "), money_text(money("amount")),
+                     F.lit(" at '"), F.col("merchant"), F.lit("' was found in recent transactions."))
+    reasons = F.concat(F.array_compact(F.array(F.when(dup, twice))), reason_texts(f))
     return f.select("*", outlier.alias("is_outlier"), F.when(outlier, 0.65).otherwise(0.0).alias("anomaly_score"),
-                    flagged.alias("is_anomaly"), sev.alias("severity"))
+                    flagged.alias("is_anomaly"), sev.alias("severity"), reasons.alias("reasons"))
 
 
 # ----------------------------------------------------------------- budgets --
@@ -287,15 +292,18 @@ def rule_totals(alloc: DataFrame, income: str = "monthly_income") -> DataFrame:
     return out.drop(income)
 
 
-def budget_tips(rec: DataFrame, alloc: DataFrame, debt: DataFrame, income: str = "monthly_income") -> DataFrame:
+def budget_tips(rec: DataFrame, alloc: DataFrame, actual: DataFrame, debt: DataFrame,
+                income: str = "monthly_income") -> DataFrame:
     """Optimisation tips per user: the savings gap, the
-    two largest overspends (ties in category order), or the fallback."""
-    has_hist = rec.groupBy("user_id").agg(F.count("actual_spend").alias("_h"),
-                                          F.sum(money("actual_spend")).alias("_tot"))
+    two largest overspends (ties in category order), or the fallback.
+
+    The gap counts all of ``actual``, also categories without a budget;
+    negative debt counts as none."""
+    has_hist = actual.groupBy("user_id").agg(F.count("amount").alias("_h"), F.sum(money("amount")).alias("_tot"))
     base = (alloc.select("user_id", income, "savings").join(has_hist, "user_id", "left")
             .join(debt.select("user_id", "debt_obligations"), "user_id", "left"))
     actual_savings = F.col(income) - as_number(F.coalesce("_tot", F.lit(0).cast("decimal(18,2)"))) \
-        - F.coalesce(F.col("debt_obligations"), F.lit(0.0))
+        - F.greatest(F.lit(0.0), F.coalesce(F.col("debt_obligations"), F.lit(0.0)))
     gap = base.filter((F.col("_h") > 0) & (actual_savings < F.col("savings"))).select(
         "user_id", F.lit(0).alias("tip_rank"),
         F.concat(F.lit("You are INR "), money_text(money(F.col("savings") - actual_savings)),
@@ -392,6 +400,23 @@ def health_score(df: DataFrame, income: str = "monthly_income", balance: str = "
         round_to("_s", 1).alias("savings_rate_score"), round_to("_d", 1).alias("debt_score"),
         round_to("_c", 1).alias("discretionary_score"), round_to("_r", 1).alias("runway_score"),
         round_to("_b", 1).alias("buffer_score"),
-        F.size(F.array_compact(F.array(F.when(F.col("_s") < 70, 1), F.when(F.col("_d") < 70, 1),
-                                       F.when(F.col("_c") < 70, 1), F.when(F.col("_r") < 70, 1))))
-        .alias("n_recommendations"))
+        health_advice().alias("recommendations"))
+
+
+def health_advice() -> Column:
+    """One sentence for each of four pillars under 70, or the praise."""
+    def one(x):
+        return round_to(x, 1).cast("string")
+
+    s = [F.when(F.col("_s") < 70, F.concat(F.lit("Boost monthly savings rate (currently "), one(F.col("_sr") * 100),
+                                           F.lit("%) towards 20% by setting up auto-investments."))),
+         F.when(F.col("_d") < 70, F.concat(F.lit("Fixed obligations and debt take up "), one(F.col("_for") * 100),
+                                           F.lit("% of income. Target debt paydown to free up cash flow."))),
+         F.when(F.col("_c") < 70, F.concat(F.lit("Discretionary wants account for "), one(F.col("_dr") * 100),
+                                           F.lit("% of expenses. Trimming non-essentials can quickly raise your score."))),
+         F.when(F.col("_r") < 70, F.concat(F.lit("Emergency liquidity covers "), one(F.col("_rw")),
+                                           F.lit(" month(s). Aim for at least 3-6 months of expenses (INR "),
+                                           money_text(money(F.col("_burn") * 3)), F.lit(").")))]
+    found = F.array_compact(F.array(*s))
+    return F.when(F.size(found) == 0, F.array(F.lit(
+        "Excellent financial health! Maintain current investment strategy and emergency runway."))).otherwise(found)

@@ -15,32 +15,44 @@ from .registry import query
 NOW = FIXTURE_NOW
 REPORT_MONTH = "1998-02-01 00:00:00"
 
-_CAT_SUMS = ",\n".join(
-    f"SUM(CASE WHEN type='EXPENSE' AND category='{c}' THEN {M('amount')} END) AS {c}_e"
-    for c in dims.CATEGORIES)
-_CAT_OUT = ",\n".join(
-    f"CAST(COALESCE({c}_e, 0) AS DOUBLE) AS {c}_expense" for c in dims.CATEGORIES)
+_FEB = "date >= TIMESTAMP '1998-02-01 00:00:00' AND date <= TIMESTAMP '1998-02-28 00:00:00'"
+_WHOLE_FEB = "date >= TIMESTAMP '1998-02-01 00:00:00' AND date < TIMESTAMP '1998-03-01 00:00:00'"
 
 
-@query("monthly_report", "G15,A3,A4,J4,F4,D2,D10,P6", oracle=with_views(f"""
+def _month_ctes(where: str) -> str:
+    return f"""st AS (
+  SELECT user_id,
+         SUM(CASE WHEN type='INCOME' THEN {M('amount')} END) AS inc,
+         SUM(CASE WHEN type='EXPENSE' THEN {M('amount')} END) AS exp,
+         COUNT(*) AS n
+  FROM v_transactions WHERE {where} GROUP BY user_id),
+ct AS (SELECT user_id, string_agg(category || ': $' || CAST(amt AS VARCHAR), ', ' ORDER BY category) AS cats
+       FROM (SELECT user_id, category, CAST(SUM({M('amount')}) AS DECIMAL(18,2)) AS amt FROM v_transactions
+             WHERE type = 'EXPENSE' AND category IS NOT NULL AND {where} GROUP BY user_id, category) GROUP BY user_id)"""
+
+
+def _report_sql(where: str) -> str:
+    return with_views("""
 SELECT u.user_id, u.email, u.name, 'February' AS month,
        CAST(COALESCE(inc, 0) AS DOUBLE) AS total_income,
        CAST(COALESCE(exp, 0) AS DOUBLE) AS total_expenses,
        CAST(COALESCE(inc, 0) - COALESCE(exp, 0) AS DOUBLE) AS net_income,
-       COALESCE(n, 0) AS transaction_count,
-       {_CAT_OUT}
-FROM v_users u LEFT JOIN st USING (user_id)""", "v_users", "v_transactions", extra_ctes=f"""st AS (
-  SELECT user_id,
-         SUM(CASE WHEN type='INCOME' THEN {M('amount')} END) AS inc,
-         SUM(CASE WHEN type='EXPENSE' THEN {M('amount')} END) AS exp,
-         COUNT(*) AS n,
-         {_CAT_SUMS}
-  FROM v_transactions
-  WHERE date >= TIMESTAMP '1998-02-01 00:00:00' AND date <= TIMESTAMP '1998-02-28 00:00:00'
-  GROUP BY user_id)"""))
+       COALESCE(n, 0) AS transaction_count, COALESCE(cats, '') AS by_category,
+       '""" + " | ".join(dims.FALLBACK_INSIGHTS) + """' AS insights
+FROM v_users u LEFT JOIN st ON st.user_id = u.user_id LEFT JOIN ct ON ct.user_id = u.user_id""",
+        "v_users", "v_transactions", extra_ctes=_month_ctes(where))
+
+
+def _report_rows(report):
+    from ..functions.text import category_amounts_text
+    return report.withColumn("by_category", category_amounts_text("by_category")) \
+                 .withColumn("insights", F.array_join("insights", " | "))
+
+
+@query("monthly_report", "G15,A3,A4,J4,F4,D2,D10,P6", oracle=_report_sql(_FEB))
 def q_monthly_report(spark, sf_dir):
     db = Ledger(spark, sf_dir)
-    return L.monthly_report(db.users(), db.transactions("1998-02-01", "1998-02-28"), REPORT_MONTH)
+    return _report_rows(L.monthly_report(db.users(), db.transactions("1998-02-01", "1998-02-28"), REPORT_MONTH))
 
 
 from ..functions.dims import LEDGER_CATEGORIES, ledger_categories_df
@@ -198,8 +210,9 @@ def q_account_chart_1m(spark, sf_dir):
     return L.daily_chart(db.transactions("1998-02-13", "1998-03-16"), NOW, "1M")
 
 
-@query("account_chart_all", "A5,F6,D10", oracle=_chart_sql(""))
+@query("account_chart_all", "A5,F6,D10", oracle=_chart_sql("WHERE date < TIMESTAMP '1998-03-16 00:00:00'"))
 def q_account_chart_all(spark, sf_dir):
+    """The whole history up to the end of today; rows dated later are left out."""
     return L.daily_chart(Ledger(spark, sf_dir).transactions(), NOW, "ALL")
 
 
@@ -532,32 +545,18 @@ def q_token_bucket_events(spark, sf_dir):
     return token_bucket(ev)
 
 
-@query("report_prompt_text", "C8,A3,A4", oracle=with_views(f"""
-SELECT user_id, 'Total Income: $' || CAST(inc AS VARCHAR) || ', Total Expenses: $' || CAST(exp AS VARCHAR)
-       || ', Net Income: $' || CAST(inc - exp AS VARCHAR) || ', Expense Categories: ' || cats AS prompt_text
-FROM (SELECT user_id,
-             CAST(COALESCE(SUM(CASE WHEN type = 'INCOME' THEN {M('amount')} END), 0) AS DOUBLE) AS inc,
-             CAST(COALESCE(SUM(CASE WHEN type = 'EXPENSE' THEN {M('amount')} END), 0) AS DOUBLE) AS exp
-      FROM v_transactions WHERE date >= TIMESTAMP '1998-02-01 00:00:00' AND date <= TIMESTAMP '1998-02-28 00:00:00'
-      GROUP BY user_id) t
-JOIN (SELECT user_id, string_agg(category || ': $' || CAST(amt AS VARCHAR), ', ' ORDER BY category) AS cats
-      FROM (SELECT user_id, category, CAST(SUM({M('amount')}) AS DOUBLE) AS amt FROM v_transactions
-            WHERE type = 'EXPENSE' AND date >= TIMESTAMP '1998-02-01 00:00:00' AND date <= TIMESTAMP '1998-02-28 00:00:00'
-            GROUP BY user_id, category) GROUP BY user_id) c USING (user_id)""", "v_transactions"))
+@query("report_prompt_text", "C8,A3,A4", oracle=with_views("""
+SELECT u.user_id, 'Total Income: $' || CAST(CAST(COALESCE(inc, 0) AS DECIMAL(18,2)) AS VARCHAR)
+       || ', Total Expenses: $' || CAST(CAST(COALESCE(exp, 0) AS DECIMAL(18,2)) AS VARCHAR)
+       || ', Net Income: $' || CAST(CAST(COALESCE(inc, 0) - COALESCE(exp, 0) AS DECIMAL(18,2)) AS VARCHAR)
+       || ', Expense Categories: ' || COALESCE(cats, '') AS prompt_text
+FROM v_users u LEFT JOIN st ON st.user_id = u.user_id LEFT JOIN ct ON ct.user_id = u.user_id""",
+    "v_users", "v_transactions", extra_ctes=_month_ctes(_FEB)))
 def q_report_prompt_text(spark, sf_dir):
-    """The report's data block per user: totals, net and the category
-    amounts joined with ', ' (users with expenses in the month)."""
-    from ..functions.text import category_amounts_text
-    tx = Ledger(spark, sf_dir).transactions("1998-02-01", "1998-02-28")
-    st = L.monthly_stats(tx, REPORT_MONTH)
-    cats = L.category_map_of(tx, REPORT_MONTH)
-    inc = as_number(F.coalesce("total_income", F.lit(0).cast("decimal(18,2)")))
-    exp = as_number(F.coalesce("total_expenses", F.lit(0).cast("decimal(18,2)")))
-    j = st.join(cats, "user_id")
-    return j.select("user_id", F.concat(
-        F.lit("Total Income: $"), inc.cast("string"), F.lit(", Total Expenses: $"), exp.cast("string"),
-        F.lit(", Net Income: $"), (inc - exp).cast("string"), F.lit(", Expense Categories: "),
-        category_amounts_text("by_category")).alias("prompt_text"))
+    """The report's data block of every user: totals, net and the category
+    amounts joined with ', ' (none for users without expenses)."""
+    db = Ledger(spark, sf_dir)
+    return L.report_prompt(db.users(), db.transactions("1998-02-01", "1998-02-28"), REPORT_MONTH)
 
 
 @query("amend_transactions_balances_strict", "X2", oracle=with_views(f"""
@@ -584,24 +583,9 @@ def q_account_chart_by_date(spark, sf_dir):
     return L.daily_chart(Ledger(spark, sf_dir).transactions("1998-02-13", "1998-03-16"), NOW, "1M", by_date=True)
 
 
-@query("monthly_report_whole_month", "G15,F4", oracle=with_views(f"""
-SELECT u.user_id, u.email, u.name, 'February' AS month,
-       CAST(COALESCE(inc, 0) AS DOUBLE) AS total_income,
-       CAST(COALESCE(exp, 0) AS DOUBLE) AS total_expenses,
-       CAST(COALESCE(inc, 0) - COALESCE(exp, 0) AS DOUBLE) AS net_income,
-       COALESCE(n, 0) AS transaction_count,
-       {_CAT_OUT}
-FROM v_users u LEFT JOIN st USING (user_id)""", "v_users", "v_transactions", extra_ctes=f"""st AS (
-  SELECT user_id,
-         SUM(CASE WHEN type='INCOME' THEN {M('amount')} END) AS inc,
-         SUM(CASE WHEN type='EXPENSE' THEN {M('amount')} END) AS exp,
-         COUNT(*) AS n,
-         {_CAT_SUMS}
-  FROM v_transactions
-  WHERE date >= TIMESTAMP '1998-02-01 00:00:00' AND date < TIMESTAMP '1998-03-01 00:00:00'
-  GROUP BY user_id)"""))
+@query("monthly_report_whole_month", "G15,F4", oracle=_report_sql(_WHOLE_FEB))
 def q_monthly_report_whole_month(spark, sf_dir):
     """G15 with ``strict=False``: the whole calendar month, including the
     hours of its last day that the reference's bound leaves out."""
     db = Ledger(spark, sf_dir)
-    return L.monthly_report(db.users(), db.transactions("1998-02-01", "1998-03-01"), REPORT_MONTH, strict=False)
+    return _report_rows(L.monthly_report(db.users(), db.transactions("1998-02-01", "1998-03-01"), REPORT_MONTH, strict=False))

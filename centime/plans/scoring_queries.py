@@ -49,6 +49,22 @@ prob AS (
   FROM feat)"""
 
 
+# the explanation texts, joined; none of them: the normal-behaviour line
+_REASONS = f"""COALESCE(NULLIF(concat_ws(' | ',
+  CASE WHEN ratio >= 5.0 THEN 'Unusual spend spike: Amount is ' || CAST({R('ratio', 1)} AS VARCHAR) || 'x higher than the typical '
+       || bcat || ' median (INR ' || format('{{:,.0f}}', CAST({_MEDIAN} AS DOUBLE)) || ').' END,
+  CASE WHEN NOT (ratio >= 5.0) AND amount >= p95 * 2.0 THEN 'High monetary amount: Transaction (INR '
+       || format('{{:,.2f}}', CAST({M('amount')} AS DOUBLE)) || ') significantly exceeds the 95th percentile.' END,
+  CASE WHEN night = 1 THEN 'Off-hours activity: Transaction initiated at ' || lpad(CAST(hour_of_day AS VARCHAR), 2, '0') || ':00 hours.' END,
+  CASE WHEN trust < 0.35 THEN 'Unrecognized hardware: Transaction performed from a new or untrusted device.' END,
+  CASE WHEN distance_from_home_km >= 300.0 THEN 'Geo-location deviation: Transaction location is '
+       || format('{{:,.0f}}', distance_from_home_km) || ' km away from registered home base.' END,
+  CASE WHEN mrisk >= 0.65 THEN 'High merchant risk: Merchant category or terminal has elevated dispute/fraud risk.' END,
+  CASE WHEN is_foreign_currency = 1 THEN 'Cross-border transaction: Payment processed in a foreign currency.' END,
+  CASE WHEN COALESCE(velocity_1h, 1) >= 4 THEN 'High velocity burst: ' || CAST(velocity_1h AS VARCHAR)
+       || ' transactions detected within the last 60 minutes.' END), ''), 'Transaction pattern aligns with normal user behavior.')"""
+
+
 def _ev_sql(body: str, extra: str = "") -> str:
     return with_views(body, "v_risk_events", extra_ctes=FEAT_CTES + (",\n" + extra if extra else ""))
 
@@ -69,11 +85,16 @@ def q_fraud_features(spark, sf_dir):
 @query("fraud_risk", "G6,G7,P7", oracle=_ev_sql(f"""
 SELECT event_id, {R('p', 4)} AS fraud_probability, {R('p * 100.0', 1)} AS fraud_percentage,
        CASE WHEN p >= 0.70 THEN 'HIGH' WHEN p >= 0.30 THEN 'MEDIUM' ELSE 'LOW' END AS risk_level,
-       CASE WHEN p >= 0.70 THEN 'BLOCK_TRANSACTION' WHEN p >= 0.30 THEN 'MANUAL_REVIEW' ELSE 'ALLOW' END AS recommended_action
+       CASE WHEN p >= 0.70 THEN 'BLOCK_TRANSACTION' WHEN p >= 0.30 THEN 'MANUAL_REVIEW' ELSE 'ALLOW' END AS recommended_action,
+       CASE WHEN p >= 0.70 THEN 'High probability of unauthorized fraud. Block charge and prompt user verification via OTP/SMS.'
+            WHEN p >= 0.30 THEN 'Elevated risk detected. Surface in-app confirmation banner to verify legitimacy.'
+            ELSE 'Transaction pattern matches genuine cardholder profile.' END AS action_detail,
+       {_REASONS} AS risk_factors
 FROM prob"""))
 def q_fraud_risk(spark, sf_dir):
     return SC.fraud_risk(_events(spark, sf_dir)).select(
-        "event_id", "fraud_probability", "fraud_percentage", "risk_level", "recommended_action")
+        "event_id", "fraud_probability", "fraud_percentage", "risk_level", "recommended_action", "action_detail",
+        F.array_join("risk_factors", " | ").alias("risk_factors"))
 
 
 @query("anomaly_reason_flags", "G5,R1", oracle=_ev_sql("""
@@ -91,7 +112,10 @@ def q_reason_flags(spark, sf_dir):
 SELECT event_id, is_duplicate_payment, is_outlier, CASE WHEN is_outlier THEN 0.65 ELSE 0.0 END AS anomaly_score,
        (is_outlier OR is_duplicate_payment OR ratio >= 5.0) AS is_anomaly,
        CASE WHEN is_duplicate_payment OR ratio >= 10.0 THEN 'CRITICAL'
-            WHEN is_outlier OR is_duplicate_payment OR ratio >= 5.0 THEN 'WARNING' ELSE 'NORMAL' END AS severity
+            WHEN is_outlier OR is_duplicate_payment OR ratio >= 5.0 THEN 'WARNING' ELSE 'NORMAL' END AS severity,
+       CASE WHEN is_duplicate_payment THEN 'Potential duplicate payment: An identical charge of INR '
+            || format('{:,.2f}', CAST(""" + M("amount") + """ AS DOUBLE)) || ' at ''' || merchant || ''' was found in recent transactions. | '
+            ELSE '' END || """ + _REASONS + """ AS reasons
 FROM (SELECT f.*, (amount > p95 * 2.0 OR ratio >= 6.0) AS is_outlier,
              EXISTS (SELECT 1 FROM v_risk_events q WHERE q.user_id = f.user_id AND lower(q.merchant) = lower(f.merchant)
                      AND abs(q.amount - f.amount) < 0.01 AND q.event_id <> f.event_id AND q.ts <= f.ts
@@ -99,7 +123,8 @@ FROM (SELECT f.*, (amount > p95 * 2.0 OR ratio >= 6.0) AS is_outlier,
       FROM feat f)"""))
 def q_spending_anomaly(spark, sf_dir):
     return SC.spending_anomaly(_events(spark, sf_dir)).select(
-        "event_id", "is_duplicate_payment", "is_outlier", "anomaly_score", "is_anomaly", "severity")
+        "event_id", "is_duplicate_payment", "is_outlier", "anomaly_score", "is_anomaly", "severity",
+        F.array_join("reasons", " | ").alias("reasons"))
 
 
 @query("duplicate_payments", "J8", oracle=with_views("""
@@ -172,7 +197,7 @@ _ACTUAL = f"""act AS (SELECT user_id, category, CAST(SUM({M('amount')}) AS DOUBL
 _CLASS_SQL = "(VALUES " + ", ".join(f"('{c}', '{dims.CATEGORY_CLASS[c]}')" for c in dims.CATEGORIES) + ") cl(category, type)"
 
 
-def _rec_sql(body: str) -> str:
+def _rec_sql(body: str, extra: str = "") -> str:
     rec = f"""rec AS (
   SELECT a.user_id, cl.category, a.monthly_income, a.debt_obligations, a.savings,
          {"CASE cl.category " + " ".join(f"WHEN '{c}' THEN a.{c}" for c in dims.CATEGORIES) + " END"} AS recommended_budget,
@@ -181,7 +206,8 @@ def _rec_sql(body: str) -> str:
 rec2 AS (SELECT *, CAST({M('actual_spend - recommended_budget')} AS DOUBLE) AS variance FROM rec),
 rec3 AS (SELECT *, CASE WHEN actual_spend IS NULL THEN NULL WHEN variance > 0.05 * recommended_budget THEN 'OVERSPENT'
                         WHEN variance < -(0.05 * recommended_budget) THEN 'UNDERSPENT' ELSE 'OPTIMAL' END AS status FROM rec2)"""
-    return with_views(body, "v_profiles", "v_transactions", extra_ctes=_alloc_sql() + ",\n" + _ACTUAL + ",\n" + rec)
+    return with_views(body, "v_profiles", "v_transactions",
+                      extra_ctes=_alloc_sql() + ",\n" + _ACTUAL + ",\n" + rec + (",\n" + extra if extra else ""))
 
 
 @query("budget_recommendation", "G2,J14,J15", oracle=_rec_sql(f"""
@@ -203,34 +229,34 @@ def q_budget_rule_totals(spark, sf_dir):
     return SC.rule_totals(_alloc(spark, sf_dir))
 
 
+_TIP_SUMS = """sums AS (
+  SELECT a.user_id, a.savings, COALESCE(x.h, 0) AS h,
+         a.monthly_income - COALESCE(x.spent, 0.0) - greatest(0.0, COALESCE(a.debt_obligations, 0.0)) AS act_sav
+  FROM alloc a LEFT JOIN (SELECT user_id, COUNT(amount) AS h, CAST(SUM(""" + M("amount") + """) AS DOUBLE) AS spent
+                          FROM act GROUP BY user_id) x ON x.user_id = a.user_id),
+tips AS (
+  SELECT user_id, 0 AS tip_rank, 'You are INR ' || format('{:,.2f}', CAST(""" + M("savings - act_sav") + """ AS DOUBLE))
+         || ' short of your desired monthly savings target (INR ' || format('{:,.2f}', savings) || ').' AS tip
+  FROM sums WHERE h > 0 AND act_sav < savings
+  UNION ALL
+  SELECT user_id, CAST(rk AS INTEGER), CASE WHEN type = 'wants'
+      THEN 'Discretionary spending in ''' || upper(left(category, 1)) || lower(substr(category, 2)) || ''' exceeded recommended budget by INR '
+           || format('{:,.2f}', variance) || '. Reallocate this to Savings to optimize cash flow.'
+      ELSE 'Essential spending in ''' || upper(left(category, 1)) || lower(substr(category, 2)) || ''' is INR '
+           || format('{:,.2f}', variance) || ' higher than standard benchmarks. Look for subscription or utility optimizations.' END
+  FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY variance DESC, list_position(""" + "[" + ", ".join(f"'{c}'" for c in dims.CATEGORIES) + "]" + """, category)) AS rk
+        FROM rec3 WHERE status = 'OVERSPENT') WHERE rk <= 2)"""
+
+
 @query("budget_tips", "G2,W11,C4,C6,R1", oracle=_rec_sql("""
-SELECT user_id, 0 AS tip_rank, 'You are INR ' || format('{:,.2f}', CAST(gap AS DOUBLE)) || ' short of your desired monthly savings target (INR '
-       || format('{:,.2f}', savings) || ').' AS tip
-FROM (SELECT user_id, savings, """ + M("savings - (monthly_income - CAST(SUM(" + M("actual_spend") + ") AS DOUBLE) - COALESCE(debt_obligations, 0.0))") + """ AS gap,
-             monthly_income - CAST(SUM(""" + M("actual_spend") + """) AS DOUBLE) - COALESCE(debt_obligations, 0.0) AS act_sav,
-             COUNT(actual_spend) AS h
-      FROM rec3 GROUP BY user_id, savings, monthly_income, debt_obligations)
-WHERE h > 0 AND act_sav < savings
-UNION ALL
-SELECT user_id, CAST(rk AS INTEGER), CASE WHEN type = 'wants'
-    THEN 'Discretionary spending in ''' || upper(left(category, 1)) || lower(substr(category, 2)) || ''' exceeded recommended budget by INR '
-         || format('{:,.2f}', variance) || '. Reallocate this to Savings to optimize cash flow.'
-    ELSE 'Essential spending in ''' || upper(left(category, 1)) || lower(substr(category, 2)) || ''' is INR '
-         || format('{:,.2f}', variance) || ' higher than standard benchmarks. Look for subscription or utility optimizations.' END
-FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY variance DESC, list_position(""" + "[" + ", ".join(f"'{c}'" for c in dims.CATEGORIES) + "]" + """, category)) AS rk
-      FROM rec3 WHERE status = 'OVERSPENT') WHERE rk <= 2
+SELECT * FROM tips
 UNION ALL
-SELECT user_id, 0, 'Spending habits align well with recommended 50/30/20 benchmarks!' FROM alloc a
-WHERE NOT EXISTS (SELECT 1 FROM rec3 r WHERE r.user_id = a.user_id AND r.status = 'OVERSPENT')
-  AND NOT EXISTS (SELECT 1 FROM (SELECT user_id, COUNT(actual_spend) AS h,
-                                        monthly_income - CAST(SUM(""" + M("actual_spend") + """) AS DOUBLE) - COALESCE(debt_obligations, 0.0) AS act_sav,
-                                        savings FROM rec3 GROUP BY user_id, savings, monthly_income, debt_obligations) g
-                  WHERE g.user_id = a.user_id AND g.h > 0 AND g.act_sav < g.savings)"""))
+SELECT user_id, 0, 'Spending habits align well with recommended 50/30/20 benchmarks!' FROM alloc
+WHERE user_id NOT IN (SELECT user_id FROM tips)""", _TIP_SUMS))
 def q_budget_tips(spark, sf_dir):
     db = Ledger(spark, sf_dir)
-    alloc = _alloc(spark, sf_dir)
-    rec = SC.recommend_budget(alloc, _feb_actual(db))
-    return SC.budget_tips(rec, alloc, db.profiles())
+    alloc, actual = _alloc(spark, sf_dir), _feb_actual(db)
+    return SC.budget_tips(SC.recommend_budget(alloc, actual), alloc, actual, db.profiles())
 
 
 def _health_input(db: Ledger) -> DataFrame:
@@ -291,10 +317,17 @@ SELECT user_id, monthly_income, debt_obligations, current_balance, total_expense
             WHEN score >= 55 THEN 'NEEDS_ATTENTION' ELSE 'CRITICAL' END AS status,
        {R('rw', 1)} AS runway_months, {R('sr * 100', 1)} AS savings_rate_pct, {R('s_s', 1)} AS savings_rate_score,
        {R('d_s', 1)} AS debt_score, {R('c_s', 1)} AS discretionary_score, {R('r_s', 1)} AS runway_score, {R('b_s', 1)} AS buffer_score,
-       CAST((s_s < 70)::INT + (d_s < 70)::INT + (c_s < 70)::INT + (r_s < 70)::INT AS INTEGER) AS n_recommendations
+       COALESCE(NULLIF(concat_ws(' | ',
+         CASE WHEN s_s < 70 THEN 'Boost monthly savings rate (currently ' || CAST({R('sr * 100', 1)} AS VARCHAR) || '%) towards 20% by setting up auto-investments.' END,
+         CASE WHEN d_s < 70 THEN 'Fixed obligations and debt take up ' || CAST({R('fo * 100', 1)} AS VARCHAR) || '% of income. Target debt paydown to free up cash flow.' END,
+         CASE WHEN c_s < 70 THEN 'Discretionary wants account for ' || CAST({R('dr * 100', 1)} AS VARCHAR) || '% of expenses. Trimming non-essentials can quickly raise your score.' END,
+         CASE WHEN r_s < 70 THEN 'Emergency liquidity covers ' || CAST({R('rw', 1)} AS VARCHAR) || ' month(s). Aim for at least 3-6 months of expenses (INR '
+              || format('{{:,.2f}}', CAST({M('greatest(100.0, total_expenses + debt2) * 3')} AS DOUBLE)) || ').' END), ''),
+         'Excellent financial health! Maintain current investment strategy and emergency runway.') AS recommendations
 FROM h4""", "v_profiles", "v_accounts", "v_transactions", extra_ctes=_ACTUAL + ",\n" + _HEALTH_CTES))
 def q_financial_health(spark, sf_dir):
-    return SC.health_score(_health_input(Ledger(spark, sf_dir)))
+    return SC.health_score(_health_input(Ledger(spark, sf_dir))).withColumn(
+        "recommendations", F.array_join("recommendations", " | "))
 
 
 @query("profile_summary", "A33,S9", oracle=with_views("""
