@@ -40,6 +40,25 @@ def seasonal_fit(train: DataFrame, keys: list[str], target: str = "total_spend",
                     (F.coalesce("_dm", "global_mean") / (F.col("global_mean") + EPS)).alias("multiplier"))
 
 
+def seasonal_fit_sparse(daily: DataFrame, keys: list[str], amount: str = "amount", date: str = "date") -> DataFrame:
+    """A16 from transactions instead of a gap-filled series: days without rows
+    count as zero, and how often each weekday falls between a series' first and
+    last day follows from the two dates, so no calendar is materialised."""
+    t = daily.filter(F.col(date).isNotNull() & F.col(amount).isNotNull() & ~F.isnan(amount))
+    day = F.to_date(date)
+    per = t.groupBy(*keys, F.weekday(day).alias("dow")).agg(
+        F.sum(money(amount)).alias("_s"), F.min(day).alias("_lo"), F.max(day).alias("_hi"))
+    span = per.groupBy(*keys).agg(F.min("_lo").alias("_lo"), F.max("_hi").alias("_hi"), F.sum("_s").alias("_all"))
+    span = span.withColumn("_n", F.datediff("_hi", "_lo") + 1).withColumn("global_mean", as_number("_all") / F.col("_n"))
+    spine = span.withColumn("dow", F.explode(F.sequence(F.lit(0), F.lit(6))))
+    ahead = F.pmod(F.col("dow") - F.weekday("_lo"), F.lit(7))
+    times = F.when(ahead < F.col("_n"), F.floor((F.col("_n") - 1 - ahead) / 7) + 1)
+    j = spine.join(per.select(*keys, "dow", "_s"), keys + ["dow"], "left")
+    mean = as_number(F.coalesce("_s", F.lit(0).cast("decimal(18,2)"))) / times
+    return j.select(*keys, "dow", "global_mean",
+                    (F.coalesce(mean, "global_mean") / (F.col("global_mean") + EPS)).alias("multiplier"))
+
+
 def seasonal_model(fit: DataFrame, keys: list[str]) -> DataFrame:
     """One row per series: global mean and the multipliers as an array
     indexed by weekday (Monday first)."""
@@ -70,13 +89,9 @@ def _project_batches(keys: list[str], horizon: int):
             n = len(pdf)
             if n == 0:
                 continue
-            st = np.full((n, 7), np.nan)
-            for r, h in enumerate(pdf["hist"]):
-                h = np.asarray(h, dtype=float)[-7:]
-                if len(h):
-                    st[r, 7 - len(h):] = h
+            st = pdf[[f"h{j}" for j in range(7)]].to_numpy(dtype=float)
             gm = pdf["global_mean"].to_numpy(dtype=float)
-            mults = np.vstack([np.asarray(m, dtype=float) for m in pdf["multipliers"]])
+            mults = pdf[[f"m{j}" for j in range(7)]].to_numpy(dtype=float)
             dow0 = pd.to_datetime(pdf["last_date"]).dt.weekday.to_numpy()
             rows = np.arange(n)
             preds, sds = np.empty((horizon, n)), np.empty((horizon, n))
@@ -117,23 +132,25 @@ def recursive_forecast(series: DataFrame, model: DataFrame, keys: list[str], hor
     +/- 1.28 x the sample std of those 7 values, floored at 0.  Output: one
     row per (series, step) with the rounded prediction and band.
     """
-    hist = recent_history(series.select(*keys, date, target), keys, lookback, date)
-    g = hist.groupBy(*keys).agg(
-        F.transform(F.sort_array(F.collect_list(F.struct(date, target))), lambda s: s[target]).alias("hist"),
-        F.max(date).alias("last_date"))
+    hist = recent_history(series.select(*keys, date, target), keys, min(lookback, 7), date)  # a step reads 7 values
+    last = F.sort_array(F.collect_list(F.struct(date, target)))
+    g = hist.groupBy(*keys).agg(F.max(date).alias("last_date"),
+                                F.transform(last, lambda s: s[target].cast("double")).alias("_h"))
     g = g.join(model, keys, "inner")
+    # one column a value: the 7 latest, oldest first, and the 7 weekday multipliers
+    g = g.select(*keys, "last_date", "global_mean",
+                 *[F.try_element_at("_h", F.size("_h") - F.lit(6 - j)).alias(f"h{j}") if j == 6 else
+                   F.when(F.size("_h") >= 7 - j, F.try_element_at("_h", F.greatest(F.size("_h") - F.lit(6 - j), F.lit(1)))).alias(f"h{j}")
+                   for j in range(7)],
+                 *[F.element_at("multipliers", j + 1).alias(f"m{j}") for j in range(7)])
 
     schema = StructType([f for f in g.schema.fields if f.name in keys] + [
         StructField("last_date", DateType()), StructField("step", IntegerType()),
         StructField("pred", DoubleType()), StructField("sd", DoubleType())])
-    res = g.select(*keys, "last_date", "hist", "global_mean", "multipliers").mapInPandas(
-        _project_batches(keys, horizon), schema)
-    res = res.select(*keys, "last_date", F.struct("step", "pred", "sd").alias("s"))
-    e = res
-    d = F.date_add(F.col("last_date"), F.col("s.step"))
-    pred = F.col("s.pred")
-    sd = F.col("s.sd")
-    return e.select(*keys, F.col("s.step").alias("step"), d.alias("date"), day_name(d).alias("day_name"),
+    res = g.mapInPandas(_project_batches(keys, horizon), schema)
+    d = F.date_add("last_date", F.col("step"))
+    pred, sd = F.col("pred"), F.col("sd")
+    return res.select(*keys, "step", d.alias("date"), day_name(d).alias("day_name"),
                     as_number(money(pred)).alias("predicted_spend"),
                     as_number(money(F.greatest(F.lit(0.0), pred - BAND_Z * sd))).alias("lower_bound_80"),
                     as_number(money(pred + BAND_Z * sd)).alias("upper_bound_80"))
@@ -210,4 +227,14 @@ def cash_flow(daily: DataFrame, params: DataFrame, keys: list[str]) -> tuple[Dat
         "health_status",
         F.when(F.col("first_deficit_date").isNotNull(), "Risk of Cash Deficit")
          .when(F.col("savings_rate_pct") >= 20.0, "Healthy Surplus").otherwise("Tight Budget"))
+    rate = F.col("savings_rate_pct").cast("string")
+    summary = summary.withColumn("recommendation", F.when(
+        F.col("first_deficit_date").isNotNull(),
+        F.concat(F.lit("Alert: Projected balance goes negative around "), F.col("first_deficit_date").cast("string"),
+                 F.lit(". Consider reducing discretionary spending."))
+    ).when(F.col("savings_rate_pct") >= 20.0,
+           F.concat(F.lit("Excellent! Projected savings rate is "), rate,
+                    F.lit("%. You have room to allocate funds towards savings or investments."))
+    ).otherwise(F.concat(F.lit("Moderate cash flow. Projected savings rate is "), rate,
+                         F.lit("%. Monitor high-spend categories."))))
     return traj, summary

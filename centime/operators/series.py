@@ -36,11 +36,6 @@ def feature_names() -> list[str]:
     return names + ["ewm_mean_7", "ewm_mean_30"]
 
 
-def select_features(df: DataFrame, features: list[str] | None = None) -> DataFrame:
-    """keep the listed features that exist."""
-    return df.select(*[c for c in (features or feature_names()) if c in df.columns])
-
-
 def daily_series(tx: DataFrame, keys: list[str], date: str = "date", amount: str = "amount",
                  category: str = "category") -> DataFrame:
     """Per series and calendar day: total spend, count and
@@ -82,26 +77,26 @@ def _sq_dev(m: Column):
     return step
 
 
-def add_features(series: DataFrame, keys: list[str], target: str = "total_spend",
-                 date: str = "date") -> DataFrame:
+def add_features(series: DataFrame, keys: list[str], target: str = "total_spend", date: str = "date",
+                 trig_digits: int | None = None) -> DataFrame:
     """14 calendar, 7 lag, 12 rolling and 2 EWM columns.
 
     Rolling statistics use the previous ``k`` rows (min_periods 1, std of a
     single value = 0); the frame's values (at most 30) are collected and
     folded in row order, so the result does not depend on how Spark splits
     the work.  The mean becomes a column before the deviations are folded,
-    so each fold runs once per row.  Trigonometric features are rounded to 9
-    decimals so every engine's sin/cos agree.
+    so each fold runs once per row.  ``trig_digits`` rounds the sin/cos
+    columns, for comparing engines.
     """
     w = _w(keys, date)
-    cols = [F.col("*"), *calendar_features(date, trig_digits=9)]
+    cols = [F.col("*"), *calendar_features(date, trig_digits=trig_digits)]
     cols += [F.lag(target, k).over(w).alias(f"lag_{k}") for k in LAGS]
     for k in ROLLING_WINDOWS:
         frame = w.rowsBetween(-k, -1)
         cols += [F.collect_list(target).over(frame).alias(f"_l{k}"),
                  F.min(target).over(frame).alias(f"rolling_min_{k}"),
                  F.max(target).over(frame).alias(f"rolling_max_{k}")]
-    out = series.select(*cols)
+    out = add_ewm(series, keys, target, date).select(*cols)
     for k in ROLLING_WINDOWS:
         lst = F.col(f"_l{k}")
         out = out.withColumn(f"rolling_mean_{k}", F.when(F.size(lst) > 0, _fold_sum(lst) / F.size(lst)))
@@ -110,49 +105,49 @@ def add_features(series: DataFrame, keys: list[str], target: str = "total_spend"
         ssd = F.aggregate(lst, F.lit(0.0), _sq_dev(m))
         out = out.withColumn(f"rolling_std_{k}", F.when(F.size(lst) > 1, F.sqrt(ssd / (F.size(lst) - 1)))
                              .otherwise(F.lit(0.0)))
-    out = out.drop(*[f"_l{k}" for k in ROLLING_WINDOWS])
-    return add_ewm(out, keys, target, date)
+    return out.drop(*[f"_l{k}" for k in ROLLING_WINDOWS])
 
 
 def add_ewm(df: DataFrame, keys: list[str], target: str = "total_spend", date: str = "date",
             spans=EWM_SPANS, block: int = EWM_BLOCK) -> DataFrame:
-    """Adjusted exponentially weighted mean of the previous rows,
-    weights (1-a)^i, a = 2/(span+1), rounded to cents.
+    """Adjusted exponentially weighted mean of all previous rows, weights
+    (1-a)^i, a = 2/(span+1), unrounded.
 
     O(n) with plain window sums: row i of a series sits in block b = i div B;
-    x_j is stored scaled by r^(bB - j) (<= r^-(B-1), no overflow), so
+    x_j is stored scaled by r^(bB - j) (<= r^-(B-1), no overflow), and the sum
+    over all earlier blocks is carried from block to block,
 
-        num_i = r^(i-1-bB) * (running scaled sum of block b before i)
-              + r^(i-1-(b-1)B) * (scaled total of block b-1)
-              + r^(i-1-(b-2)B) * (scaled total of block b-2)
+        carry_b = r^B * (carry_(b-1) + scaled total of block b-1),
+        num_i   = r^(i-1-bB) * (carry_b + running scaled sum of block b before i)
 
-    and den likewise with x = 1.  Rows three blocks back weigh at most
-    r^(2B), below 1e-29 relative for span 30, so they are left out.
+    (one value per block and series, n / B of them), and den likewise with x = 1.
     """
     w = _w(keys, date)
-    d = df.withColumn("_i", F.row_number().over(w) - 1).withColumn("_b", F.floor(F.col("_i") / block))
-    wb = (Window.partitionBy(*keys, "_b") if keys else Window.partitionBy("_b")).orderBy("_i")
-    wr = (Window.partitionBy(*keys) if keys else Window.partitionBy()).orderBy("_b")
+    d = df.withColumn("_i", F.row_number().over(w) - 1).withColumn("_b", F.floor(F.col("_i") / block).cast("int"))
+    sums = []
     for s in spans:
-        r = 1.0 - 2.0 / (s + 1)
-        scale = F.pow(F.lit(r), F.col("_b") * block - F.col("_i"))
-        d = (d.withColumn("_u", F.col(target) * scale).withColumn("_v", scale)
-             .withColumn("_pu", F.sum("_u").over(wb.rowsBetween(Window.unboundedPreceding, -1)))
-             .withColumn("_pv", F.sum("_v").over(wb.rowsBetween(Window.unboundedPreceding, -1)))
-             .withColumn("_t1u", F.sum("_u").over(wr.rangeBetween(-1, -1)))
-             .withColumn("_t1v", F.sum("_v").over(wr.rangeBetween(-1, -1)))
-             .withColumn("_t2u", F.sum("_u").over(wr.rangeBetween(-2, -2)))
-             .withColumn("_t2v", F.sum("_v").over(wr.rangeBetween(-2, -2))))
-        f0 = F.pow(F.lit(r), F.col("_i") - 1 - F.col("_b") * block)
-        f1 = F.pow(F.lit(r), F.col("_i") - 1 - (F.col("_b") - 1) * block)
-        f2 = F.pow(F.lit(r), F.col("_i") - 1 - (F.col("_b") - 2) * block)
-        num = (f0 * F.coalesce("_pu", F.lit(0.0)) + f1 * F.coalesce("_t1u", F.lit(0.0))
-               + f2 * F.coalesce("_t2u", F.lit(0.0)))
-        den = (f0 * F.coalesce("_pv", F.lit(0.0)) + f1 * F.coalesce("_t1v", F.lit(0.0))
-               + f2 * F.coalesce("_t2v", F.lit(0.0)))
-        d = d.withColumn(f"ewm_mean_{s}", F.when(F.col("_i") > 0, as_number(money(num / den))))
-        d = d.drop("_u", "_v", "_pu", "_pv", "_t1u", "_t1v", "_t2u", "_t2v")
-    return d.drop("_i", "_b")
+        scale = F.pow(F.lit(1.0 - 2.0 / (s + 1)), F.col("_b") * block - F.col("_i"))
+        d = d.withColumn(f"_u{s}", F.col(target) * scale).withColumn(f"_v{s}", scale)
+        sums += [f"_u{s}", f"_v{s}"]
+    totals = d.groupBy(*keys, "_b").agg(*[F.sum(c).alias(c) for c in sums])
+    per = totals.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("_b", *sums))).alias("_t"))
+    state = F.struct(*[F.lit(0.0).alias(c) for c in sums])
+
+    def step(acc, t):
+        last = F.element_at(acc, -1)
+        nxt = F.struct(*[(F.lit((1.0 - 2.0 / (int(c[2:]) + 1)) ** block) * (last[c] + t[c])).alias(c) for c in sums])
+        return F.concat(acc, F.array(nxt))
+
+    carry = F.aggregate("_t", F.array(state), step)
+    per = per.select(*keys, F.posexplode(carry).alias("_b", "_x"))
+    per = per.select(*keys, "_b", *[F.col("_x")[c].alias(f"_carry{c}") for c in sums])
+    d = d.join(per, [*keys, "_b"])
+    wb = Window.partitionBy(*keys, "_b").orderBy("_i").rowsBetween(Window.unboundedPreceding, -1)
+    for s in spans:
+        f = F.pow(F.lit(1.0 - 2.0 / (s + 1)), F.col("_i") - 1 - F.col("_b") * block)
+        num, den = (f * (F.col(f"_carry_{c}{s}") + F.coalesce(F.sum(f"_{c}{s}").over(wb), F.lit(0.0))) for c in "uv")
+        d = d.withColumn(f"ewm_mean_{s}", F.when(F.col("_i") > 0, num / den))
+    return d.drop("_i", "_b", *sums, *[f"_carry{c}" for c in sums])
 
 
 def drop_burn_in(features: DataFrame) -> DataFrame:
@@ -203,6 +198,21 @@ def recent_history(series: DataFrame, keys: list[str], lookback_days: int = 60,
     return series.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= lookback_days).drop("_rn")
 
 
+def recent_daily(tx: DataFrame, keys: list[str], lookback_days: int = 60, date: str = "date",
+                 amount: str = "amount") -> DataFrame:
+    """S13/T6 from transactions: the last ``lookback_days`` days of each gap-filled
+    series (fewer if it is shorter), days without rows as zero.  Only those days
+    are generated and summed, whatever the length of the history."""
+    t = tx.filter(F.col(date).isNotNull() & F.col(amount).isNotNull() & ~F.isnan(amount)).withColumn("_day", F.to_date(date))
+    span = t.groupBy(*keys).agg(F.min("_day").alias("_lo"), F.max("_day").alias("_hi"))
+    span = span.select(*keys, F.greatest("_lo", F.date_sub("_hi", lookback_days - 1)).alias("_from"), "_hi")
+    daily = (t.join(span.select(*keys, "_from"), keys).filter(F.col("_day") >= F.col("_from"))
+             .groupBy(*keys, "_day").agg(F.sum(money(amount)).alias("_s")))
+    spine = span.select(*keys, F.explode(F.sequence("_from", "_hi")).alias("_day"))
+    return spine.join(daily, [*keys, "_day"], "left").select(
+        *keys, F.col("_day").alias("date"), as_number(F.coalesce("_s", F.lit(0).cast("decimal(18,2)"))).alias("total_spend"))
+
+
 def category_shares(tx: DataFrame, keys: list[str], amount: str = "amount", category: str = "category",
                     default_share: float = 0.14) -> DataFrame:
     """Each canonical category's share of the key's total spend;
@@ -218,8 +228,3 @@ def category_shares(tx: DataFrame, keys: list[str], amount: str = "amount", cate
     return j.select(*keys, category,
                     F.when(F.coalesce(tot, F.lit(0)) > 0, as_number(amt) / as_number(tot))
                     .otherwise(F.lit(default_share)).alias("ratio"))
-
-
-def with_series_key(df: DataFrame, key_expr: Column, name: str = "series_id") -> DataFrame:
-    return df.withColumn(name, key_expr)
-

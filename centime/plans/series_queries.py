@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import dims
-from ..functions.money import as_number, money
+from ..functions.money import as_number, money, round_to
 from ..operators import forecast as FC
 from ..operators import metrics as MT
 from ..operators import series as S
@@ -35,7 +35,10 @@ def nation_series(spark, sf_dir) -> DataFrame:
 
 
 def nation_features(spark, sf_dir) -> DataFrame:
-    return S.drop_burn_in(S.add_features(nation_series(spark, sf_dir), ["nation"]))
+    """All features; sin/cos and the exponential means rounded only here, to
+    compare engines whose last bits differ."""
+    f = S.drop_burn_in(S.add_features(nation_series(spark, sf_dir), ["nation"], trig_digits=9))
+    return f.withColumns({f"ewm_mean_{sp}": round_to(f"ewm_mean_{sp}", 3) for sp in S.EWM_SPANS})
 
 
 # ------------------------------------------------------------ oracle SQL ---
@@ -75,21 +78,13 @@ def _feat_cte(key: str) -> str:
     stds = ", ".join(
         f"CASE WHEN len(l{k}) > 1 THEN sqrt(list_reduce(list_transform(l{k}, lambda x: (x - rolling_mean_{k}) * (x - rolling_mean_{k})), lambda a, b: a + b) / (len(l{k}) - 1)) ELSE 0.0 END AS rolling_std_{k}"
         for k in S.ROLLING_WINDOWS)
-    B = S.EWM_BLOCK
-    uv, sums, ewm, tmp = [], [], [], []
-    wb = f"(PARTITION BY {key}, _b ORDER BY _i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
-    for sp in S.EWM_SPANS:
-        r = repr(1.0 - 2.0 / (sp + 1))
-        uv.append(f"total_spend * pow({r}, _b * {B} - _i) AS u{sp}, pow({r}, _b * {B} - _i) AS v{sp}")
-        for c in ("u", "v"):
-            sums.append(f"SUM({c}{sp}) OVER {wb} AS p{c}{sp}")
-            for t in (1, 2):
-                sums.append(f"SUM({c}{sp}) OVER (PARTITION BY {key} ORDER BY _b RANGE BETWEEN {t} PRECEDING AND {t} PRECEDING) AS t{t}{c}{sp}")
-            tmp += [f"{c}{sp}", f"p{c}{sp}", f"t1{c}{sp}", f"t2{c}{sp}"]
-        f0, f1, f2 = (f"pow({r}, _i - 1 - (_b - {o}) * {B})" for o in (0, 1, 2))
-        num = f"({f0} * COALESCE(pu{sp}, 0.0) + {f1} * COALESCE(t1u{sp}, 0.0) + {f2} * COALESCE(t2u{sp}, 0.0))"
-        den = f"({f0} * COALESCE(pv{sp}, 0.0) + {f1} * COALESCE(t1v{sp}, 0.0) + {f2} * COALESCE(t2v{sp}, 0.0))"
-        ewm.append(f"CASE WHEN _i > 0 THEN CAST({M(num + ' / ' + den)} AS DOUBLE) END AS ewm_mean_{sp}")
+    wall = f"(PARTITION BY {key} ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+
+    def decayed(x, r):  # plain prefix sums of x * r^-i: within a double's range up to about 2450 days
+        return f"SUM({x} * pow({r!r}, -_i)) OVER {wall}"
+
+    ewm = [f"CASE WHEN _i > 0 THEN {R(decayed('total_spend', 1.0 - 2.0 / (sp + 1)) + ' / ' + decayed('1.0', 1.0 - 2.0 / (sp + 1)), 3)} END AS ewm_mean_{sp}"
+           for sp in S.EWM_SPANS]
     two_pi = repr(2 * 3.141592653589793)
     return f"""f1 AS (
   SELECT *, isodow(date) - 1 AS day_of_week, day(date) AS day_of_month, month(date) AS month, quarter(date) AS quarter,
@@ -99,13 +94,10 @@ def _feat_cte(key: str) -> str:
          {_trig(f"sin({two_pi} * month(date) / 12.0)")} AS sin_month, {_trig(f"cos({two_pi} * month(date) / 12.0)")} AS cos_month,
          {_trig(f"sin({two_pi} * day(date) / 31.0)")} AS sin_dom, {_trig(f"cos({two_pi} * day(date) / 31.0)")} AS cos_dom,
          greatest(least(day(date) - 1, 30 - day(date)), 0) AS days_to_payday,
-         {lags}, {lists}, {mm},
-         ROW_NUMBER() OVER (PARTITION BY {key} ORDER BY date) - 1 AS _i
+         {lags}, {lists}, {mm}, CAST(ROW_NUMBER() OVER (PARTITION BY {key} ORDER BY date) - 1 AS DOUBLE) AS _i
   FROM ds),
-f2 AS (SELECT *, {means}, floor(_i / {B}) AS _b FROM f1),
-f3 AS (SELECT * EXCLUDE ({", ".join(f"l{k}" for k in S.ROLLING_WINDOWS)}), {stds}, {", ".join(uv)} FROM f2),
-f4 AS (SELECT *, {", ".join(sums)} FROM f3),
-feat_all AS (SELECT * EXCLUDE ({", ".join(tmp)}, _i, _b), {", ".join(ewm)} FROM f4),
+f2 AS (SELECT *, {means} FROM f1),
+feat_all AS (SELECT * EXCLUDE ({", ".join(f"l{k}" for k in S.ROLLING_WINDOWS)}, _i), {stds}, {", ".join(ewm)} FROM f2),
 feat AS (SELECT * FROM feat_all WHERE lag_30 IS NOT NULL)"""
 
 
@@ -299,17 +291,7 @@ def q_forecast_totals(spark, sf_dir):
     return FC.forecast_totals(_nation_forecast(spark, sf_dir), ["nation"], HORIZON)
 
 
-# --- per-user cash flow over each user's last 60 days ---
-
-def user_tail_series(db: Ledger) -> DataFrame:
-    """Each user's gap-filled daily expense series, restricted to its last
-    ``LOOKBACK`` calendar days (all the projection needs)."""
-    t = db.transactions().filter(F.col("type") == "EXPENSE")
-    span = t.groupBy("user_id").agg(F.min(F.to_date("date")).alias("_lo"), F.max(F.to_date("date")).alias("_hi"))
-    span = span.withColumn("_from", F.greatest("_lo", F.date_sub("_hi", LOOKBACK - 1)))
-    t = t.join(span.select("user_id", "_from"), "user_id").filter(F.to_date("date") >= F.col("_from")).drop("_from")
-    return S.daily_series(t, ["user_id"])
-
+# --- per-user cash flow: model of the whole history, recursion from the last 60 days ---
 
 def cash_params(db: Ledger) -> DataFrame:
     prof = db.profiles().select("user_id", "monthly_income")
@@ -320,15 +302,13 @@ def cash_params(db: Ledger) -> DataFrame:
 
 def _user_cash_flow(spark, sf_dir):
     db = Ledger(spark, sf_dir)
-    s = materialize(user_tail_series(db))
-    model = FC.seasonal_model(FC.seasonal_fit(s, ["user_id"]), ["user_id"])
-    daily = materialize(FC.recursive_forecast(s, model, ["user_id"], HORIZON, LOOKBACK))
+    spent = db.transactions().filter((F.col("type") == "EXPENSE") & F.col("category").isNotNull())
+    model = FC.seasonal_model(FC.seasonal_fit_sparse(spent, ["user_id"]), ["user_id"])
+    daily = materialize(FC.recursive_forecast(S.recent_daily(spent, ["user_id"], LOOKBACK), model, ["user_id"], HORIZON, LOOKBACK))
     return FC.cash_flow(daily, cash_params(db), ["user_id"])
 
 
-USER_SRC = f"""utx AS (SELECT user_id, date, amount, category FROM v_transactions WHERE type = 'EXPENSE'),
-uspan AS (SELECT user_id, greatest(min(CAST(date AS DATE)), max(CAST(date AS DATE)) - {LOOKBACK - 1}) AS lo FROM utx GROUP BY user_id),
-utail AS (SELECT u.* FROM utx u JOIN uspan s ON s.user_id = u.user_id WHERE CAST(u.date AS DATE) >= s.lo)"""
+USER_SRC = "utx AS (SELECT user_id, date, amount, category FROM v_transactions WHERE type = 'EXPENSE')"
 
 CASH_PARAMS = f"""params AS (
   SELECT p.user_id, p.monthly_income, b.current_balance,
@@ -346,7 +326,7 @@ traj2 AS (SELECT *, inc - {M('predicted_spend')} AS net,
 
 
 def _user_sql(body: str) -> str:
-    ctes = USER_SRC + ",\n" + _ds_cte("utail", "user_id") + ",\n" + _rec_ctes("user_id") + ",\n" + CASH_PARAMS
+    ctes = USER_SRC + ",\n" + _ds_cte("utx", "user_id") + ",\n" + _rec_ctes("user_id") + ",\n" + CASH_PARAMS
     return with_views(body, "v_users", "v_accounts", "v_transactions", "v_profiles", extra_ctes=ctes, recursive=True)
 
 
@@ -363,7 +343,13 @@ SELECT user_id, initial_balance, CAST(ti AS DOUBLE) AS projected_total_income, C
        CAST(ti - te AS DOUBLE) AS projected_net_savings, rate AS savings_rate_pct, CAST(fin AS DOUBLE) AS final_projected_balance,
        CAST(least({M('initial_balance')}, mn) AS DOUBLE) AS minimum_projected_balance, first_deficit_date,
        CASE WHEN first_deficit_date IS NOT NULL THEN 'Risk of Cash Deficit' WHEN rate >= 20.0 THEN 'Healthy Surplus'
-            ELSE 'Tight Budget' END AS health_status
+            ELSE 'Tight Budget' END AS health_status,
+       CASE WHEN first_deficit_date IS NOT NULL THEN 'Alert: Projected balance goes negative around ' || CAST(first_deficit_date AS VARCHAR)
+                 || '. Consider reducing discretionary spending.'
+            WHEN rate >= 20.0 THEN 'Excellent! Projected savings rate is ' || CAST(CAST(rate AS DOUBLE) AS VARCHAR)
+                 || '%. You have room to allocate funds towards savings or investments.'
+            ELSE 'Moderate cash flow. Projected savings rate is ' || CAST(CAST(rate AS DOUBLE) AS VARCHAR) || '%. Monitor high-spend categories.' END
+         AS recommendation
 FROM (SELECT user_id, min(current_balance) AS initial_balance, SUM(inc) AS ti, SUM({M('predicted_spend')}) AS te,
              arg_max(bal, step) AS fin, min(bal) AS mn, min(CASE WHEN bal < 0 THEN date END) AS first_deficit_date,
              CASE WHEN SUM(inc) > 0 THEN {R('CAST(SUM(inc) - SUM(' + M('predicted_spend') + ') AS DOUBLE) / CAST(SUM(inc) AS DOUBLE) * 100.0', 1)}
