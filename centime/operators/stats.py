@@ -1,11 +1,11 @@
 """Distributed statistics helpers: exact quantiles, exact per-group rank
 cut-offs, keep-first de-duplication, profiling (A14, A23-A25, U2-U8, W9).
 
-None of them sorts a whole group in one task:
-* exact quantiles narrow the answer with ``percentile_approx`` and then only
-  bring the (value, count) histogram of a thin band to the driver;
-* rank cut-offs count rows per (group, hash bucket) and only number the rows
-  of the single bucket that straddles each cut-off;
+None of them sorts a whole group in one task or collects what grows with it:
+* exact quantiles count rows in value ranges and narrow the range of a rank
+  until it holds at most ``PICK`` rows;
+* rank cut-offs count rows per (group, bucket of the order key) and sort the
+  rows of the one bucket that straddles the cut-off, to find the key there;
 * keep-first de-duplication is a ``min_by`` aggregate, combined map-side.
 """
 
@@ -15,23 +15,27 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-N_BUCKETS = 4096
+from ..session import materialize
+
+BUCKET_ROWS = 500_000  # rows of a group that a task sorts at most, about
+BINS = 2048  # value ranges counted at once for a rank
+PICK = 100_000  # rows among which a rank is picked on the driver
 
 
 # ------------------------------------------------------------- quantiles ---
 
-def exact_quantiles(df: DataFrame, col: str, probs: list[float], accuracy: int = 100000) -> list[float]:
+def exact_quantiles(df: DataFrame, col: str, probs: list[float]) -> list[float]:
     """Linear-interpolation quantiles (pandas/numpy 'linear', DuckDB
-    ``quantile_cont``) of a numeric column, exact, without collecting it.
+    ``quantile_cont``) of a numeric column, exact.
 
-    1. n and approximate values around each target rank;
-    2. one pass counting rows below each band and the per-value counts of
-       the rows inside the bands (bounded by about 4n/accuracy values);
-    3. the interpolation on those few values.  A band that misses its rank
-       (the approximation's guarantee failed) is widened and retried.
+    Every rank has a value range that holds it.  A pass counts the rows of each
+    range in ``BINS`` equal parts and narrows the range to the least and greatest
+    value of the part with the rank; a range of at most ``PICK`` rows is fetched
+    as (value, count) and the rank read off.  What reaches the driver is bounded
+    by the number of ranks, not by the data.
     """
-    v = df.select(F.col(col).cast("double").alias("v")).filter(F.col("v").isNotNull() & ~F.isnan("v"))
-    n = v.count()
+    v = materialize(df.select(F.col(col).cast("double").alias("v")).filter(F.col("v").isNotNull() & ~F.isnan("v")))
+    n, low, high = v.agg(F.count("*"), F.min("v"), F.max("v")).first()
     if n == 0:
         return [float("nan")] * len(probs)
     targets = []
@@ -39,94 +43,74 @@ def exact_quantiles(df: DataFrame, col: str, probs: list[float], accuracy: int =
         pos = q * (n - 1)
         lo = int(math.floor(pos))
         targets.append((lo, min(lo + 1, n - 1), pos - lo))
-    ranks = sorted({r for lo, hi, _ in targets for r in (lo, hi)})
-    width = 2.0 / accuracy
     values: dict[int, float] = {}
-    while True:
-        qs = []
-        for r in ranks:
-            f = r / (n - 1) if n > 1 else 0.0
-            qs += [max(0.0, f - width), min(1.0, f + width)]
-        approx = v.agg(F.percentile_approx("v", qs, accuracy).alias("a")).first()["a"]
-        bands = [(approx[2 * i], approx[2 * i + 1]) for i in range(len(ranks))]
-        # merge overlapping bands into disjoint intervals
-        merged: list[list[float]] = []
-        for lo, hi in sorted(bands):
-            if merged and lo <= merged[-1][1]:
-                merged[-1][1] = max(merged[-1][1], hi)
-            else:
-                merged.append([lo, hi])
-        in_band = F.lit(False)
-        for lo, hi in merged:
-            in_band = in_band | F.col("v").between(lo, hi)
-        below = [F.count_if(F.col("v") < lo).alias(f"b{i}") for i, (lo, _) in enumerate(merged)]
-        counts = v.agg(*below).first()
-        hist = (v.filter(in_band).groupBy("v").count().orderBy("v").collect())
-        ok = True
-        for r in ranks:
-            found = None
-            for i, (lo, hi) in enumerate(merged):
-                start = counts[f"b{i}"]
-                cum = start
-                for row in hist:
-                    if row["v"] < lo or row["v"] > hi:
-                        continue
-                    if cum <= r < cum + row["count"]:
-                        found = row["v"]
-                        break
-                    cum += row["count"]
-                if found is not None:
-                    break
-            if found is None:
-                ok = False
-                break
-            values[r] = found
-        if ok:
+    # rank -> (least value, greatest value, rows below, rows inside)
+    open_ = {r: (low, high, 0, n) for lo, hi, _ in targets for r in (lo, hi)}
+    while open_:
+        for r in [r for r, (lo, hi, _, _) in open_.items() if lo == hi]:
+            values[r] = open_.pop(r)[0]
+        if not open_:
             break
-        if width >= 1.0:
-            raise RuntimeError("exact_quantiles: could not bracket ranks")
-        width = min(1.0, width * 8)
-    out = []
-    for lo, hi, frac in targets:
-        a, b = values[lo], values[hi]
-        out.append(a + (b - a) * frac)
-    return out
+        spans = sorted({s for s in open_.values()})
+        few = {s for s in spans if s[3] <= PICK}
+        found: dict[tuple, list] = {s: [] for s in spans}
+        inside = [F.col("v").between(s[0], s[1]) for s in spans]
+        part = F.array(*[F.when(c, F.struct(
+            F.lit(i).alias("i"),
+            (F.col("v") if s in few else F.least(F.floor((F.col("v") - s[0]) / ((s[1] - s[0]) / BINS)), F.lit(BINS - 1)).cast("double")).alias("b")))
+            for i, (s, c) in enumerate(zip(spans, inside))])
+        rows = (v.select("v", F.explode(F.array_compact(part)).alias("p")).groupBy("p.i", "p.b")
+                .agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).orderBy("i", "b").collect())
+        for x in rows:
+            found[spans[x["i"]]].append(x)
+        for r, s in list(open_.items()):
+            below = s[2]
+            for x in found[s]:
+                if r < below + x["n"]:
+                    open_[r] = (x["lo"], x["hi"], below, x["n"])
+                    break
+                below += x["n"]
+    return [values[lo] + (values[hi] - values[lo]) * frac for lo, hi, frac in targets]
 
 
 # ------------------------------------------------------------ rank cuts ---
 
-def rank_below(df: DataFrame, partition_cols: list[str], order_key: Column, cutoff: Column,
-               n_buckets: int = N_BUCKETS) -> DataFrame:
+KEY_BITS = 60
+
+
+def _key_bucket(key: Column, n_buckets: int) -> Column:
+    """Order-preserving bucket of a ``seeded_hash``."""
+    return F.floor(key.cast("double") / (2.0 ** KEY_BITS / n_buckets)).cast("long")
+
+
+def _buckets(n: int) -> int:
+    return max(64, -(-n // BUCKET_ROWS) * 4)
+
+
+def rank_below(df: DataFrame, partition_cols: list[str], order_key: Column, cutoff: Column, tie: list[str]) -> DataFrame:
     """Flag ``in_head`` = the row's 1-based rank within its partition (by
-    ``order_key``, a long such as a seeded hash, ties broken by nothing else)
-    is <= ``cutoff`` (a column computed per partition, e.g. from its size).
+    ``order_key``, a ``seeded_hash``, then by the ``tie`` columns) is
+    <= ``cutoff`` (a column computed per partition, e.g. from its size).
 
-    Exact, and scalable for huge partitions: rows are counted per
-    (partition, bucket of the order key); whole buckets below the cut-off
-    are in, above are out, and only the one bucket straddling the cut-off is
-    numbered with a window (1/n_buckets of the partition).
+    The input is written once.  Rows are counted per (partition, bucket of the
+    key); the rows of the bucket that straddles the cut-off, and of no other, are
+    numbered, which gives the partition's last key inside.  All rows then compare
+    with that key.  The number of buckets follows from the row count.
     """
     pc = [F.col(c) for c in partition_cols]
-    k = df.withColumn("_ok", order_key.cast("long"))
-    # bucket = top bits of the (signed) key, order preserving
-    k = k.withColumn("_b", F.floor((F.col("_ok").cast("double") + 9.223372036854775807e18)
-                                   / (1.8446744073709552e19 / n_buckets)).cast("int"))
-    per = k.groupBy(*pc, "_b").agg(F.count("*").alias("_n"))
+    k = materialize(df.withColumn("_ok", order_key.cast("long")).withColumn("_cut", cutoff.cast("long")))
+    buckets = _buckets(k.count())
+    k = k.withColumn("_b", _key_bucket(F.col("_ok"), buckets))
+    per = k.groupBy(*pc, "_b").agg(F.count("*").alias("_n"), F.max("_cut").alias("_c"))
     w = Window.partitionBy(*pc).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     per = per.withColumn("_before", F.coalesce(F.sum("_n").over(w), F.lit(0)))
-    k = k.join(per.drop("_n"), partition_cols + ["_b"], "inner").withColumn("_cut", cutoff)
-    rn_w = Window.partitionBy(*pc, "_b").orderBy("_ok")
-    inside = k.filter(F.col("_before") < F.col("_cut"))
-    # buckets starting below the cut are numbered (each is ~1/n_buckets of the
-    # partition); buckets starting at or past the cut are out without a sort
-    inside = inside.withColumn("_rn", F.row_number().over(rn_w) + F.col("_before"))
-    head = inside.filter(F.col("_rn") <= F.col("_cut")).select(*[F.col(c) for c in df.columns],
-                                                               F.lit(True).alias("in_head"))
-    tail = k.filter(F.col("_before") >= F.col("_cut")).select(*[F.col(c) for c in df.columns],
-                                                              F.lit(False).alias("in_head"))
-    rest = inside.filter(F.col("_rn") > F.col("_cut")).select(*[F.col(c) for c in df.columns],
-                                                             F.lit(False).alias("in_head"))
-    return head.unionByName(tail).unionByName(rest)
+    last = per.filter((F.col("_before") < F.col("_c")) & (F.col("_before") + F.col("_n") >= F.col("_c")))
+    key = F.struct("_ok", *tie)
+    inside = k.join(last.select(*pc, "_b", "_before"), [*partition_cols, "_b"])
+    rn = F.row_number().over(Window.partitionBy(*pc, "_b").orderBy("_ok", *tie)) + F.col("_before")
+    edge = inside.withColumn("_rn", rn).filter(F.col("_rn") == F.col("_cut")).select(*pc, key.alias("_edge"))
+    return (k.join(edge, partition_cols, "left")
+            .select(*[F.col(c) for c in df.columns], F.coalesce(key <= F.col("_edge"), F.lit(False)).alias("in_head")))
 
 
 def _size_row(df: DataFrame) -> DataFrame:
@@ -136,8 +120,10 @@ def _size_row(df: DataFrame) -> DataFrame:
 
 
 def seeded_hash(cols: list[str], seed: int) -> Column:
-    """A deterministic pseudo-random order key (replaces a seeded shuffle, U8)."""
-    return F.xxhash64(*[F.col(c) for c in cols], F.lit(seed))
+    """A deterministic pseudo-random order key of 60 bits (replaces a seeded
+    shuffle, U8); any engine with MD5 can reproduce it."""
+    text = F.concat_ws("|", *[F.col(c).cast("string") for c in cols], F.lit(str(seed)))
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, KEY_BITS // 4), 16, 10).cast("long")
 
 
 def stratified_split(df: DataFrame, strata: list[str], key_cols: list[str], test_fraction: float = 0.2,
@@ -146,7 +132,7 @@ def stratified_split(df: DataFrame, strata: list[str], key_cols: list[str], test
     (those with the smallest seeded hash), the rest to 'train'."""
     sizes = df.groupBy(*strata).agg(F.count("*").alias("_size"))
     d = df.join(sizes, strata, "inner")
-    flagged = rank_below(d, strata, seeded_hash(key_cols, seed), F.round(F.col("_size") * test_fraction))
+    flagged = rank_below(d, strata, seeded_hash(key_cols, seed), F.round(F.col("_size") * test_fraction), key_cols)
     return flagged.withColumn("split", F.when(F.col("in_head"), "test").otherwise("train")).drop("in_head", "_size")
 
 
@@ -154,7 +140,7 @@ def positional_split(df: DataFrame, key_cols: list[str], test_fraction: float =
     """Seeded shuffle then positional cut: the first int(n*(1-f)) rows
     are 'train' (no strata)."""
     d = df.withColumn("_all", F.lit(1)).join(_size_row(df), "_all")
-    flagged = rank_below(d, ["_all"], seeded_hash(key_cols, seed), F.floor(F.col("_size") * (1 - test_fraction)))
+    flagged = rank_below(d, ["_all"], seeded_hash(key_cols, seed), F.floor(F.col("_size") * (1 - test_fraction)), key_cols)
     return flagged.withColumn("split", F.when(F.col("in_head"), "train").otherwise("test")).drop("in_head", "_size", "_all")
 
 
@@ -164,7 +150,7 @@ def group_split(df: DataFrame, group_col: Column, test_fraction: float = 0.2, se
     with the same bucketed cut, then joined back."""
     g = df.select(group_col.alias("_g")).distinct()
     g = g.withColumn("_all", F.lit(1)).join(_size_row(g), "_all")
-    flagged = rank_below(g, ["_all"], F.xxhash64("_g", F.lit(seed)), F.round(F.col("_size") * test_fraction))
+    flagged = rank_below(g, ["_all"], seeded_hash(["_g"], seed), F.round(F.col("_size") * test_fraction), ["_g"])
     sides = flagged.select("_g", F.when(F.col("in_head"), "test").otherwise("train").alias("split"))
     return df.withColumn("_g", group_col).join(sides, "_g", "inner").drop("_g")
 
@@ -172,24 +158,23 @@ def group_split(df: DataFrame, group_col: Column, test_fraction: float = 0.2, se
 def stratified_folds(df: DataFrame, label: str, key_cols: list[str], k: int = 5, seed: int = 42) -> DataFrame:
     """fold = (rank within label by seeded hash - 1) mod k, with
     k = max(2, min(k, smallest class)).  The rank is exact per label but
-    computed from bucket counts plus a window inside each bucket."""
-    smallest = df.groupBy(label).count().agg(F.min("count")).first()[0] or 0
-    kk = max(2, min(k, int(smallest)))
-    h = seeded_hash(key_cols, seed)
-    pc = [F.col(label)]
-    d = df.withColumn("_ok", h).withColumn(
-        "_b", F.floor((F.col("_ok").cast("double") + 9.223372036854775807e18) / (1.8446744073709552e19 / N_BUCKETS)).cast("int"))
+    computed from bucket counts plus a window inside each bucket, whose size
+    doesn't grow with the input."""
+    d = materialize(df.withColumn("_ok", seeded_hash(key_cols, seed)))
+    sizes = d.groupBy(label).count().agg(F.min("count"), F.sum("count")).first()
+    kk = max(2, min(k, int(sizes[0] or 0)))
+    d = d.withColumn("_b", _key_bucket(F.col("_ok"), _buckets(int(sizes[1] or 0))))
     per = d.groupBy(label, "_b").agg(F.count("*").alias("_n"))
-    w = Window.partitionBy(*pc).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    w = Window.partitionBy(label).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     per = per.withColumn("_before", F.coalesce(F.sum("_n").over(w), F.lit(0)))
     d = d.join(per.drop("_n"), [label, "_b"])
-    rn = F.row_number().over(Window.partitionBy(label, "_b").orderBy("_ok")) + F.col("_before")
+    rn = F.row_number().over(Window.partitionBy(label, "_b").orderBy("_ok", *key_cols)) + F.col("_before")
     return d.withColumn("fold", ((rn - 1) % kk).cast("int")).drop("_ok", "_b", "_before")
 
 
 def hash_folds(df: DataFrame, key_cols: list[str], k: int = 5, seed: int = 42) -> DataFrame:
     """Unstratified shuffled folds, fold = pmod(hash, k)."""
-    return df.withColumn("fold", F.pmod(seeded_hash(key_cols, seed), F.lit(k)).cast("int"))
+    return df.withColumn("fold", (seeded_hash(key_cols, seed) % k).cast("int"))
 
 
 # ---------------------------------------------------------- de-dup etc. ---

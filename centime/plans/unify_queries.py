@@ -12,12 +12,12 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions import dims
 from ..functions.dates import day_of_week
-from ..functions.money import bucket_label
+from ..functions.money import bucket_label, money
 from ..functions.text import clean_text, text_feature
 from ..operators import stats as ST
 from ..sources import adapters as AD
 from ..sources.tables import Ledger
-from .oracle_views import with_views
+from .oracle_views import M, with_views
 from .registry import query
 from ..session import materialize
 
@@ -87,6 +87,16 @@ def deduped_table(spark, sf_dir) -> DataFrame:
                          ["source", "date", "record_id"])
 
 
+def identified_table(spark, sf_dir) -> DataFrame:
+    """The de-duplicated rows with ``row_id``, an MD5 of the columns that the
+    de-duplication keeps distinct and of the row's origin.  ``record_id`` repeats
+    within a source; this id does not."""
+    d = deduped_table(spark, sf_dir)
+    parts = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("source", "record_id", "merchant", "description")]
+    text = F.concat_ws("|", *parts, F.coalesce(money("amount").cast("string"), F.lit("")), F.coalesce("category", F.lit("")))
+    return d.withColumn("row_id", F.md5(text.cast("binary")))
+
+
 # ------------------------------------------------------------ oracle SQL ---
 
 def _case_map(expr: str, mapping: dict) -> str:
@@ -137,6 +147,19 @@ dd AS (
     SELECT *, ROW_NUMBER() OVER (PARTITION BY merchant, description, amount, category
                                  ORDER BY source, date NULLS FIRST, record_id) AS rn FROM u) WHERE rn = 1)"""
 
+ROW_IDS = f"""ids AS (SELECT *, md5(concat_ws('|', COALESCE(source, ''), COALESCE(CAST(record_id AS VARCHAR), ''), COALESCE(merchant, ''),
+                         COALESCE(description, ''), COALESCE(CAST({M('amount')} AS VARCHAR), ''), COALESCE(category, ''))) AS row_id FROM dd)"""
+
+
+def _hash(text: str, seed: int = 42) -> str:
+    """DuckDB twin of ``stats.seeded_hash``."""
+    return f"CAST('0x' || substr(md5({text} || '|{seed}'), 1, 15) AS BIGINT)"
+
+
+def _id_sql(body: str) -> str:
+    return with_views(body, *_VIEWS, extra_ctes=RAW_CTES + ",\n" + ROW_IDS)
+
+
 _VIEWS = ("v_transactions", "v_purchases", "v_category_map")
 
 
@@ -290,7 +313,7 @@ SELECT category, COUNT(*) AS rows, CAST(round(COUNT(*) * 0.2) AS BIGINT) AS test
        COUNT(*) - CAST(round(COUNT(*) * 0.2) AS BIGINT) AS train_rows
 FROM dd GROUP BY category"""))
 def q_stratified_split_sizes(spark, sf_dir):
-    s = ST.stratified_split(deduped_table(spark, sf_dir), ["category"], ["source", "record_id"], 0.2, 42)
+    s = ST.stratified_split(identified_table(spark, sf_dir), ["category"], ["row_id"], 0.2, 42)
     return s.groupBy("category").agg(F.count("*").alias("rows"),
                                      F.count_if(F.col("split") == "test").alias("test_rows"),
                                      F.count_if(F.col("split") == "train").alias("train_rows"))
@@ -300,7 +323,7 @@ def q_stratified_split_sizes(spark, sf_dir):
 SELECT COUNT(*) AS rows, CAST(floor(COUNT(*) * 0.8) AS BIGINT) AS train_rows,
        COUNT(*) - CAST(floor(COUNT(*) * 0.8) AS BIGINT) AS test_rows FROM dd"""))
 def q_positional_split_sizes(spark, sf_dir):
-    s = ST.positional_split(deduped_table(spark, sf_dir), ["source", "record_id"], 0.2, 42)
+    s = ST.positional_split(identified_table(spark, sf_dir), ["row_id"], 0.2, 42)
     return s.agg(F.count("*").alias("rows"), F.count_if(F.col("split") == "train").alias("train_rows"),
                  F.count_if(F.col("split") == "test").alias("test_rows"))
 
@@ -330,5 +353,43 @@ FROM (SELECT category, COUNT(*) AS n FROM dd GROUP BY category) c,
      range(0, 5) r(f)
 WHERE f < k AND n > f"""))
 def q_stratified_fold_sizes(spark, sf_dir):
-    f = ST.stratified_folds(deduped_table(spark, sf_dir), "category", ["source", "record_id"], 5, 42)
+    f = ST.stratified_folds(identified_table(spark, sf_dir), "category", ["row_id"], 5, 42)
     return f.groupBy("category", "fold").agg(F.count("*").alias("rows"))
+
+
+# which rows, not only how many
+
+@query("stratified_split_rows", "U4,U8", oracle=_id_sql(f"""
+SELECT row_id, category, CASE WHEN ROW_NUMBER() OVER (PARTITION BY category ORDER BY {_hash('row_id')}, row_id)
+                              <= round(COUNT(*) OVER (PARTITION BY category) * 0.2) THEN 'test' ELSE 'train' END AS split FROM ids"""))
+def q_stratified_split_rows(spark, sf_dir):
+    s = ST.stratified_split(identified_table(spark, sf_dir), ["category"], ["row_id"], 0.2, 42)
+    return s.select("row_id", "category", "split")
+
+
+@query("positional_split_rows", "W9,U8", oracle=_id_sql(f"""
+SELECT row_id, CASE WHEN ROW_NUMBER() OVER (ORDER BY {_hash('row_id')}, row_id) <= floor(COUNT(*) OVER () * (1 - 0.2))
+                    THEN 'train' ELSE 'test' END AS split FROM ids"""))
+def q_positional_split_rows(spark, sf_dir):
+    return ST.positional_split(identified_table(spark, sf_dir), ["row_id"], 0.2, 42).select("row_id", "split")
+
+
+@query("group_split_rows", "U5", oracle=_id_sql(f"""
+SELECT i.row_id, g.split FROM ids i JOIN (
+  SELECT g, CASE WHEN ROW_NUMBER() OVER (ORDER BY {_hash('g')}, g) <= round(COUNT(*) OVER () * 0.2) THEN 'test' ELSE 'train' END AS split
+  FROM (SELECT DISTINCT lower(merchant) AS g FROM ids)) g ON g.g = lower(i.merchant)"""))
+def q_group_split_rows(spark, sf_dir):
+    return ST.group_split(identified_table(spark, sf_dir), F.lower("merchant"), 0.2, 42).select("row_id", "split")
+
+
+@query("stratified_fold_rows", "U6", oracle=_id_sql(f"""
+SELECT row_id, category, CAST((ROW_NUMBER() OVER (PARTITION BY category ORDER BY {_hash('row_id')}, row_id) - 1) % k AS INTEGER) AS fold
+FROM ids, (SELECT greatest(2, least(5, min(n))) AS k FROM (SELECT COUNT(*) AS n FROM ids GROUP BY category))"""))
+def q_stratified_fold_rows(spark, sf_dir):
+    f = ST.stratified_folds(identified_table(spark, sf_dir), "category", ["row_id"], 5, 42)
+    return f.select("row_id", "category", "fold")
+
+
+@query("hash_fold_rows", "U7", oracle=_id_sql(f"SELECT row_id, CAST({_hash('row_id')} % 5 AS INTEGER) AS fold FROM ids"))
+def q_hash_fold_rows(spark, sf_dir):
+    return ST.hash_folds(identified_table(spark, sf_dir), ["row_id"], 5, 42).select("row_id", "fold")

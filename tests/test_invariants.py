@@ -19,12 +19,14 @@ from centime.sources.tables import Ledger
 from conftest import SMALL
 
 
-def test_exact_quantiles_match_numpy(spark):
+def test_exact_quantiles_match_numpy(spark, monkeypatch):
     rng = random.Random(7)
     vals = [float(rng.choice([1, 2, 2, 3, 5, 8, 13])) for _ in range(500)] + [rng.uniform(0, 100) for _ in range(777)]
     df = spark.createDataFrame([(v,) for v in vals], "v double")
     qs = [0.0, 0.2, 0.4, 0.6, 0.8, 1.0]
-    got = ST.exact_quantiles(df, "v", qs, accuracy=50)  # low accuracy forces band widening
+    monkeypatch.setattr(ST, "PICK", 40)  # several rounds of narrowing
+    monkeypatch.setattr(ST, "BINS", 16)
+    got = ST.exact_quantiles(df, "v", qs)
     want = np.quantile(np.array(vals), qs)
     assert np.allclose(got, want, rtol=0, atol=1e-9)
 
