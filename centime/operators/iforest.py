@@ -1,12 +1,13 @@
 """Isolation forest on Spark.
 
-Training never moves the whole table: a bounded pool of about
-``n_trees * sample_size`` rows is sampled, each pooled row gets a tree id,
-and ``groupBy(tree_id).applyInPandas`` grows one isolation tree per group
-(at most ~sample_size rows each).  The grown forest (n_trees x <= 2 *
-sample_size nodes, a proven bound) is broadcast, and every row is scored in
-``mapInPandas`` batches: s = 2^(-E[h(x)] / c(sample_size)).  The outlier
-threshold is the (1 - contamination) quantile of the scores.
+Every tree is grown from exactly ``sample_size`` rows (all rows of a smaller
+table).  The pool they are drawn from holds the ``n_trees * sample_size`` rows
+with the smallest hash of their id, so the forest is the same for any
+partitioning; pool (bounded) and grown forest (n_trees x <= 2 * sample_size
+nodes) are broadcast, trees grow in parallel tasks, and every row is scored in
+``mapInPandas`` batches: s = 2^(-E[h(x)] / c(sample size of the tree)).  The outlier
+threshold is the (1 - contamination) quantile of the scores, which are written
+once and read for threshold and flags.
 """
 
 from __future__ import annotations
@@ -19,6 +20,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
+from ..session import materialize
+
 EULER = 0.5772156649015329
 NODE_SCHEMA = ("tree_id int, node int, feature int, threshold double, left int, right int, size long, "
                "depth int")
@@ -61,38 +64,41 @@ def _grow(tree_id: int, x: np.ndarray, max_depth: int, seed: int) -> list[tuple]
     return [tuple(n) for n in nodes]
 
 
-def fit(df: DataFrame, features: list[str], n_trees: int = 200, sample_size: int = 256,
+def fit(df: DataFrame, features: list[str], id_col: str, n_trees: int = 200, sample_size: int = 256,
         seed: int = 42) -> pd.DataFrame:
     """Grow the forest; returns the node table (small, bounded) on the driver."""
+    spark, want, top = df.sparkSession, n_trees * sample_size, 1 << 30
     n = df.count()
-    psi = min(sample_size, n)
-    frac = min(1.0, n_trees * psi * 1.2 / max(n, 1))
-    pool = (df.select(*[F.col(c).cast("double").alias(c) for c in features])
-            .sample(withReplacement=False, fraction=frac, seed=seed)
-            .withColumn("tree_id", (F.rand(seed + 1) * n_trees).cast("int")))
+    h = F.xxhash64(id_col, F.lit(seed))
+    pool = df.select(h.alias("_h"), *[F.col(c).cast("double").alias(c) for c in features])
+    if n > 2 * want:  # a share that holds about twice the pool, cut in the tasks
+        pool = pool.filter(F.pmod("_h", F.lit(top)) < int(top * 2 * want / n))
+    pool = pool.orderBy(F.pmod("_h", F.lit(top)), "_h").limit(want).toPandas()
+    x = np.nan_to_num(pool[features].to_numpy(dtype=float))
+    psi = min(sample_size, len(x))
     max_depth = int(math.ceil(math.log2(max(psi, 2))))
+    shared = spark.sparkContext.broadcast(x)
 
-    def grow(pdf: pd.DataFrame) -> pd.DataFrame:
-        tid = int(pdf["tree_id"].iloc[0])
-        x = pdf[features].to_numpy(dtype=float)[:psi]
-        x = np.nan_to_num(x)
-        return pd.DataFrame(_grow(tid, x, max_depth, seed), columns=[c.split()[0] for c in NODE_SCHEMA.split(", ")])
+    def grow(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for t in pdf["id"]:
+                rows = np.random.default_rng((seed, int(t))).choice(len(shared.value), psi, replace=False)
+                yield pd.DataFrame(_grow(int(t), shared.value[rows], max_depth, seed),
+                                   columns=[c.split()[0] for c in NODE_SCHEMA.split(", ")])
 
-    forest = pool.groupBy("tree_id").applyInPandas(grow, NODE_SCHEMA).toPandas()
-    forest.attrs["sample_size"] = psi
-    return forest
+    if not psi:
+        return pd.DataFrame(columns=[c.split()[0] for c in NODE_SCHEMA.split(", ")])
+    return spark.range(n_trees).mapInPandas(grow, NODE_SCHEMA).toPandas()
 
 
 def score(df: DataFrame, forest: pd.DataFrame, features: list[str], out: str = "anomaly_score") -> DataFrame:
     """Score every row with the broadcast forest (vectorised per batch)."""
-    psi = forest.attrs.get("sample_size", 256)
     trees = []
     for _, t in forest.groupby("tree_id"):
         t = t.sort_values("node")
         trees.append((t["feature"].to_numpy(), t["threshold"].to_numpy(), t["left"].to_numpy(),
                       t["right"].to_numpy(), t["size"].to_numpy(), t["depth"].to_numpy()))
     bc = df.sparkSession.sparkContext.broadcast(trees)
-    norm = float(c_factor([psi])[0]) or 1.0
     schema = StructType(list(df.schema.fields) + [StructField(out, DoubleType())])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -111,8 +117,8 @@ def score(df: DataFrame, forest: pd.DataFrame, features: list[str], out: str = "
                     rows = np.flatnonzero(inner)
                     go_left[rows] = x[rows, f[rows]] < thr[node[rows]]
                     node = np.where(inner, np.where(go_left, left[node], right[node]), node)
-                total += depth[node] + c_factor(size[node])
-            pdf[out] = np.power(2.0, -(total / len(forest_)) / norm)
+                total += (depth[node] + c_factor(size[node])) / (float(c_factor([size[0]])[0]) or 1.0)
+            pdf[out] = np.power(2.0, -total / max(len(forest_), 1))
             yield pdf
 
     return df.mapInPandas(run, schema)
@@ -120,5 +126,6 @@ def score(df: DataFrame, forest: pd.DataFrame, features: list[str], out: str = "
 
 def flag_outliers(scored: DataFrame, contamination: float, col: str = "anomaly_score") -> DataFrame:
     """Rows whose score is at or above the (1 - contamination) quantile."""
+    scored = materialize(scored)
     thr = scored.agg(F.percentile_approx(col, 1.0 - contamination, 100000)).first()[0]
     return scored.withColumn("is_outlier", F.col(col) >= F.lit(thr))

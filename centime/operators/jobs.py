@@ -39,12 +39,12 @@ def post_recurring(tx: DataFrame, accounts: DataFrame, events: DataFrame, now: s
     """Process due-recurring events as one set.
 
     Returns (posted copies, accounts with new balances, updated templates).
-    Events are de-duplicated on transaction_id, and the template is re-checked
-    (F12), so replaying a batch posts each template once.  ``run_id`` (the
+    Events are de-duplicated on (transaction_id, user_id), so that one with a
+    wrong user displaces no valid one, and the template is re-checked (F12), so replaying a batch posts each template once.  ``run_id`` (the
     processing clock by default) makes the posted row id deterministic.
     """
     run = run_id or now
-    ev = events.select(F.col("transaction_id").alias("id"), "user_id").dropDuplicates(["id"])
+    ev = events.select(F.col("transaction_id").alias("id"), "user_id").dropDuplicates(["id", "user_id"])
     t = with_next_date(tx)
     due = (t.join(ev, ["id", "user_id"], "left_semi")
            .filter(L.is_due(now)))

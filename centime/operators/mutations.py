@@ -8,7 +8,7 @@ join, never row by row.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.dates import next_recurring_date
 from ..functions.money import as_number, money, signed_amount
@@ -76,14 +76,20 @@ def bulk_delete(tx: DataFrame, accounts: DataFrame, requests: DataFrame) -> tupl
     return tx.join(gone.select("id"), "id", "left_anti"), apply_deltas(accounts, delta)
 
 
+def _turn(requests: DataFrame, *then: str) -> Column:
+    """Order of a batch's requests: their ``seq`` column if they have one, then
+    the given columns, so that the same request wins in every run."""
+    return F.struct(*([F.col("seq")] if "seq" in requests.columns else []), *then)
+
+
 def set_default(accounts: DataFrame, requests: DataFrame) -> DataFrame:
-    """Per requesting user, the target account becomes the only default.
+    """Per requesting user, the target account becomes the only default;
+    of several requests of a user the last one holds.
 
     Requests for accounts the user does not own change nothing.
     """
-    req = requests.select("user_id", F.col("account_id").alias("_target"))
-    req = req.join(accounts.select("user_id", F.col("account_id").alias("_target")),
-                   ["user_id", "_target"], "left_semi").dropDuplicates(["user_id"])
+    own = requests.join(accounts.select("user_id", "account_id"), ["user_id", "account_id"], "left_semi")
+    req = own.groupBy("user_id").agg(F.max_by("account_id", _turn(own, "account_id")).alias("_target"))
     j = accounts.join(req, "user_id", "left")
     return (j.withColumn("is_default", F.when(F.col("_target").isNull(), F.col("is_default"))
                          .otherwise(F.col("account_id") == F.col("_target")))
@@ -93,15 +99,20 @@ def set_default(accounts: DataFrame, requests: DataFrame) -> DataFrame:
 def open_accounts(accounts: DataFrame, requests: DataFrame) -> DataFrame:
     """Open one account per request (account_id, user_id, type, balance
     text, is_default).  A user's first account is always default; a new
-    default clears the user's other defaults.  Balances that do not parse
-    are rejected (F19)."""
+    default clears the user's other defaults, so of several default requests
+    the last one holds.  Balances that do not parse are rejected (F19)."""
     r = requests.withColumn("_bal", F.expr("try_cast(balance AS DOUBLE)"))
     r = r.filter(F.col("_bal").isNotNull() & ~F.isnan("_bal"))
-    has = accounts.groupBy("user_id").agg(F.count("*").alias("_n"))
-    r = (r.join(has, "user_id", "left")
-         .withColumn("is_default", F.when(F.coalesce("_n", F.lit(0)) == 0, F.lit(True))
-                     .otherwise(F.col("is_default")))
-         .withColumn("balance", F.col("_bal")).drop("_bal", "_n"))
+    has = accounts.select("user_id").distinct().withColumn("_has", F.lit(True))
+    turn = _turn(r, "account_id")
+    # the user's last default request, or the first request of a user without accounts
+    winner = (r.join(has, "user_id", "left").groupBy("user_id").agg(
+        F.max_by("account_id", F.when(F.col("is_default"), turn)).alias("_last"),
+        F.min_by("account_id", turn).alias("_first"), F.first("_has").alias("_has")))
+    winner = winner.select("user_id", F.coalesce("_last", F.when(F.col("_has").isNull(), F.col("_first"))).alias("_win"))
+    r = (r.join(winner, "user_id", "left")
+         .withColumn("is_default", F.coalesce(F.col("account_id") == F.col("_win"), F.lit(False)))
+         .withColumn("balance", F.col("_bal")).drop("_bal", "_win"))
     clear = r.filter("is_default").select("user_id").distinct().withColumn("_clear", F.lit(True))
     old = (accounts.join(clear, "user_id", "left")
            .withColumn("is_default", F.col("is_default") & F.col("_clear").isNull()).drop("_clear"))
@@ -109,15 +120,19 @@ def open_accounts(accounts: DataFrame, requests: DataFrame) -> DataFrame:
 
 
 def upsert_budgets(budgets: DataFrame, requests: DataFrame) -> DataFrame:
-    """One budget per user; update the amount if present, else insert."""
-    r = requests.select("user_id", F.col("amount").alias("_new"))
+    """One budget per user; update the amount if present, else insert.  Of
+    several requests of a user the last one holds."""
+    r = requests.groupBy("user_id").agg(F.max_by("amount", _turn(requests, "amount")).alias("_new"))
     j = budgets.join(r, "user_id", "full_outer")
     return j.select("user_id", F.coalesce("_new", "amount").alias("amount"), "last_alert_sent")
 
 
 def register_users(users: DataFrame, requests: DataFrame, key: str = "email") -> DataFrame:
-    """Insert requested users whose external key is not present."""
-    new = requests.join(users.select(key), key, "left_anti").dropDuplicates([key])
+    """Insert requested users whose external key is not present; of several
+    requests with one key the first one holds."""
+    fresh = requests.join(users.select(key), key, "left_anti")
+    row = F.struct(*[c for c in users.columns if c != key])
+    new = fresh.groupBy(key).agg(F.min_by(row, _turn(fresh, *[c for c in users.columns if c != key])).alias("_r")).select(key, "_r.*")
     return users.unionByName(new.select(*users.columns))
 
 
@@ -158,9 +173,3 @@ def reconcile(accounts: DataFrame, tx: DataFrame, opening: DataFrame | None = No
     return j.select("account_id", "user_id", as_number(money("balance")).alias("balance"),
                     as_number(expected).alias("expected_balance"),
                     as_number(money("balance") - expected).alias("drift"))
-
-
-def latest_version(rows: DataFrame, key: str, version: str) -> DataFrame:
-    """Keep the newest version of each key (used when replaying change batches)."""
-    w = Window.partitionBy(key).orderBy(F.col(version).desc())
-    return rows.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")

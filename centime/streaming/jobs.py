@@ -3,8 +3,8 @@
 
 Sources are any streaming DataFrame (a parquet/Kafka source in production,
 a file source with ``availableNow`` in tests).  Writes go through
-``foreachBatch`` with idempotent logic — every batch is de-duplicated and
-anti-joined against what was already written — so a replayed micro-batch
+``foreachBatch`` with idempotent logic: every batch is de-duplicated and
+anti-joined against what earlier batches wrote, so a replayed micro-batch
 (after an executor or driver failure) produces no second posting or alert.
 Checkpoints belong in the cluster's shared checkpoint folder.
 """
@@ -15,49 +15,65 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..functions.money import money, signed_amount
 from ..operators import jobs as J
 from ..operators import scoring as SC
 from ..session import scratch_path
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether Spark's file system for ``path`` has it."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
 def _read_or_empty(spark: SparkSession, path: str, schema) -> DataFrame:
-    try:
+    """The table, or an empty one before the first batch.  Only a missing path
+    counts as empty: any other failure must fail the batch, or it would post twice."""
+    if path_exists(spark, path):
         return spark.read.schema(schema).parquet(path)
-    except Exception:  # noqa: BLE001 - first batch: nothing written yet
-        return spark.createDataFrame([], schema)
+    return spark.createDataFrame([], schema)
 
 
 def recurring_batch_writer(tx: DataFrame, accounts: DataFrame, now: str, out_dir: str):
     """P2 as a ``foreachBatch`` function.
 
-    A micro-batch of (transaction_id, user_id) events is de-duplicated,
-    events already posted for this run (``source_id`` in the posted table)
-    are dropped, the rest are posted set-based with ``post_recurring`` and
-    appended; per-account deltas are appended to a delta log that balance
-    readers sum.
+    A micro-batch of (transaction_id, user_id) events is de-duplicated, events
+    that other epochs posted for this run (``source_id`` in the posted table) are
+    dropped, and the rest are posted set-based with ``post_recurring``.
+
+    The postings are the only table written, one folder per epoch that a replay
+    overwrites: a batch is there or not, there is nothing between two writes to
+    lose.  Balance changes and advanced templates are derived from it
+    (``posted_deltas``, ``advanced_templates``).
     """
     posted_path = os.path.join(out_dir, "posted")
-    delta_path = os.path.join(out_dir, "balance_deltas")
 
     def write(batch: DataFrame, epoch_id: int) -> None:
         spark = batch.sparkSession
-        ev = batch.select("transaction_id", "user_id").dropDuplicates(["transaction_id"])
-        done = _read_or_empty(spark, posted_path, "source_id long, run string").filter(F.col("run") == now)
+        ev = batch.select("transaction_id", "user_id").dropDuplicates(["transaction_id", "user_id"])
+        done = _read_or_empty(spark, posted_path, "source_id long, run string, epoch long")
+        done = done.filter((F.col("run") == now) & (F.col("epoch") != epoch_id))
         ev = ev.join(done.select(F.col("source_id").alias("transaction_id")), "transaction_id", "left_anti")
         posted, _, _ = J.post_recurring(tx, accounts, ev, now)
-        posted = posted.withColumn("run", F.lit(now)).persist()
-        if posted.isEmpty():
-            posted.unpersist()
-            return
-        posted.write.mode("append").parquet(posted_path)
-        (posted.groupBy("account_id").agg(F.sum(F.when(F.col("type") == "EXPENSE", -F.col("amount"))
-                                                .otherwise(F.col("amount"))).alias("delta"))
-         .withColumn("epoch", F.lit(epoch_id)).write.mode("append").parquet(delta_path))
-        posted.unpersist()
+        (posted.withColumn("run", F.lit(now)).write.mode("overwrite")
+         .parquet(os.path.join(posted_path, f"epoch={epoch_id}")))
 
     return write
 
 
+def posted_deltas(posted: DataFrame) -> DataFrame:
+    """Balance change of each account from the posted table, exact."""
+    return posted.groupBy("account_id").agg(F.sum(signed_amount("type", money("amount"))).alias("delta"))
+
+
+def advanced_templates(tx: DataFrame, posted: DataFrame) -> DataFrame:
+    """The recurring templates with the clock of their last posting."""
+    last = posted.groupBy(F.col("source_id").alias("id")).agg(F.max("date").alias("_at"))
+    t = tx.filter("is_recurring").join(last, "id", "left")
+    return J.with_next_date(t.withColumn("last_processed", F.coalesce("_at", "last_processed")).drop("_at"))
+
+
 def throttle_stream(stream: DataFrame, limit: int = 10, watermark: str = "1 minute") -> DataFrame:
     """P3 stream form: per (user, 1-minute window) counts, with the admitted
     and deferred split (update mode; windows close at the watermark)."""
@@ -102,11 +118,15 @@ def budget_alert_batch_writer(budgets: DataFrame, users: DataFrame, accounts: Da
 
     def write(batch: DataFrame, epoch_id: int) -> None:
         spark = batch.sparkSession
-        batch.write.mode("append").parquet(tx_path)
-        tx = spark.read.parquet(tx_path).dropDuplicates(["id"])
+        (batch.withColumn("month", F.trunc(F.to_date("date"), "MM")).write.mode("append")
+         .partitionBy("month").parquet(tx_path))
         touched = batch.select("user_id").distinct()
-        sent = _read_or_empty(spark, alert_path, "user_id long, alert_month date")
         month = F.trunc(F.to_date(F.expr(f"TIMESTAMP_NTZ '{now}'")), "MM")
+        # this month's folders and this batch's users only, then one row per id
+        log = spark.read.schema(batch.schema.add("month", "date")).parquet(tx_path)
+        tx = (log.filter(F.col("month") >= month).drop("month").join(touched, "user_id", "left_semi")
+              .dropDuplicates(["id"]))
+        sent = _read_or_empty(spark, alert_path, "user_id long, alert_month date")
         b = (budgets.join(touched, "user_id", "left_semi")
              .join(sent.filter(F.col("alert_month") == month).select("user_id"), "user_id", "left_anti"))
         alerts, _ = J.budget_alerts(b, users, accounts, tx, now)

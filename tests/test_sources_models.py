@@ -82,7 +82,7 @@ def test_fraud_classifiers_and_vote(spark):
                                          .otherwise(1 - F.col("confidence")).alias("score"))
     r = MT.ranking_metrics(scored, []).first()
     assert r["roc_auc"] > 0.9
-    forest = IF.fit(feats, cols, n_trees=50, sample_size=128, seed=1)
+    forest = IF.fit(feats, cols, "id", n_trees=50, sample_size=128, seed=1)
     s = IF.flag_outliers(IF.score(feats, forest, cols), 0.05)
     rate = s.filter("is_outlier").count() / s.count()
     assert 0.03 < rate < 0.08
