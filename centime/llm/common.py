@@ -137,6 +137,16 @@ def span_hashes(data: bytes, starts: np.ndarray, lens: np.ndarray) -> np.ndarray
         step += 1
 
 
+def group_equal(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct values in order, place of one member of each, group of every value)."""
+    order = np.argsort(h)
+    s = h[order]
+    new = np.concatenate([[True], s[1:] != s[:-1]]) if len(s) else np.empty(0, bool)
+    group = np.empty(len(h), np.int64)
+    group[order] = np.cumsum(new) - 1
+    return s[new], order[new], group
+
+
 class UnitMemo:
     """Encodings of distinct text units, found by 64-bit hashes: a unit that
     occurs again costs a lookup in sorted arrays.  ``encode`` turns a list of
@@ -172,7 +182,7 @@ class UnitMemo:
             return np.empty(0, np.int32), np.empty(0, np.int64)
         if self.n > self.limit:
             self._forget()
-        keys, where, inverse = np.unique(span_hashes(data, starts, lens), return_index=True, return_inverse=True)
+        keys, where, inverse = group_equal(span_hashes(data, starts, lens))
         at = np.searchsorted(self.keys, keys)
         new = at == len(self.keys)
         new[~new] = self.keys[at[~new]] != keys[~new]

@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import BLOCK_BYTES, NO_ID, block_texts, make_blocks, squeeze, stretch
-from .common import mix64, span_hashes, u64_view, written
+from .common import group_equal, mix64, span_hashes, u64_view, written
 
 LENGTH = 50
 TRIGGER = 24  # bytes of the rolling hash
@@ -124,7 +124,7 @@ def same_spans(data: bytes, start: np.ndarray, size: np.ndarray):
         key = span_hashes(data, start, size)
         if seed:
             key = mix64(key + np.uint64(seed)) ^ span_hashes(data, start + size // 2, size - size // 2)
-        _, one, group = np.unique(key, return_index=True, return_inverse=True)
+        _, one, group = group_equal(key)
         if _equal(data, start, start[one[group]], size, size[one[group]]):
             return one, group
         seed += 1  # two different spans had one hash
