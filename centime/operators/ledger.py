@@ -19,18 +19,6 @@ from ..functions.text import category_amounts_text, display_description
 
 # ---------------------------------------------------------------- filters ---
 
-def scope_user(df: DataFrame, user_id) -> DataFrame:
-    """rows of one user."""
-    return df.filter(F.col("user_id") == F.lit(user_id))
-
-
-def ids_in(df: DataFrame, ids, key: str = "id") -> DataFrame:
-    """``key`` in a literal list, or semi-join against a DataFrame of keys."""
-    if isinstance(ids, DataFrame):
-        return df.join(ids.select(F.col(ids.columns[0]).alias(key)).distinct(), key, "left_semi")
-    return df.filter(F.col(key).isin(list(ids)))
-
-
 def month_window(date_col: str, anchor: str, strict: bool = True) -> Column:
     """date within the month of ``anchor`` (a timestamp literal text).
 
@@ -95,11 +83,6 @@ def is_due(now: str) -> Column:
         F.coalesce(F.col("next_recurring_date") <= ts_lit(now), F.lit(False)))
 
 
-def category_type_filter(categories: DataFrame, type_: str) -> DataFrame:
-    """ledger categories offered for a transaction type."""
-    return categories.filter(F.col("type") == type_)
-
-
 def validation_errors(tx: DataFrame) -> Column:
     """list of rule violations of a transaction row (empty = valid)."""
     amt = F.col("amount").cast("string")
@@ -120,12 +103,6 @@ def validation_errors(tx: DataFrame) -> Column:
     return F.array_compact(F.array(*[F.when(c, F.lit(m)) for c, m in checks]))
 
 
-def split_valid(tx: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(valid rows, quarantined rows with their ``errors`` list)."""
-    t = tx.withColumn("errors", validation_errors(tx))
-    return (t.filter(F.size("errors") == 0).drop("errors"), t.filter(F.size("errors") > 0))
-
-
 def valid_budget_amount(c) -> Column:
     """numeric and > 0."""
     v = F.expr(f"try_cast({c} AS DOUBLE)") if isinstance(c, str) else c.try_cast("double")
@@ -148,25 +125,6 @@ def account_tx_counts(accounts: DataFrame, tx: DataFrame) -> DataFrame:
             .withColumn("transaction_count", F.coalesce("transaction_count", F.lit(0)).cast("long")))
 
 
-def account_with_transactions(accounts: DataFrame, tx: DataFrame) -> DataFrame:
-    """J2 (nested form): one row per account, transactions nested
-    date-descending, plus count.
-
-    The list holds an account's whole history in one row, so use it for
-    bounded histories (one account's view, or ``tx`` already paged); the
-    flat ``account_history`` is the form that scales to hot accounts.
-    """
-    t = tx.select("account_id", F.struct(
-        F.col("date"), F.col("id"), F.col("type"), as_number(money("amount")).alias("amount"),
-        F.col("description"), F.col("category")).alias("t"))
-    nested = t.groupBy("account_id").agg(
-        F.sort_array(F.collect_list("t"), asc=False).alias("transactions"),
-        F.count("*").alias("transaction_count"))
-    return (accounts.join(nested, "account_id", "left")
-            .withColumn("transactions", F.coalesce("transactions", F.array()))
-            .withColumn("transaction_count", F.coalesce("transaction_count", F.lit(0)).cast("long")))
-
-
 def owned(requests: DataFrame, accounts: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(requests whose account belongs to the user, rejected requests)."""
     keys = accounts.select("account_id", "user_id")

@@ -24,14 +24,6 @@ from ..functions.text import text_feature
 from . import text_features as TF
 
 
-def with_class_weights(df: DataFrame, label: str = "category", out: str = "weight") -> DataFrame:
-    """'balanced' weights n / (k * n_class), from a per-class count."""
-    counts = df.groupBy(label).agg(F.count("*").alias("_nc"))
-    k = counts.count()
-    n = counts.agg(F.sum("_nc")).first()[0]
-    return df.join(F.broadcast(counts), label).withColumn(out, F.lit(float(n)) / (k * F.col("_nc"))).drop("_nc")
-
-
 def categoriser_inputs(df: DataFrame) -> DataFrame:
     """Model inputs of a unified transaction: word 1-3-grams of the text
     feature, day of week, amount bucket (if present)."""

@@ -121,7 +121,9 @@ def open_accounts(accounts: DataFrame, requests: DataFrame) -> DataFrame:
 
 def upsert_budgets(budgets: DataFrame, requests: DataFrame) -> DataFrame:
     """One budget per user; update the amount if present, else insert.  Of
-    several requests of a user the last one holds."""
+    several requests of a user the last one holds; amounts that are no number
+    above zero are rejected (F19)."""
+    requests = requests.filter(L.valid_budget_amount("amount")).withColumn("amount", F.expr("try_cast(amount AS DOUBLE)"))
     r = requests.groupBy("user_id").agg(F.max_by("amount", _turn(requests, "amount")).alias("_new"))
     j = budgets.join(r, "user_id", "full_outer")
     return j.select("user_id", F.coalesce("_new", "amount").alias("amount"), "last_alert_sent")

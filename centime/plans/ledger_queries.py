@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import dims
-from ..functions.money import as_number
+from ..functions.money import as_number, money
 from ..operators import ledger as L
 from ..sources.tables import FIXTURE_NOW, Ledger
 from .oracle_views import M, R, with_views
@@ -71,7 +71,7 @@ def NEXT(base: str, iv: str) -> str:
 SIGNED = f"CASE WHEN type='EXPENSE' THEN -{M('amount')} ELSE {M('amount')} END"
 
 
-@query("budget_utilisation", "A1,A2,F3,D2,S12", oracle=with_views(f"""
+@query("budget_utilisation", "A1,A2,F3,D2", oracle=with_views(f"""
 SELECT user_id, account_id, budget_amount, cur AS current_expenses, {R('pct')} AS pct_used,
        CASE WHEN pct >= 90 THEN 'red' WHEN pct >= 75 THEN 'yellow' ELSE 'green' END AS band
 FROM k""", "v_accounts", "v_budgets", "v_transactions", extra_ctes=f"""sp AS (
@@ -135,7 +135,7 @@ def q_account_summary(spark, sf_dir):
     return L.account_tx_counts(db.accounts(), db.transactions())
 
 
-@query("account_history", "J2,T1,S12,C5", oracle=with_views(f"""
+@query("account_history", "J2,T1,C5", oracle=with_views(f"""
 SELECT a.account_id, a.user_id, a.type, a.is_default, a.balance,
        t.id AS tx_id, t.date AS tx_date, t.type AS tx_type, CAST({M('t.amount')} AS DOUBLE) AS tx_amount,
        CASE WHEN t.id IS NULL THEN NULL ELSE COALESCE(NULLIF(t.description, ''), 'Untitled Transaction') END AS tx_description,
@@ -148,7 +148,7 @@ def q_account_history(spark, sf_dir):
     return L.account_history(db.accounts(), db.transactions())
 
 
-@query("transactions_listing", "F1,F10,J1,T1,S11", oracle=with_views(f"""
+@query("transactions_listing", "F10,J1,T1,S11", oracle=with_views(f"""
 SELECT t.*, a.type AS account_type, a.is_default AS account_is_default
 FROM v_transactions t JOIN v_accounts a ON a.account_id = t.account_id WHERE t.status = 'COMPLETED'""",
     "v_accounts", "v_transactions"))
@@ -300,7 +300,7 @@ def q_throttle_events(spark, sf_dir):
 _LEDGER_CATS_SQL = "(VALUES " + ", ".join(f"('{i}', '{t}')" for i, _, t, _, _ in LEDGER_CATEGORIES) + ") lc(cid, ctype)"
 
 
-@query("transaction_validation", "F17,F18,F19,R2", oracle=with_views(f"""
+@query("transaction_validation", "F17,F18,F19", oracle=with_views(f"""
 SELECT id, concat_ws('; ',
   CASE WHEN type IS NULL OR type NOT IN ('INCOME', 'EXPENSE') THEN 'type: invalid enum' END,
   CASE WHEN COALESCE(length(CAST(amount AS VARCHAR)), 0) < 1 THEN 'amount: Amount is required' END,
@@ -462,7 +462,7 @@ def q_open_accounts(spark, sf_dir):
     return X.open_accounts(db.accounts(), req)
 
 
-@query("upsert_budgets", "X6", oracle=with_views(f"""
+@query("upsert_budgets", "X6,F19", oracle=with_views(f"""
 SELECT COALESCE(b.user_id, r.user_id) AS user_id, COALESCE(r.amount, b.amount) AS amount, b.last_alert_sent
 FROM v_budgets b FULL OUTER JOIN req r ON r.user_id = b.user_id""", "v_budgets", "v_transactions", extra_ctes=f"""req AS (
   SELECT user_id, CAST(ROUND(SUM({M('amount')}) * 1.1, 2) AS DOUBLE) AS amount FROM v_transactions
@@ -589,3 +589,28 @@ def q_monthly_report_whole_month(spark, sf_dir):
     hours of its last day that the reference's bound leaves out."""
     db = Ledger(spark, sf_dir)
     return _report_rows(L.monthly_report(db.users(), db.transactions("1998-02-01", "1998-03-01"), REPORT_MONTH, strict=False))
+
+
+_CAT_VALUES = "(VALUES " + ", ".join(
+    f"('{i}', '{n}', '{t}', '{c}', '{', '.join(sub)}')" for i, n, t, c, sub in LEDGER_CATEGORIES) + ") lc(cid, label, ctype, color, subcategories)"
+_INTERVALS = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in dims.INTERVAL_LABELS.items())
+
+
+@query("category_totals_labelled", "R2,A7", oracle=with_views(f"""
+SELECT t.category, lc.label, lc.color, lc.subcategories, t.interval_label, t.amount, t.transaction_count
+FROM (SELECT category, type, CASE recurring_interval {_INTERVALS} END AS interval_label,
+             CAST(SUM({M('amount')}) AS DOUBLE) AS amount, COUNT(*) AS transaction_count
+      FROM v_transactions GROUP BY category, type, recurring_interval) t
+LEFT JOIN {_CAT_VALUES} ON lc.cid = t.category AND lc.ctype = t.type""", "v_transactions"))
+def q_category_totals_labelled(spark, sf_dir):
+    """R2: totals per category and recurrence with the category's label, colour
+    and subcategories (a fixed 21-row table) and the interval's label."""
+    tx = Ledger(spark, sf_dir).transactions()
+    per = tx.groupBy("category", "type", "recurring_interval").agg(
+        as_number(F.sum(money("amount"))).alias("amount"), F.count("*").alias("transaction_count"))
+    cats = F.broadcast(ledger_categories_df(spark).select(
+        F.col("id").alias("category"), "type", F.col("name").alias("label"), "color",
+        F.array_join("subcategories", ", ").alias("subcategories")))
+    return per.join(cats, ["category", "type"], "left").select(
+        "category", "label", "color", "subcategories",
+        dims.map_expr(dims.INTERVAL_LABELS, F.col("recurring_interval")).alias("interval_label"), "amount", "transaction_count")

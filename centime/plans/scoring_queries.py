@@ -82,7 +82,7 @@ def q_fraud_features(spark, sf_dir):
                     "trust_clipped", "merchant_risk_clipped", "velocity_1h")
 
 
-@query("fraud_risk", "G6,G7,P7", oracle=_ev_sql(f"""
+@query("fraud_risk", "G5,G6,G7,P7", oracle=_ev_sql(f"""
 SELECT event_id, {R('p', 4)} AS fraud_probability, {R('p * 100.0', 1)} AS fraud_percentage,
        CASE WHEN p >= 0.70 THEN 'HIGH' WHEN p >= 0.30 THEN 'MEDIUM' ELSE 'LOW' END AS risk_level,
        CASE WHEN p >= 0.70 THEN 'BLOCK_TRANSACTION' WHEN p >= 0.30 THEN 'MANUAL_REVIEW' ELSE 'ALLOW' END AS recommended_action,
@@ -330,7 +330,7 @@ def q_financial_health(spark, sf_dir):
         "recommendations", F.array_join("recommendations", " | "))
 
 
-@query("profile_summary", "A33,S9", oracle=with_views("""
+@query("profile_summary", "A33", oracle=with_views("""
 SELECT COUNT(*) AS rows, min(monthly_income) AS min_income, max(monthly_income) AS max_income,
        quantile_cont(monthly_income, 0.5) AS median_income FROM v_profiles""", "v_profiles"))
 def q_profile_summary(spark, sf_dir):

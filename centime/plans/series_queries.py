@@ -135,7 +135,7 @@ def q_series_cv_blocks(spark, sf_dir):
     return S.expanding_folds(nation_features(spark, sf_dir), ["nation"]).select("nation", "date", "cv_block")
 
 
-@query("series_summary_nation", "A17,S9", oracle=_nation_sql(f"""
+@query("series_summary_nation", "A17", oracle=_nation_sql(f"""
 SELECT nation, min(date) AS start_date, max(date) AS end_date, COUNT(total_spend) AS rows,
        CAST(SUM({M('total_spend')}) AS DOUBLE) / COUNT(total_spend) AS mean, {R('stddev_samp(total_spend)', 4)} AS std
 FROM ds GROUP BY nation"""))
