@@ -65,6 +65,22 @@ def parse_insights(c) -> Column:
     return F.coalesce(parsed, F.array(*[F.lit(s) for s in FALLBACK_INSIGHTS]))
 
 
+RECEIPT_FIELDS = ["amount", "date", "description", "merchantName", "category"]  # fixed names of the reply
+
+
+def receipt_record(c) -> Column:
+    """Reply text -> struct(parsed, amount, date, description, category,
+    merchant_name).  ``parsed`` is false for text that is no JSON (the caller
+    quarantines it); a field that is missing or of another kind is null."""
+    text = strip_code_fence(c)
+    r = F.from_json(text, T.StructType([T.StructField(f, T.StringType()) for f in RECEIPT_FIELDS]), {"mode": "PERMISSIVE"})
+    return F.struct(F.try_parse_json(text).isNotNull().alias("parsed"),
+                    r["amount"].try_cast("double").alias("amount"),
+                    F.try_to_timestamp(r["date"]).cast("timestamp_ntz").alias("date"),
+                    r["description"].alias("description"), r["category"].alias("category"),
+                    r["merchantName"].alias("merchant_name"))
+
+
 def category_amounts_text(map_col) -> Column:
     """C8: 'cat: $amt' entries joined with ', ' (empty map: empty text)."""
     return F.array_join(

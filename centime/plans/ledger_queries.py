@@ -614,3 +614,25 @@ def q_category_totals_labelled(spark, sf_dir):
     return per.join(cats, ["category", "type"], "left").select(
         "category", "label", "color", "subcategories",
         dims.map_expr(dims.INTERVAL_LABELS, F.col("recurring_interval")).alias("interval_label"), "amount", "transaction_count")
+
+
+@query("receipt_records", "C7,F18", oracle="""
+SELECT id, parsed, CASE WHEN good THEN amount END AS amount, CASE WHEN good THEN date END AS date,
+       CASE WHEN good THEN 'Order of ' || clerk END AS description, CASE WHEN good THEN 'shopping' END AS category,
+       CASE WHEN good THEN clerk END AS merchant_name, parsed AND good AND amount > 0 AS accepted
+FROM (SELECT o_orderkey AS id, o_orderkey % 13 <> 0 AS parsed, o_orderkey % 13 <> 0 AND o_orderkey % 17 <> 0 AS good,
+             o_totalprice AS amount, CAST(CAST(o_orderdate AS DATE) AS TIMESTAMP) AS date, o_orderpriority AS clerk FROM orders)""")
+def q_receipt_records(spark, sf_dir):
+    """Receipt replies (built from the orders: fenced JSON, every 17th an empty
+    object, every 13th no JSON) parsed to records; rows not ``accepted`` are the
+    quarantine."""
+    from ..functions.text import receipt_record
+    o = Ledger(spark, sf_dir).table("orders", "o_orderkey", "o_totalprice", "o_orderdate", "o_orderpriority")
+    body = F.to_json(F.struct(F.col("o_totalprice").alias("amount"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("date"),
+                              F.concat(F.lit("Order of "), F.col("o_orderpriority")).alias("description"),
+                              F.col("o_orderpriority").alias("merchantName"), F.lit("shopping").alias("category")))
+    reply = (F.when(F.col("o_orderkey") % 13 == 0, F.lit("I could not read this receipt"))
+             .when(F.col("o_orderkey") % 17 == 0, F.lit("```json\n{}\n```"))
+             .otherwise(F.concat(F.lit("```json\n"), body, F.lit("\n```"))))
+    r = o.select(F.col("o_orderkey").alias("id"), receipt_record(reply).alias("r")).select("id", "r.*")
+    return r.withColumn("accepted", F.col("parsed") & F.coalesce(F.col("amount") > 0, F.lit(False)))

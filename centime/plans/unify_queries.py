@@ -8,6 +8,8 @@ rows from the ledger transactions and toy-shaped rows from the events.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions import dims
@@ -19,7 +21,7 @@ from ..sources import adapters as AD
 from ..sources.tables import Ledger
 from .oracle_views import M, with_views
 from .registry import query
-from ..session import materialize
+from ..session import materialize, scratch_path
 
 # Fixture rule: household-style native names for the ledger categories.
 HOUSEHOLD_NATIVE = {"food": "Food", "shopping": "Apparel", "transport": "Transportation",
@@ -239,6 +241,17 @@ def fit_bucket_edges(df: DataFrame, col: str = "amount", labels=None):
     return uniq, labs
 
 
+def save_bucketizer(spark, edges: list[float], labels: list[str], path: str) -> None:
+    """M6: the fitted edges and labels as a one-row table."""
+    row = [([float(e) for e in edges], list(labels))]
+    spark.createDataFrame(row, "edges array<double>, labels array<string>").write.mode("overwrite").parquet(path)
+
+
+def load_bucketizer(spark, path: str) -> tuple[list[float], list[str]]:
+    r = spark.read.parquet(path).first()
+    return list(r["edges"]), list(r["labels"])
+
+
 @query("amount_bucket_edges", "A25,M6", oracle=_sql("""
 SELECT CAST(i - 1 AS INTEGER) AS edge_index, e[i] AS edge_value
 FROM (SELECT list_sort(list_distinct(quantile_cont(amount, [0.0, 0.2, 0.4, 0.6, 0.8, 1.0]))) AS e FROM dd),
@@ -248,7 +261,7 @@ def q_bucket_edges(spark, sf_dir):
     return spark.createDataFrame([(i, float(e)) for i, e in enumerate(edges)], "edge_index int, edge_value double")
 
 
-@query("amount_buckets", "A25,M5", oracle=_sql("""
+@query("amount_buckets", "A25,M5,M6", oracle=_sql("""
 SELECT source, record_id, amount,
        CASE WHEN amount IS NULL OR isnan(amount) THEN 'nan' WHEN amount <= e[2] THEN 'very_low'
             WHEN amount <= e[3] THEN 'low' WHEN amount <= e[4] THEN 'medium' WHEN amount <= e[5] THEN 'high'
@@ -256,7 +269,9 @@ SELECT source, record_id, amount,
 FROM dd, (SELECT list_sort(list_distinct(quantile_cont(amount, [0.0, 0.2, 0.4, 0.6, 0.8, 1.0]))) AS e FROM dd)"""))
 def q_amount_buckets(spark, sf_dir):
     d = materialize(deduped_table(spark, sf_dir))
-    edges, labels = fit_bucket_edges(d)
+    path = scratch_path(spark, f"bucketizer-{uuid.uuid4().hex}")
+    save_bucketizer(spark, *fit_bucket_edges(d), path)
+    edges, labels = load_bucketizer(spark, path)
     e = F.array(*[F.lit(float(x)) for x in edges])
     lab = F.array(*[F.lit(x) for x in labels])
     return d.select("source", "record_id", "amount", bucket_label("amount", e, lab).alias("amount_bucket"))
