@@ -160,6 +160,14 @@ class Encoder:
 _ENCODERS: dict[str, Encoder] = {}
 
 
+def encoder(path: str) -> Encoder:
+    """The worker's encoder, whose memo outlives a task.  (A module's function:
+    one inside ``write`` would travel with a dictionary of its own.)"""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = Encoder(path)
+    return _ENCODERS[path]
+
+
 def segment(part: int, number: int, keys: pa.Array, ids: np.ndarray, n: np.ndarray) -> bytes:
     body, start = pfor.pack(ids.astype(np.uint32))
     null = np.asarray(keys.is_null()).astype(np.uint8)
@@ -194,8 +202,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, id_col: s
     src = src.withColumn("tie", F.xxhash64("text")).repartitionByRange("id", "tie").sortWithinPartitions("id", "tie")
 
     def run(batches):
-        enc = _ENCODERS.setdefault(tokenizer, None) or Encoder(tokenizer)
-        _ENCODERS[tokenizer] = enc
+        enc = encoder(tokenizer)
         part = TaskContext.get().partitionId()
         for number, (keys, texts) in enumerate(rows_for(batches, SEGMENT_BYTES)):
             ids, n = enc.encode(texts)
