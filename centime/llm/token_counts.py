@@ -158,7 +158,15 @@ def split_words(texts: list[bytes]):
     return data, start, end - start, np.searchsorted(start, np.concatenate([[0], np.cumsum(size + 1)]))
 
 
-_AUTOMATA: dict[str, Automaton] = {}
+_MEMOS: dict[str, UnitMemo] = {}
+
+
+def memo_of(path: str) -> UnitMemo:
+    """The worker's memo of word counts over the vocabulary's automaton."""
+    if path not in _MEMOS:
+        auto = Automaton(vocabulary(path))
+        _MEMOS[path] = UnitMemo(lambda units: (auto.count(units), np.ones(len(units), np.int64)), MEMO)
+    return _MEMOS[path]
 
 
 def count(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -167,10 +175,7 @@ def count(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
     src = text_bytes(docs, id_col, text_col)
 
     def run(batches):
-        if tokenizer not in _AUTOMATA:
-            _AUTOMATA[tokenizer] = Automaton(vocabulary(tokenizer))
-        auto = _AUTOMATA[tokenizer]
-        memo = UnitMemo(lambda units: (auto.count(units), np.ones(len(units), np.int64)), MEMO)
+        memo = memo_of(tokenizer)
         for ids, texts in rows_for(batches):
             data, start, size, first = split_words(texts)
             n, _ = memo.ids(data, start, size)
