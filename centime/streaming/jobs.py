@@ -97,7 +97,7 @@ def score_stream(stream: DataFrame, watermark: str = "1 hour", derive_velocity:
          .dropDuplicatesWithinWatermark(["event_id"]))
     if derive_velocity:
         from .rate_limit import velocity_stream
-        s = velocity_stream(s)
+        s = velocity_stream(s, watermarked=True)
     elif "velocity_1h" not in s.columns:
         s = s.withColumn("velocity_1h", F.lit(1))
     f = SC.fraud_features(s, with_velocity=False)

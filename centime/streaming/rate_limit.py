@@ -18,9 +18,9 @@ each micro-batch's events are replayed in time order.
 
 from __future__ import annotations
 
-import bisect
 from typing import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
@@ -102,40 +102,38 @@ def token_bucket_stream(stream: DataFrame, capacity: int = dims.TOKEN_BUCKET_CAP
 VELOCITY_STATE = "times array<long>"
 
 
-def velocity_stream(stream: DataFrame, window_s: int = 3600) -> DataFrame:
+def velocity_stream(stream: DataFrame, window_s: int = 3600, watermarked: bool = False) -> DataFrame:
     """W7 / P7 stream form (all input columns kept, ``velocity_1h`` added):
-    per event, the user's events in [ts - window, ts]
-    (itself and same-time peers included, as in the batch range frame).
-    State per user = sorted timestamps still inside the window of the newest
-    event seen, so it is bounded by the user's rate, not by history; counts
-    are binary searches in that list."""
+    per event, the user's events in [ts - window, ts] (itself and same-time
+    peers included, as in the batch range frame).
+
+    State per user = sorted timestamps.  With a watermark on the stream
+    (``watermarked``) they are kept back to watermark - window, so that an event
+    that is late but still admitted is counted in full, and a user without events
+    for a window after the watermark is forgotten; without one, back to a window
+    before the newest event, for ever."""
     window_us = window_s * 1_000_000
 
     def fn(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         pdf = pd.concat(list(batches), ignore_index=True)
-        pdf["_t"] = pdf["ts"].astype("datetime64[us]").astype("int64")
-        pdf = pdf.sort_values(["_t", "event_id"])
-        times = sorted(state.get[0]) if state.exists else []
-        ts_list = pdf["_t"].tolist()
-        out = [0] * len(ts_list)
-        i = 0
-        while i < len(ts_list):
-            j = i
-            while j < len(ts_list) and ts_list[j] == ts_list[i]:  # peers share one count
-                bisect.insort(times, ts_list[j])
-                j += 1
-            t = ts_list[i]
-            n = bisect.bisect_right(times, t) - bisect.bisect_left(times, t - window_us)
-            out[i:j] = [n] * (j - i)
-            i = j
-        newest = times[-1]
-        state.update((times[bisect.bisect_left(times, newest - window_us):],))
-        pdf["velocity_1h"] = out
-        yield pdf.drop(columns=["_t"])
-
-    s = stream.withColumn("ts", F.col("ts").cast("timestamp"))
+        t = pdf["ts"].astype("datetime64[us]").astype("int64").to_numpy()
+        known = np.array(state.get[0] if state.exists else [], np.int64)
+        times = np.sort(np.concatenate([known, t]))
+        pdf["velocity_1h"] = (np.searchsorted(times, t, side="right")
+                              - np.searchsorted(times, t - window_us, side="left")).astype("int32")
+        newest = int(times[-1])
+        oldest = min(state.getCurrentWatermarkMs() * 1000, newest) if watermarked else newest
+        state.update((times[np.searchsorted(times, oldest - window_us):].tolist(),))
+        if watermarked:
+            state.setTimeoutTimestamp(max(newest // 1000 + window_s * 1000, state.getCurrentWatermarkMs() + 1))
+        yield pdf
+
+    s = stream if watermarked else stream.withColumn("ts", F.col("ts").cast("timestamp"))  # a cast would hide the watermark
     if "velocity_1h" in s.columns:
         s = s.drop("velocity_1h")
     out_schema = StructType(list(s.schema.fields) + [StructField("velocity_1h", IntegerType())])
-    return s.groupBy("user_id").applyInPandasWithState(fn, out_schema, VELOCITY_STATE, "append",
-                                                       GroupStateTimeout.NoTimeout)
+    timeout = GroupStateTimeout.EventTimeTimeout if watermarked else GroupStateTimeout.NoTimeout
+    return s.groupBy("user_id").applyInPandasWithState(fn, out_schema, VELOCITY_STATE, "append", timeout)
