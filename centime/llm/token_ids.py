@@ -50,9 +50,9 @@ from .common import UnitMemo, rows_for
 
 MAGIC = b"PFR1"
 HEAD = struct.Struct("<4sIIIQIQ")
-SEGMENT_BYTES = 4 << 20  # text of a segment
-SEGMENTS_A_FILE = 6
-MEMO = 3_000_000
+SEGMENT_BYTES = 2 << 20  # text of a segment
+SEGMENTS_A_FILE = 10
+MEMO = 2_000_000
 JOINED = 2000  # units that go to the library as one text
 
 SPACE = np.zeros(256, bool)
