@@ -21,6 +21,7 @@ from .registry import query
 from ..session import materialize
 
 HORIZON = 30
+OFF_EDGE = 0.0000137
 LOOKBACK = 60
 
 
@@ -37,8 +38,9 @@ def nation_series(spark, sf_dir) -> DataFrame:
 def nation_features(spark, sf_dir) -> DataFrame:
     """All features; sin/cos and the exponential means rounded only here, to
     compare engines whose last bits differ."""
+    # the means of few days are short decimals that end in 5: a shift keeps them off the rounding edge
     f = S.drop_burn_in(S.add_features(nation_series(spark, sf_dir), ["nation"], trig_digits=9))
-    return f.withColumns({f"ewm_mean_{sp}": round_to(f"ewm_mean_{sp}", 3) for sp in S.EWM_SPANS})
+    return f.withColumns({f"ewm_mean_{sp}": round_to(F.col(f"ewm_mean_{sp}") + OFF_EDGE, 4) for sp in S.EWM_SPANS})
 
 
 # ------------------------------------------------------------ oracle SQL ---
@@ -83,7 +85,7 @@ def _feat_cte(key: str) -> str:
     def decayed(x, r):  # plain prefix sums of x * r^-i: within a double's range up to about 2450 days
         return f"SUM({x} * pow({r!r}, -_i)) OVER {wall}"
 
-    ewm = [f"CASE WHEN _i > 0 THEN {R(decayed('total_spend', 1.0 - 2.0 / (sp + 1)) + ' / ' + decayed('1.0', 1.0 - 2.0 / (sp + 1)), 3)} END AS ewm_mean_{sp}"
+    ewm = [f"CASE WHEN _i > 0 THEN {R(decayed('total_spend', 1.0 - 2.0 / (sp + 1)) + ' / ' + decayed('1.0', 1.0 - 2.0 / (sp + 1)) + f' + {OFF_EDGE!r}', 4)} END AS ewm_mean_{sp}"
            for sp in S.EWM_SPANS]
     two_pi = repr(2 * 3.141592653589793)
     return f"""f1 AS (

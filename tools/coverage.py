@@ -10,14 +10,16 @@ from centime.plans.registry import load_all  # noqa: E402
 
 # items checked by unit tests / library functions rather than a registered query
 EXTRA = {
-    "A33": "", "C7": "tests/test_goldens.py::test_insight_parsing (`functions.text.parse_insights`)",
+    "C7": "tests/test_goldens.py::test_insight_parsing (`functions.text.parse_insights`)",
+    "F1": "a filter on `user_id`, no query of its own", "F2": "the semi join of X3", "S9": "`sources.adapters.write_metrics` (tests)",
+    "S12": "a filter on the key, no query of its own", "L7": "folds only (`stratified_fold_rows`); no cross-validated choice yet",
+    "L12": "not built: no per-category forecasters",
     "L8": "tests/test_sources_models.py::test_fraud_classifiers_and_vote (`operators.models.fraud_classifier`, `soft_vote`)",
     "L18": "tests/test_goldens.py (4 health personas, 5 fraud scenarios)",
     "S1": "tests/test_sources_models.py::test_csv_directory_unify_matches_in_memory (`sources.adapters.load_and_unify`)",
     "S7": "`spark.read.parquet` / `sources.tables.Ledger.table`", "S8": "`sources.adapters.write_table` (test above)",
     "S14": "`sources.generators.fraud_dataset` (tests)", "S16": "`sources.generators.ledger_seed` (tests)",
     "S15": "`sources.generators.user_profiles` (tests)",
-    "U7": "`operators.stats.hash_folds` (tests; used by budget_regressor_eval)",
     "P4": "`streaming.rate_limit.token_bucket_stream` (tests/test_streaming.py)",
     "P5": "`streaming.jobs.budget_alert_batch_writer` (tests/test_streaming.py)",
     "P7": "`streaming.jobs.score_stream` + `streaming.rate_limit.velocity_stream` (tests/test_streaming.py)",
