@@ -3,22 +3,24 @@
 The model reads a text as its tokens: lowered words, each closed by a space,
 and one end mark.  Its symbols are bytes.
 
-* **Counting.** Each task counts the strings of ``DEPTH`` bytes and the byte
-  after them in its training documents (sorted arrays, combined within the
-  task), and sends them to buckets by the last two context bytes; a bucket sums
-  the corpus's counts and derives those of all shorter contexts.
-* **Tree** (``grow``).  A context stays when it makes up ``P_MIN`` of all training
-  bytes and its next-byte distribution diverges from that of the context one
-  byte shorter by ``DIVERGENCE`` bits, or when a longer one that stays ends in it.
-  Thresholds are shares, so they mean the same at every size, and at most
-  1 / ``P_MIN`` contexts of a length can pass: the tree that is broadcast is
-  bounded whatever the corpus.  Distributions are smoothed towards the shorter
-  context's, with ``PRIOR`` times the number of different next bytes as its
-  weight, down to the single-byte distribution.
-* **Scoring.** The tree becomes an automaton whose state is the longest suffix
-  in it, so a byte costs two table look-ups.  A state depends on the last
-  ``DEPTH`` bytes only: texts are cut into segments that warm up over those
-  bytes, and many segments advance together.
+* **Head.** The contexts of up to ``DEPTH`` bytes are counted by buckets and
+  become one small automaton (``grow``), which is broadcast: the alphabet bounds
+  it.  Every byte that occurs is a symbol of its own.
+* **Tree.** Longer contexts grow a byte a level, in hash-partitioned tables.  Each
+  block sends the distinct pairs of a context's hash and the byte after it, with
+  their training counts and the byte's probability in the context one byte
+  shorter.  A bucket sums the corpus's counts.  A context stays when it occurs
+  ``LEAST`` times and its next-byte distribution diverges from the shorter
+  one's by ``DIVERGENCE`` bits; the bucket answers each pair with its probability.
+  Places ask at the next level while their context stays, and up to ``GAP`` levels
+  on where it is frequent and followed by different bytes but does not diverge
+  itself: a longer one may.  ``LEAST`` is a count,
+  so the tree grows with the corpus; only under 8 MB of training text is it less.
+  Distributions are smoothed towards the shorter context's, with ``PRIOR`` times
+  the number of different next bytes as its weight.
+* **Scoring** happens as the tree grows: a place keeps the probability of its
+  longest context that stayed.  Between levels a block is a bit mask of the
+  places that still ask and a sum for each document.
 
 The unigram baseline needs a count for every token of the corpus.  Each block
 sends its distinct words (64-bit hashes) with its training counts to buckets,
@@ -26,7 +28,8 @@ which answer with the corpus's counts, in the same order.  A word that holds a
 third of all tokens is one entry a block.
 
 Defined results: null or empty text has the end mark only; ids must be
-integers; without training documents all bytes are equally likely; repeated
+integers; without training documents all bytes are equally likely; contexts
+do not reach beyond a text's begin and are named by 56-bit hashes; repeated
 rows each get their result; an empty table gives an empty table; other columns
 are ignored.
 """
@@ -41,16 +44,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import NO_ID, block_texts, make_blocks, squeeze, stretch
-from .common import doc_words, span_hashes, written
+from .common import doc_words, group_equal, mix64, span_hashes, written
+from .suffix_dedup import rolling_hash
 
-DEPTH = 5
-P_MIN = 2e-6
+DEPTH = 2  # context bytes of the broadcast head; longer contexts are in hash-partitioned tables
+LEAST = 16  # occurrences that a context needs, whatever the corpus
+P_MIN = 2e-6  # in small corpora this share is enough
 DIVERGENCE = 0.005
 PRIOR = 1.0
 END = 10  # a byte that no word holds; also stands before a text
-SEGMENT = 512
+GAP = 3  # levels in a row without divergence after which a context is not extended
 COMBINE = 3_000_000  # distinct strings that a task combines before it sends them
 BUCKET_BYTES = 256 << 20
+LEVEL_BYTES = 32 << 20  # text for each bucket of a level
 
 
 def split_block(row: dict):
@@ -163,32 +169,26 @@ class Automaton:
     step: np.ndarray
     logp: np.ndarray
 
+    def each(self, stream: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """log10 probability of the bytes of a stream at the places ``at``."""
+        sym, width = self.classes[stream], self.logp.shape[1]
+        step = self.step.ravel()
+        state = np.zeros(len(at), np.int64)
+        for t in range(DEPTH, 0, -1):
+            state = step[state * width + sym[at - t]]
+        return self.logp.ravel()[state * width + sym[at]]
+
     def score(self, stream: np.ndarray, begin: np.ndarray) -> np.ndarray:
         """log10 probability of every document of a stream."""
-        n = np.diff(begin) - DEPTH
-        parts = -(-n // SEGMENT)
-        doc = np.repeat(np.arange(len(n)), parts)
-        k = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
-        size = np.minimum(SEGMENT, n[doc] - k * SEGMENT)
-        order = np.argsort(-size, kind="stable")
-        out = np.zeros(len(doc))
-        sym = self.classes[stream]
-        width = self.logp.shape[1]
-        step, logp = self.step.ravel(), self.logp.ravel()
-        for a in range(0, len(order), 4096):
-            at = order[a:a + 4096]
-            pos = begin[doc[at]] + k[at] * SEGMENT
-            live = np.searchsorted(-size[at], -np.arange(size[at[0]]), side="left")  # lanes with more symbols
-            state = np.zeros(len(at), np.int64)
-            total = np.zeros(len(at))
-            for t in range(DEPTH):
-                state = step[state * width + sym[pos + t]]
-            for t, m in enumerate(live.tolist()):
-                cell = state[:m] * width + sym[pos[:m] + DEPTH + t]
-                total[:m] += logp[cell]
-                state = step[cell]
-            out[at] = total
-        return np.bincount(doc, weights=out, minlength=len(n))
+        at, doc = places(begin)
+        return np.bincount(doc, weights=self.each(stream, at), minlength=len(begin) - 1)
+
+
+def places(begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(places of a stream that are scored, document of each)."""
+    size = np.diff(begin) - DEPTH
+    doc = np.repeat(np.arange(len(size)), size)
+    return np.arange(len(doc)) + DEPTH * (doc + 1), doc
 
 
 def _find(nodes: np.ndarray, keys: np.ndarray) -> np.ndarray:
@@ -205,14 +205,14 @@ def grow(tables: list[tuple[np.ndarray, np.ndarray]], least: int) -> Automaton:
     single = np.zeros(256, np.int64)
     if len(tables[0][0]):
         np.add.at(single, (tables[0][0] & np.uint64(255)).astype(np.int64), tables[0][1])
-    common = np.flatnonzero(single >= least)
+    common = np.flatnonzero(single)
     rare = 256 - len(common)
     classes = np.full(256, len(common), np.int64)
     classes[common] = np.arange(len(common))
     width = len(common) + (rare > 0)
     spread = np.ones(width)
     if rare:
-        spread[-1] = rare  # bytes that share the last class
+        spread[-1] = rare  # bytes that never occur share the last class
 
     def dense(d, ctx):
         """Counts by context and class."""
@@ -269,6 +269,130 @@ def grow(tables: list[tuple[np.ndarray, np.ndarray]], least: int) -> Automaton:
     return Automaton(classes, step, logp)
 
 
+def planes(x: np.ndarray) -> np.ndarray:
+    """Bytes of numbers, all first ones before all second ones: they pack better."""
+    return np.ascontiguousarray(x).view(np.uint8).reshape(len(x), -1).T
+
+
+def from_planes(raw: bytes, kind, n: int) -> np.ndarray:
+    width = np.dtype(kind).itemsize
+    return np.ascontiguousarray(stretch(raw, np.uint8, n * width).reshape(width, n).T).view(kind).ravel()
+
+
+def pairs(stream: np.ndarray, at: np.ndarray, depth: int) -> np.ndarray:
+    """Hash of the ``depth`` bytes before each place (56 bits) and the byte there."""
+    if not len(at):
+        return np.empty(0, np.uint64)
+    h = mix64(rolling_hash(stream, depth))[at - depth]
+    return (h & ~np.uint64(255)) | stream[at]
+
+
+def bucket_cut(keys: np.ndarray, buckets: int) -> np.ndarray:
+    """Where each bucket begins in sorted keys."""
+    return np.searchsorted(((keys >> np.uint64(40)) * np.uint64(buckets)) >> np.uint64(24), np.arange(buckets + 1, dtype=np.uint64))
+
+
+class Level:
+    """A block's places after the answers for contexts of ``depth`` - 1 bytes:
+    those that ask for ``depth`` bytes (``at``) with the probabilities they have
+    (``log``), and the sums of the settled ones by document."""
+
+    def __init__(self, row: dict, answers: list[dict], depth: int, head: Automaton | None = None, text=None):
+        self.ids, self.learn, flat, _, ends, first = text or split_block(row)
+        self.stream, begin = streams(flat, ends, first)
+        self.at, self.doc = places(begin)
+        if head is not None:
+            self.log, go = head.each(self.stream, self.at), np.ones(len(self.at), bool)
+            self.sums, self.asking, gap = np.zeros(len(self.ids)), go, np.zeros(len(go), np.uint8)
+        else:
+            own = next(r for r in answers if r["bucket"] < 0)
+            self.sums = stretch(own["sums"], np.float64, len(self.ids)).copy()
+            self.asking = np.unpackbits(stretch(own["answer"], np.uint8, -(-len(self.at) // 8)), count=len(self.at)).astype(bool)
+            self.at, self.doc = self.at[self.asking], self.doc[self.asking]
+            rows = sorted((r for r in answers if r["bucket"] >= 0), key=lambda r: r["bucket"])
+            answer = np.concatenate([from_planes(r["answer"], np.float32, r["n"]) for r in rows] or [np.empty(0, np.float32)])
+            on = np.concatenate([np.unpackbits(stretch(r["ahead"], np.uint8, -(-r["n"] // 8)), count=r["n"]) for r in rows]
+                                or [np.empty(0, np.uint8)]).astype(bool)
+            of = group_equal(pairs(self.stream, self.at, depth - 1))[2]
+            answer = answer[of]
+            gap = np.where(answer < 0, 0, stretch(own["ahead"], np.uint8, len(self.at)) + 1).astype(np.uint8)
+            self.log, go = -np.abs(answer), on[of] & (gap <= GAP)
+        go = go & (self.at - depth >= begin[self.doc])
+        self.sums += np.bincount(self.doc[~go], weights=self.log[~go], minlength=len(self.ids))
+        still = np.zeros(len(self.asking), bool)
+        still[np.flatnonzero(self.asking)[go]] = True
+        self.at, self.doc, self.log, self.gap, self.asking = self.at[go], self.doc[go], self.log[go], gap[go], still
+
+    def totals(self) -> np.ndarray:
+        return self.sums + np.bincount(self.doc, weights=self.log, minlength=len(self.ids))
+
+    def held_out(self) -> float:
+        return float(self.totals()[~self.learn].sum())
+
+
+SENT = "bucket long, block long, n long, keys binary, counts binary, logs binary, held double"
+ANSWER = "block long, bucket long, n long, answer binary, sums binary, ahead binary, kept long, held double"
+
+
+def ask(row: dict, level: Level, depth: int, buckets: int) -> pa.Table:
+    """A block's pairs at ``depth`` for each bucket, and its own state."""
+    keys, one, group = group_equal(pairs(level.stream, level.at, depth))
+    count = np.bincount(group, weights=level.learn[level.doc], minlength=len(keys)).astype(np.uint32)
+    log, cut = level.log[one], bucket_cut(keys, buckets)
+    out = [(-1 - row["block"], row["block"], len(level.ids), *squeeze(np.packbits(level.asking), level.sums, level.gap), level.held_out())]
+    for b in np.flatnonzero(np.diff(cut)).tolist():
+        s = slice(cut[b], cut[b + 1])
+        out.append((b, row["block"], int(cut[b + 1] - cut[b]),
+                    *squeeze(planes(np.diff(keys[s], prepend=np.uint64(0))), planes(count[s]), planes(log[s])), 0.0))
+    kinds = [pa.int64()] * 3 + [pa.binary()] * 3 + [pa.float64()]
+    return pa.table({name.split()[0]: pa.array(c, k) for name, c, k in zip(SENT.split(", "), zip(*out), kinds)})
+
+
+def answers(sent: DataFrame, least: int) -> DataFrame:
+    """For each pair sent, log10 of its probability in its context where that
+    stays, otherwise that in the shorter context, with the sign changed; and
+    whether longer contexts may stay (``ahead``)."""
+    def run(t: pa.Table) -> pa.Table:
+        rows = t.to_pylist()
+        if rows[0]["bucket"] < 0:  # a block's state passes
+            return pa.table({"block": t["block"], "bucket": t["bucket"], "n": t["n"], "answer": t["keys"], "sums": t["counts"],
+                             "ahead": t["logs"], "kept": pa.array([0] * len(rows), pa.int64()), "held": t["held"]})
+        sizes = [r["n"] for r in rows]
+        key = np.concatenate([np.cumsum(from_planes(r["keys"], np.uint64, r["n"]), dtype=np.uint64) for r in rows])
+        count = np.concatenate([from_planes(r["counts"], np.uint32, r["n"]) for r in rows]).astype(np.int64)
+        log = np.concatenate([from_planes(r["logs"], np.float32, r["n"]) for r in rows])
+        keys, one, group = group_equal(key)
+        count = np.bincount(group, weights=count, minlength=len(keys))
+        answer, kept, on = judge(keys >> np.uint64(8), count, log[one], least)
+        ahead = [squeeze(np.packbits(x))[0] for x in np.split(on[group], np.cumsum(sizes)[:-1])]
+        back = [squeeze(planes(x))[0] for x in np.split(answer[group], np.cumsum(sizes)[:-1])]
+        return pa.table({"block": t["block"], "bucket": t["bucket"], "n": t["n"], "answer": pa.array(back, pa.binary()),
+                         "sums": pa.array([b""] * len(rows), pa.binary()), "ahead": pa.array(ahead, pa.binary()),
+                         "kept": pa.array([kept] + [0] * (len(rows) - 1), pa.int64()), "held": t["held"]})
+
+    return sent.groupBy("bucket").applyInArrow(run, ANSWER)
+
+
+def judge(ctx: np.ndarray, count: np.ndarray, log: np.ndarray, least: int) -> tuple[np.ndarray, int, np.ndarray]:
+    """(answer for each pair, contexts that stay, pairs of contexts to extend); ``ctx`` is sorted, ``log``
+    the pair's log10 probability in the shorter context."""
+    new = np.concatenate([[True], ctx[1:] != ctx[:-1]])
+    at, of = np.flatnonzero(new), np.cumsum(new) - 1
+    n = np.add.reduceat(count, at)
+    seen = count > 0
+    weight = PRIOR * np.add.reduceat(seen.astype(np.float64), at)
+    q = 10.0 ** log.astype(np.float64)
+    rest = weight / np.maximum(n + weight, 1)  # what bytes that never follow keep of their probability
+    p = (count + weight[of] * q) / np.maximum(n + weight, 1)[of]
+    other = np.maximum(1 - np.add.reduceat(np.where(seen, q, 0), at), 0)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        far = np.add.reduceat(np.where(seen, p * np.log2(p / q), 0), at) + np.where(rest > 0, rest * other * np.log2(rest), 0)
+        stays = (n >= least) & (far >= DIVERGENCE)
+        answer = np.where(stays[of], np.minimum(np.log10(p), -1e-12), -log.astype(np.float64))
+    ahead = stays | ((n >= least) & (weight > PRIOR))
+    return answer.astype(np.float32), int(stays.sum()), ahead[of]
+
+
 def send_words(blocks: DataFrame, buckets: int) -> DataFrame:
     """(bucket, block, n, keys, counts): distinct words of each block."""
     def run(batches):
@@ -320,16 +444,50 @@ def word_counts(sent: DataFrame) -> DataFrame:
     return sent.groupBy("bucket").applyInArrow(run, "block long, bucket long, n long, counts binary, types long, tokens long")
 
 
-def score(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def tree(blocks: DataFrame, head, buckets: int, least: int, report: list | None = None) -> tuple[DataFrame, int]:
+    """(answers of the last level, its depth + 1): grows contexts a byte a level."""
+    def step(last: DataFrame | None, depth: int) -> DataFrame:
+        if last is None:
+            def begin(batches):
+                for batch in batches:
+                    for row in batch.to_pylist():
+                        yield from ask(row, Level(row, [], depth, head.value), depth, buckets).to_batches()
+
+            return blocks.mapInArrow(begin, SENT)
+
+        def run(left: pa.Table, right: pa.Table) -> pa.Table:
+            row = left.to_pylist()[0]
+            return ask(row, Level(row, right.to_pylist(), depth), depth, buckets)
+
+        return blocks.groupBy("block").cogroup(last.withColumnRenamed("block", "of").groupBy("of")).applyInArrow(run, SENT)
+
+    last, depth, kept, quiet = None, DEPTH + 1, 0, 0
+    while True:
+        last = written(answers(step(last, depth), least), f"lm-level-{depth}")
+        above, (asked, kept, held) = kept, last.agg(F.coalesce(F.sum(F.when(F.col("bucket") >= 0, F.col("n"))), F.lit(0)), *[
+            F.coalesce(F.sum(c), F.lit(0)) for c in ("kept", "held")]).first()
+        quiet = 0 if kept else quiet + 1
+        if report is not None:
+            report.append((depth - 1, above if depth > DEPTH + 1 else None, held))
+        depth += 1
+        blocks.sparkSession.sparkContext._jvm.System.gc()  # frees the shuffle files of the levels before
+        if not asked or quiet > GAP or depth > 5:
+            return last, depth
+
+
+def score(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text",
+          report: list | None = None) -> DataFrame:
     """One row per row of ``docs``: id, n_tokens, n_known, train_tokens,
-    base_score, score.  The model learns from the rows where ``learn`` holds."""
+    base_score, score.  The model learns from the rows where ``learn`` holds.
+    ``report`` receives (depth, contexts of it that stay, score of the other rows with
+    contexts up to it); the head's count is not told."""
     blocks = make_blocks(docs, id_col, text_col, learn)
     spark = docs.sparkSession
     total, n_learn, learn_bytes = blocks.agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("bytes", "n_learn", "learn_bytes")]).first()
     buckets = max(16, -(-total // BUCKET_BYTES))
-    least = max(2, int(P_MIN * learn_bytes))
+    least = max(2, min(LEAST, int(P_MIN * learn_bytes)))
     rows = written(string_counts(send_strings(blocks, buckets), least), "lm-strings").groupBy("depth", "key").agg(
-        F.sum("count").alias("count")).toArrow()  # bounded: at most 1 / P_MIN contexts of each depth
+        F.sum("count").alias("count")).toArrow()  # bounded: contexts of two bytes
     depth, key, count = rows["depth"].to_numpy(), rows["key"].to_numpy().view(np.uint64), rows["count"].to_numpy()
     tables = []
     for d in range(DEPTH + 1):
@@ -337,6 +495,7 @@ def score(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str
         at = at[np.argsort(key[at])]
         tables.append((key[at], count[at]))
     shared = spark.sparkContext.broadcast(grow(tables, least))
+    back, depth = tree(blocks, shared, max(16, -(-total // LEVEL_BYTES)), least, report)
     counts = written(word_counts(send_words(blocks, buckets)), "lm-words")
     types, tokens = counts.agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("types", "tokens")]).first()
     types, tokens = types + (n_learn > 0), tokens + n_learn  # the end mark is a token
@@ -345,25 +504,30 @@ def score(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         out = {c: [] for c in ("id", "n_tokens", "n_known", "base_score", "score")}
         for row in left.to_pylist():
-            key, of, _, (ids, _, flat, _, ends, first) = block_words(row)
+            key, of, _, (ids, learn, flat, _, ends, first) = block_words(row)
             count = np.zeros(len(key), np.int64)
             to = key % np.uint64(buckets)
-            for r in right.to_pylist():
-                count[to == r["bucket"]] = stretch(r["counts"], np.int64, r["n"])
+            rows = right.to_pylist()
+            for r in rows:
+                if r["counts"] is not None:
+                    count[to == r["bucket"]] = stretch(r["counts"], np.int64, r["n"])
             c = count[of]
             seen = np.concatenate([[0], np.cumsum(c > 0)])
             logs = np.concatenate([[0], np.cumsum(np.log10((c + 0.1) / floor))])
-            stream, begin = streams(flat, ends, first)
+            level = Level(row, [r for r in rows if r["counts"] is None], depth, text=(ids, learn, flat, None, ends, first))
             out["id"].append(ids)
             out["n_tokens"].append(np.diff(first) + 1)
             out["n_known"].append(seen[first[1:]] - seen[first[:-1]] + (n_learn > 0))
             out["base_score"].append(logs[first[1:]] - logs[first[:-1]] + np.log10((n_learn + 0.1) / floor))
-            out["score"].append(shared.value.score(stream, begin))
+            out["score"].append(level.totals())
         cols = {c: np.concatenate(v) if v else np.empty(0, np.float64 if "score" in c else np.int64) for c, v in out.items()}
         cols["id"] = pa.array(cols["id"], mask=cols["id"] == NO_ID)
         return pa.table(cols)
 
-    back = counts.select(F.col("block").alias("of"), "bucket", "n", "counts")
+    none = F.lit(None).cast("binary")
+    parts = ["answer", "sums", "ahead"]
+    back = counts.select(F.col("block").alias("of"), "bucket", "n", "counts", *[none.alias(c) for c in parts]).unionByName(
+        back.select(F.col("block").alias("of"), "bucket", "n", none.alias("counts"), *parts))
     done = blocks.groupBy("block").cogroup(back.groupBy("of")).applyInArrow(
         run, "id long, n_tokens long, n_known long, base_score double, score double")
     return done.withColumn("train_tokens", F.lit(int(tokens)).cast("long"))

@@ -184,3 +184,27 @@ def test_tree_is_a_distribution_and_keeps_the_longest_context():
     spread = np.bincount(auto.classes, minlength=auto.logp.shape[1])
     assert np.allclose((10.0 ** auto.logp * spread).sum(axis=1), 1, atol=1e-4)
     assert auto.score(stream, begin)[0] > math.log10(1 / 256) * len(texts[0]) / 2
+
+
+def test_lm_keeps_contexts_by_count_and_every_byte_by_itself(spark, monkeypatch):
+    """A corpus in which all that counts is under the share that once bounded it."""
+    monkeypatch.setattr(lm_scoring, "P_MIN", 0.2)
+    rows = [(i, "the other one was there and then gone " * 3 + ("qxjkw" if i % 2 else "pxjkv")) for i in range(100)]
+    rows += [(1000, "qxjkw"), (1001, "qxjkv"), (1002, "pxjkv"), (1003, "pxjkw")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.id: r.score for r in lm_scoring.score(df, F.col("doc_id") < 1000).collect()}
+    assert got[1000] > got[1001] + 1 and got[1002] > got[1003] + 1  # the fifth byte follows from the first
+
+
+def test_lm_judges_a_context_by_its_whole_distribution():
+    rng = np.random.default_rng(1)
+    q = rng.dirichlet(np.ones(256))
+    byte, count = np.array([3, 7, 9, 200]), np.array([20, 5, 0, 1])
+    answer, kept, _ = lm_scoring.judge(np.zeros(4, np.uint64), count, np.log10(q[byte]).astype(np.float32), 16)
+    full = np.zeros(256)
+    full[byte] = count
+    p = (full + 3 * q) / (26 + 3)
+    assert kept == 1 and (p * np.log2(p / q)).sum() >= lm_scoring.DIVERGENCE and np.allclose(10.0 ** answer, p[byte], rtol=1e-4)
+    again, none, _ = lm_scoring.judge(np.zeros(4, np.uint64), count, np.log10(q[byte]).astype(np.float32), 27)
+    assert none == 0 and np.allclose(10.0 ** -again, q[byte], rtol=1e-4)
+    assert lm_scoring.judge(np.zeros(1, np.uint64), np.array([10 ** 6]), np.zeros(1, np.float32), 16)[1] == 0  # nothing new
