@@ -471,7 +471,7 @@ def tree(blocks: DataFrame, head, buckets: int, least: int, report: list | None
             report.append((depth - 1, above if depth > DEPTH + 1 else None, held))
         depth += 1
         blocks.sparkSession.sparkContext._jvm.System.gc()  # frees the shuffle files of the levels before
-        if not asked or quiet > GAP or depth > 5:
+        if not asked or quiet > GAP:
             return last, depth
 
 

@@ -208,3 +208,13 @@ def test_lm_judges_a_context_by_its_whole_distribution():
     again, none, _ = lm_scoring.judge(np.zeros(4, np.uint64), count, np.log10(q[byte]).astype(np.float32), 27)
     assert none == 0 and np.allclose(10.0 ** -again, q[byte], rtol=1e-4)
     assert lm_scoring.judge(np.zeros(1, np.uint64), np.array([10 ** 6]), np.zeros(1, np.float32), 16)[1] == 0  # nothing new
+
+
+def test_lm_learns_what_lies_more_than_five_bytes_back(spark):
+    rows = [(i, "alphabetical" + ("xzzzzzzzq" if i % 2 else "yzzzzzzzk")) for i in range(200)]
+    rows += [(1000, "alphabeticalxzzzzzzzq"), (1001, "alphabeticalxzzzzzzzk")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    report = []
+    got = {r.id: r.score for r in lm_scoring.score(df, F.col("doc_id") < 1000, report=report).collect()}
+    assert got[1000] > got[1001] + 1
+    assert max(d for d, n, _ in report if n) > 5 and report[-1][2] == pytest.approx(got[1000] + got[1001])
