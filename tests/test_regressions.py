@@ -171,3 +171,14 @@ def test_forest_does_not_depend_on_partitioning(spark):
     assert set(one[one["node"] == 0]["size"]) == {64}
     few = IF.fit(df.limit(40), ["a", "b"], "id", n_trees=5, sample_size=64)
     assert set(few[few["node"] == 0]["size"]) == {40}
+
+
+def test_budget_regressors_are_scored_on_every_fold(spark):
+    from centime.plans import ml_queries
+    rows = [(i % 2, "abc"[i % 3], float(i), 2.0 * i + i % 3) for i in range(60)]
+    data = spark.createDataFrame(rows, "fold int, target string, x double, y double")
+    got = {(r.target, r.model): r for r in ml_queries._fold_metrics(data, ["x"], ["target"], ["target"]).collect()}
+    assert set(got) == {(t, m) for t in "abc" for m in ("rf", "gbt", "ridge", "vote")}
+    assert all(r.n == 20 and r.mae is not None for r in got.values())
+    for t in "abc":
+        assert got[t, "vote"].mae <= sum(w * got[t, k].mae for k, w in ml_queries.VOTE.items()) + 1e-5
