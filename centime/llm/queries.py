@@ -9,7 +9,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, language_id, lm_scoring, sentencepiece_codec, simhash, suffix_dedup, token_counts, token_ids, toxicity
+from . import (conversation_repair, decontaminate, exact_dedup, language_id, lm_scoring, sentencepiece_codec, sharding, simhash,
+               spelling, suffix_dedup, token_counts, token_ids, toxicity)
 from .common import crc_bucket, documents, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -104,3 +105,46 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = token_counts.count(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
     return c.select(F.col("id").alias("doc_id"), "n_words", "n_tokens", F.col("most").alias("max_tokens_of_word"))
+
+
+def mistyped():
+    """``run``, or the run without one of its code points for one in 31 (document, run)s."""
+    h = F.crc32(F.concat(F.coalesce(F.col("id").cast("string"), F.lit("")), F.lit(":"), F.col("run")).cast("binary"))
+    p = (h % F.length("run")).cast("int")
+    return F.when(h % 31 == 0, F.concat(F.substr("run", F.lit(1), p), F.substr("run", p + 2))).otherwise(F.col("run"))
+
+
+@register
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = spelling.vocabulary(mistyped(), spelling.runs(documents(spark, sf_dir), least=7), least=7, least_n=2)
+    return spelling.forms(words, ratio=10).select("word", "form", "root", "n", "n_near", "form_n")
+
+
+def damaged(conversations: DataFrame) -> DataFrame:
+    """Rows dropped, emptied, cut, repeated or given another role, by a hash of conversation and turn."""
+    space = F.lit(" ")
+    k = F.crc32(F.concat(F.coalesce(F.col("conv_id").cast("string"), space), F.lit(":"),
+                         F.coalesce(F.col("turn").cast("string"), space)).cast("binary")) % 20
+    role, text = F.coalesce("role", space), F.coalesce("text", space)
+    d = conversations.select(
+        "conv_id", "turn", F.when(k == 4, "user").otherwise(role).alias("role"),
+        F.when(k == 1, "").when(k == 2, F.translate(text, ".!?", "")).otherwise(text).alias("text"),
+        F.when(k == 0, 0).when(k == 3, 2).otherwise(1).alias("times"))
+    return d.select(F.explode(F.array_repeat(F.lit(0), F.col("times"))), "*").drop("col", "times")
+
+
+@register
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    r = conversation_repair.repair(damaged(conversations), conversations)
+    return r.select("conv_id", "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit",
+                    F.col("digest").alias("repaired_sha256"))
+
+
+@register
+def op11_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = sharding.write(documents(spark, sf_dir), sharding.shard_path(spark), shards=24)
+    text = F.coalesce(F.col("doc.text"), F.lit("")).cast("binary")
+    return rows.select(F.col("doc.doc_id").alias("doc_id"), (F.octet_length(text) + 8).cast("long").alias("size"),
+                       F.crc32(text).alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot",
+                       F.lit(None).cast("int").alias("grown_shard"))
