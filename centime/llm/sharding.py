@@ -49,37 +49,38 @@ def _sorted(df: DataFrame, order: list[str], keep: list[str], name: str) -> Data
 
 
 def fractional_ranks(rows: DataFrame, seed: int) -> DataFrame:
-    """(uid, stratum, shuffled) -> (uid, stratum, rank), rank from 0 to below 1 in each stratum."""
-    s = _sorted(rows, ["stratum", "shuffled", "uid"], ["stratum", "uid"], "shard-strata")
+    """(row, uid, stratum, shuffled) -> (row, uid, stratum, rank), rank from 0 to below 1 in each stratum."""
+    s = _sorted(rows, ["stratum", "shuffled", "row", "uid"], ["stratum", "row", "uid"], "shard-strata")
     runs = s.groupBy("part", "stratum").agg(F.min("nth").alias("first"), F.count("*").alias("n"))
     w = Window.partitionBy("stratum")
-    runs = runs.select(
-        "part", "stratum", (F.coalesce(F.sum("n").over(w.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) - F.col("first")).alias("shift"),
-        F.sum("n").over(w).alias("total"))
+    before = F.sum("n").over(w.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    runs = runs.select("part", "stratum", (F.coalesce(before, F.lit(0)) - F.col("first")).alias("shift"), F.sum("n").over(w).alias("total"))
     start = F.pmod(F.xxhash64(F.lit(seed), "stratum"), F.lit(1 << 20)) / float(1 << 20)
     return s.join(written(runs, "shard-runs"), ["part", "stratum"]).select(
-        "uid", "stratum", ((F.col("nth") + F.col("shift") + start) / F.col("total")).alias("rank"))
+        "row", "uid", "stratum", ((F.col("nth") + F.col("shift") + start) / F.col("total")).alias("rank"))
 
 
 def places(rows: DataFrame, shards: int, seed: int) -> DataFrame:
-    """(uid, stratum, shuffled) -> (uid, shard, slot)."""
-    s = _sorted(fractional_ranks(rows, seed), ["rank", "stratum", "uid"], ["uid"], "shard-order")
+    """(row, uid, stratum, shuffled) -> (row, shard, slot)."""
+    s = _sorted(fractional_ranks(rows, seed), ["rank", "stratum", "row", "uid"], ["row"], "shard-order")
     n = s.groupBy("part").agg(F.count("*").alias("n"))
     w = Window.orderBy("part")  # a row a partition
     n = written(n.select("part", (F.sum("n").over(w) - F.col("n")).alias("before"), F.sum("n").over(Window.partitionBy()).alias("total")), "shard-offsets")
-    at = s.join(n, "part").select("uid", "total", (F.col("nth") + F.col("before")).alias("at"))
+    at = s.join(n, "part").select("row", "total", (F.col("nth") + F.col("before")).alias("at"))
     at = at.withColumn("shard", F.expr(f"(at * {shards}) div total"))
-    return at.select("uid", F.col("shard").cast("int").alias("shard"),
+    return at.select("row", F.col("shard").cast("int").alias("shard"),
                      (F.col("at") - F.expr(f"(shard * total + {shards - 1}) div {shards}")).alias("slot"))
 
 
 def assign(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", text_col: str = "text",
            stratum_col: str = "source", seed: int = SEED) -> DataFrame:
     """(doc, shard, slot) for every row of ``docs``: ``doc`` has its columns."""
-    tagged = written(docs.select(F.struct("*").alias("doc"), F.monotonically_increasing_id().alias("uid")), "shard-rows")
-    rows = tagged.select("uid", F.to_json(F.struct(F.col("doc")[stratum_col].alias("s"))).alias("stratum"),
-                         F.xxhash64(F.lit(seed), F.col("doc")[id_col], F.col("doc")[text_col]).alias("shuffled"))
-    return tagged.join(places(rows, shards, seed), "uid").select("doc", "shard", "slot")
+    rows = docs.select(F.struct("*").alias("doc")).select("doc", F.unhex(F.md5(F.to_json("doc").cast("binary"))).alias("row"))
+    keys = rows.select("row", F.monotonically_increasing_id().alias("uid"),
+                       F.to_json(F.struct(F.col("doc")[stratum_col].alias("s"))).alias("stratum"),
+                       F.xxhash64(F.lit(seed), F.col("doc")[id_col], F.col("doc")[text_col]).alias("shuffled"))
+    at = places(written(keys, "shard-keys"), shards, seed)
+    return rows.dropDuplicates(["row"]).join(at, "row").select("doc", "shard", "slot")
 
 
 def write(docs: DataFrame, path: str, shards: int = 24, **columns) -> DataFrame:
