@@ -114,12 +114,12 @@ def q_fraud_rule_ranking(spark, sf_dir):
 
 # ------------------------------------------------ forecasting leaderboard ---
 
-def _candidates(f: DataFrame, model: DataFrame) -> DataFrame:
+def _candidates(f: DataFrame, model: DataFrame, keys: list[str]) -> DataFrame:
     """Three baseline candidates on the same rows: seasonal, last value,
     7-day mean (each floored at 0; missing -> series mean)."""
-    p = FC.seasonal_predict(f, model, ["nation"])
+    p = FC.seasonal_predict(f, model, keys)
     gm = F.col("_gm")
-    p = p.join(model.select("nation", F.col("global_mean").alias("_gm")), "nation")
+    p = p.join(model.select(*keys, F.col("global_mean").alias("_gm")), keys)
     arr = F.array(
         F.struct(F.lit("seasonal").alias("model"), F.col("prediction").alias("p")),
         F.struct(F.lit("last_value").alias("model"), F.greatest(F.lit(0.0), F.coalesce("lag_1", gm)).alias("p")),
@@ -131,7 +131,7 @@ def _candidates(f: DataFrame, model: DataFrame) -> DataFrame:
 def _leader_long(spark, sf_dir):
     f = materialize(S.expanding_folds(S.chronological_split(SEQ.nation_features(spark, sf_dir), ["nation"]), ["nation"]))
     model = FC.seasonal_model(FC.seasonal_fit(f.filter(F.col("split") == "train"), ["nation"]), ["nation"])
-    return _candidates(f, model)
+    return _candidates(f, model, ["nation"])
 
 
 _LEAD_CTES = """cv AS (SELECT *, CAST(CASE WHEN sz > 0 AND rn > n - sz * 5 THEN floor((rn - (n - sz * 5) - 1) / sz) ELSE -1 END AS INTEGER) AS cv_block
@@ -168,11 +168,29 @@ def q_forecast_model_metrics(spark, sf_dir):
     return MT.regression_metrics(long, ["model"])
 
 
-@query("forecast_cv_means", "A32,W10", oracle=_lead_sql(f"""
-SELECT model, {R('avg(mae)')} AS cv_mae FROM (SELECT model, cv_block, avg(abs(y - p)) AS mae FROM cand
-WHERE cv_block >= 0 GROUP BY model, cv_block) GROUP BY model"""))
+# the rows before fold k, once for every fold that learns from them
+_CV_CTES = f"""cvfit AS (SELECT c.*, c.nation || '|' || k.k AS nk FROM cv c JOIN range(0, 5) k(k) ON c.cv_block < k.k),
+{SEQ._fit_cte("cvfit", "nk", "cm")},
+cvrow AS (SELECT *, nation || '|' || cv_block AS nk FROM cv WHERE cv_block >= 0),
+cvcand AS (
+  SELECT c.cv_block, c.total_spend AS y, 'seasonal' AS model, greatest(0.0, COALESCE(c.rolling_mean_7, m.global_mean) * m.multiplier) AS p
+  FROM cvrow c JOIN cm m ON m.nk = c.nk AND m.dow = isodow(c.date) - 1
+  UNION ALL SELECT c.cv_block, c.total_spend, 'last_value', greatest(0.0, COALESCE(c.lag_1, g.global_mean)) FROM cvrow c JOIN cm_gm g ON g.nk = c.nk
+  UNION ALL SELECT c.cv_block, c.total_spend, 'mean_7', greatest(0.0, COALESCE(c.rolling_mean_7, g.global_mean)) FROM cvrow c JOIN cm_gm g ON g.nk = c.nk)"""
+
+
+def _cv_sql(body: str) -> str:
+    extra = SEQ._feat_cte("nation") + ",\n" + SEQ._SPLIT + ",\n" + _LEAD_CTES[:_LEAD_CTES.index(",\ncand AS")] + ",\n" + _CV_CTES
+    return SEQ._nation_sql(body, extra)
+
+
+@query("forecast_cv_means", "A32,W10", oracle=_cv_sql(f"""
+SELECT model, {R('avg(mae)')} AS cv_mae FROM (SELECT model, cv_block, avg(abs(y - p)) AS mae FROM cvcand
+GROUP BY model, cv_block) GROUP BY model"""))
 def q_forecast_cv_means(spark, sf_dir):
-    long = _leader_long(spark, sf_dir).filter(F.col("cv_block") >= 0)
+    """Every fold is scored by models of the rows before it (refitted fold by fold)."""
+    f = materialize(S.expanding_folds(SEQ.nation_features(spark, sf_dir).withColumn("split", F.lit("")), ["nation"]))
+    long = _candidates(f.filter(F.col("cv_block") >= 0), FC.seasonal_fit_folds(f, ["nation"]), ["nation", "cv_block"])
     per_fold = long.groupBy("model", "cv_block").agg(F.avg(F.abs(F.col("y") - F.col("p"))).alias("mae"))
     return MT.fold_mean(per_fold, "model", "mae")
 

@@ -37,5 +37,5 @@ def query(name: str, covers: str = "", oracle: str | None = None):
 def load_all() -> dict[str, Query]:
     # importing the modules registers their queries
     from . import (ledger_queries, metrics_queries, ml_queries, scoring_queries,  # noqa: F401
-                   series_queries, unify_queries)
+                   series_queries, tree_queries, unify_queries)
     return QUERIES
