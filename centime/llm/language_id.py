@@ -27,11 +27,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from .common import hash_sample, rows_for
+from .common import rows_for, written
 
 SEGMENT = 128
 HIDDEN = 8
@@ -186,15 +186,38 @@ def train(segments: list[bytes], labels: list[str], steps: int = STEPS, seed: in
     return Network(langs, w)
 
 
+def _sample(rows: DataFrame, n: int) -> DataFrame:
+    """Of (lang, h, ...) the rows of about ``n`` distinct texts, alike many of every language: those of
+    smallest hash, one row a text.  The hash range read is cut by the count of distinct texts, and
+    widened until every language has its share or all it has, so copies of a text neither fill the
+    sample nor empty it."""
+    place = F.pmod("h", F.lit(1 << 30))
+    texts = written(rows.select("lang", place.alias("place"), "h").distinct(), "language-texts")
+    size = texts.groupBy("lang").agg(F.count("*").alias("size"))
+    quota = max(1, n // max(1, size.count()))
+    size = written(size.withColumn("want", F.least("size", F.lit(quota))), "language-sizes")
+    share = 2.0
+    while True:
+        near = texts.join(size, "lang").where(F.col("place") < F.lit(float(1 << 30)) * share * quota / F.col("size"))
+        got = near.groupBy("lang").count()
+        if size.join(got, "lang", "left").where(F.coalesce("count", F.lit(0)) < F.col("want")).isEmpty():
+            break
+        share *= 4
+    w = Window.partitionBy("lang").orderBy("place", "h")  # some quotas
+    chosen = near.withColumn("nth", F.row_number().over(w)).where(F.col("nth") <= quota).select("lang", "h")
+    chosen = written(chosen, "language-chosen")
+    return rows.join(F.broadcast(chosen), ["lang", "h"]).dropDuplicates(["lang", "h"])  # n rows, or one a language
+
+
 def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Network:
-    """Network trained on a bounded sample of the rows of ``labelled``."""
+    """Network trained on segments, drawn over the whole text, of ``TRAIN_DOCS`` distinct
+    texts of ``labelled`` (one a language if there are more languages)."""
     text = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
-    size = F.octet_length("t")
-    windows = F.array(*[F.expr(f"substring(t, cast((octet_length(t) * {k} div {WINDOWS}) as int) + 1, {SEGMENT})")
+    windows = F.array(*[F.expr(f"substring(t, cast(pmod(xxhash64(h, {k}), ceil(octet_length(t) / {SEGMENT})) as int) * {SEGMENT} + 1, {SEGMENT})")
                         for k in range(WINDOWS)])
     rows = (labelled.where(F.col(lang_col).isNotNull()).select(text.alias("t"), F.col(lang_col).cast("string").alias("lang"))
-            .where(size > 0).select("lang", windows.alias("w"), F.xxhash64("t").alias("h")))
-    rows = hash_sample(rows, F.col("h"), TRAIN_DOCS, "language-sample").collect()
+            .where(F.octet_length("t") > 0).withColumn("h", F.xxhash64("t")).select("lang", "h", windows.alias("w")))
+    rows = _sample(rows, TRAIN_DOCS).orderBy("lang", "h").collect()
     segments, labels = [], []
     for r in rows:
         for s in dict.fromkeys(bytes(x) for x in r.w):

@@ -35,7 +35,6 @@ from pyspark.sql import functions as F
 from .common import LOWER_TABLE, UnitMemo, hash_sample, mix64, rows_for, span_hashes, text_bytes, written
 
 SAMPLE = 20_000
-FEATURES = 4000
 BEGINNINGS = (4, 5, 6)  # lengths in bytes of the word beginnings that may count
 LEAST = 3  # toxic documents that a feature must mark
 RIDGE = 0.02
@@ -278,7 +277,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     """Model learnt from ``labels`` (id, 0 or 1) of ``docs``."""
     some = (labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
             .select(F.col(id_col).alias("label_id"), F.col(label_col).cast("int").alias("toxic"))
-            .dropDuplicates(["label_id"]))
+            .groupBy("label_id").agg(F.max("toxic").alias("toxic")))  # a document labelled both ways is toxic
     some = written(hash_sample(some, F.xxhash64("label_id"), SAMPLE, "toxic-hashed"), "toxic-labels")
     sample = written(docs.join(F.broadcast(some), F.col(id_col) == F.col("label_id"))  # at most SAMPLE rows
                      .select("toxic", F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text")), "toxic-sample")
@@ -296,7 +295,6 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         h = t["h"].to_numpy().view(np.uint64)
         g = _test(t["pos"].to_numpy(), t["neg"].to_numpy(), n_pos, n_neg)
         good = np.flatnonzero(g > 2 * np.log(len(cand)) - 4)
-        good = good[np.argsort(-g[good], kind="stable")][:FEATURES]
         model.features = np.sort(h[good])
     features = model.features
 
@@ -350,7 +348,7 @@ def regress(rows: list[list[int]], y: np.ndarray, n: np.ndarray, features: int,
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, score, n_marks: features found) for every row."""
     src = text_bytes(docs, id_col, text_col)
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most FEATURES weights and the pair table
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # the weights that passed the test and the pair table
 
     def run(batches):
         model = shared.value
