@@ -3,6 +3,11 @@
 Language ID, exact dedup, SimHash near-dedup, benchmark decontamination, then
 SentencePiece ids.  Each stage takes all documents its predecessor kept, with
 the columns of ``documents``; the last returns the encoded documents.
+
+Defined results: a null text or one without a letter goes in the first stage,
+as does every document if no row has both a text and a language to learn from;
+repeated rows are copies, of which one stays; an empty table gives an empty
+table; columns beyond those of ``documents`` are kept up to the last stage.
 """
 
 from __future__ import annotations
@@ -17,14 +22,12 @@ from centime.llm import decontaminate, exact_dedup, language_id, sentencepiece_c
 from centime.llm.common import crc_bucket
 from centime.session import scratch_path
 
-MIN_LANGUAGE_SCORE = 0.4  # mean probability of the best language under which a text has none
-
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language the network recognises stay."""
+    """Documents of which the network can name a language stay: those with a letter."""
     net = language_id.fit(docs.where(crc_bucket(F.col("doc_id"), 4) != 2))
     found = language_id.predict(docs, net, F.struct("*"))
-    return found.where((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= MIN_LANGUAGE_SCORE)).select("id.*")
+    return found.where(F.col("lang_pred") != language_id.UNKNOWN).select("id.*")
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
