@@ -8,9 +8,12 @@ denied requests cost nothing.
 Batch: when R >= C every elapsed interval refills the bucket completely, so a
 request is admitted iff it is among the first C of its user's interval
 ``floor((ts - first_ts) / I)`` — a per-(user, interval) rank filter that
-Spark evaluates with a group limit before the shuffle.  For R < C the
-bucket carries over, the state is sequential per user, and the batch form
-replays it per user with ``applyInPandas``.
+Spark evaluates with a group limit before the shuffle.  For R < C tokens
+carry over: a refill and the requests of an interval each map the tokens x to
+clamp(x + a, lo, hi), and such maps compose to one of their kind.  A user's
+intervals are cut into blocks of ``BLOCK``; each block becomes one map, the maps
+of a user's blocks give the tokens each block begins with, and inside a block the
+tokens of every interval follow.  No task holds a user's events.
 
 Streaming: ``applyInPandasWithState`` keeps (tokens, refill clock) per user;
 each micro-batch's events are replayed in time order.
@@ -22,7 +25,7 @@ from typing import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 from pyspark.sql.types import IntegerType, StructField, StructType
 
@@ -30,6 +33,7 @@ from ..functions import dims
 
 OUT_SCHEMA = "event_id long, user_id long, ts timestamp, admitted boolean"
 STATE_SCHEMA = "tokens double, clock long"
+BLOCK = 512  # intervals with requests that a task looks at together, at most
 
 
 def _replay(ts_us, tokens: float, clock: int | None, capacity: int, refill: int, interval_us: int):
@@ -65,14 +69,60 @@ def token_bucket(events: DataFrame, capacity: int = dims.TOKEN_BUCKET_CAPACITY,
               .select(id_col, F.lit(True).alias("admitted")))
         return events.join(ok, id_col, "left").withColumn("admitted", F.coalesce("admitted", F.lit(False)))
 
-    def per_user(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["_t", id_col])
-        adm, _, _ = _replay(pdf["_t"].tolist(), float(capacity), None, capacity, refill, interval_us)
-        return pd.DataFrame({id_col: pdf[id_col].values, "admitted": adm})
+    first = events.groupBy(key).agg(F.min(t_us).alias("_t0"))
+    e = events.select(key, id_col, t_us.alias("_t")).join(first, key)
+    e = e.withColumn("_iv", F.floor((F.col("_t") - F.col("_t0")) / interval_us))
+    w = Window.partitionBy(key, "_iv").orderBy("_t", id_col)
+    head = e.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= capacity)
+    ok = head.join(available(e, key, capacity, refill), [key, "_iv"]).filter(F.col("_rn") <= F.col("_tokens"))
+    return events.join(ok.select(id_col, F.lit(True).alias("admitted")), id_col, "left") \
+        .withColumn("admitted", F.coalesce("admitted", F.lit(False)))
 
-    e = events.select(key, id_col, t_us.alias("_t"))
-    flags = e.groupBy(key).applyInPandas(per_user, f"{id_col} long, admitted boolean")
-    return events.join(flags, id_col, "left")
+
+def _clamp(x: Column, low, high) -> Column:
+    return F.least(F.greatest(x, low), high)
+
+
+def available(events: DataFrame, key: str, capacity: int, refill: int, block: int | None = None) -> DataFrame:
+    """(key, _iv, _tokens): the whole tokens at hand when an interval's first request comes, for
+    events (key, _iv) whose intervals ``_iv`` count from 0 for each key."""
+    block = block or BLOCK
+    low, high = F.lit(0).cast("long"), F.lit(capacity).cast("long")
+    n = events.groupBy(key, "_iv").agg(F.count("*").alias("n")).withColumn("_b", F.floor(F.col("_iv") / block))
+    lists = n.groupBy(key, "_b").agg(F.array_sort(F.collect_list(F.struct("_iv", "n"))).alias("xs"))
+
+    def then(f, a):  # the map f followed by x -> clamp(x + a, 0, capacity)
+        return F.struct((f["a"] + a).alias("a"), _clamp(f["lo"] + a, low, high).alias("lo"), _clamp(f["hi"] + a, low, high).alias("hi"))
+
+    start = F.col("_b") * block
+    none = F.struct(low.alias("a"), low.alias("lo"), high.alias("hi"))
+
+    def step(acc, x):
+        after = then(then(acc["f"], (x["_iv"] - acc["at"]) * refill), -x["n"])
+        return F.struct(after.alias("f"), x["_iv"].alias("at"))
+
+    maps = lists.withColumn("m", F.aggregate("xs", F.struct(none.alias("f"), start.cast("long").alias("at")), step,
+                                             lambda acc: then(acc["f"], ((F.col("_b") + 1) * block - acc["at"]) * refill)))
+    per = maps.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("_b", "m"))).alias("ms"))  # one entry a block
+
+    def enter(acc, x):  # refills of the blocks without a request, then the block itself
+        tokens = _clamp(acc["x"] + (x["_b"] - acc["b"]) * (block * refill), low, high)
+        out = _clamp(tokens + x["m"]["a"], x["m"]["lo"], x["m"]["hi"])
+        entry = F.struct(x["_b"].alias("_b"), tokens.alias("x0"))
+        return F.struct((x["_b"] + 1).alias("b"), out.alias("x"), F.concat(acc["out"], F.array(entry)).alias("out"))
+
+    first = F.struct(low.alias("b"), high.alias("x"), F.array().cast("array<struct<_b:bigint,x0:bigint>>").alias("out"))
+    begin = per.select(key, F.inline(F.aggregate("ms", first, enter, lambda acc: acc["out"])))
+
+    def serve(acc, x):
+        tokens = _clamp(acc["x"] + (x["_iv"] - acc["at"]) * refill, low, high)
+        entry = F.struct(x["_iv"].alias("_iv"), tokens.alias("_tokens"))
+        return F.struct(x["_iv"].alias("at"), F.greatest(tokens - x["n"], low).alias("x"), F.concat(acc["out"], F.array(entry)).alias("out"))
+
+    empty = F.array().cast("array<struct<_iv:bigint,_tokens:bigint>>")
+    inside = lists.join(begin, [key, "_b"])
+    served = F.aggregate("xs", F.struct(start.cast("long").alias("at"), F.col("x0").alias("x"), empty.alias("out")), serve, lambda acc: acc["out"])
+    return inside.select(key, F.inline(served))
 
 
 def token_bucket_stream(stream: DataFrame, capacity: int = dims.TOKEN_BUCKET_CAPACITY,

@@ -163,3 +163,29 @@ def test_score_stream_with_stateful_velocity(spark):
     want = {r["event_id"]: (r["fraud_probability"], r["risk_level"])
             for r in SC.fraud_risk(ev.withColumn("is_weekend", F.lit(0))).collect()}
     assert got == want
+
+
+def test_token_bucket_carry_over_matches_replay(spark):
+    """Random logs, long pauses, many blocks, and a user with a third of the rows; refill below capacity."""
+    import random
+    from centime.streaming import rate_limit as RL
+    rng = random.Random(9)
+    rows, t = [], {}
+    for i in range(3000):
+        user = 1 if i % 3 == 0 else rng.randrange(2, 40)
+        t[user] = t.get(user, rng.randrange(10**6)) + rng.choice([1, 5, 30, 60, 61, 400, 20000])
+        rows.append((i, user, dt.datetime(2024, 1, 1) + dt.timedelta(seconds=t[user])))
+    df = spark.createDataFrame(rows, "event_id long, user_id long, ts timestamp").repartition(5)
+    for cap, ref, every, block in ((7, 2, 60, 4), (3, 1, 600, 512), (5, 0, 60, 3)):
+        old, RL.BLOCK = RL.BLOCK, block
+        try:
+            got = {r.event_id: r.admitted for r in RL.token_bucket(df, cap, ref, every).collect()}
+        finally:
+            RL.BLOCK = old
+        want = {}
+        for user in t:
+            mine = sorted((ts, i) for i, u, ts in rows if u == user)
+            us = [int((ts - dt.datetime(1970, 1, 1)).total_seconds() * 1e6) for ts, _ in mine]
+            admitted, _, _ = RL._replay(us, float(cap), None, cap, ref, every * 1_000_000)
+            want.update({i: a for (_, i), a in zip(mine, admitted)})
+        assert got == want
