@@ -29,11 +29,19 @@ def test_sql_operators_stay_in_the_jvm(spark):
         assert "Python" not in p and "ArrowEvalPython" not in p, name
 
 
-def test_tfidf_vocabulary_is_not_broadcast(spark):
+def test_tfidf_vocabulary_is_broadcast_only_behind_a_count(spark, monkeypatch):
     from pyspark.sql import functions as F
     from centime.operators import text_features as TF
     from centime.sources.tables import Ledger
     d = Ledger(spark, SMALL).table("documents", "doc_id", "text").select("doc_id", TF.word_tokens("text").alias("tokens"))
-    w = TF.tfidf(d, "doc_id", TF.word_ngrams(F.col("tokens"), 1, 3))
-    p = w._jdf.queryExecution().executedPlan().toString()
+
+    def plan():
+        w = TF.tfidf(d, "doc_id", TF.word_ngrams(F.col("tokens"), 1, 3))
+        return w._jdf.queryExecution().executedPlan().toString()
+
+    # few terms: the documents move once, their terms never
+    p = plan()
+    assert "BroadcastHashJoin" in p and p.count("Exchange hashpartitioning") == 1
+    monkeypatch.setattr(TF, "FEW_TERMS", 10)
+    p = plan()
     assert "SortMergeJoin" in p and "BroadcastHashJoin" not in p

@@ -173,12 +173,17 @@ def test_forest_does_not_depend_on_partitioning(spark):
     assert set(few[few["node"] == 0]["size"]) == {40}
 
 
-def test_budget_regressors_are_scored_on_every_fold(spark):
-    from centime.plans import ml_queries
-    rows = [(i % 2, "abc"[i % 3], float(i), 2.0 * i + i % 3) for i in range(60)]
-    data = spark.createDataFrame(rows, "fold int, target string, x double, y double")
-    got = {(r.target, r.model): r for r in ml_queries._fold_metrics(data, ["x"], ["target"], ["target"]).collect()}
-    assert set(got) == {(t, m) for t in "abc" for m in ("rf", "gbt", "ridge", "vote")}
-    assert all(r.n == 20 and r.mae is not None for r in got.values())
-    for t in "abc":
-        assert got[t, "vote"].mae <= sum(w * got[t, k].mae for k, w in ml_queries.VOTE.items()) + 1e-5
+def test_budget_regressors_are_scored_on_every_fold(spark, monkeypatch):
+    from centime.operators import trees as TR
+    from centime.plans import tree_queries as TQ
+    few = {"random_forest": TR.Forest(trees=6, depth=6), "extra_trees": TR.Forest(trees=6, depth=8, random_cuts=True, bootstrap=False),
+           "gradient_boosting": TR.Boosting(rounds=6, depth=3, rate=0.3, lam=0.0), "xgboost": TR.Boosting(rounds=6, depth=3, rate=0.3)}
+    monkeypatch.setattr(TQ, "BUDGET", few)
+    d, _, targets = TQ.budget_rows(spark, "/root/testdata/sf0.001")
+    p = TQ.budget_predictions(spark, "/root/testdata/sf0.001").toPandas()
+    users, names = d.count(), [*few, "ridge", "ensemble"]
+    assert len(p) == users * len(targets) * len(names) and not p["p"].isna().any() and not p.duplicated(["user_id", "target", "model"]).any()
+    wide = p.pivot(index=["user_id", "target"], columns="model", values="p")
+    vote = 0.5 * wide["extra_trees"] + 0.3 * wide["gradient_boosting"] + 0.2 * wide["xgboost"]
+    assert (abs(vote - wide["ensemble"]) < 1e-6 * (1 + abs(vote))).all()
+    assert ((p[p.model == "ridge"].y - p[p.model == "ridge"].p).abs().mean()) < p.y.mean()
