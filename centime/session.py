@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -77,6 +78,14 @@ def materialize(df):
     return df.checkpoint(eager=True)
 
 
+def written(df, name: str):
+    """``df`` written as Parquet under the shared checkpoint folder and read back:
+    cuts lineage like ``materialize``, and later readers prune columns."""
+    path = scratch_path(df.sparkSession, f"{name}-{uuid.uuid4().hex}")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 _SHIPPED: set[int] = set()
 
 
