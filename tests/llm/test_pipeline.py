@@ -15,7 +15,7 @@ from test_dedup import component_ids, fingerprint, normal
 
 def test_registered():
     names = __spark_entry__.queries()
-    assert sum(n.startswith("op") and n[2].isdigit() for n in names) == 10 and "pipeline" in names
+    assert sum(n.startswith("op") and n[2].isdigit() for n in names) == 13 and "pipeline" in names
     assert "op3_exact_dedup" in __spark_entry__.oracle_sql()
 
 
