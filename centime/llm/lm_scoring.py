@@ -1,62 +1,63 @@
-"""Operator 10, language-model scores by a probabilistic suffix tree.
-
-The model reads a text as its tokens: lowered words, each closed by a space,
-and one end mark.  Its symbols are bytes.
-
-* **Head.** The contexts of up to ``DEPTH`` bytes are counted by buckets and
-  become one small automaton (``grow``), which is broadcast: the alphabet bounds
-  it.  Every byte that occurs is a symbol of its own.
-* **Tree.** Longer contexts grow a byte a level, in hash-partitioned tables.  Each
-  block sends the distinct pairs of a context's hash and the byte after it, with
-  their training counts and the byte's probability in the context one byte
-  shorter.  A bucket sums the corpus's counts.  A context stays when it occurs
-  ``LEAST`` times and its next-byte distribution diverges from the shorter
-  one's by ``DIVERGENCE`` bits; the bucket answers each pair with its probability.
-  Places ask at the next level while their context stays, and up to ``GAP`` levels
-  on where it is frequent and followed by different bytes but does not diverge
-  itself: a longer one may.  ``LEAST`` is a count,
-  so the tree grows with the corpus; only under 8 MB of training text is it less.
-  Distributions are smoothed towards the shorter context's, with ``PRIOR`` times
-  the number of different next bytes as its weight.
-* **Scoring** happens as the tree grows: a place keeps the probability of its
-  longest context that stayed.  Between levels a block is a bit mask of the
-  places that still ask and a sum for each document.
-
-The unigram baseline needs a count for every token of the corpus.  Each block
-sends its distinct words (64-bit hashes) with its training counts to buckets,
-which answer with the corpus's counts, in the same order.  A word that holds a
-third of all tokens is one entry a block.
-
-Defined results: null or empty text has the end mark only; ids must be
-integers; without training documents all bytes are equally likely; contexts
-do not reach beyond a text's begin and are named by 56-bit hashes; repeated
-rows each get their result; an empty table gives an empty table; other columns
-are ignored.
+"""Operator 10, language-model scores by a probabilistic suffix tree over words.
+
+The model's symbols are tokens: lowered words, then one end.  A context is the
+run of tokens before a token, back to the text's begin mark at most.
+
+* **Root.** The unigram model: a token's training count over the corpus, plus 0.1.
+* **Tree.** Contexts grow a token a level.  At a level each block sends its distinct
+  (context, next token) pairs with their training counts and the probability that
+  is in force for them; buckets of contexts sum the corpus's counts.  A context
+  stays when it occurs ``LEAST`` times and its smoothed next-token distribution
+  diverges from the one in force by ``GAIN`` bits over all its occurrences.  It is
+  smoothed by the distribution in force, weighted by the number of its different
+  next tokens.  The longest context that stays gives a token's probability.
+* **Growth** ends by itself.  A longer context occurs at places of the shorter one,
+  so its divergence is at most the bits that those places cost now; a context that
+  occurs less than ``LEAST`` times or costs less than ``GAIN`` bits is not
+  extended, as none of its extensions could stay.  Both bounds are absolute counts.
+* **Several levels a round.** From ``TAIL`` tokens on few places still ask, mostly in
+  near copies, which can agree for thousands of tokens.  They send the pairs of
+  several levels at once, as a trie that goes to the bucket of its shortest context, so depth
+  doubles a round.  Only documents with such places travel on, as token hashes.
+  How many levels a round takes is bounded by the pairs that a block makes and
+  has no influence on the result.
+
+The unigram counts come from the same exchange: each block sends its distinct words
+(64-bit hashes) with its training counts to buckets, which answer with the
+corpus's counts, in the same order.  A word, or a context, that holds a third of all
+tokens is one entry a block.
+
+Defined results: null or empty text has the end only; ids must be integers;
+without training documents every token is the unknown one and both scores are 0;
+contexts are named by 64-bit hashes; log10 probabilities that travel are rounded to 16 bits of
+fraction; repeated rows each get their result; an empty table gives an empty
+table; other columns are ignored.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .blocks import NO_ID, block_texts, make_blocks, squeeze, stretch
 from .common import doc_words, group_equal, mix64, span_hashes, written
-from .suffix_dedup import rolling_hash
-
-DEPTH = 2  # context bytes of the broadcast head; longer contexts are in hash-partitioned tables
-LEAST = 16  # occurrences that a context needs, whatever the corpus
-P_MIN = 2e-6  # in small corpora this share is enough
-DIVERGENCE = 0.005
-PRIOR = 1.0
-END = 10  # a byte that no word holds; also stands before a text
-GAP = 3  # levels in a row without divergence after which a context is not extended
-COMBINE = 3_000_000  # distinct strings that a task combines before it sends them
+
+LEAST = 16  # training occurrences that a context needs
+GAIN = 32.0  # bits by which its distribution must shorten the training text
+TAIL = 4  # context length from which a round takes several levels
+PAIRS = 4 << 20  # pairs that a block may make in such a round
 BUCKET_BYTES = 256 << 20
 LEVEL_BYTES = 32 << 20  # text for each bucket of a level
+BEGIN, END = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)  # hashes of the two marks
+BASE = 0x9E3779B97F4A7C17  # of the polynomial that names contexts; 3 modulo 4
+LOW = np.uint64(0xFFFFFFFF)
+HALF = np.uint64(32)
+
+ROWS = "bucket long, block long, asked long, kept long, held double, parts array<binary>"
 
 
 def split_block(row: dict):
@@ -67,330 +68,248 @@ def split_block(row: dict):
     return ids, stretch(row["learn"], bool, row["docs"]), *doc_words(texts)
 
 
-def streams(flat: bytes, ends: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Each document as ``DEPTH`` end marks, its words, one end mark; and where
-    each begins (n + 1 values)."""
-    a = np.frombuffer(flat, np.uint8)
-    at = np.concatenate([[0], ends + 1])[first]
-    n = len(first) - 1
-    begin = at + (DEPTH + 1) * np.arange(n + 1)
-    out = np.full(begin[-1], END, np.uint8)
-    out[np.arange(len(a)) + DEPTH + (DEPTH + 1) * np.repeat(np.arange(n), np.diff(at))] = a
-    return out, begin
-
-
-def count_strings(stream: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct (context, next byte) of a stream and their counts.  In a key the
-    nearest context byte is highest, the next byte lowest."""
-    scored = np.ones(len(stream), bool)
-    for d in range(DEPTH):
-        scored[begin[:-1] + d] = False
-    at = np.flatnonzero(scored)
-    key = stream[at].astype(np.uint64)
-    for d in range(1, DEPTH + 1):
-        key |= stream[at - d].astype(np.uint64) << np.uint64(8 * (8 - d))
-    return np.unique(key, return_counts=True)
-
-
-def merge_counts(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    key, count = np.concatenate(keys), np.concatenate(counts).astype(np.int64)
-    order = np.argsort(key, kind="stable")
-    key, count = key[order], count[order]
-    new = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.empty(0, np.int64)
-    return key[new], np.add.reduceat(count, new) if len(new) else count
-
-
-def send_strings(blocks: DataFrame, buckets: int) -> DataFrame:
-    """(bucket, n, keys, counts) of the training documents."""
-    def rows(keys, counts):
-        to = (keys >> np.uint64(48)) % np.uint64(buckets)
-        cols = [[], [], [], []]
-        for b in range(buckets):
-            at = to == b
-            if at.any():
-                for c, x in zip(cols, (b, int(at.sum()), *squeeze(keys[at], counts[at].astype(np.uint32)))):
-                    c.append(x)
-        return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()),
-                                           pa.array(cols[2], pa.binary()), pa.array(cols[3], pa.binary())],
-                                          ["bucket", "n", "keys", "counts"])
-
-    def run(batches):
-        keys, counts = np.empty(0, np.uint64), np.empty(0, np.int64)
-        for batch in batches:
-            for row in batch.to_pylist():
-                _, learn, flat, _, ends, first = split_block(row)
-                stream, begin = streams(flat, ends, first)
-                if learn.any():
-                    keep = np.repeat(learn, np.diff(begin))
-                    size = np.diff(begin)[learn]
-                    k, c = count_strings(stream[keep], np.concatenate([[0], np.cumsum(size)]))
-                    keys, counts = merge_counts([keys, k], [counts, c])
-                if len(keys) > COMBINE:
-                    yield rows(keys, counts)
-                    keys, counts = keys[:0], counts[:0]
-        if len(keys):
-            yield rows(keys, counts)
-
-    return blocks.mapInArrow(run, "bucket long, n long, keys binary, counts binary")
-
-
-def string_counts(sent: DataFrame, least: int) -> DataFrame:
-    """(depth, key, count) of all contexts that occur ``least`` times, with the
-    bytes that follow them.  Depths 0 and 1 are partial sums of a bucket."""
-    def run(t: pa.Table) -> pa.Table:
-        key = np.empty(0, np.uint64)
-        count = np.empty(0, np.int64)
-        for row in t.to_pylist():
-            key, count = merge_counts([key, stretch(row["keys"], np.uint64, row["n"])],
-                                      [count, stretch(row["counts"], np.uint32, row["n"])])
-        depth, keys, counts = [], [], []
-        byte = key & np.uint64(255)
-        for d in range(DEPTH + 1):
-            ctx = key >> np.uint64(8 * (8 - d)) if d else np.zeros_like(key)
-            k, c = merge_counts([(ctx << np.uint64(8)) | byte], [count])
-            if d > 1:
-                _, of = np.unique(k >> np.uint64(8), return_inverse=True)
-                keep = np.bincount(of, weights=c)[of] >= least
-                k, c = k[keep], c[keep]
-            depth.append(np.full(len(k), d))
-            keys.append(k)
-            counts.append(c)
-        return pa.table({"depth": pa.array(np.concatenate(depth).astype(np.int32)),
-                         "key": pa.array(np.concatenate(keys).view(np.int64)), "count": pa.array(np.concatenate(counts))})
-
-    return sent.groupBy("bucket").applyInArrow(run, "depth int, key long, count long")
-
-
-@dataclass
-class Automaton:
-    """``step`` and ``logp`` by state and byte class; ``classes`` by byte."""
-
-    classes: np.ndarray
-    step: np.ndarray
-    logp: np.ndarray
-
-    def each(self, stream: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """log10 probability of the bytes of a stream at the places ``at``."""
-        sym, width = self.classes[stream], self.logp.shape[1]
-        step = self.step.ravel()
-        state = np.zeros(len(at), np.int64)
-        for t in range(DEPTH, 0, -1):
-            state = step[state * width + sym[at - t]]
-        return self.logp.ravel()[state * width + sym[at]]
-
-    def score(self, stream: np.ndarray, begin: np.ndarray) -> np.ndarray:
-        """log10 probability of every document of a stream."""
-        at, doc = places(begin)
-        return np.bincount(doc, weights=self.each(stream, at), minlength=len(begin) - 1)
-
-
-def places(begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(places of a stream that are scored, document of each)."""
-    size = np.diff(begin) - DEPTH
-    doc = np.repeat(np.arange(len(size)), size)
-    return np.arange(len(doc)) + DEPTH * (doc + 1), doc
-
-
-def _find(nodes: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    """Places of ``keys`` in sorted ``nodes``, -1 where absent."""
-    if not len(nodes):
-        return np.full(len(keys), -1)
-    at = np.minimum(np.searchsorted(nodes, keys), len(nodes) - 1)
-    return np.where(nodes[at] == keys, at, -1)
-
-
-def grow(tables: list[tuple[np.ndarray, np.ndarray]], least: int) -> Automaton:
-    """Automaton of the suffix tree; ``tables[d]`` holds (key, count) at depth
-    d, key = context (nearest byte highest) and next byte."""
-    single = np.zeros(256, np.int64)
-    if len(tables[0][0]):
-        np.add.at(single, (tables[0][0] & np.uint64(255)).astype(np.int64), tables[0][1])
-    common = np.flatnonzero(single)
-    rare = 256 - len(common)
-    classes = np.full(256, len(common), np.int64)
-    classes[common] = np.arange(len(common))
-    width = len(common) + (rare > 0)
-    spread = np.ones(width)
-    if rare:
-        spread[-1] = rare  # bytes that never occur share the last class
-
-    def dense(d, ctx):
-        """Counts by context and class."""
-        key, count = tables[d]
-        row = _find(ctx, key >> np.uint64(8))
-        hit = row >= 0
-        out = np.zeros((len(ctx), width))
-        np.add.at(out, (row[hit], classes[(key[hit] & np.uint64(255)).astype(np.int64)]), count[hit])
-        return out
-
-    root = np.bincount(classes, weights=single, minlength=width)
-    root = (root + 0.1 * spread) / (root + 0.1 * spread).sum()
-    kept, dists = [np.zeros(1, np.uint64)], [root[None, :]]
-    for d in range(1, DEPTH + 1):  # candidates grow from contexts; the test may leave out inner ones, see below
-        ctx = np.unique(tables[d][0] >> np.uint64(8))
-        up = _find(kept[d - 1], ctx >> np.uint64(8))
-        ctx, up = ctx[up >= 0], up[up >= 0]
-        count = dense(d, ctx)
-        total = count.sum(axis=1, keepdims=True)
-        some = total[:, 0] >= least
-        ctx, count, total, up = ctx[some], count[some], total[some], up[some]
-        kept.append(ctx)
-        weight = PRIOR * (count > 0).sum(axis=1, keepdims=True)
-        dists.append((count + weight * dists[d - 1][up]) / (total + weight))
-    stays: list[np.ndarray] = [np.empty(0, bool)] * (DEPTH + 1)
-    for d in range(DEPTH, 0, -1):
-        up = _find(kept[d - 1], kept[d] >> np.uint64(8))
-        p, q = dists[d], dists[d - 1][up]
-        stays[d] = (p * np.log2(p / q)).sum(axis=1) >= DIVERGENCE
-        if d < DEPTH:  # a longer context that stays keeps those it ends in
-            stays[d][_find(kept[d], kept[d + 1][stays[d + 1]] >> np.uint64(8))] = True
-    stays[0] = np.ones(1, bool)
-    kept = [k[s] for k, s in zip(kept, stays)]
-    dists = [p[s] for p, s in zip(dists, stays)]
-    # states: contexts and all strings that begin one
-    nodes = list(kept)
-    for d in range(DEPTH - 1, 0, -1):
-        nodes[d] = np.unique(np.concatenate([nodes[d], nodes[d + 1] & np.uint64((1 << 8 * d) - 1)]))
-    base = np.concatenate([[0], np.cumsum([len(x) for x in nodes])])
-    step = np.zeros((base[-1], width), np.int64)
-    logp = np.empty((base[-1], width), np.float32)
-    with np.errstate(divide="ignore"):
-        for d in range(DEPTH + 1):
-            s = slice(base[d], base[d + 1])
-            if d:
-                up = base[d - 1] + _find(nodes[d - 1], nodes[d] >> np.uint64(8))
-                step[s], logp[s] = step[up], logp[up]
-            own = _find(nodes[d], kept[d])
-            logp[base[d] + own] = np.log10(dists[d] / spread)
-            if d < DEPTH and len(nodes[d + 1]):
-                low = nodes[d + 1] & np.uint64((1 << 8 * d) - 1)  # the string without its last byte
-                last = classes[(nodes[d + 1] >> np.uint64(8 * d)).astype(np.int64)]
-                step[base[d] + _find(nodes[d], low), last] = base[d + 1] + np.arange(len(low))
-    return Automaton(classes, step, logp)
-
-
-def planes(x: np.ndarray) -> np.ndarray:
-    """Bytes of numbers, all first ones before all second ones: they pack better."""
-    return np.ascontiguousarray(x).view(np.uint8).reshape(len(x), -1).T
-
-
-def from_planes(raw: bytes, kind, n: int) -> np.ndarray:
-    width = np.dtype(kind).itemsize
-    return np.ascontiguousarray(stretch(raw, np.uint8, n * width).reshape(width, n).T).view(kind).ravel()
-
-
-def pairs(stream: np.ndarray, at: np.ndarray, depth: int) -> np.ndarray:
-    """Hash of the ``depth`` bytes before each place (56 bits) and the byte there."""
-    if not len(at):
-        return np.empty(0, np.uint64)
-    h = mix64(rolling_hash(stream, depth))[at - depth]
-    return (h & ~np.uint64(255)) | stream[at]
-
-
-def bucket_cut(keys: np.ndarray, buckets: int) -> np.ndarray:
-    """Where each bucket begins in sorted keys."""
-    return np.searchsorted(((keys >> np.uint64(40)) * np.uint64(buckets)) >> np.uint64(24), np.arange(buckets + 1, dtype=np.uint64))
-
-
-class Level:
-    """A block's places after the answers for contexts of ``depth`` - 1 bytes:
-    those that ask for ``depth`` bytes (``at``) with the probabilities they have
-    (``log``), and the sums of the settled ones by document."""
-
-    def __init__(self, row: dict, answers: list[dict], depth: int, head: Automaton | None = None, text=None):
-        self.ids, self.learn, flat, _, ends, first = text or split_block(row)
-        self.stream, begin = streams(flat, ends, first)
-        self.at, self.doc = places(begin)
-        if head is not None:
-            self.log, go = head.each(self.stream, self.at), np.ones(len(self.at), bool)
-            self.sums, self.asking, gap = np.zeros(len(self.ids)), go, np.zeros(len(go), np.uint8)
+def token_stream(words: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(each document as begin mark, its word hashes, end; size of each)."""
+    n = np.diff(first)
+    size = n + 2
+    at = np.cumsum(size) - size
+    out = np.full(int(size.sum()), END, np.uint64)
+    out[at] = BEGIN
+    out[np.arange(len(words)) + 1 + 2 * np.repeat(np.arange(len(n)), n)] = words
+    return out, size
+
+
+def pack(*arrays: np.ndarray) -> list[bytes]:
+    """Arrays as one list of byte strings; numbers travel as planes of their bytes, which pack better."""
+    out = [np.array([len(a) for a in arrays], np.int64).tobytes()]
+    for a in arrays:
+        a = np.ascontiguousarray(a)
+        out += squeeze(a.view(np.uint8).reshape(len(a), a.itemsize).T if len(a) else a)
+    return out
+
+
+def unpack(parts: list[bytes], *kinds) -> list[np.ndarray]:
+    out = []
+    for raw, kind, n in zip(parts[1:], kinds, np.frombuffer(parts[0], np.int64).tolist()):
+        width = np.dtype(kind).itemsize
+        out.append(np.ascontiguousarray(stretch(raw, np.uint8, n * width).reshape(width, n).T).view(kind).ravel())
+    return out
+
+
+def rounded(log: np.ndarray) -> np.ndarray:
+    """log10 probabilities as they travel: 32-bit floats without their last byte."""
+    bits = log.astype(np.float32).view(np.uint32)
+    return ((bits + np.uint32(128)) & np.uint32(0xFFFFFF00)).view(np.float32)
+
+
+class ContextNames:
+    """Hash of the ``n`` tokens before any place of a stream, at constant cost."""
+
+    def __init__(self, stream: np.ndarray):
+        def powers(b):
+            p = np.full(len(stream) + 1, b, np.uint64)
+            p[0] = 1
+            return np.cumprod(p, dtype=np.uint64)
+
+        self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(stream * powers(BASE)[:-1], dtype=np.uint64)])
+        self.back = powers(pow(BASE, -1, 1 << 64))
+
+    def __call__(self, at: np.ndarray, n: int) -> np.ndarray:
+        return mix64((self.sums[at] - self.sums[at - n]) * self.back[at])
+
+
+class Block:
+    """A block's documents between two rounds.  ``sums`` holds the settled places of all its
+    documents; ``stream`` the tokens of the documents ``docs``, of which the places
+    ``asking`` wait for contexts of ``depth`` tokens; ``okay`` marks the ends of strings
+    that may occur ``LEAST`` times as far as known."""
+
+    OWN = (np.int64, np.bool_, np.int64, np.int64, np.float64, np.float64, np.uint8, np.uint8, np.int64, np.int64, np.uint64, np.uint32)
+
+    def place(self, stream, size, docs):
+        self.stream, self.size, self.docs = stream, size, docs
+        self.begin = np.cumsum(size) - size
+        self.of = np.repeat(np.arange(len(size)), size)
+
+    @classmethod
+    def first(cls, row: dict, words, count: np.ndarray, floor: float, n_learn: int) -> "Block":
+        """Before the first round: unigram probabilities; places after frequent tokens ask."""
+        b = cls()
+        b.number = row["block"]
+        b.ids, b.learn, _, _, _, first = words[3]
+        c = count[words[1]]
+        b.place(*token_stream(words[0][words[1]], first), np.arange(len(b.ids)))
+        log, seen = np.zeros(len(b.stream)), np.zeros(len(b.stream), np.int64)
+        ends = b.begin + b.size - 1
+        inner = np.ones(len(b.stream), bool)
+        inner[b.begin] = inner[ends] = False
+        seen[inner], seen[b.begin], seen[ends] = c, n_learn, n_learn
+        log[inner], log[ends] = np.log10((c + 0.1) / floor), np.log10((n_learn + 0.1) / floor)
+        b.tokens = b.size - 1
+        n = len(b.ids)
+        b.known = np.bincount(b.of[seen > 0], minlength=n) - (n_learn > 0)  # the begin mark is no token
+        b.base = np.bincount(b.of, weights=log, minlength=n)
+        b.okay = seen >= LEAST
+        b.asking = np.concatenate([[False], b.okay[:-1]]) if len(b.okay) else b.okay.copy()
+        b.asking[b.begin] = False
+        b.sums = np.bincount(b.of[~b.asking], weights=log[~b.asking], minlength=n)
+        b.log = rounded(log[b.asking])
+        return b
+
+    @classmethod
+    def again(cls, rows: list[dict], depth: int, levels: int, text: dict | None) -> "Block":
+        """From a block's state and the answers of the round that ended before ``depth``."""
+        b = cls()
+        own = next(r for r in rows if r["bucket"] < 0)
+        b.number = -1 - own["bucket"]
+        b.ids, b.learn, b.tokens, b.known, b.base, b.sums, asking, okay, docs, size, stream, leaf = unpack(own["parts"], *cls.OWN)
+        if text is not None:
+            _, _, flat, starts, ends, first = split_block(text)
+            b.place(*token_stream(span_hashes(flat, starts, ends - starts), first), np.arange(len(b.ids)))
         else:
-            own = next(r for r in answers if r["bucket"] < 0)
-            self.sums = stretch(own["sums"], np.float64, len(self.ids)).copy()
-            self.asking = np.unpackbits(stretch(own["answer"], np.uint8, -(-len(self.at) // 8)), count=len(self.at)).astype(bool)
-            self.at, self.doc = self.at[self.asking], self.doc[self.asking]
-            rows = sorted((r for r in answers if r["bucket"] >= 0), key=lambda r: r["bucket"])
-            answer = np.concatenate([from_planes(r["answer"], np.float32, r["n"]) for r in rows] or [np.empty(0, np.float32)])
-            on = np.concatenate([np.unpackbits(stretch(r["ahead"], np.uint8, -(-r["n"] // 8)), count=r["n"]) for r in rows]
-                                or [np.empty(0, np.uint8)]).astype(bool)
-            of = group_equal(pairs(self.stream, self.at, depth - 1))[2]
-            answer = answer[of]
-            gap = np.where(answer < 0, 0, stretch(own["ahead"], np.uint8, len(self.at)) + 1).astype(np.uint8)
-            self.log, go = -np.abs(answer), on[of] & (gap <= GAP)
-        go = go & (self.at - depth >= begin[self.doc])
-        self.sums += np.bincount(self.doc[~go], weights=self.log[~go], minlength=len(self.ids))
-        still = np.zeros(len(self.asking), bool)
-        still[np.flatnonzero(self.asking)[go]] = True
-        self.at, self.doc, self.log, self.gap, self.asking = self.at[go], self.doc[go], self.log[go], gap[go], still
+            b.place(stream, size, docs)
+        n = len(b.stream)
+        b.asking = np.unpackbits(asking, count=n).astype(bool)
+        b.okay = np.unpackbits(okay, count=n).astype(bool)
+        rows = sorted((r for r in rows if r["bucket"] >= 0), key=lambda r: r["bucket"])
+        got = [unpack(r["parts"], np.float32, np.uint8, np.uint8) for r in rows]
+        log, on, often = ([np.empty(0, np.float32)], [np.empty(0, bool)], [np.empty(0, bool)])
+        for values, *bits in got:
+            log.append(values)
+            for to, x in zip((on, often), bits):
+                to.append(np.unpackbits(x, count=len(values)).astype(bool))
+        log, on, often = (np.concatenate(x) for x in (log, on, often))
+        at = np.flatnonzero(b.asking)
+        if text is not None:  # one level: the order of its pairs is that of their keys
+            leaf = group_equal(b.pair_keys(ContextNames(b.stream), at, depth - 1)[0])[2]
+        b.okay[at] &= often[leaf]
+        go = on[leaf] & (at - b.begin[b.of[at]] >= depth) & b.okay[at - 1]
+        log = log[leaf]
+        b.sums = b.sums + np.bincount(b.docs[b.of[at[~go]]], weights=log[~go], minlength=len(b.ids))
+        b.asking = np.zeros(n, bool)
+        b.asking[at[go]] = True
+        b.log = log[go]
+        return b
+
+    def carve(self) -> None:
+        """Keeps the documents that still ask."""
+        stay = np.bincount(self.of[self.asking], minlength=len(self.size)) > 0
+        keep = stay[self.of]
+        self.asking, self.okay = self.asking[keep], self.okay[keep]
+        self.place(self.stream[keep], self.size[stay], self.docs[stay])
 
     def totals(self) -> np.ndarray:
-        return self.sums + np.bincount(self.doc, weights=self.log, minlength=len(self.ids))
-
-    def held_out(self) -> float:
-        return float(self.totals()[~self.learn].sum())
-
-
-SENT = "bucket long, block long, n long, keys binary, counts binary, logs binary, held double"
-ANSWER = "block long, bucket long, n long, answer binary, sums binary, ahead binary, kept long, held double"
-
-
-def ask(row: dict, level: Level, depth: int, buckets: int) -> pa.Table:
-    """A block's pairs at ``depth`` for each bucket, and its own state."""
-    keys, one, group = group_equal(pairs(level.stream, level.at, depth))
-    count = np.bincount(group, weights=level.learn[level.doc], minlength=len(keys)).astype(np.uint32)
-    log, cut = level.log[one], bucket_cut(keys, buckets)
-    out = [(-1 - row["block"], row["block"], len(level.ids), *squeeze(np.packbits(level.asking), level.sums, level.gap), level.held_out())]
-    for b in np.flatnonzero(np.diff(cut)).tolist():
-        s = slice(cut[b], cut[b + 1])
-        out.append((b, row["block"], int(cut[b + 1] - cut[b]),
-                    *squeeze(planes(np.diff(keys[s], prepend=np.uint64(0))), planes(count[s]), planes(log[s])), 0.0))
-    kinds = [pa.int64()] * 3 + [pa.binary()] * 3 + [pa.float64()]
-    return pa.table({name.split()[0]: pa.array(c, k) for name, c, k in zip(SENT.split(", "), zip(*out), kinds)})
+        return self.sums + np.bincount(self.docs[self.of[self.asking]], weights=self.log, minlength=len(self.ids))
+
+    def pair_keys(self, names: ContextNames, at: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+        """(half of the context's hash and half of the pair's, the context's hash) of each place."""
+        ctx = names(at, depth)
+        return (ctx & ~LOW) | (mix64(ctx ^ (self.stream[at] * np.uint64(BASE))) >> HALF), ctx
+
+    def ask(self, depth: int, levels: int, buckets: int) -> pa.Table:
+        """Rows for the buckets: the pairs of ``levels`` levels from ``depth`` on, with the
+        probability in force (first level) or the pair of the level before; and the block's state."""
+        tail = depth >= TAIL
+        if tail:
+            self.carve()
+        at = np.flatnonzero(self.asking)
+        room = at - self.begin[self.of[at]]
+        learn = self.learn[self.docs][self.of[at]]
+        names = ContextNames(self.stream)
+        sent, cuts = [], []
+        leaf_level, leaf = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
+        bucket = group = None
+        for j in range(levels):
+            sel = np.flatnonzero(room >= depth + j)
+            key, ctx = self.pair_keys(names, at[sel], depth + j)
+            if j == 0:
+                bucket = (((ctx >> HALF) * np.uint64(buckets)) >> HALF).astype(np.int64)
+            keys, one, of = group_equal(key)
+            to = bucket[sel][one]
+            up = self.log[one].view(np.uint32) if j == 0 else (group[sel][one] - cuts[-1][to]).astype(np.uint32)
+            if j:
+                order = np.argsort(to, kind="stable")
+                rank = np.empty_like(order)
+                rank[order] = np.arange(len(order))
+                keys, one, up, to, of = keys[order], one[order], up[order], to[order], rank[of]
+            count = np.bincount(of, weights=learn[sel], minlength=len(keys)).astype(np.uint32)
+            cuts.append(np.searchsorted(to, np.arange(buckets + 1)))
+            sent.append(((keys >> HALF).astype(np.uint32), (ctx[one] & LOW).astype(np.uint32), (keys & LOW).astype(np.uint32), count, up))
+            group = np.zeros(len(at), np.int64)
+            group[sel] = of
+            leaf_level[sel], leaf[sel] = j, of
+        sizes = np.array([np.diff(c) for c in cuts])
+        total = sizes.sum(axis=0)
+        where = (np.cumsum(total) - total)[None, :] + np.cumsum(sizes, axis=0) - sizes - np.array([c[:-1] for c in cuts])
+        if tail and len(at):
+            leaf = leaf + where[leaf_level, bucket]
+        own = [self.ids, self.learn, self.tokens, self.known, self.base, self.sums, np.packbits(self.asking), np.packbits(self.okay)]
+        own += [self.docs, self.size, self.stream, leaf.astype(np.uint32)] if tail else [np.empty(0, k) for k in self.OWN[8:]]
+        out = [(-1 - self.number, self.number, len(at), 0, float(self.totals()[~self.learn].sum()), pack(*own))]
+        for b in np.flatnonzero(total).tolist():
+            cols = [[x[c[b]:c[b + 1]] for x in s] for s, c in zip(sent, cuts)]
+            hi = [np.diff(x[0], prepend=np.uint32(0)) for x in cols]
+            out.append((b, self.number, 0, 0, 0.0, pack(sizes[:, b], np.concatenate(hi), *[
+                np.concatenate([x[k] for x in cols]) for k in range(1, 5)])))
+        return table(out)
+
+
+def table(rows: list[tuple]) -> pa.Table:
+    kinds = [pa.int64()] * 4 + [pa.float64(), pa.list_(pa.binary())]
+    return pa.table({name.split()[0]: pa.array(c, k) for name, c, k in zip(ROWS.split(", "), zip(*rows), kinds)})
+
+
+def judge(ctx: np.ndarray, count: np.ndarray, q: np.ndarray, alive: np.ndarray):
+    """Of distinct pairs with contexts numbered ``ctx``, training counts and probabilities ``q`` in
+    force: (log10 of their probabilities in force now, contexts that stay, contexts to extend)."""
+    def total(x):
+        return np.bincount(ctx, weights=x)
+
+    n, kinds, alive = total(count), total(count > 0), total(alive) > 0
+    p = (count + kinds[ctx] * q) / np.maximum(n + kinds, 1)[ctx]
+    seen = count > 0
+    gain = total(np.where(seen, count * np.log2(np.where(seen, p, 1) / np.where(seen, q, 1)), 0))
+    stays = alive & (n >= LEAST) & (gain >= GAIN)
+    log = rounded(np.log10(np.where(stays[ctx], p, q)))
+    bits = total(-count * log.astype(np.float64)) / np.log10(2)
+    return log, stays, alive & (n >= LEAST) & (bits >= GAIN)
 
 
-def answers(sent: DataFrame, least: int) -> DataFrame:
-    """For each pair sent, log10 of its probability in its context where that
-    stays, otherwise that in the shorter context, with the sign changed; and
-    whether longer contexts may stay (``ahead``)."""
+def answers(sent: DataFrame) -> DataFrame:
+    """For each pair sent: its probability in force, whether its context is to be
+    extended, whether the pair occurs ``LEAST`` times.  States of blocks pass."""
     def run(t: pa.Table) -> pa.Table:
         rows = t.to_pylist()
-        if rows[0]["bucket"] < 0:  # a block's state passes
-            return pa.table({"block": t["block"], "bucket": t["bucket"], "n": t["n"], "answer": t["keys"], "sums": t["counts"],
-                             "ahead": t["logs"], "kept": pa.array([0] * len(rows), pa.int64()), "held": t["held"]})
-        sizes = [r["n"] for r in rows]
-        key = np.concatenate([np.cumsum(from_planes(r["keys"], np.uint64, r["n"]), dtype=np.uint64) for r in rows])
-        count = np.concatenate([from_planes(r["counts"], np.uint32, r["n"]) for r in rows]).astype(np.int64)
-        log = np.concatenate([from_planes(r["logs"], np.float32, r["n"]) for r in rows])
-        keys, one, group = group_equal(key)
-        count = np.bincount(group, weights=count, minlength=len(keys))
-        answer, kept, on = judge(keys >> np.uint64(8), count, log[one], least)
-        ahead = [squeeze(np.packbits(x))[0] for x in np.split(on[group], np.cumsum(sizes)[:-1])]
-        back = [squeeze(planes(x))[0] for x in np.split(answer[group], np.cumsum(sizes)[:-1])]
-        return pa.table({"block": t["block"], "bucket": t["bucket"], "n": t["n"], "answer": pa.array(back, pa.binary()),
-                         "sums": pa.array([b""] * len(rows), pa.binary()), "ahead": pa.array(ahead, pa.binary()),
-                         "kept": pa.array([kept] + [0] * (len(rows) - 1), pa.int64()), "held": t["held"]})
-
-    return sent.groupBy("bucket").applyInArrow(run, ANSWER)
-
-
-def judge(ctx: np.ndarray, count: np.ndarray, log: np.ndarray, least: int) -> tuple[np.ndarray, int, np.ndarray]:
-    """(answer for each pair, contexts that stay, pairs of contexts to extend); ``ctx`` is sorted, ``log``
-    the pair's log10 probability in the shorter context."""
-    new = np.concatenate([[True], ctx[1:] != ctx[:-1]])
-    at, of = np.flatnonzero(new), np.cumsum(new) - 1
-    n = np.add.reduceat(count, at)
-    seen = count > 0
-    weight = PRIOR * np.add.reduceat(seen.astype(np.float64), at)
-    q = 10.0 ** log.astype(np.float64)
-    rest = weight / np.maximum(n + weight, 1)  # what bytes that never follow keep of their probability
-    p = (count + weight[of] * q) / np.maximum(n + weight, 1)[of]
-    other = np.maximum(1 - np.add.reduceat(np.where(seen, q, 0), at), 0)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        far = np.add.reduceat(np.where(seen, p * np.log2(p / q), 0), at) + np.where(rest > 0, rest * other * np.log2(rest), 0)
-        stays = (n >= least) & (far >= DIVERGENCE)
-        answer = np.where(stays[of], np.minimum(np.log10(p), -1e-12), -log.astype(np.float64))
-    ahead = stays | ((n >= least) & (weight > PRIOR))
-    return answer.astype(np.float32), int(stays.sum()), ahead[of]
+        if rows[0]["bucket"] < 0:
+            return t
+        got = [unpack(r["parts"], np.int64, *[np.uint32] * 5) for r in rows]
+        sizes = np.array([g[0] for g in got])  # rows x levels
+        ends = np.cumsum(sizes, axis=1)
+        back, kept, log, on = [], 0, None, None
+        for j in range(sizes.shape[1]):
+            cols = [[g[k][e[j] - s[j]:e[j]] for g, s, e in zip(got, sizes, ends)] for k in range(1, 6)]
+            hi = np.concatenate([np.cumsum(x, dtype=np.uint32) for x in cols[0]]).astype(np.uint64)
+            lo, pair, count = (np.concatenate(x).astype(np.uint64) for x in cols[1:4])
+            if j == 0:
+                q, alive = 10.0 ** np.concatenate(cols[4]).view(np.float32).astype(np.float64), np.ones(len(hi), bool)
+            else:
+                before = np.cumsum(sizes[:, j - 1]) - sizes[:, j - 1]
+                up = np.concatenate([x.astype(np.int64) + s for x, s in zip(cols[4], before.tolist())])
+                q, alive = 10.0 ** log[up].astype(np.float64), on[up]
+            ctx = group_equal((hi << HALF) | lo)[2]
+            _, one, of = group_equal((ctx.astype(np.uint64) << HALF) | pair)
+            total = np.bincount(of, weights=count, minlength=len(one))
+            log, stays, ahead = judge(ctx[one], total, q[one], alive[one])
+            kept += int(stays.sum())
+            log, on, often = log[of], ahead[ctx], (total >= LEAST)[of]
+            back.append([np.split(x, np.cumsum(sizes[:, j])[:-1]) for x in (log, on, often)])
+        out = []
+        for i, r in enumerate(rows):
+            log, on, often = (np.concatenate([b[k][i] for b in back]) for k in range(3))
+            out.append((r["bucket"], r["block"], 0, kept if i == 0 else 0, 0.0, pack(log, np.packbits(on), np.packbits(often))))
+        return table(out)
+
+    return sent.groupBy("bucket").applyInArrow(run, ROWS)
 
 
 def send_words(blocks: DataFrame, buckets: int) -> DataFrame:
@@ -418,7 +337,7 @@ def send_words(blocks: DataFrame, buckets: int) -> DataFrame:
 def block_words(row: dict):
     """(distinct word hashes, hash of each word, words to learn from, parts)."""
     parts = ids, learn, flat, starts, ends, first = split_block(row)
-    key, of = np.unique(span_hashes(flat, starts, ends - starts), return_inverse=True)
+    key, _, of = group_equal(span_hashes(flat, starts, ends - starts))
     return key, of, np.repeat(learn, np.diff(first)), parts
 
 
@@ -429,12 +348,9 @@ def word_counts(sent: DataFrame) -> DataFrame:
         rows = t.to_pylist()
         sizes = np.array([r["n"] for r in rows])
         key = np.concatenate([stretch(r["keys"], np.uint64, r["n"]) for r in rows])
-        count = np.concatenate([stretch(r["counts"], np.uint32, r["n"]) for r in rows]).astype(np.int64)
-        order = np.argsort(key, kind="stable")
-        new = np.concatenate([[True], key[order][1:] != key[order][:-1]])
-        total = np.add.reduceat(count[order], np.flatnonzero(new))
-        of = np.empty(len(key), np.int64)
-        of[order] = np.cumsum(new) - 1
+        count = np.concatenate([stretch(r["counts"], np.uint32, r["n"]) for r in rows])
+        of = group_equal(key)[2]
+        total = np.bincount(of, weights=count).astype(np.int64)
         back = [squeeze(x)[0] for x in np.split(total[of], np.cumsum(sizes)[:-1])]
         heads = np.zeros((2, len(rows)), np.int64)
         heads[:, 0] = (total > 0).sum(), total.sum()
@@ -444,90 +360,74 @@ def word_counts(sent: DataFrame) -> DataFrame:
     return sent.groupBy("bucket").applyInArrow(run, "block long, bucket long, n long, counts binary, types long, tokens long")
 
 
-def tree(blocks: DataFrame, head, buckets: int, least: int, report: list | None = None) -> tuple[DataFrame, int]:
-    """(answers of the last level, its depth + 1): grows contexts a byte a level."""
-    def step(last: DataFrame | None, depth: int) -> DataFrame:
-        if last is None:
-            def begin(batches):
-                for batch in batches:
-                    for row in batch.to_pylist():
-                        yield from ask(row, Level(row, [], depth, head.value), depth, buckets).to_batches()
-
-            return blocks.mapInArrow(begin, SENT)
-
-        def run(left: pa.Table, right: pa.Table) -> pa.Table:
-            row = left.to_pylist()[0]
-            return ask(row, Level(row, right.to_pylist(), depth), depth, buckets)
-
-        return blocks.groupBy("block").cogroup(last.withColumnRenamed("block", "of").groupBy("of")).applyInArrow(run, SENT)
-
-    last, depth, kept, quiet = None, DEPTH + 1, 0, 0
-    while True:
-        last = written(answers(step(last, depth), least), f"lm-level-{depth}")
-        above, (asked, kept, held) = kept, last.agg(F.coalesce(F.sum(F.when(F.col("bucket") >= 0, F.col("n"))), F.lit(0)), *[
-            F.coalesce(F.sum(c), F.lit(0)) for c in ("kept", "held")]).first()
-        quiet = 0 if kept else quiet + 1
-        if report is not None:
-            report.append((depth - 1, above if depth > DEPTH + 1 else None, held))
-        depth += 1
-        blocks.sparkSession.sparkContext._jvm.System.gc()  # frees the shuffle files of the levels before
-        if not asked or quiet > GAP:
-            return last, depth
+@contextmanager
+def shuffles_removed(spark: SparkSession):
+    """Shuffle files go when the query that made them ends: what a round leaves is its written table."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, "false")
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
 
 
 def score(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text",
           report: list | None = None) -> DataFrame:
-    """One row per row of ``docs``: id, n_tokens, n_known, train_tokens,
-    base_score, score.  The model learns from the rows where ``learn`` holds.
-    ``report`` receives (depth, contexts of it that stay, score of the other rows with
-    contexts up to it); the head's count is not told."""
+    """One row per row of ``docs``: id, n_tokens, n_known, train_tokens, base_score, score.
+    The model learns from the rows where ``learn`` holds.  ``report`` receives of each round
+    (first depth, levels, contexts that stay, score of the other rows before it)."""
+    with shuffles_removed(docs.sparkSession):
+        return _score(docs, learn, id_col, text_col, report)
+
+
+def _score(docs: DataFrame, learn: Column, id_col: str, text_col: str, report: list | None) -> DataFrame:
     blocks = make_blocks(docs, id_col, text_col, learn)
-    spark = docs.sparkSession
-    total, n_learn, learn_bytes = blocks.agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("bytes", "n_learn", "learn_bytes")]).first()
-    buckets = max(16, -(-total // BUCKET_BYTES))
-    least = max(2, min(LEAST, int(P_MIN * learn_bytes)))
-    rows = written(string_counts(send_strings(blocks, buckets), least), "lm-strings").groupBy("depth", "key").agg(
-        F.sum("count").alias("count")).toArrow()  # bounded: contexts of two bytes
-    depth, key, count = rows["depth"].to_numpy(), rows["key"].to_numpy().view(np.uint64), rows["count"].to_numpy()
-    tables = []
-    for d in range(DEPTH + 1):
-        at = np.flatnonzero(depth == d)
-        at = at[np.argsort(key[at])]
-        tables.append((key[at], count[at]))
-    shared = spark.sparkContext.broadcast(grow(tables, least))
-    back, depth = tree(blocks, shared, max(16, -(-total // LEVEL_BYTES)), least, report)
+    total, n_learn = blocks.agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("bytes", "n_learn")]).first()
+    buckets, spread = max(16, -(-total // BUCKET_BYTES)), max(16, -(-total // LEVEL_BYTES))
     counts = written(word_counts(send_words(blocks, buckets)), "lm-words")
     types, tokens = counts.agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("types", "tokens")]).first()
-    types, tokens = types + (n_learn > 0), tokens + n_learn  # the end mark is a token
+    types, tokens = types + (n_learn > 0), tokens + n_learn  # the end is a token
     floor = tokens + 0.1 * (types + 1)
 
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        out = {c: [] for c in ("id", "n_tokens", "n_known", "base_score", "score")}
-        for row in left.to_pylist():
-            key, of, _, (ids, learn, flat, _, ends, first) = block_words(row)
-            count = np.zeros(len(key), np.int64)
-            to = key % np.uint64(buckets)
-            rows = right.to_pylist()
-            for r in rows:
-                if r["counts"] is not None:
-                    count[to == r["bucket"]] = stretch(r["counts"], np.int64, r["n"])
-            c = count[of]
-            seen = np.concatenate([[0], np.cumsum(c > 0)])
-            logs = np.concatenate([[0], np.cumsum(np.log10((c + 0.1) / floor))])
-            level = Level(row, [r for r in rows if r["counts"] is None], depth, text=(ids, learn, flat, None, ends, first))
-            out["id"].append(ids)
-            out["n_tokens"].append(np.diff(first) + 1)
-            out["n_known"].append(seen[first[1:]] - seen[first[:-1]] + (n_learn > 0))
-            out["base_score"].append(logs[first[1:]] - logs[first[:-1]] + np.log10((n_learn + 0.1) / floor))
-            out["score"].append(level.totals())
-        cols = {c: np.concatenate(v) if v else np.empty(0, np.float64 if "score" in c else np.int64) for c, v in out.items()}
-        cols["id"] = pa.array(cols["id"], mask=cols["id"] == NO_ID)
-        return pa.table(cols)
-
-    none = F.lit(None).cast("binary")
-    parts = ["answer", "sums", "ahead"]
-    back = counts.select(F.col("block").alias("of"), "bucket", "n", "counts", *[none.alias(c) for c in parts]).unionByName(
-        back.select(F.col("block").alias("of"), "bucket", "n", none.alias("counts"), *parts))
-    done = blocks.groupBy("block").cogroup(back.groupBy("of")).applyInArrow(
-        run, "id long, n_tokens long, n_known long, base_score double, score double")
+    def begin(left: pa.Table, right: pa.Table) -> pa.Table:
+        row = left.to_pylist()[0]
+        words = block_words(row)
+        count, to = np.zeros(len(words[0]), np.int64), words[0] % np.uint64(buckets)
+        for r in right.to_pylist():
+            count[to == r["bucket"]] = stretch(r["counts"], np.int64, r["n"])
+        return Block.first(row, words, count, floor, n_learn).ask(1, 1, spread)
+
+    def next_round(last: DataFrame, depth: int, levels: int, then, schema: str) -> DataFrame:
+        """``then`` of each block, read from its text before ``TAIL``, afterwards from its state."""
+        if depth - levels < TAIL:
+            def run(left: pa.Table, right: pa.Table) -> pa.Table:
+                return then(Block.again(right.to_pylist(), depth, levels, left.to_pylist()[0]))
+
+            return blocks.groupBy("block").cogroup(last.withColumnRenamed("block", "of").groupBy("of")).applyInArrow(run, schema)
+
+        def alone(t: pa.Table) -> pa.Table:
+            return then(Block.again(t.to_pylist(), depth, levels, None))
+
+        return last.groupBy("block").applyInArrow(alone, schema)
+
+    sent = blocks.groupBy("block").cogroup(counts.withColumnRenamed("block", "of").groupBy("of")).applyInArrow(begin, ROWS)
+    depth, levels = 1, 1
+    while True:
+        last = written(answers(sent), f"lm-level-{depth}")
+        asked, most, kept, held = last.agg(*[F.coalesce(x, F.lit(0)) for x in (
+            F.sum("asked"), F.max("asked"), F.sum("kept"), F.sum("held"))]).first()
+        if report is not None:
+            report.append((depth, levels, kept, held))
+        depth += levels
+        if not asked:
+            break
+        before, levels = levels, max(1, min(depth, PAIRS // most)) if depth >= TAIL else 1
+        sent = next_round(last, depth, before, lambda b, d=depth, n=levels: b.ask(d, n, spread), ROWS)
+
+    def results(b: Block) -> pa.Table:
+        return pa.table({"id": pa.array(b.ids, mask=b.ids == NO_ID), "n_tokens": b.tokens, "n_known": b.known,
+                         "base_score": b.base, "score": b.totals()})
+
+    done = next_round(last, depth, levels, results, "id long, n_tokens long, n_known long, base_score double, score double")
     return done.withColumn("train_tokens", F.lit(int(tokens)).cast("long"))

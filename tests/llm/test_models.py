@@ -153,7 +153,7 @@ def test_lm_query_whole_table(spark, small_rows):
 
 def test_lm_beats_the_unigrams_on_held_out_texts(spark):
     got = [r for r in queries.op10_lm_scoring(spark, "/root/testdata/sf0.1").collect() if r.held_out]
-    assert sum(r.score for r in got) > 0.98 * sum(r.base_score for r in got)
+    assert sum(r.score for r in got) > 0.88 * sum(r.base_score for r in got)
 
 
 def test_lm_odd_rows(odd, odd_rows, empty):
@@ -164,57 +164,102 @@ def test_lm_odd_rows(odd, odd_rows, empty):
     for g, w in zip(sorted(((r.id, r.n_tokens, r.n_known, r.train_tokens, r.base_score) for r in got), key=key), sorted(want, key=key)):
         assert g[:4] == w[:4] and g[4] == pytest.approx(w[4])
     assert lm_scoring.score(empty, learn).count() == 0
-    assert all(r.score < 0 for r in lm_scoring.score(odd, F.lit(False)).collect())
-
-
-def test_tree_is_a_distribution_and_keeps_the_longest_context():
-    texts = [b"abab abab ", b"abc abc ", b"xyz "] * 40
-    size = np.array([len(t) for t in texts])
-    flat = b"".join(texts)
-    ends = np.flatnonzero(np.frombuffer(flat, np.uint8) == 32)
-    words = np.array([t.count(b" ") for t in texts])
-    stream, begin = lm_scoring.streams(flat, ends, np.concatenate([[0], np.cumsum(words)]))
-    assert len(stream) == size.sum() + (lm_scoring.DEPTH + 1) * len(texts)
-    key, count = lm_scoring.count_strings(stream, begin)
-    tables = []
-    for d in range(lm_scoring.DEPTH + 1):
-        ctx = key >> np.uint64(8 * (8 - d)) if d else np.zeros_like(key)
-        tables.append(lm_scoring.merge_counts([(ctx << np.uint64(8)) | (key & np.uint64(255))], [count]))
-    auto = lm_scoring.grow(tables, 2)
-    spread = np.bincount(auto.classes, minlength=auto.logp.shape[1])
-    assert np.allclose((10.0 ** auto.logp * spread).sum(axis=1), 1, atol=1e-4)
-    assert auto.score(stream, begin)[0] > math.log10(1 / 256) * len(texts[0]) / 2
-
-
-def test_lm_keeps_contexts_by_count_and_every_byte_by_itself(spark, monkeypatch):
-    """A corpus in which all that counts is under the share that once bounded it."""
-    monkeypatch.setattr(lm_scoring, "P_MIN", 0.2)
-    rows = [(i, "the other one was there and then gone " * 3 + ("qxjkw" if i % 2 else "pxjkv")) for i in range(100)]
-    rows += [(1000, "qxjkw"), (1001, "qxjkv"), (1002, "pxjkv"), (1003, "pxjkw")]
-    df = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {r.id: r.score for r in lm_scoring.score(df, F.col("doc_id") < 1000).collect()}
-    assert got[1000] > got[1001] + 1 and got[1002] > got[1003] + 1  # the fifth byte follows from the first
+    assert all(r.score == r.base_score == 0 for r in lm_scoring.score(odd, F.lit(False)).collect())
+
+
+def suffix_tree_scores(rows, learn):
+    """The model by plain dictionaries: every context that occurs often enough is judged, none is left out by a bound."""
+    docs = [["<"] + re.findall(rb"[^\x20\x09-\x0D]+", (t or "").encode().translate(LOWER)) + [">"] for _, t in rows]
+    uni = Counter(w for d, m in zip(docs, learn) if m for w in d[1:])
+    n, v = sum(uni.values()), len(uni)
+    force = {(k, t): (uni[d[t]] + 0.1) / (n + 0.1 * (v + 1)) for k, d in enumerate(docs) for t in range(1, len(d))}
+    ask, depth = list(force), 1
+    while ask:
+        ask = [(k, t) for k, t in ask if t >= depth]
+        where, next_to = {}, {}
+        for k, t in ask:
+            c = tuple(docs[k][t - depth:t])
+            where[k, t] = c
+            next_to.setdefault(c, Counter())[docs[k][t]] += learn[k]
+        known = {(where[at], docs[at[0]][at[1]]): force[at] for at in ask}
+        own = {}
+        for c, follow in next_to.items():
+            total, kinds = sum(follow.values()), sum(x > 0 for x in follow.values())
+            p = {w: (x + kinds * known[c, w]) / max(total + kinds, 1) for w, x in follow.items()}
+            gain = sum(x * math.log2(p[w] / known[c, w]) for w, x in follow.items() if x)
+            if total >= lm_scoring.LEAST and gain >= lm_scoring.GAIN:
+                own[c] = p
+        for at in ask:
+            if where[at] in own:
+                force[at] = own[where[at]][docs[at[0]][at[1]]]
+        ask = [at for at in ask if sum(next_to[where[at]].values()) >= lm_scoring.LEAST]
+        depth += 1
+    out = [0.0] * len(docs)
+    for (k, _), p in force.items():
+        out[k] += math.log10(p)
+    return out, depth
+
+
+def check_tree(rows, learn, got):
+    want, depth = suffix_tree_scores(rows, learn)
+    assert len(got) == len(rows)
+    for (i, _), w in zip(rows, want):
+        assert got[i] == pytest.approx(w, rel=2e-4)
+    return depth
+
+
+def test_lm_score_is_that_of_a_plain_suffix_tree(spark, small_rows):
+    learn = [zlib.crc32(str(i).encode()) % 10 != 0 for i, _ in small_rows]
+    got = {r.doc_id: r for r in queries.op10_lm_scoring(spark, SMALL).collect()}
+    check_tree(small_rows, learn, {i: r.score for i, r in got.items()})
+    held = [r for r in got.values() if r.held_out]
+    assert sum(r.score for r in held) > sum(r.base_score for r in held)
+
+
+def test_lm_near_copies_and_long_contexts(spark):
+    """Near copies with one changed word each, and an end that depends on a word eight words back:
+    the contexts between do not diverge."""
+    body = [f"w{i}" for i in range(40)]
+    rows = [(i, " ".join(body[:i % 40] + [f"x{i % 7}"] + body[i % 40 + 1:])) for i in range(120)]
+    rows += [(200 + i, f"{'red' if i % 2 else 'blue'} one two three four five six seven {'stop' if i % 2 else 'go'}") for i in range(200)]
+    rows += [(1000, "red one two three four five six seven stop"), (1001, "red one two three four five six seven go"), (1002, "new words")]
+    learn = [i < 1000 for i, _ in rows]
+    report = []
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r.id: r.score for r in lm_scoring.score(df, F.col("doc_id") < 1000, report=report).collect()}
+    assert check_tree(rows, learn, got) > 30
+    assert got[1000] > got[1001] + 1
+    assert [r[1] for r in report[:5]] == [1, 1, 1, 4, 8] and sum(r[2] for r in report if r[0] >= 8) > 0
+
+
+def test_lm_levels_a_round_do_not_change_the_score(spark):
+    rng = np.random.default_rng(5)
+    texts = [" ".join(rng.choice(["a", "b", "c"], p=[0.8, 0.15, 0.05], size=60)) for _ in range(40)]
+    rows = list(enumerate(texts + texts[:5] + ["", None]))
+    learn = [i % 9 != 0 for i, _ in rows]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {r.id: r.score for r in lm_scoring.score(df, F.col("doc_id") % 9 != 0).collect()}
+    check_tree(rows, learn, got)
+
+
+def test_context_names_depend_on_the_tokens_alone():
+    rng = np.random.default_rng(2)
+    stream = rng.integers(1, 6, 4000).astype(np.uint64) * np.uint64(0x1234567890ABCDEF)
+    names, seen = lm_scoring.ContextNames(stream), {}
+    for n in (1, 2, 3, 7):
+        at = np.arange(n, len(stream) + 1)
+        for i, h in zip(at.tolist(), names(at, n).tolist()):
+            assert seen.setdefault(h, tuple(stream[i - n:i].tolist())) == tuple(stream[i - n:i].tolist())
+    assert len({v for v in seen.values()}) == len(seen)
 
 
 def test_lm_judges_a_context_by_its_whole_distribution():
     rng = np.random.default_rng(1)
-    q = rng.dirichlet(np.ones(256))
-    byte, count = np.array([3, 7, 9, 200]), np.array([20, 5, 0, 1])
-    answer, kept, _ = lm_scoring.judge(np.zeros(4, np.uint64), count, np.log10(q[byte]).astype(np.float32), 16)
-    full = np.zeros(256)
-    full[byte] = count
-    p = (full + 3 * q) / (26 + 3)
-    assert kept == 1 and (p * np.log2(p / q)).sum() >= lm_scoring.DIVERGENCE and np.allclose(10.0 ** answer, p[byte], rtol=1e-4)
-    again, none, _ = lm_scoring.judge(np.zeros(4, np.uint64), count, np.log10(q[byte]).astype(np.float32), 27)
-    assert none == 0 and np.allclose(10.0 ** -again, q[byte], rtol=1e-4)
-    assert lm_scoring.judge(np.zeros(1, np.uint64), np.array([10 ** 6]), np.zeros(1, np.float32), 16)[1] == 0  # nothing new
-
-
-def test_lm_learns_what_lies_more_than_five_bytes_back(spark):
-    rows = [(i, "alphabetical" + ("xzzzzzzzq" if i % 2 else "yzzzzzzzk")) for i in range(200)]
-    rows += [(1000, "alphabeticalxzzzzzzzq"), (1001, "alphabeticalxzzzzzzzk")]
-    df = spark.createDataFrame(rows, "doc_id long, text string")
-    report = []
-    got = {r.id: r.score for r in lm_scoring.score(df, F.col("doc_id") < 1000, report=report).collect()}
-    assert got[1000] > got[1001] + 1
-    assert max(d for d, n, _ in report if n) > 5 and report[-1][2] == pytest.approx(got[1000] + got[1001])
+    q, count = rng.dirichlet(np.ones(256))[[3, 7, 9, 200]], np.array([20, 5, 0, 1])
+    log, stays, on = lm_scoring.judge(np.zeros(4, np.int64), count, q, np.ones(4, bool))
+    p = (count + 3 * q) / (26 + 3)
+    gain = sum(c * math.log2(a / b) for c, a, b in zip(count, p, q) if c)
+    assert stays[0] == (gain >= lm_scoring.GAIN) and on[0] and np.allclose(10.0 ** log, p, rtol=1e-4)
+    log, stays, on = lm_scoring.judge(np.zeros(4, np.int64), count // 4, q, np.ones(4, bool))  # too rare
+    assert not stays[0] and not on[0] and np.allclose(10.0 ** log, q, rtol=1e-4)
+    assert not lm_scoring.judge(np.zeros(1, np.int64), np.array([10 ** 6]), np.ones(1), np.ones(1, bool))[1][0]  # nothing new
