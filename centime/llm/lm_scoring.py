@@ -18,7 +18,8 @@ run of tokens before a token, back to the text's begin mark at most.
 * **Several levels a round.** From ``TAIL`` tokens on few places still ask, mostly in
   near copies, which can agree for thousands of tokens.  They send the pairs of
   several levels at once, as a trie that goes to the bucket of its shortest context, so depth
-  doubles a round.  Only documents with such places travel on, as token hashes.
+  doubles a round.  From ``CARVE`` tokens on only documents with such places travel,
+  up to their last one, as token hashes.
   How many levels a round takes is bounded by the pairs that a block makes and
   has no influence on the result.
 
@@ -36,6 +37,7 @@ table; other columns are ignored.
 
 from __future__ import annotations
 
+import uuid
 from contextlib import contextmanager
 
 import numpy as np
@@ -43,15 +45,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import scratch_path
 from .blocks import NO_ID, block_texts, make_blocks, squeeze, stretch
 from .common import doc_words, group_equal, mix64, span_hashes, written
 
 LEAST = 16  # training occurrences that a context needs
 GAIN = 32.0  # bits by which its distribution must shorten the training text
 TAIL = 4  # context length from which a round takes several levels
+CARVE = 8  # context length from which only documents that still ask travel
 PAIRS = 4 << 20  # pairs that a block may make in such a round
 BUCKET_BYTES = 256 << 20
-LEVEL_BYTES = 32 << 20  # text for each bucket of a level
+LEVEL_BYTES = 16 << 20  # text for each bucket of a level
 BEGIN, END = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)  # hashes of the two marks
 BASE = 0x9E3779B97F4A7C17  # of the polynomial that names contexts; 3 modulo 4
 LOW = np.uint64(0xFFFFFFFF)
@@ -180,7 +184,7 @@ class Block:
                 to.append(np.unpackbits(x, count=len(values)).astype(bool))
         log, on, often = (np.concatenate(x) for x in (log, on, often))
         at = np.flatnonzero(b.asking)
-        if text is not None:  # one level: the order of its pairs is that of their keys
+        if depth - levels < TAIL:  # one level: the order of its pairs is that of their keys
             leaf = group_equal(b.pair_keys(ContextNames(b.stream), at, depth - 1)[0])[2]
         b.okay[at] &= often[leaf]
         go = on[leaf] & (at - b.begin[b.of[at]] >= depth) & b.okay[at - 1]
@@ -192,11 +196,14 @@ class Block:
         return b
 
     def carve(self) -> None:
-        """Keeps the documents that still ask."""
-        stay = np.bincount(self.of[self.asking], minlength=len(self.size)) > 0
-        keep = stay[self.of]
+        """Keeps the documents that still ask, up to the last place that does."""
+        last = np.full(len(self.size), -1)
+        at = np.flatnonzero(self.asking)
+        np.maximum.at(last, self.of[at], at)
+        keep = np.arange(len(self.stream)) <= last[self.of]
+        size = np.bincount(self.of[keep], minlength=len(self.size))
         self.asking, self.okay = self.asking[keep], self.okay[keep]
-        self.place(self.stream[keep], self.size[stay], self.docs[stay])
+        self.place(self.stream[keep], size[size > 0], self.docs[size > 0])
 
     def totals(self) -> np.ndarray:
         return self.sums + np.bincount(self.docs[self.of[self.asking]], weights=self.log, minlength=len(self.ids))
@@ -209,8 +216,8 @@ class Block:
     def ask(self, depth: int, levels: int, buckets: int) -> pa.Table:
         """Rows for the buckets: the pairs of ``levels`` levels from ``depth`` on, with the
         probability in force (first level) or the pair of the level before; and the block's state."""
-        tail = depth >= TAIL
-        if tail:
+        carved, tail = depth >= CARVE, depth >= TAIL
+        if carved:
             self.carve()
         at = np.flatnonzero(self.asking)
         room = at - self.begin[self.of[at]]
@@ -244,13 +251,15 @@ class Block:
         if tail and len(at):
             leaf = leaf + where[leaf_level, bucket]
         own = [self.ids, self.learn, self.tokens, self.known, self.base, self.sums, np.packbits(self.asking), np.packbits(self.okay)]
-        own += [self.docs, self.size, self.stream, leaf.astype(np.uint32)] if tail else [np.empty(0, k) for k in self.OWN[8:]]
+        own += [self.docs, self.size, self.stream] if carved else [np.empty(0, k) for k in self.OWN[8:11]]
+        own.append(leaf.astype(np.uint32) if tail else np.empty(0, np.uint32))
         out = [(-1 - self.number, self.number, len(at), 0, float(self.totals()[~self.learn].sum()), pack(*own))]
         for b in np.flatnonzero(total).tolist():
             cols = [[x[c[b]:c[b + 1]] for x in s] for s, c in zip(sent, cuts)]
             hi = [np.diff(x[0], prepend=np.uint32(0)) for x in cols]
-            out.append((b, self.number, 0, 0, 0.0, pack(sizes[:, b], np.concatenate(hi), *[
-                np.concatenate([x[k] for x in cols]) for k in range(1, 5)])))
+            lo = [x[1] ^ np.concatenate([x[1][:1] * 0, x[1][:-1]]) for x in cols]  # zero within a context
+            out.append((b, self.number, 0, 0, 0.0, pack(sizes[:, b], np.concatenate(hi), np.concatenate(lo), *[
+                np.concatenate([x[k] for x in cols]) for k in range(2, 5)])))
         return table(out)
 
 
@@ -289,7 +298,8 @@ def answers(sent: DataFrame) -> DataFrame:
         for j in range(sizes.shape[1]):
             cols = [[g[k][e[j] - s[j]:e[j]] for g, s, e in zip(got, sizes, ends)] for k in range(1, 6)]
             hi = np.concatenate([np.cumsum(x, dtype=np.uint32) for x in cols[0]]).astype(np.uint64)
-            lo, pair, count = (np.concatenate(x).astype(np.uint64) for x in cols[1:4])
+            lo = np.concatenate([np.bitwise_xor.accumulate(x) for x in cols[1]]).astype(np.uint64)
+            pair, count = (np.concatenate(x).astype(np.uint64) for x in cols[2:4])
             if j == 0:
                 q, alive = 10.0 ** np.concatenate(cols[4]).view(np.float32).astype(np.float64), np.ones(len(hi), bool)
             else:
@@ -360,6 +370,12 @@ def word_counts(sent: DataFrame) -> DataFrame:
     return sent.groupBy("bucket").applyInArrow(run, "block long, bucket long, n long, counts binary, types long, tokens long")
 
 
+def drop_table(spark: SparkSession, path: str) -> None:
+    """Removes a table that this module wrote and nothing reads any more."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 @contextmanager
 def shuffles_removed(spark: SparkSession):
     """Shuffle files go when the query that made them ends: what a round leaves is its written table."""
@@ -399,8 +415,8 @@ def _score(docs: DataFrame, learn: Column, id_col: str, text_col: str, report: l
         return Block.first(row, words, count, floor, n_learn).ask(1, 1, spread)
 
     def next_round(last: DataFrame, depth: int, levels: int, then, schema: str) -> DataFrame:
-        """``then`` of each block, read from its text before ``TAIL``, afterwards from its state."""
-        if depth - levels < TAIL:
+        """``then`` of each block, read from its text until it was carved, afterwards from its state."""
+        if depth - levels < CARVE:
             def run(left: pa.Table, right: pa.Table) -> pa.Table:
                 return then(Block.again(right.to_pylist(), depth, levels, left.to_pylist()[0]))
 
@@ -412,9 +428,14 @@ def _score(docs: DataFrame, learn: Column, id_col: str, text_col: str, report: l
         return last.groupBy("block").applyInArrow(alone, schema)
 
     sent = blocks.groupBy("block").cogroup(counts.withColumnRenamed("block", "of").groupBy("of")).applyInArrow(begin, ROWS)
-    depth, levels = 1, 1
+    depth, levels, done = 1, 1, None
     while True:
-        last = written(answers(sent), f"lm-level-{depth}")
+        path = scratch_path(blocks.sparkSession, f"lm-level-{depth}-{uuid.uuid4().hex}")
+        answers(sent).write.option("compression", "none").parquet(path)
+        last = blocks.sparkSession.read.schema(ROWS).parquet(path)
+        if done:  # the round before is answered in full
+            drop_table(blocks.sparkSession, done)
+        done = path
         asked, most, kept, held = last.agg(*[F.coalesce(x, F.lit(0)) for x in (
             F.sum("asked"), F.max("asked"), F.sum("kept"), F.sum("held"))]).first()
         if report is not None:
@@ -429,5 +450,5 @@ def _score(docs: DataFrame, learn: Column, id_col: str, text_col: str, report: l
         return pa.table({"id": pa.array(b.ids, mask=b.ids == NO_ID), "n_tokens": b.tokens, "n_known": b.known,
                          "base_score": b.base, "score": b.totals()})
 
-    done = next_round(last, depth, levels, results, "id long, n_tokens long, n_known long, base_score double, score double")
-    return done.withColumn("train_tokens", F.lit(int(tokens)).cast("long"))
+    scores = next_round(last, depth, levels, results, "id long, n_tokens long, n_known long, base_score double, score double")
+    return scores.withColumn("train_tokens", F.lit(int(tokens)).cast("long"))

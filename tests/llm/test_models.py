@@ -259,7 +259,9 @@ def test_lm_judges_a_context_by_its_whole_distribution():
     log, stays, on = lm_scoring.judge(np.zeros(4, np.int64), count, q, np.ones(4, bool))
     p = (count + 3 * q) / (26 + 3)
     gain = sum(c * math.log2(a / b) for c, a, b in zip(count, p, q) if c)
-    assert stays[0] == (gain >= lm_scoring.GAIN) and on[0] and np.allclose(10.0 ** log, p, rtol=1e-4)
+    left = -sum(c * math.log2(a) for c, a in zip(count, p))
+    assert stays[0] and gain >= lm_scoring.GAIN and on[0] == (left >= lm_scoring.GAIN) and np.allclose(10.0 ** log, p, rtol=1e-4)
+    assert lm_scoring.judge(np.zeros(4, np.int64), 4 * count, q, np.ones(4, bool))[2][0]
     log, stays, on = lm_scoring.judge(np.zeros(4, np.int64), count // 4, q, np.ones(4, bool))  # too rare
     assert not stays[0] and not on[0] and np.allclose(10.0 ** log, q, rtol=1e-4)
     assert not lm_scoring.judge(np.zeros(1, np.int64), np.array([10 ** 6]), np.ones(1), np.ones(1, bool))[1][0]  # nothing new
