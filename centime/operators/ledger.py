@@ -38,6 +38,18 @@ def same_calendar_month(date_col: str, now: str) -> Column:
     return F.trunc(F.to_date(date_col), "MM") == F.trunc(F.to_date(ts_lit(now)), "MM")
 
 
+def point_lookup(requests: DataFrame, table: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
+    """One row per requested key (null keys too) with ``n_requests``, ``found`` and
+    ``columns`` of the row of ``table`` that has it; ``table`` holds a key at most once.
+
+    With the owner among the keys, a row of another owner is not found.  Requests
+    are counted before the join, so a key that everybody asks for is one row a task.
+    """
+    asked = requests.groupBy(*keys).agg(F.count("*").alias("n_requests"))
+    have = table.select(*keys, *columns, F.lit(True).alias("found"))
+    return asked.join(have, keys, "left").withColumn("found", F.coalesce("found", F.lit(False)))
+
+
 TRAILING_DAYS = {"7D": 7, "1M": 30, "3M": 90, "6M": 180}
 
 

@@ -126,6 +126,20 @@ def q_budgets_after_alerts(spark, sf_dir):
     return updated
 
 
+@query("account_lookup", "S12,F1,J12", oracle=with_views("""
+SELECT r.user_id, r.account_id, COUNT(*) AS n_requests, bool_or(a.account_id IS NOT NULL) AS found,
+       max(a.type) AS type, bool_or(a.is_default) AS is_default
+FROM (SELECT user_id, account_id + CASE WHEN id % 3 = 0 THEN 2 ELSE 0 END AS account_id FROM v_transactions) r
+LEFT JOIN v_accounts a ON a.user_id = r.user_id AND a.account_id = r.account_id
+GROUP BY r.user_id, r.account_id""", "v_transactions", "v_accounts"))
+def q_account_lookup(spark, sf_dir):
+    """Accounts by key, scoped to the asking user: every third transaction asks for the next user's account."""
+    db = Ledger(spark, sf_dir)
+    asked = F.col("account_id") + F.when(F.col("id") % 3 == 0, 2).otherwise(0)
+    requests = db.transactions().select("user_id", asked.alias("account_id"))
+    return L.point_lookup(requests, db.accounts(), ["user_id", "account_id"], ["type", "is_default"])
+
+
 @query("account_summary", "J3,A9,F20,S11", oracle=with_views("""
 SELECT a.account_id, a.user_id, a.type, a.is_default, a.balance, COALESCE(c.n, 0) AS transaction_count
 FROM v_accounts a LEFT JOIN (SELECT account_id, COUNT(id) AS n FROM v_transactions GROUP BY account_id) c

@@ -176,6 +176,17 @@ def q_unified(spark, sf_dir):
     return unified_table(spark, sf_dir)
 
 
+@query("csv_directory_unified", "S1,S2,S6,S8", oracle=_sql("SELECT merchant, description, amount, category, date, source FROM u"))
+def q_csv_directory(spark, sf_dir):
+    """The raw sources written as one directory of CSV files, then found by their headers and united."""
+    db = Ledger(spark, sf_dir)
+    folder = scratch_path(spark, f"raw-csv-{uuid.uuid4().hex}")
+    for raw in (raw_finance(db), raw_household(db), raw_toy(db)):
+        raw.drop("record_id").write.mode("append").option("header", True).csv(folder)
+    flagged, _ = AD.load_and_unify(spark, folder, {"finance_8000": db.category_map()})
+    return flagged.filter("kept").drop("kept", "record_id")
+
+
 @query("unify_report", "A13,S6", oracle=_sql("""
 SELECT source, COUNT(*) AS rows_in, COUNT(*) FILTER (WHERE category IS NULL) AS unmapped,
        COUNT(*) FILTER (WHERE kept) AS kept, COUNT(*) FILTER (WHERE NOT kept) AS dropped

@@ -10,14 +10,17 @@ rules stay deterministic after distributed reads.
 
 from __future__ import annotations
 
+from collections import defaultdict
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from functools import reduce
 from typing import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions import dims
 from ..functions.text import strip_transaction_prefix
+from ..session import written
 
 UNIFIED_COLUMNS = ["merchant", "description", "amount", "category", "date", "source", "record_id"]
 
@@ -173,28 +176,70 @@ def list_csv(spark: SparkSession, directory: str) -> list[str]:
     return files
 
 
+def read_headers(spark: SparkSession, files: list[str], threads: int = 32) -> dict[str, str | None]:
+    """First line of each file (None if empty), through the session's Hadoop
+    file system.  One line a file is read, no job is run; ``threads`` files at a time."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+
+    def first_line(file: str) -> str | None:
+        path = jvm.org.apache.hadoop.fs.Path(file)
+        stream = path.getFileSystem(conf).open(path)
+        try:
+            return jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(stream, "UTF-8")).readLine()
+        finally:
+            stream.close()
+
+    with ThreadPoolExecutor(threads) as pool:
+        return dict(zip(files, pool.map(first_line, files)))
+
+
+def numbered(raw: DataFrame) -> DataFrame:
+    """``raw`` (a file scan) with ``record_id`` = file name and position of the row in its file.
+
+    The scan is written once with the split that a row came from; a split is read by
+    one task in file order, so the position is the offset of the split, a prefix sum of
+    row counts over the splits of a file, plus the position in it.  The id does not
+    depend on how files are cut into splits or dealt to tasks.
+    """
+    rows = written(raw.select("*", F.col("_metadata.file_name").alias("_file"),
+                              F.col("_metadata.file_block_start").alias("_split"),
+                              F.monotonically_increasing_id().alias("_at")), "csv-rows")
+    splits = rows.groupBy("_file", "_split").agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
+    before = Window.partitionBy("_file").orderBy("_split").rowsBetween(Window.unboundedPreceding, -1)
+    shift = splits.select("_file", "_split", (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")).alias("_shift"))
+    position = F.col("_at") + F.col("_shift") + 1
+    return rows.join(shift, ["_file", "_split"]) \
+        .withColumn("record_id", F.concat_ws(":", "_file", position.cast("string"))) \
+        .drop("_file", "_split", "_at", "_shift")
+
+
 def load_and_unify(spark: SparkSession, directory: str, category_maps: dict | None = None
                    ) -> tuple[DataFrame, list[str]]:
-    """Read each CSV with its own header (headers differ per file,
-    so one glob read would misalign columns), adapt, flag, union.
+    """The directory's CSV files, adapted, flagged, united.
 
-    Returns (flagged union, names of skipped files).  Columns are read as
-    strings; adapters coerce them.  Reading the header is a one-row job per
-    file, done on the driver only to choose the adapter.
+    Files are grouped by their header line (a glob read over different headers
+    would misalign columns) and each group is one scan, however many files it has.
+    Returns (flagged union, names of skipped files: empty or of no known
+    signature).  Columns are read as strings; adapters coerce them.  ``record_id`` is
+    the file's name and the row's position in it (toy rows keep their expense_id).
     """
-    frames, skipped = [], []
-    for path in list_csv(spark, directory):
-        raw = spark.read.option("header", True).option("inferSchema", False).csv(path)
-        a = detect_adapter(raw.columns)
-        if a is None:
-            skipped.append(path)
+    groups, skipped = defaultdict(list), []
+    for file, header in read_headers(spark, list_csv(spark, directory)).items():
+        groups[header].append(file)
+    frames = []
+    for header, files in groups.items():
+        raw = spark.read.option("header", True).option("inferSchema", False).csv(files) if header else None
+        a = raw is not None and detect_adapter(raw.columns)
+        if not a:
+            skipped += files
             continue
-        raw = raw.withColumn("record_id", F.concat_ws(":", F.lit(path.rsplit("/", 1)[-1]),
-                                                       F.monotonically_increasing_id().cast("string")))
+        raw = numbered(raw)
         if a.name == "toy":
             raw = raw.withColumn("expense_id", F.coalesce(F.col("expense_id"), F.col("record_id")))
         frames.append(a.fn(raw, (category_maps or {}).get(a.name)))
-    return unify(frames), skipped
+    if not frames:
+        raise ValueError(f"no CSV file of a known source in {directory}")
+    return unify(frames), sorted(skipped)
 
 
 def write_table(df: DataFrame, path: str, partition_by: list[str] | None = None, fmt: str = "parquet") -> None:

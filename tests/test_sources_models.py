@@ -4,10 +4,12 @@ operators (L8-L10, S10, U7) on small inputs."""
 import os
 import tempfile
 
+import pytest
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
 from centime.operators import iforest as IF
+from centime.operators import ledger as L
 from centime.operators import metrics as MT
 from centime.operators import models as MD
 from centime.operators import scoring as SC
@@ -42,6 +44,54 @@ def test_csv_directory_unify_matches_in_memory(spark):
     assert rep["finance_8000"]["dropped"] > 0  # 'promo' rows are unmapped
 
 
+def test_csv_record_ids_are_file_and_position(spark):
+    d = tempfile.mkdtemp(prefix="centime-csv-")
+    n = {"a.csv": 4000, "b.csv": 1, "c.csv": 0}
+    for name, rows in n.items():
+        with open(os.path.join(d, name), "w") as f:
+            f.write("expense_id,amount,merchant,description,category\n")
+            f.writelines(f",{i}.0,m{i},{name},food\n" for i in range(1, rows + 1))
+    open(os.path.join(d, "empty.csv"), "w").close()
+    want = sorted((f"{name}:{i}", f"m{i}", name) for name, rows in n.items() for i in range(1, rows + 1))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for size in ("7k", "1m"):  # many splits a file, then one
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            flagged, skipped = AD.load_and_unify(spark, d)
+            assert [os.path.basename(s) for s in skipped] == ["empty.csv"]
+            assert sorted(map(tuple, flagged.select("record_id", "merchant", "description").collect())) == want
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_csv_files_of_one_header_are_one_scan(spark):
+    d = tempfile.mkdtemp(prefix="centime-csv-")
+    for i in range(20):
+        with open(os.path.join(d, f"f{i}.csv"), "w") as f:
+            f.write(f"expense_id,amount,merchant,description,category\n{i},1.0,m,d,food\n")
+    flagged, _ = AD.load_and_unify(spark, d)
+    assert flagged.count() == 20
+    assert "Union" not in flagged._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_csv_directory_without_a_known_source(spark):
+    d = tempfile.mkdtemp(prefix="centime-csv-")
+    with open(os.path.join(d, "x.csv"), "w") as f:
+        f.write("foo,bar\n1,2\n")
+    with pytest.raises(ValueError):
+        AD.load_and_unify(spark, d)
+
+
+def test_point_lookup_edges(spark):
+    asked = spark.createDataFrame([(1, 10), (1, 10), (2, 10), (None, 10), (3, None)], "user_id long, account_id long")
+    have = spark.createDataFrame([(1, 10, "CURRENT", "x"), (None, 10, "SAVINGS", "x")],
+                                 "user_id long, account_id long, type string, n_requests string")
+    got = L.point_lookup(asked, have, ["user_id", "account_id"], ["type"])
+    assert sorted(map(str, map(tuple, got.select("user_id", "account_id", "n_requests", "found", "type").collect()))) == sorted(map(str, [
+        (1, 10, 2, True, "CURRENT"), (2, 10, 1, False, None), (None, 10, 1, False, None), (3, None, 1, False, None)]))
+    assert L.point_lookup(asked.limit(0), have, ["user_id", "account_id"], ["type"]).count() == 0
+
+
 def test_metrics_sink_roundtrip(spark):
     out = os.path.join(tempfile.mkdtemp(prefix="centime-m-"), "metrics")
     m = spark.createDataFrame([("nb", 0.9)], "model string, macro_f1 double")
