@@ -176,7 +176,7 @@ def q_unified(spark, sf_dir):
     return unified_table(spark, sf_dir)
 
 
-@query("csv_directory_unified", "S1,S2,S6,S8", oracle=_sql("SELECT merchant, description, amount, category, date, source FROM u"))
+@query("csv_directory_unified", "S1,S2,S6", oracle=_sql("SELECT merchant, description, amount, category, date, source FROM u"))
 def q_csv_directory(spark, sf_dir):
     """The raw sources written as one directory of CSV files, then found by their headers and united."""
     db = Ledger(spark, sf_dir)

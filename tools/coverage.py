@@ -11,12 +11,12 @@ from centime.plans.registry import load_all  # noqa: E402
 # items checked by unit tests / library functions rather than a registered query
 EXTRA = {
     "C7": "tests/test_goldens.py::test_insight_parsing (`functions.text.parse_insights`)",
-    "F1": "a filter on `user_id`, no query of its own", "F2": "the semi join of X3", "S9": "`sources.adapters.write_metrics` (tests)",
-    "S12": "a filter on the key, no query of its own", "L7": "tests/test_categorise.py (folds' models equal refits)",
+    "F1": "tests/test_sources_models.py::test_point_lookup_edges", "F2": "the semi join of X3", "S9": "`sources.adapters.write_metrics` (tests)",
+    "S12": "tests/test_sources_models.py::test_point_lookup_edges", "L9": "tests/test_oneclass.py (scores against a dense kernel solution)", "L7": "tests/test_categorise.py (folds' models equal refits)",
     "L8": "tests/test_trees.py (trees equal a brute-force tree)", "L10": "tests/test_trees.py, tests/test_linear.py",
     "S10": "tests/test_categorise.py::test_model_versions (`sources.model_store`)",
     "L18": "tests/test_goldens.py (4 health personas, 5 fraud scenarios)",
-    "S1": "tests/test_sources_models.py::test_csv_directory_unify_matches_in_memory (`sources.adapters.load_and_unify`)",
+    "S1": "tests/test_sources_models.py::test_csv_* (`sources.adapters.load_and_unify`)",
     "S7": "`spark.read.parquet` / `sources.tables.Ledger.table`", "S8": "`sources.adapters.write_table` (test above)",
     "S14": "`sources.generators.fraud_dataset` (tests)", "S16": "`sources.generators.ledger_seed` (tests)",
     "S15": "`sources.generators.user_profiles` (tests)",
