@@ -1,6 +1,7 @@
 """Physical-plan properties the operators rely on at scale."""
 
 import __spark_entry__ as E
+import pytest
 
 from conftest import SMALL
 
@@ -45,3 +46,22 @@ def test_tfidf_vocabulary_is_broadcast_only_behind_a_count(spark, monkeypatch):
     monkeypatch.setattr(TF, "FEW_TERMS", 10)
     p = plan()
     assert "SortMergeJoin" in p and "BroadcastHashJoin" not in p
+
+
+@pytest.fixture
+def no_automatic_broadcast(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_splits_never_gather_a_stratum_in_one_task(spark, no_automatic_broadcast):
+    from pyspark.sql import functions as F
+    from centime.operators import stats as ST
+    d = spark.range(500).select(F.col("id").alias("row_id"), F.when(F.col("id") % 5 > 0, "a").otherwise("b").alias("category"))
+    for split, test in ((ST.positional_split(d, ["row_id"]), {"a": None, "b": None}),
+                        (ST.stratified_split(d, ["category"], ["row_id"]), {"a": 80, "b": 20})):
+        p = split._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in p and "SortMergeJoin" not in p and "hashpartitioning(_all" not in p.split("BroadcastExchange")[0]
+        n = dict(split.where("split = 'test'").groupBy("category").count().collect())
+        assert sum(n.values()) == 100 and all(v is None or n[c] == v for c, v in test.items())
