@@ -65,3 +65,13 @@ def test_splits_never_gather_a_stratum_in_one_task(spark, no_automatic_broadcast
         assert "BroadcastHashJoin" in p and "SortMergeJoin" not in p and "hashpartitioning(_all" not in p.split("BroadcastExchange")[0]
         n = dict(split.where("split = 'test'").groupBy("category").count().collect())
         assert sum(n.values()) == 100 and all(v is None or n[c] == v for c, v in test.items())
+
+
+def test_error_metrics_never_gather_a_group_in_one_task(spark, no_automatic_broadcast):
+    from pyspark.sql import functions as F
+    from centime.operators import metrics as MT
+    d = spark.range(100).select((F.col("id") % 2).alias("category"), F.col("id").cast("double").alias("y"), (F.col("id") + 1.0).alias("p"))
+    m = MT.regression_metrics(d, ["category"])
+    p = m._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in p and "SortMergeJoin" not in p
+    assert [(r.n, r.mae, r.max_error) for r in m.collect()] == [(50, 1.0, 1.0)] * 2
