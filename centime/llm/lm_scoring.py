@@ -12,20 +12,21 @@ run of tokens before a token, back to the text's begin mark at most.
   smoothed by the distribution in force, weighted by the number of its different
   next tokens.  The longest context that stays gives a token's probability.
 * **Growth** ends by itself.  A longer context occurs at places of the shorter one,
-  so its divergence is at most the bits that those places cost now; a context that
-  occurs less than ``LEAST`` times or costs less than ``GAIN`` bits is not
-  extended, as none of its extensions could stay.  Both bounds are absolute counts.
+  so its divergence is at most the bits that those places cost now, and at most what
+  the best choice of them could gain (``worth``); a context that occurs less than
+  ``LEAST`` times or could gain less than ``GAIN`` bits is not extended, as none of
+  its extensions could stay.  A string that occurs less than ``LEAST`` times is in no
+  context that stays: a place asks only for contexts that begin after it.
 * **Several levels a round.** From ``TAIL`` tokens on few places still ask, mostly in
   near copies, which can agree for thousands of tokens.  They send the pairs of
   several levels at once, as a trie that goes to the bucket of its shortest context, so depth
-  doubles a round.  From ``CARVE`` tokens on only documents with such places travel,
-  up to their last one, as token hashes.
+  doubles a round.  From ``CARVE`` tokens on only the places that ask and the tokens
+  before them that a context may hold travel, as numbers of the block's words.
   How many levels a round takes is bounded by the pairs that a block makes and
   has no influence on the result.
 
-The unigram counts come from the same exchange: each block sends its distinct words
-(64-bit hashes) with its training counts to buckets, which answer with the
-corpus's counts, in the same order.  A word, or a context, that holds a third of all
+A text is split into words once; blocks hold its words as numbers of their 64-bit hashes.
+The unigram counts come from the same exchange: each block sends its distinct words with its training counts to buckets, which answer with the corpus's counts, in the same order.  A word, or a context, that holds a third of all
 tokens is one entry a block.
 
 Defined results: null or empty text has the end only; ids must be integers;
@@ -42,17 +43,18 @@ from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from .blocks import NO_ID, block_texts, make_blocks, squeeze, stretch
-from .common import doc_words, group_equal, mix64, span_hashes, written
+from .blocks import BLOCK_BYTES, NO_ID, squeeze, stretch
+from .common import doc_words, group_equal, mix64, rows_for, span_hashes
 
 LEAST = 16  # training occurrences that a context needs
 GAIN = 32.0  # bits by which its distribution must shorten the training text
 TAIL = 4  # context length from which a round takes several levels
-CARVE = 8  # context length from which only documents that still ask travel
+CARVE = 3  # context length from which only what still asks travels
 PAIRS = 4 << 20  # pairs that a block may make in such a round
 BUCKET_BYTES = 256 << 20
 LEVEL_BYTES = 16 << 20  # text for each bucket of a level
@@ -64,17 +66,46 @@ HALF = np.uint64(32)
 ROWS = "bucket long, block long, asked long, kept long, held double, parts array<binary>"
 
 
-def split_block(row: dict):
-    """(ids, learn, word bytes, starts, ends, first word of each document)."""
-    ids, size, data = block_texts(row)
-    cut = np.cumsum(size)
-    texts = [data[a:b] for a, b in zip((cut - size).tolist(), cut.tolist())]
-    return ids, stretch(row["learn"], bool, row["docs"]), *doc_words(texts)
+TOKENS = ("block long, docs long, words long, kinds long, bytes long, n_learn long, ids binary, learn binary, "
+          "sizes binary, keys list, counts binary, codes list").replace("list", "array<binary>")
 
 
-def token_stream(words: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(each document as begin mark, its word hashes, end; size of each)."""
-    n = np.diff(first)
+def token_blocks(docs: DataFrame, id_col: str, text_col: str, learn: Column) -> DataFrame:
+    """The corpus in blocks: words of each document as numbers (``codes``) of the block's
+    distinct words (``keys``: hashes, frequent words first), with their training counts."""
+    src = docs.select(F.struct(F.col(id_col).cast("long").alias("id"), F.coalesce(learn, F.lit(False)).alias("learn")).alias("key"),
+                      F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
+
+    def run(batches):
+        part = TaskContext.get().partitionId() << 32
+        for number, (keys, texts) in enumerate(rows_for(batches, BLOCK_BYTES)):
+            ids, marks = keys.flatten()
+            may = marks.to_numpy(zero_copy_only=False).astype(bool)
+            flat, starts, ends, first = doc_words(texts)
+            key, _, of = group_equal(span_hashes(flat, starts, ends - starts))
+            order = np.argsort(-np.frexp(np.bincount(of, minlength=len(key)))[1], kind="stable")
+            place = np.empty_like(order)
+            place[order] = np.arange(len(order))
+            sizes, of = np.diff(first), place[of]
+            count = np.bincount(of[np.repeat(may, sizes)], minlength=len(key))
+            packed = squeeze(ids.fill_null(NO_ID).to_numpy(), may, sizes, count.astype(np.uint32))
+            row = (part | number, len(texts), len(of), len(key), sum(map(len, texts)), int(may.sum()), *packed[:3],
+                   pack(key[order]), packed[3], pack(of.astype(np.uint32)))
+            names = [c.split()[0] for c in TOKENS.split(", ")]
+            kinds = [pa.int64()] * 6 + [pa.binary()] * 3 + [pa.list_(pa.binary()), pa.binary(), pa.list_(pa.binary())]
+            yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, kinds)], names)
+
+    return src.mapInArrow(run, TOKENS)
+
+
+def block_tokens(row: dict):
+    """(ids, learn, words of each document, number of each word, hashes of the numbers)."""
+    return (stretch(row["ids"], np.int64, row["docs"]), stretch(row["learn"], bool, row["docs"]), stretch(row["sizes"], np.int64, row["docs"]),
+            unpack(row["codes"], np.uint32)[0], unpack(row["keys"], np.uint64)[0])
+
+
+def token_stream(words: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(each document of ``n`` words as begin mark, its word hashes, end; size of each)."""
     size = n + 2
     at = np.cumsum(size) - size
     out = np.full(int(size.sum()), END, np.uint64)
@@ -124,11 +155,11 @@ class ContextNames:
 
 class Block:
     """A block's documents between two rounds.  ``sums`` holds the settled places of all its
-    documents; ``stream`` the tokens of the documents ``docs``, of which the places
-    ``asking`` wait for contexts of ``depth`` tokens; ``okay`` marks the ends of strings
-    that may occur ``LEAST`` times as far as known."""
+    documents; ``stream`` tokens in pieces of the documents ``docs``, of which the places
+    ``asking`` wait for contexts of ``depth`` tokens; ``start`` is where the longest string that
+    ends at a place and may occur ``LEAST`` times begins, as far as known (it never goes back)."""
 
-    OWN = (np.int64, np.bool_, np.int64, np.int64, np.float64, np.float64, np.uint8, np.uint8, np.int64, np.int64, np.uint64, np.uint32)
+    OWN = (np.int64, np.bool_, np.int64, np.int64, np.float64, np.float64, np.uint8, np.uint32, np.int64, np.int64, np.uint64, np.uint32, np.uint32)
 
     def place(self, stream, size, docs):
         self.stream, self.size, self.docs = stream, size, docs
@@ -136,13 +167,14 @@ class Block:
         self.of = np.repeat(np.arange(len(size)), size)
 
     @classmethod
-    def first(cls, row: dict, words, count: np.ndarray, floor: float, n_learn: int) -> "Block":
-        """Before the first round: unigram probabilities; places after frequent tokens ask."""
+    def first(cls, row: dict, count: np.ndarray, floor: float, n_learn: int) -> "Block":
+        """Before the first round: unigram probabilities; places after frequent tokens ask.
+        ``count``: the corpus's training counts of the block's words."""
         b = cls()
         b.number = row["block"]
-        b.ids, b.learn, _, _, _, first = words[3]
-        c = count[words[1]]
-        b.place(*token_stream(words[0][words[1]], first), np.arange(len(b.ids)))
+        b.ids, b.learn, words, code, key = block_tokens(row)
+        c = count[code]
+        b.place(*token_stream(key[code], words), np.arange(len(b.ids)))
         log, seen = np.zeros(len(b.stream)), np.zeros(len(b.stream), np.int64)
         ends = b.begin + b.size - 1
         inner = np.ones(len(b.stream), bool)
@@ -153,28 +185,35 @@ class Block:
         n = len(b.ids)
         b.known = np.bincount(b.of[seen > 0], minlength=n) - (n_learn > 0)  # the begin mark is no token
         b.base = np.bincount(b.of, weights=log, minlength=n)
-        b.okay = seen >= LEAST
-        b.asking = np.concatenate([[False], b.okay[:-1]]) if len(b.okay) else b.okay.copy()
+        b.start = b.begin[b.of]
+        b.rare(np.flatnonzero(seen < LEAST), 0)
+        b.asking = np.zeros(len(b.stream), bool)
+        b.asking[1:] = b.start[:-1] < np.arange(1, len(b.stream))
         b.asking[b.begin] = False
         b.sums = np.bincount(b.of[~b.asking], weights=log[~b.asking], minlength=n)
         b.log = rounded(log[b.asking])
         return b
 
+    def rare(self, at: np.ndarray, n) -> None:
+        """The strings of ``n`` tokens and one at the places ``at`` occur less than ``LEAST`` times."""
+        self.start[at] = np.maximum(self.start[at], at - n + 1)
+        self.start = np.maximum.accumulate(self.start)
+
     @classmethod
-    def again(cls, rows: list[dict], depth: int, levels: int, text: dict | None) -> "Block":
+    def again(cls, rows: list[dict], depth: int, levels: int, tokens: dict | None) -> "Block":
         """From a block's state and the answers of the round that ended before ``depth``."""
         b = cls()
         own = next(r for r in rows if r["bucket"] < 0)
         b.number = -1 - own["bucket"]
-        b.ids, b.learn, b.tokens, b.known, b.base, b.sums, asking, okay, docs, size, stream, leaf = unpack(own["parts"], *cls.OWN)
-        if text is not None:
-            _, _, flat, starts, ends, first = split_block(text)
-            b.place(*token_stream(span_hashes(flat, starts, ends - starts), first), np.arange(len(b.ids)))
+        b.ids, b.learn, b.tokens, b.known, b.base, b.sums, asking, steps, docs, size, key, code, leaf = unpack(own["parts"], *cls.OWN)
+        if tokens is not None:
+            _, _, words, code, key = block_tokens(tokens)
+            b.place(*token_stream(key[code], words), np.arange(len(b.ids)))
         else:
-            b.place(stream, size, docs)
+            b.place(key[code], size, docs)
         n = len(b.stream)
         b.asking = np.unpackbits(asking, count=n).astype(bool)
-        b.okay = np.unpackbits(okay, count=n).astype(bool)
+        b.start = np.cumsum(steps, dtype=np.int64)
         rows = sorted((r for r in rows if r["bucket"] >= 0), key=lambda r: r["bucket"])
         got = [unpack(r["parts"], np.float32, np.uint8, np.uint8) for r in rows]
         log, on, often = ([np.empty(0, np.float32)], [np.empty(0, bool)], [np.empty(0, bool)])
@@ -186,8 +225,10 @@ class Block:
         at = np.flatnonzero(b.asking)
         if depth - levels < TAIL:  # one level: the order of its pairs is that of their keys
             leaf = group_equal(b.pair_keys(ContextNames(b.stream), at, depth - 1)[0])[2]
-        b.okay[at] &= often[leaf]
-        go = on[leaf] & (at - b.begin[b.of[at]] >= depth) & b.okay[at - 1]
+        longest = np.minimum(at - b.start[at - 1], depth - 1)
+        few = ~often[leaf]
+        b.rare(at[few], longest[few])
+        go = on[leaf] & (at - b.start[at - 1] >= depth)
         log = log[leaf]
         b.sums = b.sums + np.bincount(b.docs[b.of[at[~go]]], weights=log[~go], minlength=len(b.ids))
         b.asking = np.zeros(n, bool)
@@ -196,14 +237,18 @@ class Block:
         return b
 
     def carve(self) -> None:
-        """Keeps the documents that still ask, up to the last place that does."""
-        last = np.full(len(self.size), -1)
-        at = np.flatnonzero(self.asking)
-        np.maximum.at(last, self.of[at], at)
-        keep = np.arange(len(self.stream)) <= last[self.of]
-        size = np.bincount(self.of[keep], minlength=len(self.size))
-        self.asking, self.okay = self.asking[keep], self.okay[keep]
-        self.place(self.stream[keep], size[size > 0], self.docs[size > 0])
+        """Keeps the places that ask and the tokens before them that a context may hold."""
+        at, n = np.flatnonzero(self.asking), len(self.stream)
+        cover = np.bincount(self.start[at - 1], minlength=n + 1) - np.bincount(at + 1, minlength=n + 1)
+        keep = np.flatnonzero(np.cumsum(cover)[:n] > 0)
+        of = self.of[keep]
+        new = np.ones(len(keep), bool)
+        new[1:] = (np.diff(keep) > 1) | (of[1:] != of[:-1])
+        piece = np.cumsum(new) - 1
+        start = np.maximum(self.start[keep], keep[new][piece])
+        self.start = np.arange(len(keep)) - (keep - start)
+        self.asking = self.asking[keep]
+        self.place(self.stream[keep], np.bincount(piece), self.docs[of[new]])
 
     def totals(self) -> np.ndarray:
         return self.sums + np.bincount(self.docs[self.of[self.asking]], weights=self.log, minlength=len(self.ids))
@@ -220,7 +265,8 @@ class Block:
         if carved:
             self.carve()
         at = np.flatnonzero(self.asking)
-        room = at - self.begin[self.of[at]]
+        room = at - self.start[at - 1]
+        levels = max(1, min(levels, int(room.max(initial=0)) - depth + 1))  # none longer is asked for
         learn = self.learn[self.docs][self.of[at]]
         names = ContextNames(self.stream)
         sent, cuts = [], []
@@ -250,8 +296,12 @@ class Block:
         where = (np.cumsum(total) - total)[None, :] + np.cumsum(sizes, axis=0) - sizes - np.array([c[:-1] for c in cuts])
         if tail and len(at):
             leaf = leaf + where[leaf_level, bucket]
-        own = [self.ids, self.learn, self.tokens, self.known, self.base, self.sums, np.packbits(self.asking), np.packbits(self.okay)]
-        own += [self.docs, self.size, self.stream] if carved else [np.empty(0, k) for k in self.OWN[8:11]]
+        own = [self.ids, self.learn, self.tokens, self.known, self.base, self.sums, np.packbits(self.asking), np.diff(self.start, prepend=0).astype(np.uint32)]
+        if carved:
+            key, _, code = group_equal(self.stream)
+            own += [self.docs, self.size, key, code.astype(np.uint32)]
+        else:
+            own += [np.empty(0, k) for k in self.OWN[8:12]]
         own.append(leaf.astype(np.uint32) if tail else np.empty(0, np.uint32))
         out = [(-1 - self.number, self.number, len(at), 0, float(self.totals()[~self.learn].sum()), pack(*own))]
         for b in np.flatnonzero(total).tolist():
@@ -284,6 +334,28 @@ def judge(ctx: np.ndarray, count: np.ndarray, q: np.ndarray, alive: np.ndarray):
     return log, stays, alive & (n >= LEAST) & (bits >= GAIN)
 
 
+def worth(ctx: np.ndarray, count: np.ndarray, log: np.ndarray, on: np.ndarray) -> np.ndarray:
+    """The contexts ``on`` without those of which no longer one could gain ``GAIN`` bits.
+
+    A longer context holds m of the n occurrences of each next token, M in all, and gains at
+    most sum(m log2(m / (M q))) bits.  With r = log2(n / q) that is, for any c, at most
+    sum(m (r - c)) + c M - M log2(M), so at most sum(n max(0, r - c)) + 2^c / (e ln 2)."""
+    here = np.flatnonzero(on[ctx] & (count > 0))
+    at, n = ctx[here], count[here].astype(np.float64)
+    r = np.log2(n) - log[here].astype(np.float64) / np.log10(2)
+
+    def total(x):
+        return np.bincount(at, weights=x, minlength=len(on))
+
+    mean = total(n * r) / np.maximum(total(n), 1)
+    top = np.full(len(on), -np.inf)
+    np.maximum.at(top, at, r)
+    bits = np.full(len(on), np.inf)
+    for c in (mean - 1, mean, mean + 1, (mean + np.where(on, top, 0)) / 2, np.where(on, top, 0)):
+        bits = np.minimum(bits, total(n * np.maximum(0, r - c[at])) + 2.0 ** c / (np.e * np.log(2)))
+    return on & (bits + 1e-3 * np.bincount(at, minlength=len(on)) >= GAIN)  # probabilities are rounded
+
+
 def answers(sent: DataFrame) -> DataFrame:
     """For each pair sent: its probability in force, whether its context is to be
     extended, whether the pair occurs ``LEAST`` times.  States of blocks pass."""
@@ -292,7 +364,9 @@ def answers(sent: DataFrame) -> DataFrame:
         if rows[0]["bucket"] < 0:
             return t
         got = [unpack(r["parts"], np.int64, *[np.uint32] * 5) for r in rows]
-        sizes = np.array([g[0] for g in got])  # rows x levels
+        sizes = np.zeros((len(got), max(len(g[0]) for g in got)), np.int64)  # rows x levels
+        for to, g in zip(sizes, got):
+            to[:len(g[0])] = g[0]
         ends = np.cumsum(sizes, axis=1)
         back, kept, log, on = [], 0, None, None
         for j in range(sizes.shape[1]):
@@ -310,6 +384,7 @@ def answers(sent: DataFrame) -> DataFrame:
             _, one, of = group_equal((ctx.astype(np.uint64) << HALF) | pair)
             total = np.bincount(of, weights=count, minlength=len(one))
             log, stays, ahead = judge(ctx[one], total, q[one], alive[one])
+            ahead = worth(ctx[one], total, log, ahead)
             kept += int(stays.sum())
             log, on, often = log[of], ahead[ctx], (total >= LEAST)[of]
             back.append([np.split(x, np.cumsum(sizes[:, j])[:-1]) for x in (log, on, often)])
@@ -327,28 +402,20 @@ def send_words(blocks: DataFrame, buckets: int) -> DataFrame:
     def run(batches):
         for batch in batches:
             for row in batch.to_pylist():
-                key, of, learnt, _ = block_words(row)
-                count = np.bincount(of[learnt], minlength=len(key))
+                key, count = unpack(row["keys"], np.uint64)[0], stretch(row["counts"], np.uint32, row["kinds"])
                 to = key % np.uint64(buckets)
                 cols = [[], [], [], [], []]
                 for b in range(buckets):
                     at = to == b
                     if at.any():
-                        for c, x in zip(cols, (b, row["block"], int(at.sum()), *squeeze(key[at], count[at].astype(np.uint32)))):
+                        for c, x in zip(cols, (b, row["block"], int(at.sum()), *squeeze(key[at], count[at]))):
                             c.append(x)
                 if cols[0]:
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(c, pa.int64() if i < 3 else pa.binary()) for i, c in enumerate(cols)],
                         ["bucket", "block", "n", "keys", "counts"])
 
-    return blocks.mapInArrow(run, "bucket long, block long, n long, keys binary, counts binary")
-
-
-def block_words(row: dict):
-    """(distinct word hashes, hash of each word, words to learn from, parts)."""
-    parts = ids, learn, flat, starts, ends, first = split_block(row)
-    key, _, of = group_equal(span_hashes(flat, starts, ends - starts))
-    return key, of, np.repeat(learn, np.diff(first)), parts
+    return blocks.select("block", "kinds", "keys", "counts").mapInArrow(run, "bucket long, block long, n long, keys binary, counts binary")
 
 
 def word_counts(sent: DataFrame) -> DataFrame:
@@ -398,24 +465,31 @@ def score(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str
 
 
 def _score(docs: DataFrame, learn: Column, id_col: str, text_col: str, report: list | None) -> DataFrame:
-    blocks = make_blocks(docs, id_col, text_col, learn)
+    spark = docs.sparkSession
+
+    def kept(df: DataFrame, name: str) -> tuple[str, DataFrame]:
+        path = scratch_path(spark, f"{name}-{uuid.uuid4().hex}")
+        df.write.option("compression", "none").parquet(path)
+        return path, spark.read.schema(df.schema).parquet(path)
+
+    text, blocks = kept(token_blocks(docs, id_col, text_col, learn), "lm-tokens")
     total, n_learn = blocks.agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("bytes", "n_learn")]).first()
     buckets, spread = max(16, -(-total // BUCKET_BYTES)), max(16, -(-total // LEVEL_BYTES))
-    counts = written(word_counts(send_words(blocks, buckets)), "lm-words")
+    spent, counts = kept(word_counts(send_words(blocks, buckets)), "lm-words")
     types, tokens = counts.agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("types", "tokens")]).first()
     types, tokens = types + (n_learn > 0), tokens + n_learn  # the end is a token
     floor = tokens + 0.1 * (types + 1)
 
     def begin(left: pa.Table, right: pa.Table) -> pa.Table:
         row = left.to_pylist()[0]
-        words = block_words(row)
-        count, to = np.zeros(len(words[0]), np.int64), words[0] % np.uint64(buckets)
+        key = unpack(row["keys"], np.uint64)[0]
+        count, to = np.zeros(len(key), np.int64), key % np.uint64(buckets)
         for r in right.to_pylist():
             count[to == r["bucket"]] = stretch(r["counts"], np.int64, r["n"])
-        return Block.first(row, words, count, floor, n_learn).ask(1, 1, spread)
+        return Block.first(row, count, floor, n_learn).ask(1, 1, spread)
 
     def next_round(last: DataFrame, depth: int, levels: int, then, schema: str) -> DataFrame:
-        """``then`` of each block, read from its text until it was carved, afterwards from its state."""
+        """``then`` of each block, read from its tokens until it was carved, afterwards from its state."""
         if depth - levels < CARVE:
             def run(left: pa.Table, right: pa.Table) -> pa.Table:
                 return then(Block.again(right.to_pylist(), depth, levels, left.to_pylist()[0]))
@@ -428,18 +502,18 @@ def _score(docs: DataFrame, learn: Column, id_col: str, text_col: str, report: l
         return last.groupBy("block").applyInArrow(alone, schema)
 
     sent = blocks.groupBy("block").cogroup(counts.withColumnRenamed("block", "of").groupBy("of")).applyInArrow(begin, ROWS)
-    depth, levels, done = 1, 1, None
+    depth, levels = 1, 1
     while True:
-        path = scratch_path(blocks.sparkSession, f"lm-level-{depth}-{uuid.uuid4().hex}")
-        answers(sent).write.option("compression", "none").parquet(path)
-        last = blocks.sparkSession.read.schema(ROWS).parquet(path)
-        if done:  # the round before is answered in full
-            drop_table(blocks.sparkSession, done)
-        done = path
-        asked, most, kept, held = last.agg(*[F.coalesce(x, F.lit(0)) for x in (
+        path, last = kept(answers(sent), f"lm-level-{depth}")
+        drop_table(spark, spent)  # the round before is answered in full
+        spent = path
+        if text and depth >= CARVE:  # states hold what still asks
+            drop_table(spark, text)
+            text = None
+        asked, most, stay, held = last.agg(*[F.coalesce(x, F.lit(0)) for x in (
             F.sum("asked"), F.max("asked"), F.sum("kept"), F.sum("held"))]).first()
         if report is not None:
-            report.append((depth, levels, kept, held))
+            report.append((depth, levels, stay, held))
         depth += levels
         if not asked:
             break
