@@ -58,6 +58,7 @@ CARVE = 3  # context length from which only what still asks travels
 PAIRS = 4 << 20  # pairs that a block may make in such a round
 BUCKET_BYTES = 256 << 20
 LEVEL_BYTES = 16 << 20  # text for each bucket of a level
+LEVEL_PAIRS = 2 << 20  # pairs for each bucket of a later level
 BEGIN, END = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)  # hashes of the two marks
 BASE = 0x9E3779B97F4A7C17  # of the polynomial that names contexts; 3 modulo 4
 LOW = np.uint64(0xFFFFFFFF)
@@ -159,7 +160,7 @@ class Block:
     ``asking`` wait for contexts of ``depth`` tokens; ``start`` is where the longest string that
     ends at a place and may occur ``LEAST`` times begins, as far as known (it never goes back)."""
 
-    OWN = (np.int64, np.bool_, np.int64, np.int64, np.float64, np.float64, np.uint8, np.uint32, np.int64, np.int64, np.uint64, np.uint32, np.uint32)
+    OWN = (np.int64, np.bool_, np.int64, np.int64, np.float64, np.float64, np.uint8, np.uint8, np.uint32, np.int64, np.int64, np.uint64, np.uint32, np.uint32)
 
     def place(self, stream, size, docs):
         self.stream, self.size, self.docs = stream, size, docs
@@ -187,13 +188,17 @@ class Block:
         b.base = np.bincount(b.of, weights=log, minlength=n)
         b.start = b.begin[b.of]
         b.rare(np.flatnonzero(seen < LEAST), 0)
-        b.asking = np.zeros(len(b.stream), bool)
-        b.asking[1:] = b.start[:-1] < np.arange(1, len(b.stream))
-        b.asking[b.begin] = False
+        b.ask_after_frequent()
         b.sums = np.bincount(b.of[~b.asking], weights=log[~b.asking], minlength=n)
         b.log = rounded(log[b.asking])
         return b
 
+    def ask_after_frequent(self) -> None:
+        """What asks in the first round, which no state needs to hold."""
+        self.asking = np.zeros(len(self.stream), bool)
+        self.asking[1:] = self.start[:-1] < np.arange(1, len(self.stream))
+        self.asking[self.begin] = False
+
     def rare(self, at: np.ndarray, n) -> None:
         """The strings of ``n`` tokens and one at the places ``at`` occur less than ``LEAST`` times."""
         self.start[at] = np.maximum(self.start[at], at - n + 1)
@@ -205,15 +210,20 @@ class Block:
         b = cls()
         own = next(r for r in rows if r["bucket"] < 0)
         b.number = -1 - own["bucket"]
-        b.ids, b.learn, b.tokens, b.known, b.base, b.sums, asking, steps, docs, size, key, code, leaf = unpack(own["parts"], *cls.OWN)
+        b.ids, b.learn, b.tokens, b.known, b.base, b.sums, asking, moved, steps, docs, size, key, code, leaf = unpack(own["parts"], *cls.OWN)
         if tokens is not None:
             _, _, words, code, key = block_tokens(tokens)
             b.place(*token_stream(key[code], words), np.arange(len(b.ids)))
         else:
             b.place(key[code], size, docs)
         n = len(b.stream)
-        b.asking = np.unpackbits(asking, count=n).astype(bool)
-        b.start = np.cumsum(steps, dtype=np.int64)
+        b.start = np.zeros(n, np.int64)
+        b.start[np.unpackbits(moved, count=n).astype(bool)] = steps
+        b.start = np.cumsum(b.start)
+        if depth - levels > 1:
+            b.asking = np.unpackbits(asking, count=n).astype(bool)
+        else:
+            b.ask_after_frequent()
         rows = sorted((r for r in rows if r["bucket"] >= 0), key=lambda r: r["bucket"])
         got = [unpack(r["parts"], np.float32, np.uint8, np.uint8) for r in rows]
         log, on, often = ([np.empty(0, np.float32)], [np.empty(0, bool)], [np.empty(0, bool)])
@@ -296,20 +306,23 @@ class Block:
         where = (np.cumsum(total) - total)[None, :] + np.cumsum(sizes, axis=0) - sizes - np.array([c[:-1] for c in cuts])
         if tail and len(at):
             leaf = leaf + where[leaf_level, bucket]
-        own = [self.ids, self.learn, self.tokens, self.known, self.base, self.sums, np.packbits(self.asking), np.diff(self.start, prepend=0).astype(np.uint32)]
+        steps = np.diff(self.start, prepend=0)
+        own = [self.ids, self.learn, self.tokens, self.known, self.base, self.sums, np.packbits(self.asking[:0] if depth == 1 else self.asking)]
+        own += [np.packbits(steps > 0), steps[steps > 0].astype(np.uint32)]
         if carved:
             key, _, code = group_equal(self.stream)
             own += [self.docs, self.size, key, code.astype(np.uint32)]
         else:
-            own += [np.empty(0, k) for k in self.OWN[8:12]]
+            own += [np.empty(0, k) for k in self.OWN[9:13]]
         own.append(leaf.astype(np.uint32) if tail else np.empty(0, np.uint32))
         out = [(-1 - self.number, self.number, len(at), 0, float(self.totals()[~self.learn].sum()), pack(*own))]
         for b in np.flatnonzero(total).tolist():
             cols = [[x[c[b]:c[b + 1]] for x in s] for s, c in zip(sent, cuts)]
             hi = [np.diff(x[0], prepend=np.uint32(0)) for x in cols]
             lo = [x[1] ^ np.concatenate([x[1][:1] * 0, x[1][:-1]]) for x in cols]  # zero within a context
-            out.append((b, self.number, 0, 0, 0.0, pack(sizes[:, b], np.concatenate(hi), np.concatenate(lo), *[
-                np.concatenate([x[k] for x in cols]) for k in range(2, 5)])))
+            pair = [np.diff(x[2], prepend=np.uint32(0)) for x in cols]  # ascends within a context
+            out.append((b, self.number, 0, 0, 0.0, pack(sizes[:, b], *map(np.concatenate, (hi, lo, pair)), *[
+                np.concatenate([x[k] for x in cols]) for k in range(3, 5)])))
         return table(out)
 
 
@@ -340,6 +353,8 @@ def worth(ctx: np.ndarray, count: np.ndarray, log: np.ndarray, on: np.ndarray) -
     A longer context holds m of the n occurrences of each next token, M in all, and gains at
     most sum(m log2(m / (M q))) bits.  With r = log2(n / q) that is, for any c, at most
     sum(m (r - c)) + c M - M log2(M), so at most sum(n max(0, r - c)) + 2^c / (e ln 2)."""
+    if not on.any():
+        return on
     here = np.flatnonzero(on[ctx] & (count > 0))
     at, n = ctx[here], count[here].astype(np.float64)
     r = np.log2(n) - log[here].astype(np.float64) / np.log10(2)
@@ -367,31 +382,40 @@ def answers(sent: DataFrame) -> DataFrame:
         sizes = np.zeros((len(got), max(len(g[0]) for g in got)), np.int64)  # rows x levels
         for to, g in zip(sizes, got):
             to[:len(g[0])] = g[0]
-        ends = np.cumsum(sizes, axis=1)
-        back, kept, log, on = [], 0, None, None
-        for j in range(sizes.shape[1]):
-            cols = [[g[k][e[j] - s[j]:e[j]] for g, s, e in zip(got, sizes, ends)] for k in range(1, 6)]
-            hi = np.concatenate([np.cumsum(x, dtype=np.uint32) for x in cols[0]]).astype(np.uint64)
-            lo = np.concatenate([np.bitwise_xor.accumulate(x) for x in cols[1]]).astype(np.uint64)
-            pair, count = (np.concatenate(x).astype(np.uint64) for x in cols[2:4])
+        runs, n_levels = sizes.ravel(), sizes.shape[1]  # a run: a row's pairs of a level, in order of their contexts
+        first = np.cumsum(runs) - runs
+        hi, lo, pair, count, up = (np.concatenate([g[k] for g in got]) for k in range(1, 6))
+        ahead_of = np.repeat(first, runs) - 1
+        hi, lo, pair = (np.where(ahead_of < 0, x, back(x, x[ahead_of])).astype(np.uint64) for x, back in (
+            (np.cumsum(hi, dtype=np.uint32), np.subtract), (np.bitwise_xor.accumulate(lo), np.bitwise_xor),
+            (np.cumsum(pair, dtype=np.uint32), np.subtract)))
+        names = (hi << HALF) | lo
+        order = np.argsort(np.repeat(np.tile(np.arange(n_levels), len(got)), runs), kind="stable")
+        cut = np.concatenate([[0], np.cumsum(sizes.sum(axis=0))])
+        row = np.repeat(np.arange(len(got)), sizes.sum(axis=1))
+        above = np.cumsum(sizes, axis=0) - sizes  # where a row's pairs begin in the order of a level
+        logs, ons, oftens = np.empty(len(names), np.float32), np.empty(len(names), bool), np.empty(len(names), bool)
+        kept, log, on = 0, None, None
+        for j in range(n_levels):
+            at = order[cut[j]:cut[j + 1]]
             if j == 0:
-                q, alive = 10.0 ** np.concatenate(cols[4]).view(np.float32).astype(np.float64), np.ones(len(hi), bool)
+                q, alive = 10.0 ** up[at].view(np.float32).astype(np.float64), np.ones(len(at), bool)
             else:
-                before = np.cumsum(sizes[:, j - 1]) - sizes[:, j - 1]
-                up = np.concatenate([x.astype(np.int64) + s for x, s in zip(cols[4], before.tolist())])
-                q, alive = 10.0 ** log[up].astype(np.float64), on[up]
-            ctx = group_equal((hi << HALF) | lo)[2]
-            _, one, of = group_equal((ctx.astype(np.uint64) << HALF) | pair)
-            total = np.bincount(of, weights=count, minlength=len(one))
+                to = up[at].astype(np.int64) + above[row[at], j - 1]
+                q, alive = 10.0 ** log[to].astype(np.float64), on[to]
+            ctx = group_equal(names[at])[2]
+            _, one, of = group_equal((ctx.astype(np.uint64) << HALF) | pair[at])
+            total = np.bincount(of, weights=count[at], minlength=len(one))
             log, stays, ahead = judge(ctx[one], total, q[one], alive[one])
             ahead = worth(ctx[one], total, log, ahead)
             kept += int(stays.sum())
-            log, on, often = log[of], ahead[ctx], (total >= LEAST)[of]
-            back.append([np.split(x, np.cumsum(sizes[:, j])[:-1]) for x in (log, on, often)])
+            log, on = log[of], ahead[ctx]
+            logs[at], ons[at], oftens[at] = log, on, (total >= LEAST)[of]
         out = []
-        for i, r in enumerate(rows):
-            log, on, often = (np.concatenate([b[k][i] for b in back]) for k in range(3))
-            out.append((r["bucket"], r["block"], 0, kept if i == 0 else 0, 0.0, pack(log, np.packbits(on), np.packbits(often))))
+        ends = np.cumsum(sizes.sum(axis=1))
+        for i, (r, b, e) in enumerate(zip(rows, (ends - sizes.sum(axis=1)).tolist(), ends.tolist())):
+            out.append((r["bucket"], r["block"], 0, kept if i == 0 else 0, 0.0,
+                        pack(logs[b:e], np.packbits(ons[b:e]), np.packbits(oftens[b:e]))))
         return table(out)
 
     return sent.groupBy("bucket").applyInArrow(run, ROWS)
@@ -501,6 +525,7 @@ def _score(docs: DataFrame, learn: Column, id_col: str, text_col: str, report: l
 
         return last.groupBy("block").applyInArrow(alone, schema)
 
+    blocks = blocks.select("block", "docs", "ids", "learn", "sizes", "keys", "codes")
     sent = blocks.groupBy("block").cogroup(counts.withColumnRenamed("block", "of").groupBy("of")).applyInArrow(begin, ROWS)
     depth, levels = 1, 1
     while True:
@@ -518,7 +543,8 @@ def _score(docs: DataFrame, learn: Column, id_col: str, text_col: str, report: l
         if not asked:
             break
         before, levels = levels, max(1, min(depth, PAIRS // most)) if depth >= TAIL else 1
-        sent = next_round(last, depth, before, lambda b, d=depth, n=levels: b.ask(d, n, spread), ROWS)
+        parts = min(spread, max(16, -(-asked * levels // LEVEL_PAIRS)))
+        sent = next_round(last, depth, before, lambda b, d=depth, n=levels, k=parts: b.ask(d, n, k), ROWS)
 
     def results(b: Block) -> pa.Table:
         return pa.table({"id": pa.array(b.ids, mask=b.ids == NO_ID), "n_tokens": b.tokens, "n_known": b.known,

@@ -265,3 +265,41 @@ def test_lm_judges_a_context_by_its_whole_distribution():
     log, stays, on = lm_scoring.judge(np.zeros(4, np.int64), count // 4, q, np.ones(4, bool))  # too rare
     assert not stays[0] and not on[0] and np.allclose(10.0 ** log, q, rtol=1e-4)
     assert not lm_scoring.judge(np.zeros(1, np.int64), np.array([10 ** 6]), np.ones(1), np.ones(1, bool))[1][0]  # nothing new
+
+
+def test_lm_ends_where_no_longer_context_could_gain():
+    """No context is left out of which a longer one could stay; one that costs much and can't be told apart is."""
+    rng = np.random.default_rng(3)
+    for _ in range(300):
+        kinds = int(rng.integers(1, 6))
+        count = rng.integers(1, 60, kinds)
+        q = np.log10(rng.dirichlet(np.ones(kinds + 1))[:kinds] + 1e-9)
+        on = lm_scoring.worth(np.zeros(kinds, np.int64), count, q, np.ones(1, bool))[0]
+        for _ in range(30):
+            m = rng.integers(0, count + 1) * (rng.random(kinds) < 0.6)
+            seen = m > 0
+            p = (m + seen.sum() * 10.0 ** q) / max(1, m.sum() + seen.sum())
+            gain = float((m[seen] * (np.log2(p[seen]) - q[seen] / np.log10(2))).sum())
+            assert on or m.sum() < lm_scoring.LEAST or gain < lm_scoring.GAIN
+    count, q = np.full(8, 4), np.log10(np.full(8, 1 / 8))  # 96 bits, of which 32 occurrences tell none apart
+    assert (-count * q).sum() / np.log10(2) > lm_scoring.GAIN
+    assert not lm_scoring.worth(np.zeros(8, np.int64), count, q, np.ones(1, bool))[0]
+
+
+def test_lm_asks_for_no_context_around_a_rare_string():
+    """Levels end with the longest context that may be frequent, and only its tokens travel."""
+    b = lm_scoring.Block()
+    b.number, b.ids, b.learn = 0, np.array([1, 2]), np.array([True, True])
+    b.place(*lm_scoring.token_stream(np.arange(10, 30, dtype=np.uint64), np.array([12, 8])), np.arange(2))
+    b.start = b.begin[b.of]
+    b.rare(np.array([5]), 1)  # the token before it and itself: no context holds both
+    assert b.start[4] == 0 and b.start[5] == b.start[9] == 5 and b.start[14] == 14
+    b.asking = np.zeros(len(b.stream), bool)
+    b.asking[[9, 20]] = True
+    b.tokens = b.known = np.zeros(2, np.int64)
+    b.base, b.sums, b.log = np.zeros(2), np.zeros(2), np.zeros(2, np.float32)
+    stream = b.stream.copy()
+    rows = b.ask(4, 4096, 1).to_pylist()
+    assert b.stream.tolist() == [*stream[5:10], *stream[14:21]] and b.docs.tolist() == [0, 1] and b.start.tolist() == [0] * 5 + [5] * 7
+    sizes, *_, count, _ = lm_scoring.unpack(rows[1]["parts"], np.int64, *[np.uint32] * 5)
+    assert sizes.tolist() == [2, 1, 1] and count.tolist() == [1] * 4
