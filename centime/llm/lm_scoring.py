@@ -20,7 +20,8 @@ run of tokens before a token, back to the text's begin mark at most.
 * **Several levels a round.** From ``TAIL`` tokens on few places still ask, mostly in
   near copies, which can agree for thousands of tokens.  They send the pairs of
   several levels at once, as a trie that goes to the bucket of its shortest context, so depth
-  doubles a round.  From ``CARVE`` tokens on only the places that ask and the tokens
+  doubles a round.  A longer context is named by the pair above it and the word before, 32 bits of
+  its hash, and only the pairs that are some place's longest are answered.  From ``CARVE`` tokens on only the places that ask and the tokens
   before them that a context may hold travel, as numbers of the block's words.
   How many levels a round takes is bounded by the pairs that a block makes and
   has no influence on the result.
@@ -91,7 +92,7 @@ def token_blocks(docs: DataFrame, id_col: str, text_col: str, learn: Column) ->
             count = np.bincount(of[np.repeat(may, sizes)], minlength=len(key))
             packed = squeeze(ids.fill_null(NO_ID).to_numpy(), may, sizes, count.astype(np.uint32))
             row = (part | number, len(texts), len(of), len(key), sum(map(len, texts)), int(may.sum()), *packed[:3],
-                   pack(key[order]), packed[3], pack(of.astype(np.uint32)))
+                   pack(steps(key[order])), packed[3], pack(of.astype(np.uint32)))
             names = [c.split()[0] for c in TOKENS.split(", ")]
             kinds = [pa.int64()] * 6 + [pa.binary()] * 3 + [pa.list_(pa.binary()), pa.binary(), pa.list_(pa.binary())]
             yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, kinds)], names)
@@ -99,10 +100,20 @@ def token_blocks(docs: DataFrame, id_col: str, text_col: str, learn: Column) ->
     return src.mapInArrow(run, TOKENS)
 
 
+def steps(x: np.ndarray) -> np.ndarray:
+    """Differences, modulo the type's range: small where ``x`` ascends; ``np.cumsum`` undoes them."""
+    return np.diff(x, prepend=x.dtype.type(0))
+
+
+def block_keys(row: dict) -> np.ndarray:
+    """Hashes of a block's words; they ascend among words about as frequent."""
+    return np.cumsum(unpack(row["keys"], np.uint64)[0], dtype=np.uint64)
+
+
 def block_tokens(row: dict):
     """(ids, learn, words of each document, number of each word, hashes of the numbers)."""
     return (stretch(row["ids"], np.int64, row["docs"]), stretch(row["learn"], bool, row["docs"]), stretch(row["sizes"], np.int64, row["docs"]),
-            unpack(row["codes"], np.uint32)[0], unpack(row["keys"], np.uint64)[0])
+            unpack(row["codes"], np.uint32)[0], block_keys(row))
 
 
 def token_stream(words: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -210,15 +221,15 @@ class Block:
         b = cls()
         own = next(r for r in rows if r["bucket"] < 0)
         b.number = -1 - own["bucket"]
-        b.ids, b.learn, b.tokens, b.known, b.base, b.sums, asking, moved, steps, docs, size, key, code, leaf = unpack(own["parts"], *cls.OWN)
+        b.ids, b.learn, b.tokens, b.known, b.base, b.sums, asking, moved, moves, docs, size, key, code, leaf = unpack(own["parts"], *cls.OWN)
         if tokens is not None:
             _, _, words, code, key = block_tokens(tokens)
             b.place(*token_stream(key[code], words), np.arange(len(b.ids)))
         else:
-            b.place(key[code], size, docs)
+            b.place(np.cumsum(key, dtype=np.uint64)[code], size, docs)
         n = len(b.stream)
         b.start = np.zeros(n, np.int64)
-        b.start[np.unpackbits(moved, count=n).astype(bool)] = steps
+        b.start[np.unpackbits(moved, count=n).astype(bool)] = moves
         b.start = np.cumsum(b.start)
         if depth - levels > 1:
             b.asking = np.unpackbits(asking, count=n).astype(bool)
@@ -278,51 +289,56 @@ class Block:
         room = at - self.start[at - 1]
         levels = max(1, min(levels, int(room.max(initial=0)) - depth + 1))  # none longer is asked for
         learn = self.learn[self.docs][self.of[at]]
-        names = ContextNames(self.stream)
         sent, cuts = [], []
         leaf_level, leaf = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
-        bucket = group = None
+        bucket = group = low = None
         for j in range(levels):
             sel = np.flatnonzero(room >= depth + j)
-            key, ctx = self.pair_keys(names, at[sel], depth + j)
             if j == 0:
+                key, ctx = self.pair_keys(ContextNames(self.stream), at, depth)
                 bucket = (((ctx >> HALF) * np.uint64(buckets)) >> HALF).astype(np.int64)
+            else:  # ascends with the pair above, so with its bucket
+                key = (group[sel].astype(np.uint64) << HALF) | (self.stream[at[sel] - depth - j] >> HALF)
             keys, one, of = group_equal(key)
             to = bucket[sel][one]
-            up = self.log[one].view(np.uint32) if j == 0 else (group[sel][one] - cuts[-1][to]).astype(np.uint32)
-            if j:
-                order = np.argsort(to, kind="stable")
-                rank = np.empty_like(order)
-                rank[order] = np.arange(len(order))
-                keys, one, up, to, of = keys[order], one[order], up[order], to[order], rank[of]
             count = np.bincount(of, weights=learn[sel], minlength=len(keys)).astype(np.uint32)
+            if j == 0:
+                sent.append(((keys >> HALF).astype(np.uint32), count, self.log[one].view(np.uint32)))
+                low = (ctx[one] & LOW).astype(np.uint32), (keys & LOW).astype(np.uint32)
+            else:
+                sent.append(((keys & LOW).astype(np.uint32), count, (group[sel][one] - cuts[-1][to]).astype(np.uint32)))
             cuts.append(np.searchsorted(to, np.arange(buckets + 1)))
-            sent.append(((keys >> HALF).astype(np.uint32), (ctx[one] & LOW).astype(np.uint32), (keys & LOW).astype(np.uint32), count, up))
             group = np.zeros(len(at), np.int64)
             group[sel] = of
             leaf_level[sel], leaf[sel] = j, of
         sizes = np.array([np.diff(c) for c in cuts])
         total = sizes.sum(axis=0)
         where = (np.cumsum(total) - total)[None, :] + np.cumsum(sizes, axis=0) - sizes - np.array([c[:-1] for c in cuts])
+        ends = [np.zeros(len(x[0]), bool) for x in sent]
+        for j, end in enumerate(ends):
+            end[leaf[leaf_level == j]] = True
         if tail and len(at):
             leaf = leaf + where[leaf_level, bucket]
-        steps = np.diff(self.start, prepend=0)
+        moves = steps(self.start)
         own = [self.ids, self.learn, self.tokens, self.known, self.base, self.sums, np.packbits(self.asking[:0] if depth == 1 else self.asking)]
-        own += [np.packbits(steps > 0), steps[steps > 0].astype(np.uint32)]
+        own += [np.packbits(moves > 0), moves[moves > 0].astype(np.uint32)]
         if carved:
             key, _, code = group_equal(self.stream)
-            own += [self.docs, self.size, key, code.astype(np.uint32)]
+            own += [self.docs, self.size, steps(key), code.astype(np.uint32)]
         else:
             own += [np.empty(0, k) for k in self.OWN[9:13]]
         own.append(leaf.astype(np.uint32) if tail else np.empty(0, np.uint32))
         out = [(-1 - self.number, self.number, len(at), 0, float(self.totals()[~self.learn].sum()), pack(*own))]
         for b in np.flatnonzero(total).tolist():
             cols = [[x[c[b]:c[b + 1]] for x in s] for s, c in zip(sent, cuts)]
-            hi = [np.diff(x[0], prepend=np.uint32(0)) for x in cols]
-            lo = [x[1] ^ np.concatenate([x[1][:1] * 0, x[1][:-1]]) for x in cols]  # zero within a context
-            pair = [np.diff(x[2], prepend=np.uint32(0)) for x in cols]  # ascends within a context
-            out.append((b, self.number, 0, 0, 0.0, pack(sizes[:, b], *map(np.concatenate, (hi, lo, pair)), *[
-                np.concatenate([x[k] for x in cols]) for k in range(3, 5)])))
+            lo, pair = (x[cuts[0][b]:cuts[0][b + 1]] for x in low)
+            cols[0][0], pair = steps(cols[0][0]), steps(pair)  # pairs ascend within a context
+            lo = lo ^ np.concatenate([lo[:1] * 0, lo[:-1]])  # zero within a context
+            for x in cols[1:]:
+                x[2] = steps(x[2])
+            name, count, up = (np.concatenate([x[k] for x in cols]) for k in range(3))
+            end = np.packbits(np.concatenate([x[c[b]:c[b + 1]] for x, c in zip(ends, cuts)])) if levels > 1 else np.empty(0, np.uint8)
+            out.append((b, self.number, 0, 0, 0.0, pack(sizes[:, b], name, lo, pair, count, up, end)))
         return table(out)
 
 
@@ -372,48 +388,55 @@ def worth(ctx: np.ndarray, count: np.ndarray, log: np.ndarray, on: np.ndarray) -
 
 
 def answers(sent: DataFrame) -> DataFrame:
-    """For each pair sent: its probability in force, whether its context is to be
-    extended, whether the pair occurs ``LEAST`` times.  States of blocks pass."""
+    """For each pair sent that is a place's longest: its probability in force, whether its context
+    is to be extended, whether the pair occurs ``LEAST`` times; zeros for the others.  States of blocks pass."""
     def run(t: pa.Table) -> pa.Table:
         rows = t.to_pylist()
         if rows[0]["bucket"] < 0:
             return t
-        got = [unpack(r["parts"], np.int64, *[np.uint32] * 5) for r in rows]
+        got = [unpack(r["parts"], np.int64, *[np.uint32] * 5, np.uint8) for r in rows]
         sizes = np.zeros((len(got), max(len(g[0]) for g in got)), np.int64)  # rows x levels
         for to, g in zip(sizes, got):
             to[:len(g[0])] = g[0]
-        runs, n_levels = sizes.ravel(), sizes.shape[1]  # a run: a row's pairs of a level, in order of their contexts
-        first = np.cumsum(runs) - runs
-        hi, lo, pair, count, up = (np.concatenate([g[k] for g in got]) for k in range(1, 6))
-        ahead_of = np.repeat(first, runs) - 1
-        hi, lo, pair = (np.where(ahead_of < 0, x, back(x, x[ahead_of])).astype(np.uint64) for x, back in (
-            (np.cumsum(hi, dtype=np.uint32), np.subtract), (np.bitwise_xor.accumulate(lo), np.bitwise_xor),
-            (np.cumsum(pair, dtype=np.uint32), np.subtract)))
-        names = (hi << HALF) | lo
-        order = np.argsort(np.repeat(np.tile(np.arange(n_levels), len(got)), runs), kind="stable")
+        n_levels = sizes.shape[1]
+
+        def sums(x, runs, add=np.add, back=np.subtract):
+            """Running sums of each run: a row's pairs of a level."""
+            before = np.repeat(np.cumsum(runs) - runs, runs) - 1
+            x = add.accumulate(x, dtype=np.uint32)
+            return np.where(before < 0, x, back(x, x[before]))
+
+        word, lo, pair, count, up = (np.concatenate([g[k] for g in got]) for k in range(1, 6))
+        ends = np.concatenate([np.unpackbits(g[6], count=len(g[1])).astype(bool) if len(g[6]) else np.ones(len(g[1]), bool) for g in got])
+        hi = sums(np.concatenate([g[1][:n] for g, n in zip(got, sizes[:, 0])]), sizes[:, 0]).astype(np.uint64)
+        names = (hi << HALF) | sums(lo, sizes[:, 0], np.bitwise_xor, np.bitwise_xor)
+        pair, above_it = sums(pair, sizes[:, 0]).astype(np.uint64), sums(up, sizes.ravel())
+        order = np.argsort(np.repeat(np.tile(np.arange(n_levels), len(got)), sizes.ravel()), kind="stable")
         cut = np.concatenate([[0], np.cumsum(sizes.sum(axis=0))])
         row = np.repeat(np.arange(len(got)), sizes.sum(axis=1))
         above = np.cumsum(sizes, axis=0) - sizes  # where a row's pairs begin in the order of a level
-        logs, ons, oftens = np.empty(len(names), np.float32), np.empty(len(names), bool), np.empty(len(names), bool)
+        logs, ons, oftens = np.zeros(len(word), np.float32), np.zeros(len(word), bool), np.zeros(len(word), bool)
         kept, log, on = 0, None, None
         for j in range(n_levels):
             at = order[cut[j]:cut[j + 1]]
             if j == 0:
                 q, alive = 10.0 ** up[at].view(np.float32).astype(np.float64), np.ones(len(at), bool)
             else:
-                to = up[at].astype(np.int64) + above[row[at], j - 1]
+                to = above_it[at].astype(np.int64) + above[row[at], j - 1]
                 q, alive = 10.0 ** log[to].astype(np.float64), on[to]
-            ctx = group_equal(names[at])[2]
-            _, one, of = group_equal((ctx.astype(np.uint64) << HALF) | pair[at])
+                names, pair = mix64(names[to] * np.uint64(BASE) + word[at]), pair[to]
+            ctx = group_equal(names)[2]
+            _, one, of = group_equal((ctx.astype(np.uint64) << HALF) | pair)
             total = np.bincount(of, weights=count[at], minlength=len(one))
             log, stays, ahead = judge(ctx[one], total, q[one], alive[one])
             ahead = worth(ctx[one], total, log, ahead)
             kept += int(stays.sum())
             log, on = log[of], ahead[ctx]
-            logs[at], ons[at], oftens[at] = log, on, (total >= LEAST)[of]
+            end = ends[at]
+            logs[at], ons[at], oftens[at] = np.where(end, log, 0), on & end, (total >= LEAST)[of] & end
         out = []
-        ends = np.cumsum(sizes.sum(axis=1))
-        for i, (r, b, e) in enumerate(zip(rows, (ends - sizes.sum(axis=1)).tolist(), ends.tolist())):
+        last = np.cumsum(sizes.sum(axis=1))
+        for i, (r, b, e) in enumerate(zip(rows, (last - sizes.sum(axis=1)).tolist(), last.tolist())):
             out.append((r["bucket"], r["block"], 0, kept if i == 0 else 0, 0.0,
                         pack(logs[b:e], np.packbits(ons[b:e]), np.packbits(oftens[b:e]))))
         return table(out)
@@ -426,7 +449,7 @@ def send_words(blocks: DataFrame, buckets: int) -> DataFrame:
     def run(batches):
         for batch in batches:
             for row in batch.to_pylist():
-                key, count = unpack(row["keys"], np.uint64)[0], stretch(row["counts"], np.uint32, row["kinds"])
+                key, count = block_keys(row), stretch(row["counts"], np.uint32, row["kinds"])
                 to = key % np.uint64(buckets)
                 cols = [[], [], [], [], []]
                 for b in range(buckets):
@@ -506,7 +529,7 @@ def _score(docs: DataFrame, learn: Column, id_col: str, text_col: str, report: l
 
     def begin(left: pa.Table, right: pa.Table) -> pa.Table:
         row = left.to_pylist()[0]
-        key = unpack(row["keys"], np.uint64)[0]
+        key = block_keys(row)
         count, to = np.zeros(len(key), np.int64), key % np.uint64(buckets)
         for r in right.to_pylist():
             count[to == r["bucket"]] = stretch(r["counts"], np.int64, r["n"])

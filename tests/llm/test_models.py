@@ -303,3 +303,35 @@ def test_lm_asks_for_no_context_around_a_rare_string():
     assert b.stream.tolist() == [*stream[5:10], *stream[14:21]] and b.docs.tolist() == [0, 1] and b.start.tolist() == [0] * 5 + [5] * 7
     sizes, *_, count, _ = lm_scoring.unpack(rows[1]["parts"], np.int64, *[np.uint32] * 5)
     assert sizes.tolist() == [2, 1, 1] and count.tolist() == [1] * 4
+
+
+def test_lm_rounds_of_several_levels_send_and_answer_what_is_needed(spark):
+    """Below a trie's first level a pair is the one above it and a word, and only a place's longest pair is answered."""
+    text = " ".join(f"w{i}" for i in range(30))
+    rows = [(i, text if i % 2 else "x " + text) for i in range(60)]
+    b = lm_scoring.Block()
+    b.number, b.ids, b.learn = 0, np.arange(60), np.ones(60, bool)
+    words = {w: k for k, w in enumerate(["x", *text.split()])}
+    codes = [np.array([words[w] for w in t.split()]) for _, t in rows]
+    key = lm_scoring.mix64(np.arange(1, 32, dtype=np.uint64))
+    b.place(*lm_scoring.token_stream(key[np.concatenate(codes)], np.array([len(c) for c in codes])), np.arange(60))
+    b.start = b.begin[b.of]
+    b.asking = np.zeros(len(b.stream), bool)
+    b.asking[b.begin + 20] = True
+    b.tokens = b.known = np.zeros(60, np.int64)
+    b.base, b.sums, b.log = np.zeros(60), np.zeros(60), np.full(60, -1, np.float32)
+    sent = b.ask(4, 8, 1)
+    sizes, name, lo, pair, count, up, end = lm_scoring.unpack(sent.to_pylist()[1]["parts"], np.int64, *[np.uint32] * 5, np.uint8)
+    assert sizes.tolist() == [2] * 8 and len(name) == len(count) == len(up) == 16 and len(lo) == len(pair) == 2
+    assert count.tolist() == [30] * 16 and np.unpackbits(end, count=16).tolist() == [0] * 14 + [1] * 2
+    got = lm_scoring.answers(spark.createDataFrame(sent.to_pandas(), lm_scoring.ROWS)).where("bucket >= 0").collect()[0]
+    log, _, often = lm_scoring.unpack(got.parts, np.float32, np.uint8, np.uint8)
+    assert (log[:14] == 0).all() and (log[14:] < 0).all() and np.unpackbits(often, count=16).tolist() == [0] * 14 + [1] * 2
+
+
+def test_lm_hashes_travel_as_steps():
+    """The high bytes of ascending hashes take no room."""
+    key = np.sort(lm_scoring.mix64(np.arange(100000, dtype=np.uint64)))
+    assert (np.cumsum(lm_scoring.steps(key), dtype=np.uint64) == key).all()
+    packed = lm_scoring.pack(lm_scoring.steps(key))
+    assert sum(map(len, packed)) < 0.85 * key.nbytes and (lm_scoring.block_keys({"keys": packed}) == key).all()
